@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def with_fields(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` and further fields."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(ddl).fields])
+
+
 class Ids(dict):
     """Numbers keys in the order they are first asked for."""
 

@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, factor: float
     mix_key string, the random sort key (md5). Columns of these names in the input are
     replaced. Empty input gives an empty result.
 
-    The only shuffle of the rows is the global one, by range of the key; the per-source
+    The only shuffle of the rows is the global one; the per-source
     table is broadcast after its size is checked.
     """
     docs = docs.drop("mix_copy", "mix_copies", "mix_key")
@@ -75,7 +75,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, factor: float
     rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").drop("mix_source", "mix_parts", "mix_cdf")
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))
-    return rows.orderBy("mix_key") if shuffle else rows
+    return global_shuffle(rows) if shuffle else rows
+
+
+def global_shuffle(rows: DataFrame, key: str = "mix_key") -> DataFrame:
+    """Rows dealt to partitions and sorted in them by a random key: a global random order.
+
+    The key is uniform, so partitions are even without the sampling pass of a range sort.
+    """
+    return rows.repartition(F.col(key)).sortWithinPartitions(key)
 
 
 #: Production parameters of the query: square-root weights, as many rows out as in.
