@@ -1,12 +1,13 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import mixing, packing, progressive_jpeg, quality, topk, url_rules
+from . import mixing, packing, progressive_jpeg, quality, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
     "op3_quality_bradley_terry": quality.op3_quality_bradley_terry,
     "op4_poisson_mixing": mixing.op4_poisson_mixing,
     "op5_progressive_jpeg": progressive_jpeg.op5_progressive_jpeg,
+    "op6_toxicity_crf": toxicity.op6_toxicity_crf,
     "op7_url_association_rules": url_rules.op7_url_association_rules,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
