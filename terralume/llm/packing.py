@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import Ids, WorkFolder, table, text_batches, with_fields, word_ids
 
 CAPACITY = 2048
-#: Words a task remembers the ids of, and rows of one length that are ranked together.
-CACHE_WORDS, BUCKET_ROWS = 300_000, 2000
+#: Words and cores of words a worker remembers the ids of, and rows of one length that are ranked together.
+CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 250_000, 600_000, 2000
+#: Marks that end a word; after an ASCII letter or digit they are split off in any case.
+TAIL = b".,!*$%&#"
 
 
 def tokenizer_path() -> str:
@@ -34,23 +36,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cores: dict[bytes, bytes] = {}
         self._clear()
 
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """The worker's own, so that its later tasks start with the words of its earlier ones."""
+        if path not in _OPEN:
+            _OPEN[path] = cls(path)
+        return _OPEN[path]
+
     def _clear(self) -> None:
+        if len(self.cores) > CACHE_CORES:
+            self.cores.clear()
         self.ids, self.starts, self.flat, self.known = Ids(), np.zeros(1, np.int64), np.empty(0, np.uint32), 0
 
     def _learn(self) -> None:
+        """Ids of the new words; words that differ in their tail or in ASCII case share a core's ids."""
         new = list(self.ids)[self.known :] if self.known else list(self.ids)
-        starts, flat = [self.starts], [self.flat]
-        end = self.starts[-1]
-        for a in range(0, len(new), 8192):
-            part = [w.decode("utf-8", "surrogatepass") for w in new[a : a + 8192]]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+        cut: list[tuple[bytes, bytes]] = []
+        for w in new:
+            core = w.rstrip(TAIL)
+            if not core or core[-1] > 127 or not core[-1:].isalnum():
+                core = w
+            cut.append((core if b"<" in core else core.lower(), w[len(core) :]))
+        unknown = [c for c in dict.fromkeys(x for pair in cut for x in pair if x) if c not in self.cores]
+        for a in range(0, len(unknown), 8192):
+            part = unknown[a : a + 8192]
+            got = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in part], is_pretokenized=True, add_special_tokens=False)
             size = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part))
-            starts.append(end + np.cumsum(size))
-            end = starts[-1][-1]
-            flat.append(np.array(got.ids, dtype=np.uint32))
-        self.starts, self.flat, self.known = np.concatenate(starts), np.concatenate(flat), len(self.ids)
+            self.cores.update(zip(part, (x.tobytes() for x in np.split(np.array(got.ids, dtype=np.uint32), np.cumsum(size)[:-1]))))
+        cores = self.cores
+        found = [cores[c] + cores[t] if t else cores[c] for c, t in cut]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
+        self.known = len(self.ids)
 
     def encode(self, texts) -> list[np.ndarray]:
         if len(self.ids) > CACHE_WORDS:
@@ -64,6 +85,9 @@ class WordTokenizer:
         return np.split(out, ends[offsets[1:-1]])
 
 
+_OPEN: dict[str, WordTokenizer] = {}
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every text's ids and ``end_id``, cut only beyond the capacity.
 
@@ -71,7 +95,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     """
 
     def each(batches):
-        tokenizer = WordTokenizer(path)
+        tokenizer = WordTokenizer.shared(path)
         for batch in text_batches(batches, "text", 2_000_000):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist())):
