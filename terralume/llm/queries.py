@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import mixing, packing, pii, progressive_jpeg, quality, topk, toxicity, url_rules
+from . import jaccard, mixing, packing, pii, progressive_jpeg, quality, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_toxicity_crf": toxicity.op6_toxicity_crf,
     "op7_url_association_rules": url_rules.op7_url_association_rules,
     "op8_pii_crf": pii.op8_pii_crf,
+    "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLE = {"op1_exact_topk": topk.OP1_SQL, "op4_poisson_mixing": mixing.OP4_SQL}
