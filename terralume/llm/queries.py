@@ -1,9 +1,10 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import jaccard, mixing, packing, pii, progressive_jpeg, quality, topk, toxicity, url_rules
+from . import jaccard, mixing, packing, pii, pitman_yor, progressive_jpeg, quality, topk, toxicity, url_rules
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_pitman_yor": pitman_yor.op2_pitman_yor,
     "op3_quality_bradley_terry": quality.op3_quality_bradley_terry,
     "op4_poisson_mixing": mixing.op4_poisson_mixing,
     "op5_progressive_jpeg": progressive_jpeg.op5_progressive_jpeg,
