@@ -22,11 +22,11 @@ from .components import components
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
 #: Most shingles whose frequency orders them (the rest count as rare) and least count in a task to be looked at.
-FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 18, 4, 4_000_000
+FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 21, 2, 4_000_000
 #: Classes of a posting list that are compared in one unit; longer lists become several units.
 UNIT = 256
-#: Hash buckets of the histogram that bounds overlaps, and bits of the filter of wanted documents.
-BUCKETS, FILTER_BITS = 32, 1 << 23
+#: Bits of the filter of wanted documents.
+FILTER_BITS = 1 << 23
 CACHE_WORDS = 300_000
 
 
@@ -105,12 +105,33 @@ def _profiles(batches, words: int):
         yield repeated()
 
 
-def _prefixes(batches, words: int, percent: int, frequent: np.ndarray, rank: np.ndarray):
-    """Prefix rows (h, cls, pos) of each class, and one row (null, cls, n, histogram)."""
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of a set by the leading bits of a scrambled hash, one byte each, a bucket for about four shingles.
+
+    The number of buckets is a power of two; a finer histogram folds to a coarser one by
+    adding neighbours. Full buckets stay at 255, which can only loosen the bound below.
+    """
+    bits = max(4, int(len(s)).bit_length() - 2)
+    h = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+    return np.minimum(np.bincount(h.astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Suffix filter: two sets differ in at least as many shingles as their histograms do."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a, b = b, a
+        b = b.reshape(-1, 2).sum(1)
+    return n + m - int(np.abs(a - b).sum()) >= 2 * least_overlap(n, m, percent) if max(a.max(initial=0), b.max(initial=0)) < 255 else True
+
+
+def _prefixes(batches, words: int, percent: int, frequent: np.ndarray, level: np.ndarray):
+    """Prefix rows (h, cls, pos, n) of each class, and one row (null, cls, null, n, histogram)."""
     shingler, seen = Shingler(words), set()
     names = ["h", "cls", "pos", "n", "hist"]
     for batch in text_batches(batches, "text", 2_000_000):
-        hs, ks, ps, card = [], [], [], []
+        hs, sizes, card = [], [], []
         for s in shingler.sets(batch.column(1).to_pylist()):
             key = set_class(s)
             if key is None or key in seen:
@@ -122,17 +143,17 @@ def _prefixes(batches, words: int, percent: int, frequent: np.ndarray, rank: np.
                 at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                 known = frequent[at] == s
                 if known.any():
-                    order = s[np.argsort(np.where(known, rank[at] + 1, 0), kind="stable")]
+                    order = s[np.argsort(np.where(known, level[at], 0), kind="stable")]
             p = prefix_length(n, percent)
             hs.append(order[:p])
-            ks.append(np.full(p, key))
-            ps.append(np.arange(p, dtype=np.int32))
-            hist = np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
-            card.append((key, n, np.minimum(hist, 65535).astype("<u2").tobytes()))
+            sizes.append(p)
+            card.append((key, n, histogram(s)))
         if card:
             h = np.concatenate(hs).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(ks)), pa.array(np.concatenate(ps)), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())], names)
             k, n, x = zip(*card)
+            first = np.cumsum(sizes) - sizes
+            pos = (np.arange(len(h)) - np.repeat(first, sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(k, np.int64), sizes)), pa.array(pos), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.nulls(len(h), pa.binary())], names)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k, pa.int64()), pa.nulls(len(k), pa.int32()), pa.array(n, pa.int32()), pa.array(x, pa.binary())], names)
 
 
@@ -161,7 +182,6 @@ def _candidates(batches, percent: int, star: bool):
     """Pairs (a, b) of a unit that pass the filters: with the pivot only, or all of different roots."""
     for t, cuts in _units(batches, ["h", "i", "j"]):
         col = {k: t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("cls", "pos", "n", "root", "part", "i", "j")}
-        hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32)
         ends = np.unique(np.concatenate([cuts, [len(t)]]))
         starts = np.concatenate([[0], ends[:-1]])
         size = ends - starts
@@ -181,29 +201,32 @@ def _candidates(batches, percent: int, star: bool):
                     gx, gy = np.meshgrid(x[block : block + 64], y, indexing="ij")
                     gx, gy = gx.ravel(), gy.ravel()
                     ok = (gx < gy) | across
-                    gx, gy = _passing(col, hist, gx[ok], gy[ok], percent)
+                    gx, gy = _passing(col, gx[ok], gy[ok], percent)
                     left.append(gx)
                     right.append(gy)
-        x, y = _passing(col, hist, np.concatenate(left), np.concatenate(right), percent)
+        x, y = _passing(col, np.concatenate(left), np.concatenate(right), percent)
         if len(x):
             pair = np.stack([np.minimum(col["cls"][x], col["cls"][y]), np.maximum(col["cls"][x], col["cls"][y])], 1)
             pair = np.unique(pair, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
 
-def _passing(col: dict, hist: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Length filter; positional filter, as if the shared shingle were the first (it is so in one list of every linked
-    pair); suffix filter: the sets differ at least as their histograms over hash buckets do."""
-    ok = col["root"][x] != col["root"][y]
-    x, y = x[ok], y[ok]
+def _passing(col: dict, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length filter; positional filter, as if the shared shingle were the first (it is so in one list of every linked pair)."""
     n, m = col["n"][x].astype(np.int64), col["n"][y].astype(np.int64)
-    need = least_overlap(n, m, percent)
-    ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - col["pos"][x], m - col["pos"][y]) >= need)
-    x, y, n, m, need = x[ok], y[ok], n[ok], m[ok], need[ok]
-    ok = n + m - np.abs(hist[x] - hist[y]).sum(1) >= 2 * need
+    ok = (col["root"][x] != col["root"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    ok &= np.minimum(n - col["pos"][x], m - col["pos"][y]) >= least_overlap(n, m, percent)
     return x[ok], y[ok]
 
 
+def _filtered(batches, percent: int):
+    for batch in batches:
+        rows = [batch.column(k).to_pylist() for k in range(6)]
+        ok = np.array([_may_link(x, y, n, m, percent) for _, _, n, m, x, y in zip(*rows)], bool)
+        keep = pa.array(np.flatnonzero(ok))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+
 def _wanted_sets(batches, words: int, bits: np.ndarray):
     """(cls, set) of documents whose id the filter holds, and of those without an id; once a task."""
     shingler, seen = Shingler(words), set()
@@ -219,17 +242,22 @@ def _wanted_sets(batches, words: int, bits: np.ndarray):
 
 
 def _verify(batches, percent: int):
+    """Links (u, v) from rows (a, b, shingles) sorted by a, in which a's own set comes first (b is null)."""
+    own, of = None, None
     for batch in batches:
-        a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        ok = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["u", "v"])
+        us, vs = [], []
+        for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            s = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+            if b is None:
+                own, of = s.copy(), a
+                continue
+            assert of == a, "a pair without its set"
+            x, y = (own, s) if len(own) < len(s) else (s, own)
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                us.append(a)
+                vs.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
 class JaccardJoin:
@@ -244,17 +272,15 @@ class JaccardJoin:
         words, percent, work = self.words, self.percent, self.work
         profiles = work.put("profiles", self.docs.mapInArrow(lambda it: _profiles(it, words), "kind int, a long, b long, c long"))
         members = profiles.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("c").alias("n_shingles"))
-        frequent, rank = self._frequent(profiles)
-        sent = self.spark.sparkContext.broadcast((frequent, rank))
+        sent = self.spark.sparkContext.broadcast(self._frequent(profiles))
         prefixes = work.put("prefixes", self.docs.mapInArrow(lambda it: _prefixes(it, words, percent, *sent.value), "h long, cls long, pos int, n int, hist binary"))
         classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
 
-        rows = prefixes.where("h IS NOT NULL").select("h", "cls", "pos")
-        shared = rows.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-        cards = prefixes.where("h IS NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("hist").alias("hist"))
-        lists = rows.join(shared, "h").dropDuplicates(["h", "cls"]).join(cards, "cls")
+        rows = prefixes.where("h IS NOT NULL").select("h", "cls", "pos", "n")
+        shared = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h", "m")
+        lists = rows.join(shared, "h").dropDuplicates(["h", "cls"])
         lists = work.put("lists", lists.withColumn("parts", F.ceil(F.col("m") / UNIT).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("m"))
-        work.drop("prefixes")
+        self.cards = prefixes.where("h IS NULL").select("cls", "n", "hist")
 
         # first round: with the pivot of each part of a list, then the pivots of a list's parts
         stars = lists.withColumn("i", F.col("part")).withColumn("j", F.col("part")).withColumn("root", F.col("cls"))
@@ -269,6 +295,7 @@ class JaccardJoin:
         left = left.join(mixed, "h")
         units = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
         second = self._links("second", self._pairs(units, False), classes)
+        work.drop("prefixes", "lists")
         roots = components(first.unionAll(second), work, "final")
 
         owner = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -277,7 +304,7 @@ class JaccardJoin:
         return members.join(owner, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
     def _frequent(self, profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """At most FREQUENT shingles by count, ascending by hash, and their ranks by count.
+        """At most FREQUENT shingles by count, ascending by hash, and eighths of the logarithm of their counts.
 
         Only an order: any order of shingles gives the same links.
         """
@@ -291,20 +318,19 @@ class JaccardJoin:
         h = got.column("a").to_numpy().view(np.uint64)
         n = got.column("n").to_numpy()
         order = np.argsort(h)
-        h, n = h[order], n[order]
-        rank = np.empty(len(h), np.int64)
-        rank[np.lexsort((h, n))] = np.arange(len(h))
-        return h, rank
+        return h[order], np.minimum(8 * np.log2(np.maximum(n[order], 2)), 255).astype(np.uint8)
 
     def _pairs(self, units: DataFrame, star: bool) -> DataFrame:
         percent = self.percent
-        units = units.select("h", "i", "j", "cls", "pos", "n", "root", "part", "hist").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+        units = units.select("h", "i", "j", "cls", "pos", "n", "root", "part").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         return units.mapInArrow(lambda it: _candidates(it, percent, star), "a long, b long").distinct()
 
     def _links(self, name: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """Verify each pair once on whole sets, which are made anew for the documents that need it."""
+        """Bound each pair by histograms, then verify it once on whole sets, made anew for the documents that need it."""
         words, percent, work = self.words, self.percent, self.work
-        pairs = work.put(f"{name}-pairs", pairs)
+        card = lambda side, n, x: self.cards.select(F.col("cls").alias(side), F.col("n").alias(n), F.col("hist").alias(x)).dropDuplicates([side])
+        both = pairs.join(card("a", "n", "x"), "a").join(card("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+        pairs = work.put(f"{name}-pairs", both.mapInArrow(lambda it: _filtered(it, percent), "a long, b long"))
         wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
         ids = wanted.join(classes, "cls").select((F.pmod("first_doc", F.lit(FILTER_BITS)) + 1).alias("bit"))
         maps = ids.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).where("k IS NOT NULL").collect()
@@ -315,8 +341,10 @@ class JaccardJoin:
         sent = self.spark.sparkContext.broadcast(bits)
         sets = self.docs.mapInArrow(lambda it: _wanted_sets(it, words, sent.value), "cls long, shingles binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
         sets = work.put(f"{name}-sets", sets)
-        both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-        links = work.put(f"{name}-links", both.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, percent), "u long, v long"))
+        others = pairs.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "b", "shingles")
+        owners = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+        rows = others.unionAll(owners).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+        links = work.put(f"{name}-links", rows.mapInArrow(lambda it: _verify(it, percent), "u long, v long"))
         work.drop(f"{name}-sets", f"{name}-pairs")
         return links
 
