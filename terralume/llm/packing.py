@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from .common import Ids, WorkFolder, table, text_batches, with_fields, word_ids
 
 CAPACITY = 2048
 #: Words and cores of words a worker remembers the ids of, and rows of one length that are ranked together.
-CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 250_000, 600_000, 2000
+CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 800_000, 700_000, 2000
 #: Marks that end a word; after an ASCII letter or digit they are split off in any case.
 TAIL = b".,!*$%&#"
 
@@ -53,7 +54,7 @@ class WordTokenizer:
 
     def _learn(self) -> None:
         """Ids of the new words; words that differ in their tail or in ASCII case share a core's ids."""
-        new = list(self.ids)[self.known :] if self.known else list(self.ids)
+        new = list(islice(self.ids, self.known, None))
         cut: list[tuple[bytes, bytes]] = []
         for w in new:
             core = w.rstrip(TAIL)
