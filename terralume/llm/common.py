@@ -86,6 +86,7 @@ def word_ids(texts, ids: Ids, split=words) -> tuple[np.ndarray, np.ndarray]:
 
 def text_batches(batches, column: str = "text", chars: int = 4_000_000):
     """Slices of Arrow batches whose texts sum to about ``chars``; one longer text is a slice of its own."""
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -96,6 +97,7 @@ def text_batches(batches, column: str = "text", chars: int = 4_000_000):
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
+        pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

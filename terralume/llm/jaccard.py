@@ -22,12 +22,12 @@ from .components import components
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
 #: Most shingles whose frequency orders them (the rest count as rare) and least count in a task to be looked at.
-FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 21, 2, 4_000_000
+FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 21, 2, 2_000_000
 #: Classes of a posting list that are compared in one unit; longer lists become several units.
 UNIT = 256
 #: Bits of the filter of wanted documents.
 FILTER_BITS = 1 << 23
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class Shingler:

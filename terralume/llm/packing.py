@@ -15,7 +15,7 @@ from .common import Ids, WorkFolder, table, text_batches, with_fields, word_ids
 
 CAPACITY = 2048
 #: Words and cores of words a worker remembers the ids of, and rows of one length that are ranked together.
-CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 800_000, 700_000, 2000
+CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 400_000, 800_000, 2000
 #: Marks that end a word; after an ASCII letter or digit they are split off in any case.
 TAIL = b".,!*$%&#"
 
@@ -30,60 +30,61 @@ class WordTokenizer:
     """Ids of whole texts for a vocabulary that drops white space: word by word, each word once.
 
     The vocabulary's splitting never joins across ASCII white space, so a text's ids are its
-    words' ids in a row; the words come from the tokenizers library.
+    words' ids in a row. A word is a core and a tail of marks, kept as two numbers; the ids
+    of cores and tails come from the tokenizers library and lie in one array.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores: dict[bytes, bytes] = {}
-        self._clear()
+        self.forget()
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
-        """The worker's own, so that its later tasks start with the words of its earlier ones."""
+        """The worker's own, so that its later tasks start with the cores of its earlier ones."""
         if path not in _OPEN:
             _OPEN[path] = cls(path)
         return _OPEN[path]
 
-    def _clear(self) -> None:
-        if len(self.cores) > CACHE_CORES:
-            self.cores.clear()
-        self.ids, self.starts, self.flat, self.known = Ids(), np.zeros(1, np.int64), np.empty(0, np.uint32), 0
+    def forget(self) -> None:
+        """Drop all words; drop the cores too if there are many."""
+        if not hasattr(self, "cores") or len(self.cores) > CACHE_CORES:
+            self.cores, self.flat = Ids({b"": 0}), np.empty(0, np.uint32)
+            self.starts = np.zeros(2, np.int64)
+        self.words, self.parts = Ids(), np.empty((0, 2), np.int32)
 
     def _learn(self) -> None:
-        """Ids of the new words; words that differ in their tail or in ASCII case share a core's ids."""
-        new = list(islice(self.ids, self.known, None))
-        cut: list[tuple[bytes, bytes]] = []
-        for w in new:
-            core = w.rstrip(TAIL)
-            if not core or core[-1] > 127 or not core[-1:].isalnum():
-                core = w
-            cut.append((core if b"<" in core else core.lower(), w[len(core) :]))
-        unknown = [c for c in dict.fromkeys(x for pair in cut for x in pair if x) if c not in self.cores]
+        """Cores and tails of the new words; words that differ in ASCII case share theirs."""
+        new = list(islice(self.words, len(self.parts), None))
+        low = [w if b"<" in w else w.lower() for w in new]
+        bare = [w.rstrip(TAIL) for w in low]
+        core = [c if c[-1:].isalnum() else w for c, w in zip(bare, low)]  # the last byte is an ASCII letter or digit
+        tail = [w[len(c) :] for c, w in zip(core, low)]
+        known = len(self.cores)
+        number = self.cores.__getitem__
+        parts = np.stack([np.fromiter(map(number, x), np.int32, len(x)) for x in (core, tail)], 1)
+        unknown = [w.decode("utf-8", "surrogatepass") for w in islice(self.cores, known, None)]
         for a in range(0, len(unknown), 8192):
             part = unknown[a : a + 8192]
-            got = self.tokenizer.encode([w.decode("utf-8", "surrogatepass") for w in part], is_pretokenized=True, add_special_tokens=False)
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             size = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part))
-            self.cores.update(zip(part, (x.tobytes() for x in np.split(np.array(got.ids, dtype=np.uint32), np.cumsum(size)[:-1]))))
-        cores = self.cores
-        found = [cores[c] + cores[t] if t else cores[c] for c, t in cut]
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), np.uint32)])
-        self.known = len(self.ids)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+            self.flat = np.concatenate([self.flat, np.array(got.ids, dtype=np.uint32)])
+        self.parts = np.concatenate([self.parts, parts])
 
     def encode(self, texts) -> list[np.ndarray]:
-        if len(self.ids) > CACHE_WORDS:
-            self._clear()
-        flat, offsets = word_ids(texts, self.ids, lambda t: t.encode("utf-8", "surrogatepass").split() if t else [])
-        if self.known < len(self.ids):
+        if len(self.words) > CACHE_WORDS or len(self.cores) > CACHE_CORES:
+            self.forget()
+        flat, offsets = word_ids(texts, self.words, lambda t: t.encode("utf-8", "surrogatepass").split() if t else [])
+        if len(self.parts) < len(self.words):
             self._learn()
-        first, size = self.starts[flat], self.starts[flat + 1] - self.starts[flat]
+        part = self.parts[flat].ravel()
+        first = self.starts[part]
+        size = self.starts[part + 1] - first
         ends = np.concatenate([[0], np.cumsum(size)])
         out = self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-        return np.split(out, ends[offsets[1:-1]])
+        return np.split(out, ends[2 * offsets[1:-1]])
 
 
 _OPEN: dict[str, WordTokenizer] = {}
@@ -107,6 +108,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tokenizer.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
