@@ -19,13 +19,19 @@ TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
 #: Tokens of a training window, windows of a clean text, least texts of a toxic feature.
 WINDOW, CLEAN_WINDOWS, LEAST_TEXTS = 12, 6, 4
 CACHE_WORDS = 300_000
+#: A toxic feature's share of toxic texts over that of clean ones, and least likelihood-ratio statistic.
+RATIO, EVIDENCE = 5.0, 20.0
+#: Marginals that count towards a text's score.
+COUNTED = 0.05
+#: Lengths of the beginnings of a word, in bytes, that are features; they carry over to inflections never seen.
+BEGINNINGS = (4, 5, 6, 7, 8)
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
 def parts(word: bytes) -> list[bytes]:
     """Features of a lower-cased word: the word without outer marks, and its beginnings."""
     core = word.strip(MARKS)
-    return [b"w:" + core, *[b"%d:" % n + core[:n] for n in (4, 5, 6) if len(core) > n]]
+    return [b"w:" + core, *[b"%d:" % n + core[:n] for n in BEGINNINGS if len(core) > n]]
 
 
 @dataclass
@@ -56,37 +62,49 @@ class Scorer:
         return crf.two_label_marginals(self.tagger.chain, self.d[flat], offsets), offsets
 
     def scores(self, texts) -> np.ndarray:
-        """The largest marginal of each text; 0 for a text without words."""
+        """Chance that any word is toxic, taking words of some suspicion as independent, and the largest marginal at least.
+
+        0 for a text without words.
+        """
         if self.tagger.chain is None:
             return np.full(len(texts), self.tagger.constant)
         p, offsets = self.marginals(texts)
         out = np.zeros(len(texts))
         some = np.diff(offsets) > 0
         if some.any():
-            out[some] = np.maximum.reduceat(p, offsets[:-1][some])
+            none = np.add.reduceat(np.where(p > COUNTED, np.log1p(-np.minimum(p, 1 - 1e-12)), 0.0), offsets[:-1][some])
+            out[some] = np.maximum(np.maximum.reduceat(p, offsets[:-1][some]), -np.expm1(none))
         return out
 
 
 def toxic_features(toxic: list[list[bytes]], clean: list[list[bytes]]) -> set[bytes]:
-    """Features that toxic texts have and clean texts (almost) never: the source of token labels.
+    """Features that mark toxic texts: the source of token labels.
 
-    Taken greedily, the one that explains most toxic texts first, together with all that
-    are nearly as frequent and as exclusive; a feature must explain several texts that no
-    other does, so words that copies of one text share by chance stay out.
+    Those that many toxic texts have, several times as often as clean ones and beyond chance
+    (a likelihood-ratio test); and for texts without any, greedily, the one that explains
+    most of them and that clean texts (almost) never have. A feature must explain several
+    texts that no other does, so words that copies of one text share by chance stay out.
     """
     count = lambda docs: Counter(f for d in docs for f in {f for w in set(d) for f in parts(w)})
     t, c = count(toxic), count(clean)
-    rate = max(1, len(clean)) / max(1, len(toxic))
-    # as frequent among clean texts as 2 % of its share among toxic ones, at most
-    able = {f for f, n in t.items() if n >= LEAST_TEXTS and c[f] <= 0.02 * n * rate}
+    share = len(toxic) / (len(toxic) + len(clean))
+    rate = len(clean) / len(toxic)
+    bar = max(LEAST_TEXTS, 0.02 * len(toxic))
+
+    def marks(f: bytes) -> bool:
+        a, b = t[f], c[f]
+        if a < bar or b * RATIO > a * rate:
+            return False
+        return 2 * (a * np.log(a / ((a + b) * share)) + (b * np.log(b / ((a + b) * (1 - share))) if b else 0.0)) >= EVIDENCE
+
+    chosen = {f for f in t if marks(f)}
     holds: dict[bytes, set[int]] = {}
     for i, d in enumerate(toxic):
         for w in set(d):
             for f in parts(w):
-                if f in able:
+                # as frequent among clean texts as 2 % of its share among toxic ones, at most
+                if f in chosen or (t[f] >= LEAST_TEXTS and c[f] <= 0.02 * t[f] * rate):
                     holds.setdefault(f, set()).add(i)
-    bar = max(LEAST_TEXTS, 0.02 * len(toxic))
-    chosen = {f for f, h in holds.items() if len(h) >= bar}
     left = set(range(len(toxic))) - {i for f in chosen for i in holds[f]}
     order = sorted(holds, key=lambda f: (-len(holds[f]), len(f), f))
     while left:
@@ -112,21 +130,23 @@ def fit(texts: list[str], labels: list[int], seed: int = 6) -> Tagger:
     rng = np.random.default_rng(seed)
     ids, sequences, truth = Ids(), [], []
 
-    def add(d, a):
+    def add(d, a, bad):
         window = d[max(0, a) : max(0, a) + WINDOW]
         sequences.append(np.array([ids[w] for w in window]))
         truth.append(np.array([int(any(f in bad for f in parts(w))) for w in window]))
 
-    for d in toxic:
-        hits = [k for k, w in enumerate(d) if any(f in bad for f in parts(w))]
-        for k in hits[:8]:
-            add(d, k - int(rng.integers(WINDOW)))
+    # words of a clean text are clean whatever their features; those that look toxic are all shown
+    for group, label_by in ((toxic, bad), (clean, set())):
+        for d in group:
+            hits = [k for k, w in enumerate(d) if any(f in bad for f in parts(w))]
+            for k in hits[:8]:
+                add(d, k - int(rng.integers(WINDOW)), label_by)
     for d in clean:
         for a in {int(x) for x in rng.integers(max(1, len(d) - WINDOW + 1), size=CLEAN_WINDOWS)}:
-            add(d, a)
+            add(d, a, set())
     number = Ids()
     used = [[number[f] for f in parts(w)] for w in ids]
-    features = np.full((len(used), 4), len(number))
+    features = np.full((len(used), 1 + len(BEGINNINGS)), len(number))
     for row, f in zip(features, used):
         row[: len(f)] = f
     chain = crf.train(features, sequences, truth, 2, len(number))

@@ -1,0 +1,322 @@
+"""Quality ranking, toxicity, language model, personal data, near duplicates."""
+
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from terralume.llm import common, crf, jaccard, pii, pitman_yor, quality, toxicity
+from terralume.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+ODD = [(1, None, "x", 7), (2, "", "y", None), (3, " \n\t ", None, 1), (None, "some words here and more of them", "z", 2), (None, None, None, None), (4, "a b c d e f g h " * 40_000, "w", 3), (5, "same text of some words", "q", 4), (5, "same text of some words", "q", 4), (6, "Same TEXT of some words", "q", 5)]
+
+
+def odd(spark, rows=ODD):
+    names = "quality_score", "toxic_score", "pii_spans", "n_shingles", "cls"
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").select("*", *[F.lit("clash").alias(n) for n in names])
+
+
+def read(spark, name, sf=SF):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ plumbing
+
+
+def test_words():
+    assert common.words("A\tbÉ\x0bc\x1cd\x85e  F") == [b"a", "bÉ".encode(), "c\x1cd\x85e".encode(), b"f"]
+    assert common.words(None) == common.words(" \n") == []
+
+
+def test_fold(spark):
+    ids = [0, 7, -3, 123456789, None]
+    got = [r["f"] for r in spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "d long, k int").select("k", common.fold("d", 7).alias("f")).orderBy("k").collect()]
+    assert got == [zlib.crc32(str(i).encode()) % 7 if i is not None else 0 for i in ids]
+
+
+# ------------------------------------------------------------------ quality and toxicity
+
+
+@pytest.mark.parametrize("name, label", [("op3_quality_bradley_terry", "quality"), ("op6_toxicity_crf", "toxic")])
+def test_held_out_accuracy(spark, name, label):
+    sf = "/root/testdata/sf0.1"
+    got = QUERIES[name](spark, sf).join(read(spark, "labels", sf), "doc_id").toPandas()
+    held = got[got["held_out"]]
+    assert (held["predicted"] == held[label]).mean() >= 0.97
+    assert got["score"].between(0, 1).all()
+    low, high = held.loc[held[label] == 0, "score"], held.loc[held[label] == 1, "score"]
+    assert (high.to_numpy()[:, None] > low.to_numpy()).mean() > 0.96
+
+
+def test_quality_odd_rows(spark):
+    docs = read(spark, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, "labels"))
+    got = quality.score(odd(spark), model).collect()
+    assert len(got) == len(ODD) and all(0 <= r["quality_score"] <= 1 for r in got)
+    assert quality.score(odd(spark, []), model).count() == 0
+
+
+@pytest.mark.parametrize("labels, want", [([], 0.5), ([(1, 1)], 1.0), ([(1, 0)], 0.0), ([(1, None), (None, 1)], 0.5)])
+def test_quality_without_both_classes(spark, labels, want):
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.train(odd(spark), lab)
+    assert {r["quality_score"] for r in quality.score(odd(spark), model).collect()} == {want}
+
+
+def test_ranker_learns_an_order():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 16))
+    y = (x[:, 0] - x[:, 1] > 0.5).astype(int)
+    m = quality.fit(x, y, 1 - y.mean())
+    assert ((m.score(x) >= 0.5) == y).mean() > 0.95
+
+
+def test_toxic_spans(spark):
+    docs = read(spark, "documents").select("doc_id", "text")
+    tagger = toxicity.train(docs, read(spark, "labels"))
+    rows = [(1, "Thé end: you utter MORON, then go.", "s", 1), (2, "the thing is of no note", "s", 1), (3, None, "s", 1)]
+    got = {r["doc_id"]: r for r in toxicity.score(odd(spark, rows), tagger, spans="spans").collect()}
+    text, spans = rows[0][1], got[1]["spans"]
+    assert [text[s["start"] : s["end"]] for s in spans] == ["MORON,"] and got[1]["toxic_score"] > 0.7
+    assert got[2]["spans"] == [] and got[2]["toxic_score"] < 0.5 and got[3]["toxic_score"] == 0
+    assert toxicity.score(odd(spark), tagger).count() == len(ODD)
+    assert toxicity.score(odd(spark, []), tagger).count() == 0
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["toxic_score"] for r in toxicity.score(odd(spark), toxicity.train(odd(spark), none)).collect()} == {0.0}
+
+
+def paths(labels, n):
+    return np.array(np.meshgrid(*[range(labels)] * n, indexing="ij")).reshape(n, -1).T
+
+
+def path_scores(chain, e):
+    p = paths(e.shape[1], len(e))
+    s = chain.start[p[:, 0]] + chain.stop[p[:, -1]] + e[np.arange(len(e)), p].sum(1)
+    return p, s + (chain.step[p[:, :-1], p[:, 1:]].sum(1) if len(e) > 1 else 0)
+
+
+@pytest.mark.parametrize("span", [1, 3, 64])
+def test_marginals_equal_enumeration(span):
+    rng = np.random.default_rng(1)
+    chain = crf.Chain(np.zeros((1, 2)), rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=2))
+    size = [5, 0, 1, 9]
+    d = rng.normal(size=sum(size)) * 2
+    got = crf.two_label_marginals(chain, d, np.cumsum([0, *size]), span)
+    at = 0
+    for n in size:
+        if n:
+            p, s = path_scores(chain, np.stack([np.zeros(n), d[at : at + n]], 1))
+            w = np.exp(s - s.max())
+            assert got[at : at + n] == pytest.approx((p * w[:, None]).sum(0) / w.sum(), abs=1e-9)
+        at += n
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(2)
+    chain = crf.Chain(np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3), rng.normal(size=3))
+    size = np.array([4, 1, 6, 2])
+    e = rng.normal(size=(size.sum(), 3))
+    got = crf.viterbi(chain, e, size)
+    at = 0
+    for n in size:
+        p, s = path_scores(chain, e[at : at + n])
+        assert list(got[at : at + n]) == list(p[s.argmax()])
+        at += n
+
+
+def test_crf_gradient_learns():
+    rng = np.random.default_rng(3)
+    features = np.arange(6)[:, None]
+    seqs = [rng.integers(0, 6, 7) for _ in range(200)]
+    truth = [(s >= 4).astype(int) for s in seqs]
+    chain = crf.train(features, seqs, truth, 2, 6)
+    e = chain.emissions(features)
+    assert all((crf.viterbi(chain, e[s], np.array([7])) == t).all() for s, t in zip(seqs, truth))
+
+
+# ------------------------------------------------------------------ language model
+
+
+def test_language_model_base_and_gain(spark):
+    got = QUERIES["op2_pitman_yor"](spark, SF).toPandas().set_index("doc_id")
+    tokens = {r["doc_id"]: common.words(r["text"]) + [b" end"] for r in read(spark, "documents").collect()}
+    c = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        r = got.loc[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in c for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
+    held = got[got["held_out"]]
+    assert held["score"].sum() > 0.95 * held["base_score"].sum()
+
+
+def test_probabilities_sum_to_one():
+    """After any context the probabilities of all known dishes and the unknown one add up to 1, whatever the seats."""
+    shape = pitman_yor.Shape(frequent=2, endings=2)
+    counts = np.zeros((4, 5), int)  # dish 3 is the unknown one
+    counts[[0, 0, 1, 1, 2], [0, 3, 1, 3, 0]] = [4, 2, 3, 1, 5]
+    d = pitman_yor.Dishes(np.repeat(np.arange(4), 5), np.tile(np.arange(5), 4), counts.ravel(), 4, np.array([0, 1, 0]), shape)
+    c2 = counts[:, :3].sum(0)
+    for k in range(4):
+        totals = pitman_yor.Totals.of(d.totals(), c2, 1 / 4, shape)
+        assert d.predict(totals).reshape(4, 5).sum(0) == pytest.approx(np.ones(5))
+        d.sweep(totals, np.random.default_rng(k))
+
+
+def test_seating_follows_the_restaurant():
+    rng = np.random.default_rng(0)
+    n, c, a, d = 20_000, 3, 1.5, 0.5
+    t = pitman_yor.seat(np.full(n, c), np.full(n, a), d, rng)
+    p2 = a / (a + 1 - d)  # the second customer opens a table
+    p3 = {1: a / (a + 2 - d), 2: a / (a + 2 - 2 * d)}
+    want = 1 + p2 + (1 - p2) * p3[1] + p2 * p3[2]
+    assert t.mean() == pytest.approx(want, rel=0.01)
+    assert (pitman_yor.seat(np.array([0, 1, 10**6]), np.ones(3), d, rng)[:2] == [0, 1]).all()
+
+
+def test_language_model_odd_rows(spark):
+    got = pitman_yor.score(odd(spark), F.lit(True)).collect()
+    assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert pitman_yor.score(odd(spark), F.lit(False)).agg(F.sum("n_known")).first()[0] == 0
+    assert pitman_yor.score(odd(spark, []), F.lit(True)).count() == 0
+
+
+# ------------------------------------------------------------------ personal data
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(t):
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in CARD.finditer(t):
+        g = re.sub("[ -]", "", m.group())
+        if 13 <= len(g) <= 19 and pii.luhn(g):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_base_spans_equal_the_patterns(spark):
+    rng = random.Random(1)
+    for alphabet in ("a1@.+- 5(,_%X", "0123456789 -", "1.2 +()-", "ab@.c-"):
+        for _ in range(3000):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(70)))
+            assert pii.base_spans(t) == brute_spans(t), t
+    for r in read(spark, "documents").collect():
+        assert pii.base_spans(r["text"] or "") == brute_spans(r["text"] or "")
+
+
+def test_long_runs_take_linear_time():
+    for t in ("9" * 300_000, "a" * 300_000, "1.2." * 100_000, "a.b@" * 100_000, "+1 " * 100_000, "@" * 300_000):
+        pii.base_spans(t)
+
+
+def test_luhn():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+
+
+def test_pii_adds_and_keeps(spark):
+    rows = [(1, "Mail é me: jo.doe@mail.example.com, call (499) 555-6503 now", "s", 1), (2, "password=7602ad27cf5550de1c of version 2.0. in 1999", "s", 1), (3, None, "s", 1), (4, "", "s", 1)]
+    got = {r["doc_id"]: r for r in pii.find(odd(spark, rows), base="base").collect()}
+    text = rows[0][1]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in got[1]["pii_spans"]] == [("email", "jo.doe@mail.example.com"), ("phone", "(499) 555-6503")]
+    assert [s["kind"] for s in got[1]["base"]] == ["email"]
+    assert [s["kind"] for s in got[2]["pii_spans"]] == ["secret"] and got[3]["pii_spans"] == got[4]["pii_spans"] == []
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(odd(spark, rows)).collect()}
+    assert clean[1] == "Mail é me: <email>, call <phone> now" and clean[3] is None and clean[4] == ""
+    assert "7602ad27cf5550de1c" not in clean[2] and "version 2.0. in 1999" in clean[2]
+    assert pii.find(odd(spark)).count() == len(ODD) and pii.redact(odd(spark, [])).count() == 0
+
+
+def test_clean_texts_stay(spark):
+    """Words without digits never change."""
+    docs = read(spark, "documents").where(~F.col("text").rlike("[0-9@]"))
+    assert pii.redact(docs).join(docs.select("doc_id", F.col("text").alias("was")), "doc_id").where("text <> was").count() == 0
+
+
+# ------------------------------------------------------------------ near duplicates
+
+
+def brute_components(texts, words, percent):
+    sets = {}
+    for i, t in texts.items():
+        w = common.words(t)
+        sets[i] = frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    held = defaultdict(list)
+    for i in sorted(texts):
+        seen = set()
+        for g in sets[i]:
+            seen.update(held[g])
+            held[g].append(i)
+        for j in seen:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+@pytest.mark.parametrize("words, percent", [(4, 85), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, words, percent):
+    docs = read(spark, "documents").where(F.length("text") < 6000)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, words, percent).collect()}
+    assert got == brute_components(texts, words, percent)
+
+
+def test_a_chain_of_edits_and_a_hot_group(spark):
+    """Groups around one text with copies that link only through others, larger than a unit."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(100)]
+    texts, now = {}, list(base)
+    for i in range(700):
+        if i < 40:  # a chain: each differs a little from the last
+            now[rng.randrange(100)] = word()
+            texts[i] = " ".join(now)
+        else:  # a star with some copies near the threshold
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 5])):
+                copy[rng.randrange(100)] = word()
+            texts[i] = " ".join(copy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
+    assert got == brute_components(texts, 4, 85)
+
+
+def test_near_duplicates_odd_rows(spark):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(odd(spark)).collect()), key=str)
+    assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 4, None), (None, 0, None), (4, 8, 4), (5, 2, 5), (5, 2, 5), (6, 2, 5)], key=str)
+    kept = jaccard.keep_one(odd(spark)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "2", "3", "4", "5", "None", "None"] and kept[0].asDict().keys() == odd(spark).first().asDict().keys()
+    assert jaccard.near_duplicates(odd(spark, [])).count() == 0
+
+
+def test_histograms_never_overstate():
+    rng = np.random.default_rng(4)
+    for n in (5, 60, 700):
+        for share in (0.5, 0.86, 0.95):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[: int(share * n)], rng.integers(0, 2**63, max(1, n // 30), dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 85 * (len(x) + len(y) - both):
+                assert jaccard._may_link(jaccard.histogram(x), jaccard.histogram(y), len(x), len(y), 85)
