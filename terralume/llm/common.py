@@ -1,50 +1,20 @@
-"""Shared plumbing: the shared work folder, token ids of a block of texts, folds."""
+"""Shared plumbing: token ids of a block of texts, folds, schemas."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.work import WorkFolder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["WorkFolder", "Ids", "fold", "mix64", "table", "text_batches", "with_fields", "word_ids", "words"]
 
-class WorkFolder:
-    """Tables in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Written tables cut lineage: a lost executor costs a reread, not a recomputation.
-    Where the setting is absent (tests on one machine) a temporary folder is used.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{tempfile.gettempdir()}/terralume-work"
-        self.spark = spark
-        self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-    def put(self, name: str, df: DataFrame, partitions: int | None = None) -> DataFrame:
-        path = f"{self.path}/{name}"
-        if partitions:
-            df = df.coalesce(partitions)
-        df.write.option("compression", "zstd").parquet(path)
-        return self.get(name, df.schema)
-
-    def get(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            p.getFileSystem(conf).delete(p, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:

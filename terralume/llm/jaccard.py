@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import Ids, WorkFolder, mix64, table, text_batches, word_ids
-from .components import components
 
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -287,7 +287,7 @@ class JaccardJoin:
         pivots = stars.where("parts > 1").withColumn("k", F.row_number().over(W.partitionBy("h", "part").orderBy("pos", "cls"))).where("k = 1").drop("k").withColumn("i", F.lit(-1)).withColumn("j", F.lit(-1))
         pairs = self._pairs(stars.unionByName(pivots), True)
         first = self._links("first", pairs, classes)
-        roots = components(first, work, "roots")
+        roots = components(first, "jaccard-roots")
 
         # second round: what is left, between different roots of one list
         left = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -296,7 +296,7 @@ class JaccardJoin:
         units = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
         second = self._links("second", self._pairs(units, False), classes)
         work.drop("prefixes", "lists")
-        roots = components(first.unionAll(second), work, "final")
+        roots = components(first.unionAll(second), "jaccard-components")
 
         owner = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         least = owner.groupBy("root").agg(F.min("first_doc").alias("component_id"))

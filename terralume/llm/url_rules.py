@@ -92,7 +92,7 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     rules = sets.where("says <> '=' AND size(items) > 0").join(whole, "items")
     rules = rules.select("items", F.substring("says", 2, 10).alias("verdict"), (F.col("freq") / F.col("n_items")).alias("confidence"), F.col("freq").alias("support")).where(F.col("confidence") >= how.confidence)
     work = WorkFolder(labelled.sparkSession, "url-rules")
-    rules = work.put("all", rules.withColumn("rule_id", F.xxhash64("items", "verdict")), 1)
+    rules = work.put("all", rules.withColumn("rule_id", F.xxhash64("items", "verdict")).coalesce(1))
     drop_one = rules.withColumn("without", F.explode("items")).select("rule_id", "verdict", "confidence", F.array_remove("items", F.col("without")).alias("items"))
     shorter = rules.select("items", "verdict", F.col("confidence").alias("c"))
     needless = drop_one.join(shorter, ["items", "verdict"]).where("c >= confidence").select("rule_id").distinct()
