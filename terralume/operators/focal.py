@@ -144,6 +144,24 @@ def edge_density(df: DataFrame, column: str, threshold: float = 60.0, k: int = 7
     return box_sum(df, "_edge", k, out, keys, mean=True).drop("_g", "_edge")
 
 
+def ssim(df: DataFrame, a: str, b: str, span: float, k: int = 3, out: str = "ssim", keys=()) -> DataFrame:
+    """Structural similarity of two bands in a (2k+1) square around each pixel; ``span`` is the range of values.
+
+    Sample variances over the pixels there; two constants steady the ratio as usual (1 and 3 percent of the span).
+    """
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    df = df.withColumns({"_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y})
+    for c in ("_x", "_y", "_xx", "_yy", "_xy"):
+        df = box_sum(df, c, k, f"{c}m", keys, mean=True)
+    df = box_sum(df.withColumn("_1", F.lit(1)), "_1", k, "_k", keys)
+    unbias = F.col("_k") / F.greatest(F.col("_k") - 1, F.lit(1))
+    mx, my = F.col("_xm"), F.col("_ym")
+    vx, vy, vxy = ((F.col(c) - m) * unbias for c, m in (("_xxm", mx * mx), ("_yym", my * my), ("_xym", mx * my)))
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    value = (2 * mx * my + c1) * (2 * vxy + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))
+    return df.withColumn(out, value).drop("_x", "_y", "_xx", "_yy", "_xy", "_xm", "_ym", "_xxm", "_yym", "_xym", "_1", "_k")
+
+
 def nearest(coarse: DataFrame, fine: DataFrame, factor: int, columns: list[str], keys=()) -> DataFrame:
     """Values of a grid ``factor`` times as coarse on the fine grid, by an equi-join on the divided place."""
     place = {a: F.floor(F.col(a) / float(factor)).cast("int") for a in ("x", "y")}

@@ -87,3 +87,18 @@ def bare_soil(rows: DataFrame, keys=("region",), least: float = 0.65) -> DataFra
     bare = lambda s: F.avg(((F.col(f"g_{s}") - F.col(f"r_{s}")) / 255.0 < 0.02).cast("double"))
     f = rows.groupBy(*keys).agg(bare("b").alias("bare_before"), bare("a").alias("bare_after"))
     return f.withColumn("bare", F.least("bare_before", "bare_after")).withColumn("bare_context", F.col("bare") >= least)
+
+
+def segments(rows: DataFrame, least_overlap: float = 0.10, least_score: float = 0.2, least_area: int = 5, most_share: float = 0.35, total: int | None = None, keys=("segment",)) -> DataFrame:
+    """Proposed segments worth keeping: enough pixels, candidates and score, and not most of the scene.
+
+    ``rows`` holds each segment's pixels with candidate (Boolean) and score.
+    """
+    s = rows.groupBy(*keys).agg(F.count("*").alias("area_px"), F.avg(F.col("candidate").cast("double")).alias("overlap"), F.avg("score").alias("score"))
+    keep = (F.col("area_px") >= least_area) & (F.col("overlap") >= least_overlap) & (F.col("score") >= least_score)
+    return s.where(keep & (F.col("area_px") <= most_share * total) if total else keep)
+
+
+def directional(d_ndbi: Column, d_ndvi: Column, semantic: Column) -> Column:
+    """Built-up rises, vegetation changes or the semantic distance is large."""
+    return (d_ndbi > 0.20) | (F.abs(d_ndvi) > 0.15) | (semantic > 0.15)

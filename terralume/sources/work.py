@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 class WorkFolder:
     """Tables under ``spark.checkpoint.dir``; on one machine without that setting, under the temporary folder.
 
+    On a cluster the setting must be there: other machines would miss a local folder's files.
+
     A written table cuts lineage: a lost executor costs a reread, not a recomputation.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/terralume-work"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            base = f"file://{tempfile.gettempdir()}/terralume-work"
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
