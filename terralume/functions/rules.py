@@ -24,6 +24,8 @@ PRESETS = {"strict": (1e-7, 1e-5), "balanced": (1e-5, 1e-3), "sensitive": (1e-4,
 
 @dataclass(frozen=True)
 class Params:
+    """Defaults of the change test."""
+
     sensitivity: str = "balanced"
     min_area_px: int = 5
     sam_min: float = 0.05
@@ -61,6 +63,7 @@ def evidence(sam: Column | None = None, sam_min: float = 0.05) -> dict[str, Colu
     """
     c = F.col
     turned = lambda least: F.lit(True) if sam is None else sam > least
+    # fixed values: thresholds of the transition rules
     rules = {
         "veg_loss": (c("ndvi_b") > 0.20) & (c("ndvi_a") < 0.15) & (c("d_ndvi") < -0.12),
         "veg_gain": (c("ndvi_a") > 0.25) & (c("d_ndvi") > 0.12),

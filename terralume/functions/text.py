@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ``#3: text`` and its like, at the start of a line.
+# Formats of numbered answer lines, product file names and their dates, and of JSON slips.
 NUMBERED = r"^\W*#?(\d+)\s*[:.)\-]\s*(.+)$"
 PRODUCT = r"^(S2[ABC]_\w{5}_(\d{8})_\d+)_L2A_(\w+)\.tif$"
+FILE_DATE = r"_(\d{8})_"
+TRAILING_COMMA = r",\s*([}\]])"
+BARE_KEY = r"([{,])\s*(\w+)\s*:"
 AUDIT = "struct<regions:array<struct<id:string,real_change:string,category:string,reason:string>>>"
 
 
@@ -17,7 +20,7 @@ def dashed_date(d: Column) -> Column:
 
 
 def file_date(name: Column) -> Column:
-    return F.regexp_extract(name, r"_(\d{8})_", 1)
+    return F.regexp_extract(name, FILE_DATE, 1)
 
 
 def file_id(name: Column) -> Column:
@@ -34,8 +37,8 @@ def is_confirmed(text: Column) -> Column:
 def repaired_json(text: Column) -> Column:
     """The outermost braces of a text, without trailing commas and with all keys quoted."""
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    body = F.regexp_replace(body, r",\s*([}\]])", "$1")
-    return F.regexp_replace(body, r"([{,])\s*(\w+)\s*:", '$1"$2":')
+    body = F.regexp_replace(body, TRAILING_COMMA, "$1")
+    return F.regexp_replace(body, BARE_KEY, '$1"$2":')
 
 
 def truthy(text: Column) -> Column:
