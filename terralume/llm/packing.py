@@ -15,7 +15,7 @@ from .common import Ids, WorkFolder, table, text_batches, with_fields, word_ids
 
 CAPACITY = 2048
 #: Words and cores of words a worker remembers the ids of, and rows of one length that are ranked together.
-CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 400_000, 800_000, 2000
+CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 400_000, 800_000, 500
 #: Marks that end a word; after an ASCII letter or digit they are split off in any case.
 TAIL = b".,!*$%&#"
 
