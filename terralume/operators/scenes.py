@@ -109,3 +109,18 @@ def patch_starts(length: Column, size: int, stride: int) -> Column:
     """Starts of patches along one axis; a last one ends at the edge."""
     edge = F.greatest(length - size, F.lit(0))
     return F.array_union(F.sequence(F.lit(0), edge, F.lit(stride)), F.array(edge))
+
+
+def argument_problems(lat: float, lon: float, size_km: float, years: tuple[int, int], months: tuple[int, int], max_cloud: float, min_clear: float, min_obs: int) -> list[str]:
+    """All that is wrong with the arguments of a seasonal composite; an empty list if nothing is."""
+    tests = (
+        (-80 <= lat <= 84, "latitude outside the UTM range"),
+        (-180 <= lon <= 180, "longitude outside -180..180"),
+        (size_km > 0 and abs(size_km * 100 - round(size_km * 100)) < 1e-9, "the size is no whole number of pixels"),
+        (years[0] <= years[1], "the years run backwards"),
+        (1 <= months[0] <= months[1] <= 12, "the months run backwards or do not exist"),
+        (0 <= max_cloud <= 100, "cloud cover outside 0..100"),
+        (0 <= min_clear <= 1, "clear score outside 0..1"),
+        (min_obs >= 1, "fewer than one observation"),
+    )
+    return [why for ok, why in tests if not ok]

@@ -189,6 +189,11 @@ def test_grid_and_season_checks(spark):
         readers.same_config('{"a": 1}', {"a": 2})
 
 
+def test_composite_arguments():
+    assert scenes.argument_problems(35.2, 52.3, 10.0, (2017, 2025), (6, 9), 80, 0.6, 5) == []
+    assert len(scenes.argument_problems(89, 181, 10.001, (2020, 2019), (9, 6), 101, 2, 0)) == 8
+
+
 def test_composite_needs_observations(spark):
     obs = spark.createDataFrame([(1, 0.1, 4), (1, 0.3, 4), (1, 9.0, 3), (2, 0.5, 4)], "k int, b double, scl int")
     got = {r["k"]: (r["clear_observations"], r["b"]) for r in composite.seasonal(obs, ["k"], ["b"], rules.clear_scl(F.col("scl")), 2).collect()}
