@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from ..sources.work import WorkFolder
 
 
-__all__ = ["WorkFolder", "Ids", "fold", "mix64", "table", "text_batches", "with_fields", "word_ids", "words"]
+__all__ = ["WorkFolder", "Ids", "fold", "long_rows", "mix64", "table", "text_batches", "with_fields", "word_ids", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +56,25 @@ def word_ids(texts, ids: Ids, split=words) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.int32)), offsets
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and share their executor's limit with it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """The same rows, in a session whose Arrow batches hold at most 2000: whole texts are long rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
 def text_batches(batches, column: str = "text", chars: int = 4_000_000):
     """Slices of Arrow batches whose texts sum to about ``chars``; one longer text is a slice of its own."""
-    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -67,7 +85,7 @@ def text_batches(batches, column: str = "text", chars: int = 4_000_000):
         cuts = np.flatnonzero(np.diff(block)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(int(a), int(b - a))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Ids, WorkFolder, mix64, table, text_batches, word_ids
+from .common import Ids, WorkFolder, long_rows, mix64, table, text_batches, word_ids
 
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -264,7 +264,7 @@ class JaccardJoin:
     """The join's stages over one input; see :func:`near_duplicates`."""
 
     def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.words, self.percent, self.spark = words, percent, docs.sparkSession
         self.work = WorkFolder(self.spark, "jaccard")
 

@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Ids, WorkFolder, table, text_batches, with_fields, word_ids
+from .common import Ids, WorkFolder, long_rows, table, text_batches, with_fields
 
 CAPACITY = 2048
-#: Words and cores of words a worker remembers the ids of, and rows of one length that are ranked together.
-CACHE_WORDS, CACHE_CORES, BUCKET_ROWS = 400_000, 800_000, 500
-#: Marks that end a word; after an ASCII letter or digit they are split off in any case.
+#: Words a worker remembers the ids of, and rows of one length that are ranked together.
+CACHE_WORDS, BUCKET_ROWS = 500_000, 500
+#: Marks that end a word; after an ASCII letter or digit the vocabulary's splitting parts them in any case.
 TAIL = b".,!*$%&#"
+#: Stands between texts; no text holds this byte.
+BETWEEN = b"\xff"
+_KIND = np.zeros(256, np.uint8)  # 1 tail mark, 2 white space, 3 ASCII letter or digit
+_KIND[list(TAIL)], _KIND[[9, 10, 11, 12, 13, 32]] = 1, 2
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 3
 
 
 def tokenizer_path() -> str:
@@ -26,12 +31,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def split_tails(raw: bytes) -> bytes:
+    """A space before every run of :data:`TAIL` marks that ends a word after an ASCII letter or digit."""
+    b = np.frombuffer(raw, np.uint8)
+    kind = _KIND[b]
+    edge = np.flatnonzero(np.diff((kind == 1).astype(np.int8), prepend=0, append=0))
+    first, end = edge[::2], edge[1::2]
+    follows = np.append(kind, 2)[end] == 2
+    cut = first[follows & (first > 0) & (kind[first - 1] == 3)]
+    return np.insert(b, cut, 32).tobytes()
+
+
 class WordTokenizer:
     """Ids of whole texts for a vocabulary that drops white space: word by word, each word once.
 
-    The vocabulary's splitting never joins across ASCII white space, so a text's ids are its
-    words' ids in a row. A word is a core and a tail of marks, kept as two numbers; the ids
-    of cores and tails come from the tokenizers library and lie in one array.
+    The vocabulary's splitting joins nothing across ASCII white space, nor an ASCII letter or
+    digit with a mark, and ignores ASCII case, so a text's ids are those of its lower-cased
+    words without their tails, and of the tails, in a row. Each comes from the tokenizers
+    library; the ids of all words met lie in one array.
     """
 
     def __init__(self, path: str):
@@ -42,49 +59,41 @@ class WordTokenizer:
 
     @classmethod
     def shared(cls, path: str) -> WordTokenizer:
-        """The worker's own, so that its later tasks start with the cores of its earlier ones."""
+        """The worker's own, so that its later tasks start with the words of its earlier ones."""
         if path not in _OPEN:
             _OPEN[path] = cls(path)
         return _OPEN[path]
 
     def forget(self) -> None:
-        """Drop all words; drop the cores too if there are many."""
-        if not hasattr(self, "cores") or len(self.cores) > CACHE_CORES:
-            self.cores, self.flat = Ids({b"": 0}), np.empty(0, np.uint32)
-            self.starts = np.zeros(2, np.int64)
-        self.words, self.parts = Ids(), np.empty((0, 2), np.int32)
+        self.words, self.flat, self.starts = Ids({BETWEEN: 0}), np.empty(0, np.uint32), np.zeros(2, np.int64)
 
     def _learn(self) -> None:
-        """Cores and tails of the new words; words that differ in ASCII case share theirs."""
-        new = list(islice(self.words, len(self.parts), None))
-        low = [w if b"<" in w else w.lower() for w in new]
-        bare = [w.rstrip(TAIL) for w in low]
-        core = [c if c[-1:].isalnum() else w for c, w in zip(bare, low)]  # the last byte is an ASCII letter or digit
-        tail = [w[len(c) :] for c, w in zip(core, low)]
-        known = len(self.cores)
-        number = self.cores.__getitem__
-        parts = np.stack([np.fromiter(map(number, x), np.int32, len(x)) for x in (core, tail)], 1)
-        unknown = [w.decode("utf-8", "surrogatepass") for w in islice(self.cores, known, None)]
+        unknown = [w.decode("utf-8", "surrogatepass") for w in islice(self.words, len(self.starts) - 1, None)]
+        starts, flat = [self.starts], [self.flat]
         for a in range(0, len(unknown), 8192):
             part = unknown[a : a + 8192]
             got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             size = np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
-            self.flat = np.concatenate([self.flat, np.array(got.ids, dtype=np.uint32)])
-        self.parts = np.concatenate([self.parts, parts])
+            starts.append(starts[-1][-1] + np.cumsum(size))
+            flat.append(np.array(got.ids, dtype=np.uint32))
+        self.starts, self.flat = np.concatenate(starts), np.concatenate(flat)
 
     def encode(self, texts) -> list[np.ndarray]:
-        if len(self.words) > CACHE_WORDS or len(self.cores) > CACHE_CORES:
+        if not len(texts):
+            return []
+        if len(self.words) > CACHE_WORDS:
             self.forget()
-        flat, offsets = word_ids(texts, self.words, lambda t: t.encode("utf-8", "surrogatepass").split() if t else [])
-        if len(self.parts) < len(self.words):
+        raw = (t.encode("utf-8", "surrogatepass") if t else b"" for t in texts)
+        # a text with a bracket may hold a special token's name, which is written in one case only
+        words = split_tails((b" " + BETWEEN + b" ").join(x if b"<" in x else x.lower() for x in raw)).split()
+        ids = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        if len(self.starts) <= len(self.words):
             self._learn()
-        part = self.parts[flat].ravel()
-        first = self.starts[part]
-        size = self.starts[part + 1] - first
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out = self.flat[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-        return np.split(out, ends[2 * offsets[1:-1]])
+        first = self.starts[ids]
+        size = self.starts[ids + 1] - first
+        ends = np.cumsum(size)
+        out = self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        return np.split(out, ends[ids == 0])
 
 
 _OPEN: dict[str, WordTokenizer] = {}
@@ -108,9 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        tokenizer.forget()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return long_rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

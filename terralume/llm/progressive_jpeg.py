@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, with_fields
+from .common import long_rows, table, text_batches, with_fields
 
 #: Bytes of one MCU of three 8x8 blocks, and most MCUs in a row of the picture.
 MCU, ROW = 192, 1024
@@ -418,7 +418,7 @@ def media_table(docs: DataFrame, text: str = "text", tensors: bool = True) -> Da
     Adds n_bytes, payload_bytes, media, and with ``tensors`` height, width and rgb (binary,
     row-major uint8). Null and empty texts become one MCU of spaces. One pass, no shuffle.
     """
-    docs = docs.drop("n_bytes", "payload_bytes", "media", "height", "width", "rgb")
+    docs = long_rows(docs).drop("n_bytes", "payload_bytes", "media", "height", "width", "rgb")
     extra = "n_bytes long, payload_bytes long, media binary" + (", height int, width int, rgb binary" if tensors else "")
 
     def each(batches):
@@ -457,7 +457,7 @@ def digest(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, DIGEST)
+    return long_rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(each, DIGEST)
 
 
 def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

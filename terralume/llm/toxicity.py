@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import Ids, fold, table, text_batches, with_fields, word_ids, words
+from .common import Ids, fold, long_rows, table, text_batches, with_fields, word_ids, words
 
 #: Most labelled texts of either class that are learnt from, and the longest of them in characters.
 TRAIN_ROWS, TRAIN_CHARS = 2500, 20_000
@@ -176,7 +176,7 @@ def score(docs: DataFrame, tagger: Tagger, text: str = "text", out: str = "toxic
     With ``spans`` a column of that name lists (start, end, p) of words whose marginal is at
     least ``least``, in code points, end exclusive. Null and empty texts score 0 without spans.
     """
-    docs = docs.drop(out, *([spans] if spans else []))
+    docs = long_rows(docs).drop(out, *([spans] if spans else []))
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
     word = re.compile(r"[^\x20\x09-\x0D]+")
 
