@@ -77,6 +77,7 @@ def text_batches(batches, column: str = "text", chars: int = 4_000_000):
     """Slices of Arrow batches whose texts sum to about ``chars``; one longer text is a slice of its own."""
     import pyarrow.compute as pc
 
+    give_back()  # what earlier tasks of this worker have freed since
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
     def each(batches):
         tokenizer = WordTokenizer.shared(path)
-        for batch in text_batches(batches, "text", 2_000_000):
+        for batch in text_batches(batches, "text", 1_000_000):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
