@@ -27,7 +27,7 @@ FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 21, 2, 2_000_000
 UNIT = 256
 #: Bits of the filter of wanted documents.
 FILTER_BITS = 1 << 23
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 
 class Shingler:
@@ -83,13 +83,16 @@ def _profiles(batches, words: int):
     names = ["kind", "a", "b", "c"]
 
     def repeated():
-        if not held:
-            return None
-        h, n = np.unique(np.concatenate(held), return_counts=True)
+        h = np.concatenate(held)
+        held.clear()
+        h.sort()
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        n = np.diff(first, append=len(h))
         some = n >= LOCAL_LEAST
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(some.sum(), np.int32)), pa.array(h[some].view(np.int64)), pa.array(n[some].astype(np.int64)), pa.array(n[some].astype(np.int64))], names)
+        h, n = h[first[some]].view(np.int64), n[some]
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(h), pa.array(n), pa.array(n)], names)
 
-    for batch in text_batches(batches, "text", 2_000_000):
+    for batch in text_batches(batches, "text", 1_000_000):
         sets = shingler.sets(batch.column(1).to_pylist())
         keys = [set_class(s) for s in sets]
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names)
@@ -100,7 +103,7 @@ def _profiles(batches, words: int):
                 size += len(s)
         if size > TASK_SHINGLES:
             yield repeated()
-            held, size = [], 0
+            size = 0
     if held:
         yield repeated()
 
@@ -130,7 +133,7 @@ def _prefixes(batches, words: int, percent: int, frequent: np.ndarray, level: np
     """Prefix rows (h, cls, pos, n) of each class, and one row (null, cls, null, n, histogram)."""
     shingler, seen = Shingler(words), set()
     names = ["h", "cls", "pos", "n", "hist"]
-    for batch in text_batches(batches, "text", 2_000_000):
+    for batch in text_batches(batches, "text", 1_000_000):
         hs, sizes, card = [], [], []
         for s in shingler.sets(batch.column(1).to_pylist()):
             key = set_class(s)
@@ -230,7 +233,7 @@ def _filtered(batches, percent: int):
 def _wanted_sets(batches, words: int, bits: np.ndarray):
     """(cls, set) of documents whose id the filter holds, and of those without an id; once a task."""
     shingler, seen = Shingler(words), set()
-    for batch in text_batches(batches, "text", 2_000_000):
+    for batch in text_batches(batches, "text", 1_000_000):
         docs = batch.column(0)
         ids = np.asarray(docs.fill_null(0), dtype=np.int64)
         want = (bits[(ids & (FILTER_BITS - 1)) >> 3] >> (ids & 7) & 1).astype(bool) | np.asarray(docs.is_null())

@@ -15,7 +15,7 @@ from .common import Ids, WorkFolder, long_rows, table, text_batches, with_fields
 
 CAPACITY = 2048
 #: Words a worker remembers the ids of, and rows of one length that are ranked together.
-CACHE_WORDS, BUCKET_ROWS = 500_000, 500
+CACHE_WORDS, BUCKET_ROWS = 450_000, 500
 #: Marks that end a word; after an ASCII letter or digit the vocabulary's splitting parts them in any case.
 TAIL = b".,!*$%&#"
 #: Stands between texts; no text holds this byte.
