@@ -105,24 +105,21 @@ def viterbi(chain: Chain, emissions: np.ndarray, size: np.ndarray) -> np.ndarray
             b += 1
         own = order[a:b]
         t = int(size[own[-1]])
-        score = np.full((len(own), emissions.shape[1]), -np.inf)
+        n, first = size[own], starts[own]
+        live = np.searchsorted(n, np.arange(t + 1), side="right").tolist()  # sequences from there on go on after k tokens
+        score = chain.start + emissions[first]
         back = np.zeros((len(own), t, emissions.shape[1]), np.int8)
-        last = np.zeros(len(own), np.int64)
-        for k in range(t):
-            on = size[own] > k
-            e = emissions[starts[own[on]] + k]
-            if k == 0:
-                score[on] = chain.start + e
-            else:
-                step = score[on][:, :, None] + chain.step
-                back[on, k] = step.argmax(1)
-                score[on] = step.max(1) + e
-            ends = size[own] == k + 1
-            last[ends] = (score[ends] + chain.stop).argmax(1)
+        for k in range(1, t):
+            on = live[k]
+            step = score[on:, :, None] + chain.step
+            back[on:, k] = step.argmax(1)
+            score[on:] = step.max(1) + emissions[first[on:] + k]
+        last = (score + chain.stop).argmax(1)
         for k in range(t - 1, -1, -1):
-            on = np.flatnonzero(size[own] > k)
-            out[starts[own[on]] + k] = last[on]
-            last[on] = back[on, k, last[on]]
+            on = live[k]
+            now = last[on:]
+            out[first[on:] + k] = now
+            last[on:] = back[on:, k][np.arange(len(now)), now]
         a = b
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,10 +84,30 @@ def shape_features(word: str) -> list[str]:
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:]))
     hexadecimal = len(core) >= 16 and all(c in "0123456789abcdef" for c in core)
     size = lambda n: str(min(n, 8)) if n < 12 else "12" if n < 16 else "16" if n < 20 else "20" if n < 32 else "32"
-    return ["b", f"s:{shape(word)}", f"c:{shape(core)}", f"k:{kinds}", f"n:{size(len(core))}:{size(digits)}", f"m:{min(switches, 6)}:{bool(letters)}", f"h:{hexadecimal}", f"e:{core.split('=')[0].lower()[:10] if '=' in core else ''}"]
+    return ["b", f"s:{shape(word)}", f"c:{shape(core)}", f"k:{kinds}", f"n:{size(len(core))}:{size(digits)}", f"m:{min(switches, 6)}:{bool(letters)}", f"h:{hexadecimal}", f"e:{core.split('=')[0].lower()[:10] if '=' in core else ''}",
+            f"o:{'[at]' in core}:{'[dot]' in core}", f"p:{core[:4] if len(core) >= 16 and core[:4].isupper() else ''}"]
 
 
-N_FEATURES = 8
+N_FEATURES = 10
+
+
+class _Classes(dict):
+    """Of a character, one that stands for it in all features: letters by case and digits; others stay."""
+
+    def __missing__(self, c: int):
+        x = chr(c)
+        y = ("A" if x.isupper() else "a" if x.islower() else "\u4e2d") if x.isalpha() else "9" if x.isdigit() else x
+        self[c] = ord(y)
+        return self[c]
+
+
+_CLASSES = _Classes()
+
+
+def forms(text: str, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """For each word one of the same features that many words share; a word with more to it than classes stays."""
+    like = text.translate(_CLASSES)
+    return [text[a:b] if b - a >= 16 or "=" in (f := like[a:b]) or "[" in f else f for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 def labelled_table() -> list[list[tuple[str, str]]]:
@@ -94,6 +115,7 @@ def labelled_table() -> list[list[tuple[str, str]]]:
     rng = np.random.default_rng(8)
     number = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
     letters = lambda n, low="abcdefghijklmnopqrstuvwxyz": "".join(low[x] for x in rng.integers(0, len(low), n))
+    plain = lambda n: str.capitalize(letters(n)) if rng.random() < 0.2 else letters(n)
     rows: list[list[tuple[str, str]]] = []
     o = "O"
     for k in range(60):
@@ -122,6 +144,17 @@ def labelled_table() -> list[list[tuple[str, str]]]:
             [(f"x={number(1)}", o)], [("=", o)], [(f"@{name}", o)], [(f"a{number(1)}", o)], [(f"{name}{number(2)}", o)], [("+", o)], [(f"+{number(2)}%", o)], [(f"{number(2)}%", o)], [(f"v{number(1)}.{number(1)}.{number(1)}", o)],
             [(f"lang={letters(2)}", o)], [("==", o)], [("C++", o)], [(f"{number(6)}", o)], [(f"#{number(4)}", o)], [(f"{number(4)}-{number(4)}", o)], [(f"{number(2)}", o), (f"{number(4)}", o)],
         ]
+    # the same among words, and words of all lengths that are no personal data
+    rows += [[(plain(1 + k % 12), o), *r, (plain(1 + k % 7), o)] for k, r in enumerate(rows)]
+    for k in range(1, 61):
+        tail = ("", ".", ",", "!!", "***", '"', "?", ":", ").", "...")[k % 10]
+        name, host = letters(1 + k % 9), letters(6)
+        forms = (
+            letters(k) + tail, str.capitalize(letters(k)) + tail, letters(k).upper() + tail, letters(1 + k % 16) + tail, letters(1 + k % 16).upper() + tail, "\u4e2d" * (1 + k % 20) + tail,
+            f"({name}", f'"{name}"{tail}', f"[{name}]{tail}", f"{name}'{letters(1)}", f"{name}-{host}{tail}", f"{letters(1)}.{letters(1)}.", f"{name}.{host}{tail}", f"{host}.example.com{tail}", f"www.{host}.example.com{tail}",
+            f"https://{host}.example.com/{name}/{letters(k % 12)}", f"http://www.{host}.org/{name}.html", f"{name}/{host}", f"{name}_{host}", f"{name}({letters(1)})", f"{name}[{letters(2)}].{host}", f"{name}[{host}]", f"#{name}", f"<{name}>", f"{name}...{host}", "-" * (1 + k % 12), "*" * (1 + k % 12), "." * (1 + k % 6), "|", "&", "\u2014",
+        )
+        rows += [[(w, o)] if (j + k) % 2 else [(plain(1 + k % 11), o), (w, o), (plain(2 + k % 5), o)] for j, w in enumerate(forms)]
     return rows
 
 
@@ -136,6 +169,12 @@ class Tagger:
         return self.chain.emissions(f)
 
 
+@cache
+def trained() -> Tagger:
+    """The model of the labelled table."""
+    return train()
+
+
 def train(rows: list[list[tuple[str, str]]] | None = None) -> Tagger:
     """Maximum-likelihood chain from the labelled table; label 0 is no personal data."""
     rows = labelled_table() if rows is None else rows
@@ -148,30 +187,18 @@ def train(rows: list[list[tuple[str, str]]] | None = None) -> Tagger:
 
 _SPACE = np.zeros(128, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MARK = np.zeros(128, bool)
-_MARK[[*range(48, 58), ord("@"), ord("+"), ord("=")]] = True
 
 
-def marked_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words with a digit, ``@``, ``+`` or ``=``, and their numbers among all words.
-
-    Words without one are no personal data in this model, so the chain falls into runs of
-    adjacent marked words and is decoded run by run without loss.
-    """
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a text."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.minimum(cp, 127)
-    mark = np.flatnonzero(_MARK[low] & (cp < 128))
-    if not len(mark):
-        return mark, mark, mark
-    space = _SPACE[low] & (cp < 128)
+    space = _SPACE[np.minimum(cp, 127)] & (cp < 128)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    own = np.unique(np.searchsorted(starts, mark, side="right") - 1)
-    return starts[own], ends[own], own
+    return edge[::2], edge[1::2]
 
 
 class Decoder:
-    """Viterbi over the runs of a batch of texts; remembers words' emissions."""
+    """Viterbi over all words of a batch of texts; remembers emissions of words' forms."""
 
     def __init__(self, tagger: Tagger, most: int = 100_000):
         self.tagger, self.most, self.ids, self.e = tagger, most, Ids(), np.empty((0, 1 + len(KINDS)))
@@ -180,21 +207,19 @@ class Decoder:
         """Spans of each text: words of one label in a row, without outer quotes and marks."""
         if len(self.ids) > self.most:
             self.ids, self.e = Ids(), self.e[:0]
-        found = [marked_words(t or "") for t in texts]
-        flat = np.array([self.ids[t[a:b]] for t, (s, e, _) in zip(texts, found) for a, b in zip(s.tolist(), e.tolist())], np.int64)
+        found = [word_places(t or "") for t in texts]
+        flat = np.array([self.ids[f] for t, (s, e) in zip(texts, found) if t for f in forms(t, s, e)], np.int64)
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         if not len(flat):
             return out
         if len(self.e) < len(self.ids):
             self.e = np.concatenate([self.e, self.tagger.emissions(list(self.ids)[len(self.e) :])])
-        doc = np.repeat(np.arange(len(texts)), [len(s) for s, _, _ in found])
-        starts, ends, place = (np.concatenate([f[k] for f in found]) for k in range(3))
-        breaks = np.flatnonzero((np.diff(doc) != 0) | (np.diff(place) != 1)) + 1
-        size = np.diff(np.concatenate([[0], breaks, [len(flat)]]))
+        size = np.array([len(s) for s, _ in found])
+        doc = np.repeat(np.arange(len(texts)), size)
+        starts, ends = (np.concatenate([f[k] for f in found]) for k in range(2))
         label = crf.viterbi(self.tagger.chain, self.e[flat], size)
-        run = np.repeat(np.arange(len(size)), size)
         for k in np.flatnonzero(label).tolist():
-            joined = k and label[k - 1] == label[k] and run[k - 1] == run[k] and label[k] in (3, 4)
+            joined = k and label[k - 1] == label[k] and doc[k - 1] == doc[k] and label[k] in (3, 4)
             if joined and max(ends[j] - starts[j] for j in (k - 1, k)) < 13:  # parts of one number
                 kind, a, _ = out[doc[k]][-1]
                 out[doc[k]][-1] = (kind, a, int(ends[k]))
@@ -215,13 +240,13 @@ def _trim(text: str, span: tuple[str, int, int]) -> tuple[str, int, int] | None:
 
 def _sound(kind: str, found: str) -> bool:
     """The exact check that follows the chain: numbers must be possible ones of their kind."""
-    digits = "".join(c for c in found if c in "0123456789")
+    digits = "".join(c for c in found if c.isdecimal())
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
         return 7 <= len(digits) <= 15
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", found)) and all(int(x) <= 255 for x in found.split("."))
+        return bool(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", found)) and all(int(x) <= 255 for x in found.split("."))
     return True
 
 
@@ -244,7 +269,7 @@ def find(docs: DataFrame, tagger: Tagger | None = None, text: str = "text", out:
     empty texts have none. One pass over whole texts, no shuffle.
     """
     docs = long_rows(docs).drop(out, *([base] if base else []))
-    sent = docs.sparkSession.sparkContext.broadcast(tagger or train())
+    sent = docs.sparkSession.sparkContext.broadcast(tagger or trained())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     struct = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
@@ -269,7 +294,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") ->
 
     Overlapping spans (of different kinds) are replaced as one, by the kind that starts first.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tagger or train())
+    sent = docs.sparkSession.sparkContext.broadcast(tagger or trained())
     at = long_rows(docs).columns.index(text)
 
     def each(batches):
