@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
@@ -26,15 +26,51 @@ class Detection:
     diagnostics: dict
 
 
+#: Least cloud, reach of clouds and snow, least valid pixels.
+CLOUD_PX, MASK_REACH, LEAST_VALID = 50, 4, 100
+
+
+def cloud_snow(rows: DataFrame, width: int, ok: Column, prefix: str = "") -> DataFrame:
+    """(x, y, cloud, snow) of one date, after dark-object subtraction over the pixels that are ``ok``.
+
+    Clouds of fewer than 50 pixels go, as they are bright roofs rather.
+    """
+    bands = [prefix + b for b in ("green", "nir", "swir16")]
+    dark = px.quantiles(rows.where(ok), bands, [0.005])
+    snow, cloud = rules.snow_cloud(*[ix.clip(F.col(b) - (dark[b][0] or 0.0), 0.0, 1.0) for b in bands])
+    masks = rows.select("x", "y", cloud.alias("bright"), snow.alias("snow"))
+    large = rg.remove_small(rg.label(masks, F.col("bright"), width), CLOUD_PX).select("x", "y", F.lit(True).alias("cloud"))
+    return masks.drop("bright").join(large, ["x", "y"], "left").select("x", "y", rules.two_valued(F.col("cloud")).alias("cloud"), "snow")
+
+
+def clear_pair(pair: DataFrame, width: int, work: WorkFolder) -> tuple[DataFrame, dict]:
+    """The pair without clouds and snow of either date, and four pixels around them, in valid; their percentages."""
+    masks = pair.select("x", "y")
+    for p in ("b_", "a_"):
+        ok = rules.two_valued(F.least(*[F.col(p + b) for b in ix.BANDS]) > 0)
+        masks = masks.join(cloud_snow(pair, width, ok, p).withColumnsRenamed({"cloud": p + "cloud", "snow": p + "snow"}), ["x", "y"])
+    masks = masks.select("x", "y", (F.col("b_cloud") | F.col("a_cloud")).alias("cloud"), (F.col("b_snow") | F.col("a_snow")).alias("snow"))
+    masks = work.put("masks", masks.withColumn("bad", F.col("cloud") | F.col("snow")))
+    share = lambda c: F.coalesce(F.avg(F.col(c).cast("int")) * 100.0, F.lit(0.0)).alias(f"{c}_pct")
+    figures = masks.agg(share("cloud"), share("snow")).first().asDict()
+    bad = focal.dilate(masks.select("x", "y", "bad"), "bad", MASK_REACH, "masked").select("x", "y", "masked")
+    clear = work.put("clear", pair.join(bad, ["x", "y"]).withColumn("valid", F.col("valid") & ~F.col("masked")).drop("masked"))
+    if clear.where("valid").limit(LEAST_VALID).count() < LEAST_VALID:
+        raise ValueError("almost the whole area is without data, cloud or snow")
+    return clear, figures
+
+
 def detect_changes(pair: DataFrame, width: int, height: int, params: rules.Params = rules.Params(), pixel_m2: float = 100.0, semantic: str | None = None) -> Detection:
     """Statistical candidates that also show a land-cover transition, as regions with shape and verdict.
 
-    ``pair`` has x, y, b_<band> and a_<band> reflectances and valid. Stages: IR-MAD on smoothed
+    ``pair`` has x, y, b_<band> and a_<band> reflectances and valid. Clouds and snow are not valid;
+    fewer than 100 valid pixels are an error. Stages: IR-MAD on smoothed
     bands, calibrated and with hysteresis; normalisation on stable pixels; transition rules;
     vetoes; closing, size and slivers; region significance; footprint, shape, verdict. Tables
     that several later stages read are written to the work folder once.
     """
     work = WorkFolder(pair.sparkSession, "detect")
+    pair, shares = clear_pair(pair, width, work)
     bands = [f"{p}{b}" for p in ("b_", "a_") for b in ix.BANDS]
     smooth = focal.convolve(pair.select("x", "y", *bands, "valid"), bands, focal.gaussian_kernel(params.smooth_sigma)) if params.smooth_sigma > 0 else pair
     stat, fit = px.irmad(smooth, F.col("valid"))
@@ -98,7 +134,7 @@ def detect_changes(pair: DataFrame, width: int, height: int, params: rules.Param
     tail = regions.agg(on(F.lit(True)).alias("n")).select(F.lit(7).alias("stage_no"), F.lit("after size and sliver filter").alias("stage"), "n")
     tail = tail.unionAll(body.agg(on(F.lit(True)).alias("n")).select(F.lit(8), F.lit("after region significance"), "n"))
     tail = tail.unionAll(body.join(final, "region", "left_semi").agg(on(F.lit(True)).alias("n")).select(F.lit(9), F.lit("after the structure verdict"), "n"))
-    return Detection(final, judged.where("NOT accept"), body.join(final.select("region", "id"), "region"), funnel.unionAll(tail), gains, {"irmad": fit, "overdispersion": over, "thresholds": (low, high)})
+    return Detection(final, judged.where("NOT accept"), body.join(final.select("region", "id"), "region"), funnel.unionAll(tail), gains, {**shares, "irmad": fit, "overdispersion": over, "thresholds": (low, high)})
 
 
 #: Green, red, nir, swir16 reflectance of four surfaces.
@@ -111,13 +147,15 @@ PLANTED = (
     (400, 300, 30, 30, "vegetation", "soil"),
     (700, 600, 25, 25, "soil", "vegetation"),
 )
+#: Y, x, height, width of the clouds of the after date, and their reflectance.
+CLOUDS, CLOUD = ((40, 700, 40, 50),), (0.5, 0.5, 0.5, 0.4)
 
 
-def synthetic_pair(spark: SparkSession, width: int = 900, height: int = 900, changes=PLANTED, seed: int = 7, noise: float = 0.008) -> DataFrame:
+def synthetic_pair(spark: SparkSession, width: int = 900, height: int = 900, changes=PLANTED, seed: int = 7, noise: float = 0.008, clouds=CLOUDS) -> DataFrame:
     """x, y, both dates' reflectances, valid and truth: a patchy ground with planted changes and traps.
 
     Everything is an expression of the place and a hash of it, so any part of the raster can
-    be made anywhere. Traps: a moisture patch, a gain and offset, bright speckles, noise.
+    be made anywhere. Traps: a moisture patch, clouds, a gain and offset, bright speckles, noise.
     """
     y, x = F.floor(F.col("id") / float(width)).cast("int"), (F.col("id") % width).cast("int")
     p = spark.range(width * height).select(x.alias("x"), y.alias("y"))
@@ -130,6 +168,8 @@ def synthetic_pair(spark: SparkSession, width: int = 900, height: int = 900, cha
     truth = F.lit(False)
     for c in changes:
         truth = truth | inside(c)
+    for c in clouds:
+        truth = truth & ~inside(c)
     p = p.withColumn("patch", patch).withColumn("truth", truth)
     moist = inside((200, 650, 60, 60))
     speckle = unit(F.lit("speckle"), "x", "y") < 5e-5
@@ -143,6 +183,8 @@ def synthetic_pair(spark: SparkSession, width: int = 900, height: int = 900, cha
                 after = F.when(inside(c), before).otherwise(after)
             after = F.when(inside(c), F.lit(SURFACES[c[5]][k])).otherwise(after)
         after = F.when(moist, after * 0.78).otherwise(after)
+        for c in clouds:
+            after = F.when(inside(c), F.lit(CLOUD[k])).otherwise(after)
         after = F.when(speckle, after * 1.8).otherwise(after) * 1.06 + 0.005
         bell = lambda d: (unit(F.lit(d + band), "x", "y") + unit(F.lit(d + band + "2"), "x", "y") + unit(F.lit(d + band + "3"), "x", "y") - 1.5) * 2.0
         out["b_" + band] = ix.clip(before + noise * bell("b"), 0.001, 1.0)

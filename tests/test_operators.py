@@ -143,6 +143,21 @@ def test_detection_finds_planted_changes(spark):
     pair.unpersist()
 
 
+def test_clouds_are_not_valid(spark):
+    from terralume.plans.detect import clear_pair, detect_changes, synthetic_pair
+    from terralume.sources.work import WorkFolder
+
+    pair = synthetic_pair(spark, 180, 180, ((60, 110, 25, 25, "vegetation", "soil"),), clouds=((20, 30, 30, 40), (120, 120, 5, 5))).persist()
+    found = detect_changes(pair, 180, 180, rules.Params(target="all"))
+    assert found.diagnostics["cloud_pct"] == pytest.approx(100 * 30 * 40 / 180**2) and found.diagnostics["snow_pct"] == 0.0
+    assert found.funnel.where("stage_no = 1").first()["n"] == 180**2 - 38 * 48
+    assert found.region_pixels.where("x BETWEEN 26 AND 73 AND y BETWEEN 16 AND 53").count() == 0
+    assert found.region_pixels.join(pair.where("truth"), ["x", "y"]).count() > 500
+    with pytest.raises(ValueError):
+        clear_pair(synthetic_pair(spark, 60, 60, (), clouds=((0, 0, 60, 55),)), 60, WorkFolder(spark, "clouds"))
+    pair.unpersist()
+
+
 def test_overlap_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     b = pd.DataFrame({"id": np.arange(120), "x": rng.integers(0, 100, 120), "y": rng.integers(0, 100, 120), "w": rng.integers(1, 40, 120), "h": rng.integers(1, 40, 120)})
