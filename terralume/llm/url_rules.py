@@ -26,12 +26,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Mining:
-    """Support is a share of the labelled rows used; at most ``rows`` of them, picked by hash of the url."""
+    """Support is a share of the labelled rows, all of which are used."""
 
     support: float = 0.004
     confidence: float = 0.9
     longest: int = 4
-    rows: int = 200_000
     broadcast_rules: int = 100_000
 
 
@@ -80,10 +79,6 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     is their ratio. A rule goes if a part of its items says the same with no less
     confidence. No labelled row, no rule.
     """
-    n = labelled.count()
-    if n > how.rows:
-        share = int(how.rows / n * 2**20)
-        labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(2**20)) < share)
     baskets = labelled.select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=how.support, minConfidence=how.confidence).fit(baskets)
     sets = model.freqItemsets.where(F.size("items") <= how.longest + 1)
@@ -113,7 +108,7 @@ def judge(pages: DataFrame, how: Mining = Mining(), rules=RULES, url: str = "url
     rows = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("fixed_verdict", verdict).withColumn("url_tokens", tokens(F.col(url), F.col("host"), F.col("path")))
-    found = mine(rows.where("fixed_verdict IS NOT NULL").select(F.col(url).alias("url"), F.col("url_tokens").alias("tokens"), F.col("fixed_verdict").alias("verdict")), how)
+    found = mine(rows.where("fixed_verdict IS NOT NULL").select(F.col("url_tokens").alias("tokens"), F.col("fixed_verdict").alias("verdict")), how)
     key = F.xxhash64("url_tokens")
     open_rows = rows.where("fixed_verdict IS NULL AND size(url_tokens) > 0").select(key.alias("url_key"), "url_tokens").groupBy("url_key").agg(F.first("url_tokens").alias("url_tokens"))
     index = found.select(F.explode("items").alias("item"), "rule_id", F.size("items").alias("n"), F.col("verdict").alias("mined_verdict"), "confidence", "support")

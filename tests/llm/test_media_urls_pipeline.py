@@ -260,6 +260,13 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_rules_are_mined_from_all_rows(spark):
+    """No sample: supports are counts of all labelled rows, a hot url's among them."""
+    rows = spark.range(240_000).select(F.when(F.col("id") % 3 == 0, "http://hot.net/fr/").otherwise(F.concat(F.lit("http://a.example.com/en/"), F.col("id").cast("string"))).alias("url"))
+    rows = rows.select("url", F.when(F.col("url").contains("hot"), F.array(F.lit("h:hot"))).otherwise(F.array(F.lit("h:a"))).alias("tokens"), F.lit("block").alias("verdict"))
+    assert {(tuple(r["items"]), r["support"]) for r in ur.mine(rows).collect()} == {(("h:hot",), 80_000), (("h:a",), 160_000)}
+
+
 # ------------------------------------------------------------------ pipeline
 
 
