@@ -23,7 +23,8 @@ def test_equals_sql(name, spark, duck):
 def brute_top(q, c, k):
     out = []
     for qid, qv in q:
-        scored = sorted((-int(np.dot(np.floor(qv * 256.0), np.floor(v * 256.0))), i) for i, v in c if i != qid and len(v) == len(qv))
+        itself = next((j for j, (i, v) in enumerate(c) if i == qid and len(v) == len(qv) and (np.floor(v * 256) == np.floor(qv * 256)).all()), -1)
+        scored = sorted((-int(np.dot(np.floor(qv * 256.0), np.floor(v * 256.0))), i) for j, (i, v) in enumerate(c) if j != itself and len(v) == len(qv))
         out += [(qid, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -43,6 +44,16 @@ def test_top_k_brute_force(spark, dims):
     assert got == brute_top([(i, v[i]) for i in range(0, 300, 10)], list(enumerate(v)), 5)
 
 
+def test_top_k_repeated_ids_over_many_blocks(spark):
+    """Every row is asked and every other row is a candidate, whatever its id; blocks of queries and of candidates are several."""
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(40)), rng.integers(-3, 4, rng.choice([3, 5])) / 4.0) for _ in range(400)]
+    rows += rows[:60]
+    df = vectors(spark, [(i, x.tolist(), 0) for i, x in rows])
+    got = sorted(tuple(r) for r in topk.top_k(df.where("id % 4 = 0"), df, 5, query_block=30, block_rows=16).collect())
+    assert got == brute_top([(i, v) for i, v in rows if i % 4 == 0], rows, 5)
+
+
 def test_top_k_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, [nan, 1.0], 1), (2, [inf, 1.0], 1), (3, None, 1), (4, [None, 1.0], 1), (5, [0.5, 0.5], 1), (6, [1.0], 1), (None, [1.0, 1.0], 1), (7, [1.0, 1.0], 1), (7, [1.0, 1.0], 1), (8, [1e300, 0.0], 1)]
