@@ -234,6 +234,36 @@ def test_hosts_paths_and_rules(spark):
         assert got[i]["verdict"] == verdict if rule else got[i]["verdict"] in ("allow", "block")
 
 
+def test_columns_of_internal_names_stay(spark):
+    names = ["page", "url", "tokens", "key", "copies", "said", "item", "rule_id", "n", "fixed_verdict", "mined_verdict", "url_key", "url_tokens"]
+    pages = spark.createDataFrame([["x", u, *["y"] * 11] for u in URLS + ["http://hot.org/a"] * 40], ", ".join(f"{n} string" for n in names))
+    got = ur.judge(pages)
+    assert got.columns == [*names, "host", "path", "rule", "verdict", "mined"]
+    rows = got.collect()
+    assert len(rows) == len(URLS) + 40 and all(r["page"] == "x" and r["tokens"] == r["url_key"] == r["mined_verdict"] == "y" for r in rows)
+
+
+def test_hot_and_rare_urls_get_the_same_verdict(spark, monkeypatch):
+    """Rows that look up their verdict in the broadcast of hot urls, by the join, and not at all."""
+    rows = ["http://a.net/fr/1"] * 30 + ["http://b.com/ok"] * 30 + ["http://fr.org/fr/x"] * 25 + [f"http://h{chr(97 + i)}.org/fr/" for i in range(20)] + [None] * 9
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(rows)], "page_id long, url string")
+    how = ur.Mining(support=0.1, confidence=0.9)
+    seen = []
+    for share in (0.0, 0.1, 1.0):
+        monkeypatch.setattr(ur, "HOT_SHARE", share)
+        seen.append(sorted(tuple(str(v) for v in r) for r in ur.judge(pages, how).collect()))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == len(rows)
+    assert {r[5] for r in seen[0] if r[1].startswith("http://fr.org")} == {"block"}
+
+
+def test_long_tokens_stay_apart(spark):
+    a, b = "x" * 80 + "a", "x" * 80 + "b"
+    urls = spark.createDataFrame([(f"http://h.org/{t}?{t}=1",) for t in (a, b)], "url string")
+    host, path = ur.parts(F.col("url"))
+    x, y = (set(r[0]) for r in urls.select(ur.tokens(F.col("url"), host, path)).collect())
+    assert len(x - y) == len(y - x) == 2
+
+
 def test_no_pages(spark):
     assert ur.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -246,12 +276,12 @@ def test_mined_rules_equal_brute_force(spark):
     rows = rows.withColumn("host", host).withColumn("path", path)
     _, verdict = ur.fixed_rule(F.col("host"), F.col("path"))
     rows = rows.select("url", ur.tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"), verdict.alias("verdict")).where("verdict IS NOT NULL")
-    how = ur.Mining(support=0.2, confidence=0.9, longest=3)
+    how = ur.Mining(support=0.2, confidence=0.9)
     got = {(tuple(r["items"]), r["verdict"]): r["support"] for r in ur.mine(rows, how).collect()}
     data = [(tuple(r["tokens"]), r["verdict"]) for r in rows.collect()]
     all_, hit = {}, {}
     for t, v in data:
-        for n in (1, 2, 3):
+        for n in range(1, len(t) + 1):
             for s in combinations(t, n):
                 all_[s] = all_.get(s, 0) + 1
                 hit[s, v] = hit.get((s, v), 0) + 1
