@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Spark's setting (not in all versions) that deletes a plan's shuffle files once the plan has run.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class WorkFolder:
     """Tables under ``spark.checkpoint.dir``; on one machine without that setting, under the temporary folder.
 
@@ -27,8 +31,16 @@ class WorkFolder:
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        """Write and read again; shuffle files of the writing plan, which nothing reads any more, are deleted."""
+        path, conf = f"{self.path}/{name}", self.spark.conf
+        was = conf.get(CLEAN, None)
+        if was is not None:
+            conf.set(CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if was is not None:
+                conf.set(CLEAN, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
