@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..sources.work import WorkFolder
 
 
-__all__ = ["WorkFolder", "Ids", "fold", "long_rows", "mix64", "table", "text_batches", "with_fields", "word_ids", "words"]
+__all__ = ["WorkFolder", "Ids", "fold", "fresh", "long_rows", "mix64", "spread_join", "table", "text_batches", "with_fields", "word_ids", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,34 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: A key on more than this share of the rows is hot; there are at most 1 / HOT_SHARE such keys.
+HOT_SHARE = 0.001
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``small`` (one row a key), without one hot key in one task.
+
+    ``weight`` is a column of ``small``: how many of the ``total`` rows have the key. Keys of over
+    :data:`HOT_SHARE` of the rows, so a bounded number, go by broadcast, all others by key.
+    """
+    bar = int(HOT_SHARE * total)
+    hot, cold = small.where(F.col(weight) > bar), small.where(F.col(weight) <= bar)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key, how))
+
+
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """The schema of ``df`` and further fields."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(ddl).fields])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Sources up to which their small table is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
@@ -56,23 +56,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, factor: float
     the sum of equal parts, each inverted at its own number. A null source is a source of
     its own, a null id hashes as one id. Adds mix_copy int (from 0), mix_copies int and
     mix_key string, the random sort key (md5). Columns of these names in the input are
-    replaced. Empty input gives an empty result.
+    replaced, all others stay whatever their names. Texts are carried whatever their length, null
+    and empty ones too. Empty input gives an empty result.
 
     The only shuffle of the rows is the global one; the per-source
     table is broadcast after its size is checked.
     """
-    docs = docs.drop("mix_copy", "mix_copies", "mix_key")
+    docs = docs.select([c for c in docs.columns if c in (id_col, source) or c.lower() not in ("mix_copy", "mix_copies", "mix_key")])
+    of, n_parts, cdf = fresh(docs.columns, "mix_source", "mix_parts", "mix_cdf")
     rates = source_rates(docs, weights, factor, source)
     # few parts of at most RATE_LIMIT, each with its cumulative distribution
     parts = F.greatest(F.ceil(F.col("mix_rate") / RATE_LIMIT), F.lit(1)).cast("int")
     rates = rates.withColumn("mix_parts", parts).withColumn("mix_cdf", poisson_cdf(F.col("mix_rate") / F.col("mix_parts")))
     few = rates.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = rates.select("mix_source", "mix_parts", "mix_cdf")
-    rows = docs.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("~")))
-    rows = rows.join(F.broadcast(rates) if few else rates, "mix_source")
-    draw = lambda k: F.size(F.filter("mix_cdf", lambda c: c <= uniform(seed, F.col(id_col), k)))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda s, k: s + draw(k))
-    rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").drop("mix_source", "mix_parts", "mix_cdf")
+    rates = rates.select(F.col("mix_source").alias(of), F.col("mix_parts").alias(n_parts), F.col("mix_cdf").alias(cdf))
+    rows = docs.withColumn(of, F.coalesce(F.col(source).cast("string"), F.lit("~")))
+    rows = rows.join(F.broadcast(rates) if few else rates, of)
+    draw = lambda k: F.size(F.filter(cdf, lambda c: c <= uniform(seed, F.col(id_col), k)))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col(n_parts)), F.lit(0), lambda s, k: s + draw(k))
+    rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").drop(of, n_parts, cdf)
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))
     return global_shuffle(rows) if shuffle else rows

@@ -7,15 +7,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Ids, WorkFolder, long_rows, table, text_batches, with_fields
+from .common import Ids, WorkFolder, fresh, long_rows, table, text_batches, with_fields
 
 CAPACITY = 2048
-#: Words a worker remembers the ids of, and rows of one length that are ranked together.
-CACHE_WORDS, BUCKET_ROWS = 450_000, 500
+#: Words a worker remembers the ids of.
+CACHE_WORDS = 450_000
 #: Marks that end a word; after an ASCII letter or digit the vocabulary's splitting parts them in any case.
 TAIL = b".,!*$%&#"
 #: Stands between texts; no text holds this byte.
@@ -172,25 +173,42 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
+def _numbered(batches, at: int, capacity: int, names: list[str]):
+    """Rows with the task's number and each row's rank among the task's rows of its length; null if it can't be packed."""
+    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    for batch in batches:
+        n = np.asarray(batch.column(at).cast(pa.int64()).fill_null(0))
+        n = np.where((n < 1) | (n > capacity), 0, n)
+        order = np.argsort(n, kind="stable")
+        count = np.bincount(n, minlength=capacity + 1)
+        rank = np.empty(len(n), np.int64)
+        rank[order] = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(seen, count)
+        seen += count
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank, mask=n == 0)], names)
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", work: WorkFolder | None = None) -> DataFrame:
     """All rows of ``items`` with sequence_id and offset (long), packed into sequences of ``capacity``.
 
-    ``length`` must be 1..capacity. Rows may repeat. An item's place is its rank among the
-    items of its length: ranks come from many small buckets of a written table, so one hot
-    length is spread; only the counts of lengths (at most ``capacity`` rows) reach the driver.
+    Rows may repeat. A row whose ``length`` is null, below 1 or above the capacity can't be
+    packed and gets null for both. An empty table gives an empty result. Columns of the two
+    names are replaced, all others stay whatever their names.
+
+    An item's place is its rank among the items of its length: its rank in the task that
+    wrote it, and the items of earlier tasks. So one hot length is as spread as the rows are;
+    only the counts of lengths (at most ``capacity`` rows) reach the driver.
     """
     work = work or WorkFolder(items.sparkSession, "packing")
-    items = items.drop("sequence_id", "offset", "pack_row", "pack_bucket", "pack_rank", "pack_before")
-    rows = work.put("rows", items.withColumn("pack_row", F.monotonically_increasing_id()))
-    counts = {r[0]: r[1] for r in rows.groupBy(length).count().collect()}
-    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
+    items = items.select([c for c in items.columns if c == length or c.lower() not in ("sequence_id", "offset")])
+    part, rank, before, of, by = fresh([*items.columns, "sequence_id", "offset"], "pack_part", "pack_rank", "pack_before", "pack_length", "pack_task")
+    at, most, wide = items.columns.index(length), capacity, [*items.columns, part, rank]
+    rows = work.put("rows", items.mapInArrow(lambda it: _numbered(it, at, most, wide), with_fields(items, f"{part} int, {rank} long")))
+    sizes = rows.where(F.col(rank).isNotNull()).groupBy(F.col(length).cast("long").alias("n"), F.col(part).alias("p")).agg(F.count("*").alias("c"))
+    counts = {r["n"]: r["c"] for r in sizes.groupBy("n").agg(F.sum("c").alias("c")).collect()}
     runs = np.array(sorted(plan(counts, capacity)) or np.empty((0, 5)), dtype=np.int64)
-    keyed = rows.withColumn("pack_bucket", F.pmod(F.xxhash64("pack_row"), F.lit(buckets)))
-    sizes = keyed.groupBy(length, "pack_bucket").agg(F.count("*").alias("pack_n"))
-    before = sizes.select(length, "pack_bucket", (F.sum("pack_n").over(W.partitionBy(length).orderBy("pack_bucket")) - F.col("pack_n")).alias("pack_before"))
-    ranked = keyed.withColumn("pack_rank", F.row_number().over(W.partitionBy(length, "pack_bucket").orderBy("pack_row")) - 1)
-    ranked = ranked.join(before, [length, "pack_bucket"]).withColumn("pack_rank", F.col("pack_rank") + F.col("pack_before"))
-    ranked = ranked.select(*items.columns, "pack_rank")
+    first = sizes.select(F.col("n").alias(of), F.col("p").alias(by), (F.sum("c").over(W.partitionBy("n").orderBy("p")) - F.col("c")).alias(before))
+    ranked = rows.join(first, (F.col(length).cast("long") == F.col(of)) & (F.col(part) == F.col(by)), "left")
+    ranked = ranked.select(*items.columns, (F.col(rank) + F.coalesce(before, F.lit(0))).alias(rank))
     sent = items.sparkSession.sparkContext.broadcast(runs)
     names = items.columns
 
@@ -200,14 +218,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", wor
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = batch.column(names.index(length)).to_numpy(zero_copy_only=False).astype(np.int64)
-            r = batch.column(len(names)).to_numpy(zero_copy_only=False)
+            none = np.asarray(batch.column(len(names)).is_null())
+            n = np.where(none, 0, np.asarray(batch.column(names.index(length)).cast(pa.int64()).fill_null(0)))
+            r = np.asarray(batch.column(len(names)).fill_null(0))
             at = np.zeros(len(n), np.int64)
-            for v in np.unique(n):
+            for v in np.unique(n[~none]):
                 a, b = start[int(v)]
                 own = n == v
                 at[own] = a + np.searchsorted(runs[a:b, 1], r[own], side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(runs[at, 3] + r - runs[at, 1]), pa.array(runs[at, 4])], [*names, "sequence_id", "offset"])
+            place = (runs[at, 3] + r - runs[at, 1], runs[at, 4]) if len(runs) else (r, r)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, mask=none) for x in place)], [*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(each, with_fields(items, "sequence_id long, offset long"))
 
