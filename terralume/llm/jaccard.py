@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Ids, WorkFolder, long_rows, mix64, table, text_batches, word_ids
+from .common import Ids, WorkFolder, fresh, long_rows, mix64, spread_join, table, text_batches, word_ids
 
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -28,6 +28,10 @@ UNIT = 256
 #: Bits of the filter of wanted documents.
 FILTER_BITS = 1 << 23
 CACHE_WORDS = 100_000
+#: Pairs of a class that are verified in one group; a class with more has several, each with its set.
+HUB = 256
+#: Hubs up to which their table is broadcast.
+BROADCAST_HUBS = 500_000
 
 
 class Shingler:
@@ -78,9 +82,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _profiles(batches, words: int):
-    """Rows of kind 0 (doc_id, class, size) and of kind 1 (shingle, count) for those repeated within a task."""
+    """Rows of kind 0 (doc_id, class, size, key of the text) and of kind 1 (shingle, count) for those repeated within a task."""
     shingler, seen, held, size = Shingler(words), set(), [], 0
-    names = ["kind", "a", "b", "c"]
+    names = ["kind", "a", "b", "c", "d"]
 
     def repeated():
         h = np.concatenate(held)
@@ -90,12 +94,12 @@ def _profiles(batches, words: int):
         n = np.diff(first, append=len(h))
         some = n >= LOCAL_LEAST
         h, n = h[first[some]].view(np.int64), n[some]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(h), pa.array(n), pa.array(n)], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(h), pa.array(n), pa.array(n), pa.nulls(len(n), pa.int64())], names)
 
     for batch in text_batches(batches, "text", 1_000_000):
         sets = shingler.sets(batch.column(1).to_pylist())
         keys = [set_class(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), batch.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), batch.column(2)], names)
         for key, s in zip(keys, sets):
             if key is not None and key not in seen:
                 seen.add(key)
@@ -224,10 +228,10 @@ def _passing(col: dict, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.
 
 def _filtered(batches, percent: int):
     for batch in batches:
-        rows = [batch.column(k).to_pylist() for k in range(6)]
-        ok = np.array([_may_link(x, y, n, m, percent) for _, _, n, m, x, y in zip(*rows)], bool)
+        rows = [batch.column(k).to_pylist() for k in range(2, 6)]
+        ok = np.array([_may_link(x, y, n, m, percent) for n, m, x, y in zip(*rows)], bool)
         keep = pa.array(np.flatnonzero(ok))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (0, 1, 6)], ["a", "b", "salt"])
 
 
 def _wanted_sets(batches, words: int, bits: np.ndarray):
@@ -245,12 +249,12 @@ def _wanted_sets(batches, words: int, bits: np.ndarray):
 
 
 def _verify(batches, percent: int):
-    """Links (u, v) from rows (a, b, shingles) sorted by a, in which a's own set comes first (b is null)."""
+    """Links (u, v) from rows (a, salt, b, shingles) sorted by a and salt, in which a's own set comes first (b is null)."""
     own, of = None, None
     for batch in batches:
         us, vs = [], []
-        for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            s = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+        for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            s = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
             if b is None:
                 own, of = s.copy(), a
                 continue
@@ -272,16 +276,22 @@ class JaccardJoin:
         self.work = WorkFolder(self.spark, "jaccard")
 
     def run(self) -> DataFrame:
+        """(doc_id, text_key, n_shingles, cls, root, copies) of every row; cls and root are null without shingles."""
         words, percent, work = self.words, self.percent, self.work
-        profiles = work.put("profiles", self.docs.mapInArrow(lambda it: _profiles(it, words), "kind int, a long, b long, c long"))
-        members = profiles.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("c").alias("n_shingles"))
+        keyed = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+        profiles = work.put("profiles", keyed.mapInArrow(lambda it: _profiles(it, words), "kind int, a long, b long, c long, d long"))
+        self.members = profiles.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("d").alias("text_key"), F.col("b").alias("cls"), F.col("c").alias("n_shingles"))
         sent = self.spark.sparkContext.broadcast(self._frequent(profiles))
         prefixes = work.put("prefixes", self.docs.mapInArrow(lambda it: _prefixes(it, words, percent, *sent.value), "h long, cls long, pos int, n int, hist binary"))
-        classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first_doc"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+        classes = work.put("classes", self.members.where("cls IS NOT NULL").groupBy("cls").agg(least, F.count("*").alias("copies")))
+        self.ids = classes.select("cls", F.col("first.doc_id").alias("first_doc"))
 
         rows = prefixes.where("h IS NOT NULL").select("h", "cls", "pos", "n")
         shared = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("h", "m")
-        lists = rows.join(shared, "h").dropDuplicates(["h", "cls"])
+        shared = work.put("shared", shared)
+        n_rows = shared.agg(F.sum("m")).first()[0] or 0
+        lists = spread_join(rows, shared, "h", "m", n_rows).dropDuplicates(["h", "cls"])
         lists = work.put("lists", lists.withColumn("parts", F.ceil(F.col("m") / UNIT).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("m"))
         self.cards = prefixes.where("h IS NULL").select("cls", "n", "hist")
 
@@ -289,22 +299,31 @@ class JaccardJoin:
         stars = lists.withColumn("i", F.col("part")).withColumn("j", F.col("part")).withColumn("root", F.col("cls"))
         pivots = stars.where("parts > 1").withColumn("k", F.row_number().over(W.partitionBy("h", "part").orderBy("pos", "cls"))).where("k = 1").drop("k").withColumn("i", F.lit(-1)).withColumn("j", F.lit(-1))
         pairs = self._pairs(stars.unionByName(pivots), True)
-        first = self._links("first", pairs, classes)
+        first = self._links("first", pairs)
         roots = components(first, "jaccard-roots")
 
         # second round: what is left, between different roots of one list
         left = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = left.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-        left = left.join(mixed, "h")
+        mixed = left.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("h", "m")
+        left = spread_join(left, work.put("mixed", mixed), "h", "m", n_rows).drop("m")
         units = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
-        second = self._links("second", self._pairs(units, False), classes)
-        work.drop("prefixes", "lists")
+        second = self._links("second", self._pairs(units, False))
+        work.drop("prefixes", "lists", "shared", "mixed")
         roots = components(first.unionAll(second), "jaccard-components")
-
-        owner = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        least = owner.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-        owner = owner.join(least, "root").select("cls", "component_id")
-        return members.join(owner, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        self.owner = work.put("owner", classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+        #: one row a component: its first row, and how many classes it has
+        self.least = work.put("least", self.owner.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("classes")))
+        return self.members
+
+    def found(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row."""
+        members = self.run()
+        n_classes = self.owner.count()
+        component = spread_join(self.owner.select("cls", "root", "copies"), self.least.select("root", F.col("first.doc_id").alias("component_id"), "classes"), "root", "classes", n_classes)
+        component = self.work.put("component", component.select("cls", "component_id", "copies"))
+        some = spread_join(members.where("cls IS NOT NULL"), component, "cls", "copies", members.count())
+        alone = members.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return some.select("doc_id", "n_shingles", "component_id").unionAll(alone)
 
     def _frequent(self, profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """At most FREQUENT shingles by count, ascending by hash, and eighths of the logarithm of their counts.
@@ -328,14 +347,34 @@ class JaccardJoin:
         units = units.select("h", "i", "j", "cls", "pos", "n", "root", "part").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         return units.mapInArrow(lambda it: _candidates(it, percent, star), "a long, b long").distinct()
 
-    def _links(self, name: str, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def _dealt(self, name: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b, salt) with the busier class as ``a``, and a table of hubs (node, parts): at most about HUB pairs an (a, salt)."""
+        ends = F.explode(F.array("a", "b")).alias("node")
+        hubs = pairs.select(ends).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
+        hubs = self.work.put(f"{name}-hubs", hubs.select("node", F.ceil(F.col("n") / HUB).cast("int").alias("parts")))
+        small = F.broadcast if hubs.count() <= BROADCAST_HUBS else (lambda df: df)
+        side = lambda c: small(hubs.select(F.col("node").alias(c), F.col("parts").alias(f"{c}_parts")))
+        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").na.fill(1, ["a_parts", "b_parts"])
+        swap = F.col("b_parts") > F.col("a_parts")
+        both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("a_parts", "b_parts").alias("parts"))
+        return both.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), small(hubs)
+
+    @staticmethod
+    def _salted(rows: DataFrame, hubs: DataFrame, key: str) -> DataFrame:
+        """``rows`` (one a class) once for every salt of its class."""
+        rows = rows.join(hubs.withColumnRenamed("node", key), key, "left")
+        return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+    def _links(self, name: str, pairs: DataFrame) -> DataFrame:
         """Bound each pair by histograms, then verify it once on whole sets, made anew for the documents that need it."""
         words, percent, work = self.words, self.percent, self.work
+        pairs, hubs = self._dealt(name, work.put(f"{name}-candidates", pairs))
         card = lambda side, n, x: self.cards.select(F.col("cls").alias(side), F.col("n").alias(n), F.col("hist").alias(x)).dropDuplicates([side])
-        both = pairs.join(card("a", "n", "x"), "a").join(card("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-        pairs = work.put(f"{name}-pairs", both.mapInArrow(lambda it: _filtered(it, percent), "a long, b long"))
-        wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-        ids = wanted.join(classes, "cls").select((F.pmod("first_doc", F.lit(FILTER_BITS)) + 1).alias("bit"))
+        both = pairs.join(self._salted(card("a", "n", "x"), hubs, "a"), ["a", "salt"]).join(card("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y", "salt")
+        pairs = work.put(f"{name}-pairs", both.mapInArrow(lambda it: _filtered(it, percent), "a long, b long, salt int"))
+        work.drop(f"{name}-candidates")
+        wanted = pairs.select("a").distinct().unionAll(pairs.select("b").distinct()).select(F.col("a").alias("cls")).distinct()
+        ids = wanted.join(self.ids, "cls").select((F.pmod("first_doc", F.lit(FILTER_BITS)) + 1).alias("bit"))
         maps = ids.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).where("k IS NOT NULL").collect()
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for r in maps:
@@ -344,11 +383,12 @@ class JaccardJoin:
         sent = self.spark.sparkContext.broadcast(bits)
         sets = self.docs.mapInArrow(lambda it: _wanted_sets(it, words, sent.value), "cls long, shingles binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
         sets = work.put(f"{name}-sets", sets)
-        others = pairs.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "b", "shingles")
-        owners = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-        rows = others.unionAll(owners).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+        others = pairs.join(sets.select(F.col("cls").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles")
+        owners = self._salted(sets.select(F.col("cls").alias("a"), "shingles"), hubs, "a").join(pairs.select("a", "salt").distinct(), ["a", "salt"], "left_semi")
+        rows = others.unionAll(owners.select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles"))
+        rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         links = work.put(f"{name}-links", rows.mapInArrow(lambda it: _verify(it, percent), "u long, v long"))
-        work.drop(f"{name}-sets", f"{name}-pairs")
+        work.drop(f"{name}-sets", f"{name}-pairs", f"{name}-hubs")
         return links
 
 
@@ -357,22 +397,38 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     Two documents link when their sets of ``words``-word shingles have a Jaccard similarity
     of at least ``percent`` / 100; component_id is the smallest id reachable by links. Fewer
-    words make one shingle; null, empty and blank texts have none and stand alone. Repeated
-    rows come back as often as they came. A null id never is a component_id: a component
-    of such rows alone has a null one. An empty table gives an empty result.
+    words make one shingle; null, empty and blank texts have none and stand alone. Texts of any
+    length are read whole. Repeated rows come back as often as they came. A null id never is a
+    component_id: a component of such rows alone has a null one. An empty table gives an empty
+    result; further columns are passed over.
     """
-    return JaccardJoin(docs, words, percent).run()
+    return JaccardJoin(docs, words, percent).found()
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, that of the smallest id, with all columns; rows without an id stay."""
-    found = near_duplicates(docs, words, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    n = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("m")).first()
-    if n["n"] > n["m"]:  # repeated rows
-        one = one.dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One row of each component, with all columns: the least by id (null ids last), then by the text's hash.
+
+    Rows whose texts have no words are in no component and all stay. Rows equal in id and text
+    are one document; of such rows that differ in other columns any one may stay. Rows of one id
+    and different texts are different documents.
+    """
+    join = JaccardJoin(docs, words, percent)
+    members = join.run()
+    key, one = fresh(docs.columns, "near_key", "near_id")
+    kept = join.least.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_key"] == y["text_key"])
+    times = members.where("cls IS NOT NULL").groupBy("doc_id", "text_key").agg(F.count("*").alias("times"))
+    many = join.work.put("many", times.where("times > 1").alias("m").join(kept.alias("k"), same({c: F.col(f"m.{c}") for c in ("doc_id", "text_key")}, {c: F.col(f"k.{c}") for c in ("doc_id", "text_key")}), "left_semi").drop("times"))
+    wordy = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(one, F.col("doc_id").cast("long"))
+
+    def among(df: DataFrame, these: DataFrame, how: str) -> DataFrame:
+        return df.join(these.select(F.col("doc_id").alias(f"{one}_"), F.col("text_key").alias(f"{key}_")), F.col(one).eqNullSafe(F.col(f"{one}_")) & (F.col(key) == F.col(f"{key}_")), how)
+
+    some = among(rows.where(wordy), kept, "left_semi")
+    if not many.isEmpty():
+        some = among(some, many, "left_anti").unionAll(among(some, many, "left_semi").dropDuplicates([one, key]))
+    return some.unionAll(rows.where(~wordy)).select(docs.columns)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

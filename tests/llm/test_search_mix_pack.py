@@ -184,3 +184,23 @@ def test_large_items_meet_at_most_twice():
 
 def test_packing_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, length long")).count() == 0
+
+
+def test_pack_lengths_that_do_not_fit(spark):
+    rows = [(1, None), (2, 0), (3, 101), (4, 100), (5, -1), (6, 50), (6, 50), (7, 30)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, length long, pack_rank string, n string")
+    got = packing.pack(df.withColumn("Offset", F.lit("z")), 100).toPandas()
+    assert list(got.columns) == ["doc_id", "length", "pack_rank", "n", "sequence_id", "offset"] and set(got["pack_rank"]) == {"x"} and set(got["n"]) == {"y"}
+    placed = got[got["sequence_id"].notna()]
+    assert sorted(placed["doc_id"]) == [4, 6, 6, 7] and len(got) == len(rows) and (got["sequence_id"].isna() == got["offset"].isna()).all()
+    assert placed.groupby("sequence_id")["length"].sum().max() <= 100
+    only = packing.pack(df.where("doc_id IN (1, 2)"), 100).collect()
+    assert len(only) == 2 and all(r["sequence_id"] is None for r in only)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["mix_source", "mix_parts", "mix_cdf", "mix_n", "mix_rate", "mix_w", "mix_copies"]
+    df = spark.createDataFrame([(i, "ab"[i % 2], *(["k"] * 7)) for i in range(200)], "doc_id long, source string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix(df, None, factor=3.0)
+    assert got.columns == ["doc_id", "source", *names[:-1], "mix_copies", "mix_copy", "mix_key"]
+    assert {tuple(r) for r in got.select(names[:-1]).collect()} == {("k",) * 6}

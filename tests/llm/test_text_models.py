@@ -290,7 +290,7 @@ def brute_components(texts, words, percent):
 
 @pytest.mark.parametrize("words, percent", [(4, 85), (5, 80)])
 def test_near_duplicates_equal_brute_force(spark, words, percent):
-    docs = read(spark, "documents").where(F.length("text") < 6000)
+    docs = read(spark, "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, words, percent).collect()}
     assert got == brute_components(texts, words, percent)
@@ -316,6 +316,36 @@ def test_a_chain_of_edits_and_a_hot_group(spark):
     assert got == brute_components(texts, 4, 85)
 
 
+def test_hubs_and_hot_keys_are_split(spark, monkeypatch):
+    """One large group of exact copies, one of near copies, many empty texts; small limits, so that all ways are taken."""
+    monkeypatch.setattr(jaccard, "HUB", 8)
+    rng = random.Random(6)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(120)]
+    texts = {i: " ".join(base) for i in range(150)}
+    for i in range(150, 400):
+        copy = list(base)
+        copy[rng.randrange(120)] = "x%d" % i
+        texts[i] = " ".join(copy)
+    texts |= {i: "" for i in range(400, 500)} | {i: " ".join("y%d" % rng.randrange(10**6) for _ in range(30)) for i in range(500, 600)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts, 4, 85)
+    seen = []
+    for most in (10**6, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_HUBS", most)
+        seen.append({r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()})
+    assert seen[0] == seen[1] == want
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == sorted({c for _, c in want.values()})
+
+
+def test_keep_one_loses_no_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, "p"), (1, b, "p"), (1, b, "q"), (2, a + " z", "p"), (None, c, "p"), (None, c, "p"), (None, b, "p"), (3, "", "p"), (3, "", "p"), (3, None, "p"), (4, c + " z", "p"), (4, c + " y", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_key string")
+    got = [tuple(r) for r in jaccard.keep_one(df).collect()]
+    assert sorted((r[0] or 0, r[1] or "") for r in got if r[1] not in (c + " z", c + " y")) == sorted([(1, a), (1, b), (3, ""), (3, ""), (3, "")])
+    assert [r[0] for r in got if r[1] in (c + " z", c + " y")] == [4] and jaccard.keep_one(df).columns == df.columns
+
+
 def test_near_duplicates_odd_rows(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(odd(spark)).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 4, None), (None, 0, None), (4, 8, 4), (5, 2, 5), (5, 2, 5), (6, 2, 5)], key=str)
