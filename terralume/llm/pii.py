@@ -68,7 +68,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def shape(word: str) -> str:
     """Letters as a or A, digits as 9, other characters as they are; runs count up to four."""
     out, last, run = [], "", 0
-    for c in word[:80]:
+    for c in word:
         s = ("A" if c.isupper() else "a") if c.isalpha() else "9" if c.isdigit() else c
         run = run + 1 if s == last else 1
         last = s
@@ -84,7 +84,7 @@ def shape_features(word: str) -> list[str]:
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:]))
     hexadecimal = len(core) >= 16 and all(c in "0123456789abcdef" for c in core)
     size = lambda n: str(min(n, 8)) if n < 12 else "12" if n < 16 else "16" if n < 20 else "20" if n < 32 else "32"
-    return ["b", f"s:{shape(word)}", f"c:{shape(core)}", f"k:{kinds}", f"n:{size(len(core))}:{size(digits)}", f"m:{min(switches, 6)}:{bool(letters)}", f"h:{hexadecimal}", f"e:{core.split('=')[0].lower()[:10] if '=' in core else ''}",
+    return ["b", f"s:{shape(word)}", f"c:{shape(core)}", f"k:{kinds}", f"n:{size(len(core))}:{size(digits)}", f"m:{min(switches, 6)}:{bool(letters)}", f"h:{hexadecimal}", f"e:{core.split('=')[0].lower() if '=' in core else ''}",
             f"o:{'[at]' in core}:{'[dot]' in core}", f"p:{core[:4] if len(core) >= 16 and core[:4].isupper() else ''}"]
 
 
