@@ -22,7 +22,7 @@ class Detection:
     rejected: DataFrame
     region_pixels: DataFrame
     funnel: DataFrame
-    fit: dict
+    fit: dict  # figures of the run
     diagnostics: dict
 
 

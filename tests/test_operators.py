@@ -101,26 +101,61 @@ def test_shapes_of_known_figures():
     assert geometry.metrics(np.arange(3), np.zeros(3, int))["rectangularity"] == 0.0
 
 
-def test_irmad_ignores_gain_and_offset(spark):
+def plain_irmad(b, a):
+    """The statistic by numpy on all pixels: generalised eigenvectors instead of whitening, explicit weights."""
+    w, last, p = np.ones(len(b)), 0, b.shape[1]
+    for _ in range(30):
+        z = np.hstack([b, a])
+        m = w @ z / w.sum()
+        s = ((z - m) * w[:, None]).T @ (z - m) / w.sum()
+        sxx, sxy, syy = s[:p, :p] + 1e-9 * np.eye(p), s[:p, p:], s[p:, p:] + 1e-9 * np.eye(p)
+        lam, e = np.linalg.eig(np.linalg.solve(sxx, sxy) @ np.linalg.solve(syy, sxy.T))
+        e, lam = np.real(e), np.real(lam)
+        e = e / np.sqrt(np.einsum("ij,ik,kj->j", e, sxx, e))
+        f = np.linalg.solve(syy, sxy.T) @ e
+        f = f / np.sqrt(np.einsum("ij,ik,kj->j", f, syy, f))
+        rho = np.sqrt(np.clip(lam, 1e-8, 1 - 1e-8))
+        t = ((((b - m[:p]) @ e - (a - m[p:]) @ f) ** 2) / np.maximum(2 * (1 - rho), 1e-6)).sum(1)
+        if np.abs(np.sort(rho) - last).max() < 1e-4:
+            return t
+        w, last = (1 + t / 2) * np.exp(-t / 2), np.sort(rho)
+    return t
+
+
+def irmad_rows(spark, b, a):
+    return spark.createDataFrame(pd.DataFrame(np.hstack([b, a]), columns=[p + n for p in ("b_", "a_") for n in ix.BANDS]).assign(x=range(len(b)), y=0))
+
+
+def test_irmad_equals_numpy_and_ignores_gain_and_offset(spark):
     rng = np.random.default_rng(8)
     b = rng.random((600, 4)) * 0.3 + 0.1
-    a = b + rng.normal(size=b.shape) * 0.05
-    a[:20] += 0.2
-    first, second = geometry_t(b, a), geometry_t(b, a * np.array([1.5, 0.7, 1.1, 2.0]) + 0.03)
-    assert second == pytest.approx(first, rel=2e-2)
-    df = spark.createDataFrame(pd.DataFrame(np.hstack([b, a]), columns=[p + n for p in ("b_", "a_") for n in ix.BANDS]).assign(x=range(600), y=0))
-    t, _ = px.irmad(df, F.lit(True))
-    assert t.orderBy("x").toPandas()["t"].to_numpy() == pytest.approx(first, rel=1e-6)
+    a = b * 0.9 + rng.normal(size=b.shape) * 0.01 * np.array([1, 2, 3, 4])
+    a[:20] += 0.2 * rng.random((20, 4))
+    want = plain_irmad(b, a)
+    assert want[:20].mean() > 5 * want[20:].mean()
+    for gain, offset in ((1.0, 0.0), (np.array([1.5, 0.7, 1.1, 2.0]), 0.03)):
+        t, _ = px.irmad(irmad_rows(spark, b, a * gain + offset), F.lit(True))
+        assert t.orderBy("x").toPandas()["t"].to_numpy() == pytest.approx(want, rel=1e-6 if offset == 0 else 2e-2)
 
 
-def geometry_t(b, a):
-    fit = px.irmad_fit(b, a)
-    return (((b - fit["mx"]) @ fit["a"] - (a - fit["my"]) @ fit["b"]) ** 2 / fit["var"]).sum(1)
+def test_irmad_query_equals_numpy(spark):
+    from terralume.plans import fixtures as fx
+    from terralume.plans.queries import QUERIES
 
+    sf = "/root/testdata/sf0.001"
+    rows = px.reflectance(fx.pair(spark, sf)).where("valid").toPandas()
+    # green follows from red and near infrared here, so three bands say it all
+    cols = [[f"{p}{n}" for n in ix.BANDS if n != "green"] for p in ("b_", "a_")]
+    want = dict(zip(zip(rows["x"], rows["y"]), plain_irmad(*(rows[c].to_numpy(float) for c in cols))))
+    got = {(r["x"], r["y"]): r["t"] for r in QUERIES["irmad"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-2, abs=1e-2) for k in want)
 
-def test_irmad_needs_pixels():
+
+def test_irmad_needs_pixels(spark):
+    with pytest.raises(ValueError):
+        px.irmad(irmad_rows(spark, np.ones((10, 4)), np.ones((10, 4))), F.lit(True))
     with pytest.raises(ValueError):
-        px.irmad_fit(np.ones((10, 4)), np.ones((10, 4)))
+        px.irmad(irmad_rows(spark, np.ones((10, 4)), np.ones((10, 4))), F.lit(False))
 
 
 def test_identical_dates_show_no_evidence(spark):
