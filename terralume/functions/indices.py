@@ -93,6 +93,13 @@ def stretch(x, low, high) -> Column:
     return F.when(high > low, clip((x - low) / F.when(high > low, high - low).otherwise(1.0), 0.0, 1.0)).otherwise(0.0)
 
 
+def rgb_proxy(before, after) -> Column:
+    """Score 0..1 of 8-bit colours (r, g, b): half the change of brightness, half that of green against red."""
+    bright = lambda c: (_c(c[0]) + _c(c[1]) + _c(c[2])) / 3.0
+    green = lambda c: clip((_c(c[1]) / 255.0 - _c(c[0]) / 255.0) / F.greatest(_c(c[1]) / 255.0 + _c(c[0]) / 255.0, F.lit(0.02)), -1.0, 1.0)
+    return clip(0.5 * F.abs(bright(before) - bright(after)) / 255.0 + 0.5 * F.abs(green(before) - green(after)), 0.0, 1.0)
+
+
 def gray(r, g, b) -> Column:
     """Perceptual grey."""
     return 0.299 * _c(r) + 0.587 * _c(g) + 0.114 * _c(b)
@@ -172,3 +179,31 @@ def crop_box(x, y, w, h, width: int, height: int, pad: float = 0.8, least: int =
     x0 = F.greatest(F.lit(0), (cx - F.floor(side / 2.0)).cast("int"))
     y0 = F.greatest(F.lit(0), (cy - F.floor(side / 2.0)).cast("int"))
     return x0, y0, F.least(F.lit(width), x0 + side), F.least(F.lit(height), y0 + side)
+
+
+def zscore(rows, column: str):
+    """Rows with a column less its mean, over its deviation."""
+    mean, sd = rows.agg(F.avg(column), F.stddev_pop(column)).first()
+    return rows.withColumn(column, (F.col(column) - (mean or 0.0)) / max(sd or 0.0, 1e-9))
+
+
+def utm_inverse(easting: Column, northing: Column, zone: int) -> tuple[Column, Column]:
+    """(latitude, longitude) in degrees of a northern UTM point, to about a millimetre near the zone's middle.
+
+    The usual series: footpoint latitude from the meridian arc, then powers of the distance
+    from the central meridian.
+    """
+    # fixed values: WGS 84 axis and squared eccentricity, scale on the central meridian
+    a, e2, k0 = 6378137.0, 0.00669437999014, 0.9996
+    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    ep = e2 / (1 - e2)
+    mu = northing / k0 / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    series = ((2, 3 * e1 / 2 - 27 * e1**3 / 32), (4, 21 * e1**2 / 16 - 55 * e1**4 / 32), (6, 151 * e1**3 / 96), (8, 1097 * e1**4 / 512))
+    foot = sum_of(mu, *[F.sin(mu * k) * v for k, v in series])
+    t, c = F.tan(foot) * F.tan(foot), F.cos(foot) * F.cos(foot) * ep
+    bend = 1 - F.sin(foot) * F.sin(foot) * e2
+    n, r = a / F.sqrt(bend), a * (1 - e2) / F.pow(bend, F.lit(1.5))
+    d = (easting - 500000.0) / (n * k0)
+    lat = foot - n * F.tan(foot) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * F.pow(d, F.lit(4)) / 24)
+    lon = (d - (1 + 2 * t + c) * F.pow(d, F.lit(3)) / 6) / F.cos(foot)
+    return F.degrees(lat), zone * 6 - 183.0 + F.degrees(lon)

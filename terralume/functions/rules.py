@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 #: Class code, name.
 CLASSES = (
-    (1, "bright non-vegetated surface appeared"),
+    (1, "bright non-vegetated surface appeared (building / pavement / bare)"),
     (2, "vegetation loss / ground exposed"),
     (3, "vegetation gain"),
     (4, "water appeared"),
     (5, "water disappeared"),
-    (6, "dark surface appeared"),
+    (6, "dark surface appeared (asphalt / burn scar / wet soil)"),
     (7, "other material change"),
     (8, "construction site / active earthworks"),
 )
@@ -135,29 +135,30 @@ def shape_kind(p: Params = Params()) -> Column:
 
 
 def structure_verdict(p: Params = Params()) -> tuple[Column, Column]:
-    """(accept, reason) from kind, class_code, significance, ndvi_after, ndvi_after_p25; the first row that fits decides."""
+    """(accept, reason) from kind, class_code, significance, ndvi_after, ndvi_after_p25, rectangularity, solidity; the first row that fits decides."""
     c = F.col
     kind, code = c("kind"), c("class_code")
     # fixed values: kinds, codes, verdicts and reasons of the decision table
     green = F.when(kind == "road-like", c("ndvi_after_p25")).otherwise(c("ndvi_after"))
     table = (
-        (green > p.max_ndvi_after, False, "still vegetated afterwards"),
-        ((kind == "tiny") & code.isin(1, 7, 8) & (c("significance") >= p.tiny_min_significance), True, ""),
-        (kind == "tiny", False, "too small to confirm a structure"),
-        ((kind == "road-like") & code.isin(1, 2, 6, 7, 8), True, ""),
-        (kind == "road-like", False, "thin line but spectral type is not road-like"),
-        ((kind == "building-like") & (code == 6), False, "dark compact patch"),
-        ((kind == "building-like") & code.isin(1, 2, 7, 8), True, ""),
-        (kind == "building-like", False, "rectangular but water/vegetation change"),
-        (kind.startswith("large rectangle") & (code == 8), True, ""),
-        (kind.startswith("large rectangle"), False, "looks like a farm plot"),
-        ((code == 8) & (c("significance") >= p.min_significance), True, ""),
-        (code == 8, False, "construction candidate but low statistical significance"),
+        (green > p.max_ndvi_after, False, F.format_string("still vegetated afterwards (NDVI %.2f)", green)),
+        ((kind == "tiny") & code.isin(1, 7, 8) & (c("significance") >= p.tiny_min_significance), True, F.lit("")),
+        (kind == "tiny", False, F.lit("too small to confirm a structure")),
+        ((kind == "road-like") & code.isin(1, 2, 6, 7, 8), True, F.lit("")),
+        (kind == "road-like", False, F.lit("thin line but spectral type is not road-like")),
+        ((kind == "building-like") & (code == 6), False, F.lit("dark compact patch - wet ground / shadow, not a roof (dark = road only if linear)")),
+        ((kind == "building-like") & code.isin(1, 2, 7, 8), True, F.lit("")),
+        (kind == "building-like", False, F.lit("rectangular but water/vegetation change")),
+        (kind.startswith("large rectangle") & (code == 8), True, F.lit("")),
+        (kind.startswith("large rectangle"), False, F.lit(f"rectangle larger than {p.building_max_px} px - looks like a farm plot")),
+        ((code == 8) & (c("significance") >= p.min_significance), True, F.lit("")),
+        (code == 8, False, F.lit("construction candidate but low statistical significance")),
     )
-    accept, reason = F.when(table[0][0], F.lit(table[0][1])), F.when(table[0][0], F.lit(table[0][2]))
+    outline = F.format_string("irregular outline (rectangularity %s, solidity %s) - not a building or road", c("rectangularity").cast("string"), c("solidity").cast("string"))
+    accept, reason = F.when(table[0][0], F.lit(table[0][1])), F.when(table[0][0], table[0][2])
     for when, yes, why in table[1:]:
-        accept, reason = accept.when(when, F.lit(yes)), reason.when(when, F.lit(why))
-    return accept.otherwise(False), reason.otherwise("irregular outline")
+        accept, reason = accept.when(when, F.lit(yes)), reason.when(when, why)
+    return accept.otherwise(False), reason.otherwise(outline)
 
 
 def construction_code(majority: Column) -> Column:

@@ -66,6 +66,15 @@ def rotate90(pixels: DataFrame, height: int) -> DataFrame:
     return pixels.withColumn("_x", F.lit(height - 1) - F.col("y")).withColumn("y", F.col("x")).withColumn("x", F.col("_x")).drop("_x")
 
 
+def crop_pad(pixels: DataFrame, x: int, y: int, w: int, h: int, pad: int, columns: list[str]) -> DataFrame:
+    """A window moved to the origin, with a border of zeros."""
+    wide, high = w + 2 * pad, h + 2 * pad
+    grid = pixels.sparkSession.range(wide * high).select((F.col("id") % wide).alias("x"), F.floor(F.col("id") / float(wide)).alias("y"))
+    inside = pixels.where(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1))
+    moved = inside.select((F.col("x") - x + pad).alias("x"), (F.col("y") - y + pad).alias("y"), *columns)
+    return grid.join(moved, ["x", "y"], "left").select("x", "y", *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+
+
 def top_similar(pairs: DataFrame, by: str, score: str, n: int = 3, least: float = 0.5) -> DataFrame:
     k = F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), "other"))
     return pairs.where(F.col(score) > least).withColumn("k", k).where(F.col("k") <= n)

@@ -182,19 +182,70 @@ def bilinear(coarse: DataFrame, fine: DataFrame, factor: int, column: str, width
     return joined.groupBy("x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(column))
 
 
+def area(pixels: DataFrame, factor: int, columns: list[str], keys=()) -> DataFrame:
+    """Means of ``factor`` x ``factor`` pixels."""
+    place = [F.floor(F.col(a) / float(factor)).alias(a) for a in ("x", "y")]
+    return pixels.groupBy(*keys, *place).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def _cubic(t):
+    """Weight of a neighbour at distance t; the free parameter is -0.75."""
+    d = F.abs(t)
+    return F.when(d <= 1, 1.25 * d * d * d - 2.25 * d * d + 1).when(d < 2, -0.75 * d * d * d + 3.75 * d * d - 6 * d + 3).otherwise(0.0)
+
+
+def bicubic(coarse: DataFrame, fine: DataFrame, factor: int, column: str, width: int, height: int) -> DataFrame:
+    """Sixteen weighted neighbours of a pixel-centred coarse grid; the border repeats."""
+    df = fine.withColumns({f"_f{a}": (F.col(a) + 0.5) / factor - 0.5 for a in ("x", "y")})
+    df = df.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in range(-1, 3) for j in range(-1, 3)])))
+    part = lambda a: F.col(f"_f{a}") - F.floor(f"_f{a}") - F.col(f"_k.{a}")
+    at = lambda a, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(f"_f{a}") + F.col(f"_k.{a}")))
+    df = df.withColumns({"_w": _cubic(part("x")) * _cubic(part("y")), "_cx": at("x", width), "_cy": at("y", height)})
+    joined = df.join(coarse.select(F.col("x").alias("_cx"), F.col("y").alias("_cy"), F.col(column).alias("_v")), ["_cx", "_cy"])
+    return joined.groupBy("x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(column))
+
+
+def phase_shift(rows: DataFrame, a: str, b: str, keys=("tile",)) -> DataFrame:
+    """(keys, dx, dy): the whole-pixel shift that takes band a to band b, from the peak of their phase correlation; one tile a group."""
+    import numpy as np
+    import pandas as pd
+
+    names = list(keys)
+
+    def one(pdf):
+        x, y = (pdf[c].to_numpy() - pdf[c].min() for c in ("x", "y"))
+        f = []
+        for c in (a, b):
+            m = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+            m[y, x] = pdf[c]
+            f.append(np.fft.fft2(m - m.mean()))
+        cross = f[1] * np.conj(f[0])
+        peak = np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
+        at = np.unravel_index(peak.argmax(), peak.shape)
+        dy, dx = (int(k - n if k > n // 2 else k) for k, n in zip(at, peak.shape))
+        return pd.DataFrame([{**pdf.iloc[0][names].to_dict(), "dx": dx, "dy": dy}])
+
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names], "dx int, dy int"])
+    return rows.select(*names, "x", "y", a, b).groupBy(*names).applyInPandas(one, schema)
+
+
 def histogram_match(source: DataFrame, reference: DataFrame, column: str, out: str = "matched") -> DataFrame:
-    """Each source value becomes the least reference value whose cumulative share is not smaller.
+    """Each source value becomes the reference value of its cumulative share, interpolated between neighbours.
 
-    Both sides shrink to their distinct values before the window; the lookup is a sorted
-    union with a running minimum, not a range join.
+    For values of few distinct levels (16-bit bands have 65 536): both sides shrink to their
+    levels, whose shares are summed up in one sorted union; pixels join their level's result.
     """
-    def cdf(df):
-        n = df.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-        total = n.agg(F.sum("n")).first()[0] or 1
-        return n.select("v", (F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)) / float(total)).alias("q"))
-
-    # reference values come after source values of an equal share when read from the top
-    both = cdf(source).select("q", F.lit(0).alias("side"), "v").unionAll(cdf(reference).select("q", F.lit(1).alias("side"), "v"))
-    ahead = F.min(F.when(F.col("side") == 1, F.col("v"))).over(W.orderBy(F.desc("q"), F.desc("side")).rowsBetween(W.unboundedPreceding, 0))
-    table = both.withColumn("m", ahead).where("side = 0").select(F.col("v").alias(column), F.col("m").alias(out))
-    return source.join(table, column)
+    levels = lambda df, side: df.groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
+    both = levels(source, 0).unionAll(levels(reference, 1))
+    mine = W.partitionBy("side")
+    both = both.withColumn("q", F.sum("n").over(mine.orderBy("v").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(mine).cast("double"))
+    seen = lambda c: F.when(F.col("side") == 1, F.col(c))
+    up = W.orderBy("q", F.desc("side")).rowsBetween(W.unboundedPreceding, 0)
+    down = W.orderBy(F.desc("q"), F.desc("side")).rowsBetween(W.unboundedPreceding, 0)
+    for name, w in (("l", up), ("h", down)):
+        both = both.withColumns({f"q{name}": F.last(seen("q"), True).over(w), f"v{name}": F.last(seen("v"), True).over(w)})
+    c = F.col
+    between = c("vl") + (c("vh") - c("vl")) * ((c("q") - c("ql")) / (c("qh") - c("ql")))
+    value = F.when(c("vl").isNull(), c("vh")).when(c("vh").isNull() | (c("qh") == c("ql")), c("vl")).otherwise(between)
+    table = both.where("side = 0").select(c("v").alias("_level"), value.alias(out))
+    return source.join(table, F.col(column).cast("double") == F.col("_level")).drop("_level")

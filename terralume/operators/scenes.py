@@ -124,3 +124,41 @@ def argument_problems(lat: float, lon: float, size_km: float, years: tuple[int,
         (min_obs >= 1, "fewer than one observation"),
     )
     return [why for ok, why in tests if not ok]
+
+
+def _problems(*tests: tuple[Column, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(wrong, F.lit(why)) for wrong, why in tests]))
+
+
+def alignment_columns() -> Column:
+    """:func:`alignment_problems` of rows with crs, width, pixel size and origin of both grids (crs_b, crs_a, w_b, ...)."""
+    c = F.col
+    off = F.abs(c("x_a") - c("x_b")) / c("size_b")
+    phase = off - F.floor(off)
+    return _problems(
+        (c("crs_b") != c("crs_a"), "different coordinate systems"), (c("w_b") != c("w_a"), "different shapes"),
+        (F.abs(c("size_b") - c("size_a")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("size_b")), "different pixel sizes"),
+        (off > 1e-3, "different origins"), (F.least(phase, 1 - phase) > 1e-3, "grids are shifted by a part of a pixel"),
+    )
+
+
+def argument_columns() -> Column:
+    """:func:`argument_problems` of rows of requests."""
+    c = F.col
+    return _problems(
+        (~c("lat").between(-80, 84), "latitude outside the UTM range"), (~c("lon").between(-180, 180), "longitude outside -180..180"),
+        (c("first_year") > c("last_year"), "the years run backwards"),
+        (~(c("first_month").between(1, 12) & c("last_month").between(1, 12) & (c("first_month") <= c("last_month"))), "the months run backwards or do not exist"),
+        (~c("max_cloud").between(0, 100), "cloud cover outside 0..100"),
+    )
+
+
+def buffer_km(tile_px: Column, tiles: Column, metres: int = 10) -> Column:
+    """Kilometres of a side that holds whole tiles."""
+    return F.round(tile_px * tiles * metres / 1000.0, 2)
+
+
+def lookup(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of ``asked`` with the place, lat and lon of its name; null where no place has it. Places are a small table."""
+    name = lambda c: F.lower(F.trim(F.col(c)))
+    return asked.join(F.broadcast(places.withColumn("_name", name("place"))), name("asked") == F.col("_name"), "left").drop("_name")

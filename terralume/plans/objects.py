@@ -13,6 +13,7 @@ from ..operators import regions as rg
 from ..sources.readers import geojson, table
 from . import fixtures as fx
 from .registry import query, r6, sql6
+from .spectral import sql_t
 
 
 def _labelled(spark, sf_dir):
@@ -123,23 +124,25 @@ def merge_regions(spark, sf_dir):
     return rg.greedy_merge(_boxes(spark, sf_dir), 30, 0.4)
 
 
-_METRICS = """m AS (SELECT p_partkey AS id, p_size * 7 AS area, round((p_partkey % 41) / 40.0, 2) AS rectangularity, round((p_partkey % 31) / 30.0, 2) AS solidity, round(1 + (p_partkey % 50) / 10.0, 1) AS aspect, p_partkey % 60 AS skeleton_px,
+_METRICS = """m AS (SELECT p_partkey AS id, p_size * 7 AS area, round((p_partkey % 41) / 41.0, 2) AS rectangularity, round((p_partkey % 31) / 30.0, 2) AS solidity, round(1 + (p_partkey % 50) / 10.0, 1) AS aspect, p_partkey % 60 AS skeleton_px,
   CAST(1 + p_partkey % 8 AS INTEGER) AS class_code, round((p_partkey % 200) / 10.0, 1) AS significance, round((p_partkey % 45) / 100.0, 2) AS ndvi_after, round((p_partkey % 37) / 100.0, 2) AS ndvi_after_p25 FROM part),
 k AS (SELECT *, CASE WHEN area < 16 THEN 'tiny' WHEN skeleton_px >= 12 AND area / CAST(greatest(skeleton_px, 1) AS DOUBLE) <= 6 AND aspect >= 3.5 THEN 'road-like'
   WHEN rectangularity >= 0.8 AND solidity >= 0.88 AND aspect <= 4 THEN CASE WHEN area <= 150 THEN 'building-like' ELSE 'large rectangle (field-like)' END ELSE 'irregular' END AS kind FROM m),
 g AS (SELECT *, CASE WHEN kind = 'road-like' THEN ndvi_after_p25 ELSE ndvi_after END AS nv FROM k)"""
 
 
-@query(f"""WITH {_METRICS} SELECT id, kind, CASE WHEN nv > 0.3 THEN 'still vegetated afterwards'
+@query(f"""WITH {_METRICS}, v AS (SELECT *, CASE WHEN nv > 0.3 THEN printf('still vegetated afterwards (NDVI %.2f)', CAST(nv AS DOUBLE))
  WHEN kind = 'tiny' THEN CASE WHEN class_code IN (1, 7, 8) AND significance >= 12 THEN '' ELSE 'too small to confirm a structure' END
  WHEN kind = 'road-like' THEN CASE WHEN class_code IN (1, 2, 6, 7, 8) THEN '' ELSE 'thin line but spectral type is not road-like' END
- WHEN kind = 'building-like' THEN CASE WHEN class_code = 6 THEN 'dark compact patch' WHEN class_code IN (1, 2, 7, 8) THEN '' ELSE 'rectangular but water/vegetation change' END
- WHEN kind LIKE 'large%' THEN CASE WHEN class_code = 8 THEN '' ELSE 'looks like a farm plot' END
- WHEN class_code = 8 THEN CASE WHEN significance >= 7 THEN '' ELSE 'construction candidate but low statistical significance' END ELSE 'irregular outline' END AS reason, reason = '' AS accept FROM g""")
+ WHEN kind = 'building-like' THEN CASE WHEN class_code = 6 THEN 'dark compact patch - wet ground / shadow, not a roof (dark = road only if linear)' WHEN class_code IN (1, 2, 7, 8) THEN '' ELSE 'rectangular but water/vegetation change' END
+ WHEN kind LIKE 'large%' THEN CASE WHEN class_code = 8 THEN '' ELSE 'rectangle larger than 150 px - looks like a farm plot' END
+ WHEN class_code = 8 THEN CASE WHEN significance >= 7 THEN '' ELSE 'construction candidate but low statistical significance' END
+ ELSE 'irregular outline (rectangularity ' || CAST(rectangularity AS DOUBLE) || ', solidity ' || CAST(solidity AS DOUBLE) || ') - not a building or road' END AS reason FROM g)
+SELECT id, kind, reason, reason = '' AS accept FROM v""")
 def structure_verdict(spark, sf_dir):
     k = F.col("p_partkey")
     m = table(spark, sf_dir, "part").select(
-        k.alias("id"), (F.col("p_size") * 7).alias("area"), F.round(k % 41 / 40.0, 2).alias("rectangularity"), F.round(k % 31 / 30.0, 2).alias("solidity"), F.round(1 + k % 50 / 10.0, 1).alias("aspect"), (k % 60).alias("skeleton_px"),
+        k.alias("id"), (F.col("p_size") * 7).alias("area"), F.round(k % 41 / 41.0, 2).alias("rectangularity"), F.round(k % 31 / 30.0, 2).alias("solidity"), F.round(1 + k % 50 / 10.0, 1).alias("aspect"), (k % 60).alias("skeleton_px"),
         (1 + k % 8).cast("int").alias("class_code"), F.round(k % 200 / 10.0, 1).alias("significance"), F.round(k % 45 / 100.0, 2).alias("ndvi_after"), F.round(k % 37 / 100.0, 2).alias("ndvi_after_p25"),
     )
     m = m.withColumn("kind", rules.shape_kind())
@@ -168,13 +171,22 @@ def semantic_filter(spark, sf_dir):
     return z.select("region", r6("mean_dq", "mean_score"), (F.col("mean_dq") >= least).alias("kept"))
 
 
-@query(f"""WITH RECURSIVE {fx.SQL_COMPONENTS}, {fx.SQL_FEATURES.split(fx.SQL_PAIR + ",")[1]}, gg AS (SELECT region, avg(least(20.0, abs(d_bright) * 100)) AS sig, avg(sam) AS sam_, avg(d_ndvi) AS dv, avg(d_ndbi) AS db FROM lab JOIN f USING (x, y) GROUP BY 1)
-SELECT region, sig >= 7 AS significant, (sam_ < 0.05 AND abs(dv) < 0.05 AND abs(db) < 0.05) AS brightness_only FROM gg""")
+_SIG = "least(-log10(greatest((1.0 + t / 2.0) * exp(-t / 2.0), 1e-300)), 20.0)"
+
+
+@query(f"""WITH RECURSIVE {fx.SQL_COMPONENTS}, {sql_t().split(fx.SQL_PAIR + ",")[1]},
+gg AS (SELECT region, avg({_SIG}) AS sig, avg(sam) AS sam_, avg(d_ndvi) AS dv, avg(d_ndbi) AS db FROM lab JOIN e USING (x, y) JOIN tt USING (x, y) GROUP BY 1),
+n AS (SELECT region, class_code, count(*) AS n FROM lab JOIN e USING (x, y) GROUP BY 1, 2), mj AS (SELECT region, class_code FROM n QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, class_code) = 1),
+o AS (SELECT region, class_code, sig >= 0.5 AS significant, (sam_ < 0.05 AND abs(dv) < 0.05 AND abs(db) < 0.05 AND class_code NOT IN (4, 5)) AS brightness_only FROM gg JOIN mj USING (region))
+SELECT region, CAST(class_code AS INTEGER) AS class_code, significant, brightness_only, significant AND NOT brightness_only AS kept FROM o""")
 def region_gates(spark, sf_dir):
-    f = fx.features(spark, sf_dir).withColumn("sig", F.least(F.lit(20.0), F.abs("d_bright") * 100))
-    z = rg.zonal(_labelled(spark, sf_dir).join(f, ["x", "y"]), ["sig", "sam", "d_ndvi", "d_ndbi"])
-    only = (F.col("mean_sam") < 0.05) & (F.abs("mean_d_ndvi") < 0.05) & (F.abs("mean_d_ndbi") < 0.05)
-    return z.select("region", (F.col("mean_sig") >= 7).alias("significant"), only.alias("brightness_only"))
+    """Regions of enough mean significance (here 0.5) that aren't a change of brightness alone; water changes are spared."""
+    f = px.evidence(px.standardised_t(fx.features(spark, sf_dir), F.lit(True))).withColumn("sig", sg.neg_log10("t"))
+    rows = _labelled(spark, sf_dir).join(f.drop("dq"), ["x", "y"])
+    z = rg.zonal(rows, ["sig", "sam", "d_ndvi", "d_ndbi"])
+    z = z.join(rg.majority(rows.select("region", F.col("class_code").cast("int").alias("class_code"))), "region")
+    only = (F.col("mean_sam") < 0.05) & (F.abs("mean_d_ndvi") < 0.05) & (F.abs("mean_d_ndbi") < 0.05) & ~F.col("class_code").isin(4, 5)
+    return z.select("region", "class_code", (F.col("mean_sig") >= 0.5).alias("significant"), only.alias("brightness_only")).withColumn("kept", F.col("significant") & ~F.col("brightness_only"))
 
 
 @query()

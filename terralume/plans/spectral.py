@@ -70,7 +70,7 @@ def evidence_masks(spark, sf_dir):
     return px.evidence(fx.features(spark, sf_dir)).select("x", "y", *rules.RULES, "landcover_evidence", F.col("class_code").cast("int").alias("class_code"))
 
 
-def _t_sql(evidence: bool = True) -> str:
+def sql_t(evidence: bool = True) -> str:
     m = ", ".join(f"avg(a_{b} - b_{b}) AS m_{b}, var_pop(a_{b} - b_{b}) AS v_{b}" for b in ix.BANDS)
     t = " + ".join(f"power(a_{b} - b_{b} - m_{b}, 2) / greatest(v_{b}, 1e-12)" for b in ix.BANDS)
     return f"""{fx.SQL_EVIDENCE if evidence else fx.SQL_FEATURES}, mv AS (SELECT {m} FROM f), t0 AS (SELECT x, y, {t} AS t FROM f, mv),
@@ -80,7 +80,7 @@ def _t_sql(evidence: bool = True) -> str:
 _SF = "(1.0 + t / 2.0) * exp(-t / 2.0)"
 
 
-@query(f"WITH {_t_sql(False)} SELECT x, y, {sql6('t', 't', 5)}, {sql6(_SF, 'p', 8)}, {sql6(f'least(-log10(greatest({_SF}, 1e-300)), 20.0)', 'neg_log10', 5)}, t > {sg.quantile_value(1e-5)!r} AS seed FROM tt")
+@query(f"WITH {sql_t(False)} SELECT x, y, {sql6('t', 't', 5)}, {sql6(_SF, 'p', 8)}, {sql6(f'least(-log10(greatest({_SF}, 1e-300)), 20.0)', 'neg_log10', 5)}, t > {sg.quantile_value(1e-5)!r} AS seed FROM tt")
 def chi2_significance(spark, sf_dir):
     rows = px.standardised_t(fx.features(spark, sf_dir), F.lit(True))
     return rows.select("x", "y", r6("t", digits=5), r6(sg.survival("t"), "p", 8), r6(sg.neg_log10("t"), "neg_log10", 5), (F.col("t") > sg.quantile_value(1e-5)).alias("seed"))
@@ -93,7 +93,7 @@ _stages = (
 _LO = sg.quantile_value(1e-3)
 
 
-@query(f"""WITH {_t_sql()}, j AS (SELECT e.*, t > {_LO!r} AS stat, t > {_LO!r} AND landcover_evidence AS cand,
+@query(f"""WITH {sql_t()}, j AS (SELECT e.*, t > {_LO!r} AS stat, t > {_LO!r} AND landcover_evidence AS cand,
   (sam < 0.05 AND abs(d_ndvi) < 0.05 AND abs(d_ndbi) < 0.05 AND abs(d_mndwi) < 0.05) AS bo,
   (mndwi_b > 0.10 AND mndwi_a > 0.10 AND NOT (w_gain OR w_loss)) AS bw FROM e JOIN tt USING (x, y))
 """ + " UNION ALL ".join(f"SELECT {k} AS stage_no, '{n}' AS stage, CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT) AS n FROM j" for k, (n, c) in enumerate(_stages, 1)))
@@ -107,7 +107,7 @@ def evidence_funnel(spark, sf_dir):
     return px.funnel(rows, [(n, c) for (n, _), c in zip(_stages, flags)])
 
 
-@query(f"WITH {_t_sql()}, j AS (SELECT e.*, t > {_LO!r} AS stat FROM e JOIN tt USING (x, y)) " + " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(sum(CASE WHEN {r} THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, CAST(sum(CASE WHEN {r} AND stat THEN 1 ELSE 0 END) AS BIGINT) AS n_candidate FROM j" for r in (*rules.RULES, "landcover_evidence")))
+@query(f"WITH {sql_t()}, j AS (SELECT e.*, t > {_LO!r} AS stat FROM e JOIN tt USING (x, y)) " + " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(sum(CASE WHEN {r} THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, CAST(sum(CASE WHEN {r} AND stat THEN 1 ELSE 0 END) AS BIGINT) AS n_candidate FROM j" for r in (*rules.RULES, "landcover_evidence")))
 def evidence_counts(spark, sf_dir):
     rows = px.evidence(px.standardised_t(fx.features(spark, sf_dir), F.lit(True))).withColumn("stat", F.col("t") > _LO)
     names = (*rules.RULES, "landcover_evidence")
@@ -190,10 +190,11 @@ def edge_density(spark, sf_dir):
 
 @query(f"""WITH {fx.SQL_PAIR}, sa AS (SELECT a_nir AS v, count(*) AS n FROM px WHERE valid GROUP BY 1), sb AS (SELECT b_nir AS v, count(*) AS n FROM px WHERE valid GROUP BY 1),
 ca AS (SELECT v, sum(n) OVER (ORDER BY v) / CAST(sum(n) OVER () AS DOUBLE) AS q FROM sa), cb AS (SELECT v, sum(n) OVER (ORDER BY v) / CAST(sum(n) OVER () AS DOUBLE) AS q FROM sb),
-mp AS (SELECT ca.v, min(cb.v) AS matched FROM ca JOIN cb ON cb.q >= ca.q GROUP BY 1) SELECT x, y, a_nir AS nir, matched FROM px JOIN mp ON a_nir = v WHERE valid""")
+mp AS (SELECT ca.v, ca.q, max(cb.q) FILTER (WHERE cb.q <= ca.q) AS ql, max(cb.v) FILTER (WHERE cb.q <= ca.q) AS vl, min(cb.q) FILTER (WHERE cb.q >= ca.q) AS qh, min(cb.v) FILTER (WHERE cb.q >= ca.q) AS vh FROM ca, cb GROUP BY 1, 2)
+SELECT x, y, a_nir AS nir, {sql6("CASE WHEN vl IS NULL THEN vh WHEN vh IS NULL OR qh = ql THEN vl ELSE vl + (vh - vl) * ((q - ql) / (qh - ql)) END", "matched")} FROM px JOIN mp ON a_nir = v WHERE valid""")
 def histogram_match(spark, sf_dir):
     rows = fx.pair(spark, sf_dir).where("valid")
-    return focal.histogram_match(rows.select("x", "y", F.col("a_nir").alias("nir")), rows.select(F.col("b_nir").alias("nir")), "nir").select("x", "y", "nir", "matched")
+    return focal.histogram_match(rows.select("x", "y", F.col("a_nir").alias("nir")), rows.select(F.col("b_nir").alias("nir")), "nir").select("x", "y", "nir", r6("matched"))
 
 
 @query(f"""WITH {fx.SQL_FEATURES}, dk AS (SELECT {", ".join(f"quantile_cont(a_{b}, 0.005) AS q_{b}" for b in ix.BANDS)} FROM f),
@@ -229,13 +230,19 @@ def calibration(spark, sf_dir):
     return a.select("x", "y", r6(ix.calibrate("nir", F.lit(float(p99))), "nir"), r6(ix.calibrate("red", None, 0.0001, -0.1), "red_tagged"), (F.col("nir") <= 0).alias("nodata"))
 
 
-@query(f"WITH {fx.SQL_PAIR}, v AS (SELECT * FROM px WHERE valid) SELECT x, y, round(0.299 * r + 0.587 * g + 0.114 * b, 6) + 0.0 AS grey, abs(g - gb) > 30 AS differs, {sql6('greatest(0.0, least(1.0, 0.5 * abs((r + g + b) / 765.0 - (rb + gb + bb) / 765.0)))', 'proxy')} FROM (SELECT x, y, least(255, a_red / 20.0) AS r, least(255, a_green / 20.0) AS g, least(255, a_nir / 20.0) AS b, least(255, b_red / 20.0) AS rb, least(255, b_green / 20.0) AS gb, least(255, b_nir / 20.0) AS bb FROM v)")
+_eight = ", ".join(f"least(255, {p}_{b} / 20.0) AS {c}{p}" for p in "ab" for c, b in (("r", "red"), ("g", "green"), ("b", "nir")))
+_greenness = lambda p: f"greatest(-1.0, least(1.0, (g{p} / 255.0 - r{p} / 255.0) / greatest(g{p} / 255.0 + r{p} / 255.0, 0.02)))"
+
+
+@query(f"""WITH {fx.SQL_PAIR}, v AS (SELECT x, y, {_eight} FROM px WHERE valid)
+SELECT x, y, {sql6("0.299 * ra + 0.587 * ga + 0.114 * ba", "grey")}, 0.299 * abs(ra - rb) + 0.587 * abs(ga - gb) + 0.114 * abs(ba - bb) > 30 AS differs,
+{sql6(f"greatest(0.0, least(1.0, 0.5 * abs((rb + gb + bb) / 3.0 - (ra + ga + ba) / 3.0) / 255.0 + 0.5 * abs({_greenness('b')} - {_greenness('a')})))", "proxy")} FROM v""")
 def rgb_proxies(spark, sf_dir):
-    """Grey, thresholded difference and brightness proxy of 8-bit display colours."""
+    """Grey, thresholded grey difference, and the score of brightness and green change of 8-bit display colours."""
     eight = lambda c: F.least(F.lit(255.0), F.col(c) / 20.0)
     v = fx.pair(spark, sf_dir).where("valid").select("x", "y", *[eight(f"{p}_{b}").alias(f"{c}{p}") for p in "ab" for c, b in (("r", "red"), ("g", "green"), ("b", "nir"))])
-    mean = lambda p: (F.col("r" + p) + F.col("g" + p) + F.col("b" + p)) / 765.0
-    return v.select("x", "y", r6(ix.gray("ra", "ga", "ba"), "grey"), (F.abs(F.col("ga") - F.col("gb")) > 30).alias("differs"), r6(ix.clip(0.5 * F.abs(mean("a") - mean("b")), 0.0, 1.0), "proxy"))
+    differs = ix.gray(*[F.abs(F.col(f"{c}a") - F.col(f"{c}b")) for c in "rgb"]) > 30
+    return v.select("x", "y", r6(ix.gray("ra", "ga", "ba"), "grey"), differs.alias("differs"), r6(ix.rgb_proxy(("rb", "gb", "bb"), ("ra", "ga", "ba")), "proxy"))
 
 
 _COARSE = "c AS (SELECT CAST(floor(x / 2.0) AS BIGINT) AS x, CAST(floor(y / 2.0) AS BIGINT) AS y, avg(a_swir16) AS v FROM px GROUP BY 1, 2)"

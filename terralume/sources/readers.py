@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -33,6 +33,26 @@ def latest_path(files: DataFrame) -> str | None:
     return files.agg(F.max(F.struct("acq_date", "path"))["path"]).first()[0]
 
 
+def latest() -> Column:
+    """Aggregate: the path of the newest date, ties to the later path."""
+    return F.max(F.struct("acq_date", "path"))["path"]
+
+
+def tile_gate(pixels: DataFrame, bands, tile: int, expected: int) -> DataFrame:
+    """Tiles with nothing in their first three bands are skipped; the number of bands is checked."""
+    some = sum((F.abs(F.coalesce(F.col(b), F.lit(0))) for b in bands[1:3]), F.abs(F.coalesce(F.col(bands[0]), F.lit(0))))
+    place = [F.floor(F.col(a) / float(tile)).alias(f"t{a}") for a in ("x", "y")]
+    return pixels.groupBy(*place).agg(F.count("*").alias("pixels"), (F.sum(some) == 0).alias("skipped")).withColumn("bands_ok", F.lit(len(bands) == expected))
+
+
+def chunk_check(pixels: DataFrame, tile: int) -> DataFrame:
+    """Count and extent of each chunk, and whether it is whole."""
+    place = [F.floor(F.col(a) / float(tile)).alias(f"t{a}") for a in ("x", "y")]
+    got = pixels.groupBy(*place).agg(F.count("*").alias("pixels"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    at = lambda a: (F.col(f"{a}0") == F.col(f"t{a}") * tile) & (F.col(f"{a}1") == F.col(f"t{a}") * tile + tile - 1)
+    return got.withColumn("whole", (F.col("pixels") == tile * tile) & at("x") & at("y"))
+
+
 def band_like(bands: DataFrame, word: str) -> DataFrame:
     """The first band, by number, whose description holds a word."""
     return bands.where(F.lower("description").contains(word.lower())).orderBy("band_no").limit(1)
@@ -151,3 +171,18 @@ def same_config(existing: str | None, config: dict) -> None:
 def write_stats(stats: DataFrame, path: str) -> None:
     """Statistics as JSON, written last: its _SUCCESS file marks a finished run."""
     stats.coalesce(1).write.mode("overwrite").json(path)
+
+
+def tile_window(spark: SparkSession, path: str, x: int, y: int, w: int, h: int, tile: int = 512) -> DataFrame:
+    """A window of what :func:`write_tiles` wrote; files of other tile rows and row groups of other columns stay unread."""
+    rows = spark.read.parquet(path).where(F.col("ty").between(y // tile, (y + h - 1) // tile) & F.col("tx").between(x // tile, (x + w - 1) // tile))
+    return aoi(rows, x, y, w, h)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows of one run added to a log; runs before stay."""
+    rows.write.mode("append").csv(path, header=True)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema)

@@ -16,10 +16,11 @@ def daily_composite(events: DataFrame, time: str = "ts", keys=("user_id", "event
     return got.select(F.col("window.start").alias("day"), *keys, "n", F.when(F.col("n") >= min_obs, F.col("mean")).alias("mean"), "low", "high")
 
 
-def answers(lines: DataFrame) -> DataFrame:
-    """(content, done, error) of newline-delimited JSON chunks of a reviewer's answer."""
-    chunk = F.from_json("value", "message struct<content:string>, done boolean, error string")
-    return lines.select(chunk.alias("c")).select(F.coalesce("c.message.content", F.lit("")).alias("content"), F.coalesce("c.done", F.lit(False)).alias("done"), F.col("c.error").alias("error"))
+def answers(lines: DataFrame, more: str = "") -> DataFrame:
+    """(content, done, error) of newline-delimited JSON chunks of a reviewer's answer, and ``more`` of their fields."""
+    chunk = F.from_json("value", "message struct<content:string>, done boolean, error string" + (f", {more}" if more else ""))
+    rest = [F.col(f"c.{f.split()[0]}") for f in more.split(",") if f]
+    return lines.select(chunk.alias("c")).select(F.coalesce("c.message.content", F.lit("")).alias("content"), F.coalesce("c.done", F.lit(False)).alias("done"), F.col("c.error").alias("error"), *rest)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
