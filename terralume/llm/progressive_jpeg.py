@@ -3,7 +3,8 @@
 The decoder takes any baseline-precision progressive file (SOF2): spectral selection,
 successive approximation, end-of-band runs, chroma subsampling. Scans whose Huffman table
 has a single code have blocks of equal length and are decoded as arrays; other scans go bit
-by bit. The writer stores bytes as quantised coefficients, the format's own lossless unit.
+by bit. The writer stores bytes as quantised coefficients, the format's own lossless unit, of
+a picture with chroma at half the resolution (4:2:0).
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import long_rows, table, text_batches, with_fields
 
-#: Bytes of one MCU of three 8x8 blocks, and most MCUs in a row of the picture.
-MCU, ROW = 192, 1024
-#: MCUs that are turned to pixels at once.
-CHUNK = 4096
+#: Payloads are multiples of UNIT bytes; bytes of one MCU of four luma and two chroma 8x8 blocks; most MCUs in a row of the picture.
+#: A picture has at most 65535 lines, so a payload at most ROW * 4095 * MCU bytes (1.6 GB).
+UNIT, MCU, ROW = 192, 384, 1024
+#: MCUs that are turned to pixels at once (or one row of them).
+CHUNK = 2048
 
 
 def zigzag() -> np.ndarray:
@@ -61,34 +63,44 @@ def _bits(bits: np.ndarray) -> bytes:
 
 
 def store_bytes(payload: bytes) -> bytes:
-    """A progressive JPEG whose quantised coefficients are the payload (a positive multiple of 192 bytes).
+    """A progressive 4:2:0 JPEG whose quantised coefficients are the payload (a positive multiple of 192 bytes).
+
+    An MCU holds 384 bytes: its four luma blocks, then blue and red chroma.
 
     Byte b is the DC coefficient b, or the AC coefficient b if b > 127, else b - 255: never
     zero, always of magnitude category 8 and so of fixed code length. DC goes out in one
     first scan and eight refinements, AC in a first scan without the last bit and one
     refinement for each component.
     """
-    n = len(payload) // MCU
-    columns = min(n, ROW)
-    rows = -(-n // columns)
-    b = np.zeros((rows * columns, 3, 64), np.uint8)
-    b[:n] = np.frombuffer(payload, np.uint8).reshape(n, 3, 64)
+    n = -(-len(payload) // MCU)
+    rows = -(-n // ROW)
+    columns = -(-n // rows)
+    if rows > 4095:
+        raise ValueError("the payload is too long for one picture")
+    b = np.zeros(rows * columns * MCU, np.uint8)
+    b[: len(payload)] = np.frombuffer(payload, np.uint8)
+    b = b.reshape(-1, 6, 64)
     out = [b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _segment(0xDB, bytes([0, *[1] * 64]))]
-    out.append(_segment(0xC2, bytes([8]) + (rows * 8).to_bytes(2, "big") + (columns * 8).to_bytes(2, "big") + bytes([3, 1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0])))
+    out.append(_segment(0xC2, bytes([8]) + (rows * 16).to_bytes(2, "big") + (columns * 16).to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
     dc = b[:, :, 0]
     out += [_single_code(0, 0), _scan([1, 2, 3], 0, 0, 0, 8, _bits(np.zeros(dc.size, np.uint8)))]
     out += [_scan([1, 2, 3], 0, 0, low + 1, low, _bits(dc >> low & 1)) for low in range(7, -1, -1)]
-    ac = b[:, :, 1:]
+    ac = [x[:, 1:] for x in (_luma(b[:, :4], rows, columns), b[:, 4], b[:, 5])]
     out.append(_single_code(1, 0x07))
-    out += [_scan([c + 1], 1, 63, 0, 1, (ac[:, c] >> 1).tobytes()) for c in range(3)]
+    out += [_scan([c + 1], 1, 63, 0, 1, (x >> 1).tobytes()) for c, x in enumerate(ac)]
     out.append(_single_code(1, 0x00))
-    for c in range(3):
-        bits = np.zeros((len(b), 64), np.uint8)
-        bits[:, 1:] = (ac[:, c] & 1) ^ (ac[:, c] < 128)
+    for c, x in enumerate(ac):
+        bits = np.zeros((len(x), 64), np.uint8)
+        bits[:, 1:] = (x & 1) ^ (x < 128)
         out.append(_scan([c + 1], 1, 63, 1, 0, np.packbits(bits).tobytes()))
     return b"".join([*out, b"\xff\xd9"])
 
 
+def _luma(blocks: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Blocks (MCU, 4, 64) in the order of picture lines."""
+    return blocks.reshape(rows, columns, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
+
+
 # ------------------------------------------------------------------ decoder
 
 
@@ -103,6 +115,7 @@ class Picture:
     coefficients: list[np.ndarray]
     comment: bytes = b""
     ids: list[int] = field(default_factory=list)
+    orders: dict = field(default_factory=dict)
 
 
 class _Bits:
@@ -311,7 +324,10 @@ def _own_blocks(pic: Picture, c: int) -> np.ndarray:
 
 def _read_scan(pic: Picture, data: bytes, chosen: list[tuple[int, int]], start: int, end: int, ah: int, al: int, huffman: dict) -> None:
     if start == 0:
-        order = _dc_order(pic, [c for c, _ in chosen])
+        key = tuple(c for c, _ in chosen)
+        order = pic.orders.get(key)
+        if order is None:
+            order = pic.orders[key] = _dc_order(pic, list(key))
         flat = [pic.coefficients[c].reshape(-1, 64) for c, _ in chosen]
         if ah:
             bits = np.unpackbits(np.frombuffer(data, np.uint8))[: len(order)].astype(np.int16)
@@ -362,61 +378,93 @@ def planes(coefficients: np.ndarray, quant: np.ndarray) -> np.ndarray:
     return np.matmul(BASIS.T, half) + 128
 
 
-def rgb(pic: Picture) -> np.ndarray:
-    """Full-resolution uint8 tensor (height, width, 3); chroma is repeated to the luma grid."""
+def strips(pic: Picture):
+    """Full-resolution uint8 strips (lines, width, 3) from the top; chroma samples are repeated to the luma grid.
+
+    A strip is a few rows of MCUs, so memory follows the width and not the picture.
+    """
     mh, mv = max(s[0] for s in pic.sampling), max(s[1] for s in pic.sampling)
-    full = []
-    for (h, v), q, c in zip(pic.sampling, pic.quant, pic.coefficients):
-        rows, columns = c.shape[:2]
-        p = planes(c.reshape(-1, 64), q).reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
-        full.append(np.repeat(np.repeat(p, mv // v, 0), mh // h, 1)[: pic.height, : pic.width])
-    return to_rgb(*full) if len(full) == 3 else np.clip(np.rint(np.stack(full * 3, -1)), 0, 255).astype(np.uint8)
+    down = pic.coefficients[0].shape[0] // pic.sampling[0][1]
+    step = max(1, CHUNK * pic.sampling[0][0] // pic.coefficients[0].shape[1])
+    for first in range(0, down, step):
+        parts = []
+        for (h, v), q, c in zip(pic.sampling, pic.quant, pic.coefficients):
+            own = c[first * v : (first + step) * v]
+            rows, columns = own.shape[:2]
+            p = planes(own.reshape(-1, 64), q).reshape(rows, columns, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, columns * 8)
+            parts.append((np.clip(np.rint(p), 0, 255), mv // v, mh // h))
+        lines = min(pic.height, (first + step) * mv * 8) - first * mv * 8
+        yield _coloured(parts)[:lines, : pic.width]
+
+
+def _coloured(parts: list[tuple[np.ndarray, int, int]]) -> np.ndarray:
+    """RGB of planes with their repeats down and across; what chroma adds is found before it is repeated."""
+    full = lambda x, k: np.repeat(np.repeat(x, parts[k][1], 0), parts[k][2], 1)
+    y = full(parts[0][0], 0)
+    out = np.empty((*y.shape, 3), np.uint8)
+    if len(parts) == 1:
+        out[...] = y[..., None]
+        return out
+    cb, cr = parts[1][0] - np.float32(128), parts[2][0] - np.float32(128)
+    red, blue = full(np.float32(1.402) * cr, 2), full(np.float32(1.772) * cb, 1)
+    if parts[1][1:] == parts[2][1:]:
+        green = full(np.float32(-0.344136) * cb - np.float32(0.714136) * cr, 1)
+    else:
+        green = full(np.float32(-0.344136) * cb, 1) - full(np.float32(0.714136) * cr, 2)
+    for k, add in enumerate((red, green, blue)):
+        add += y
+        np.rint(add, out=add)
+        np.clip(add, 0, 255, out=add)
+        out[..., k] = add
+    return out
 
 
-def to_rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
-    y, cb, cr = (np.clip(np.rint(p), 0, 255) for p in (y, cb, cr))
-    out = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+def rgb(pic: Picture) -> np.ndarray:
+    """Full-resolution uint8 tensor (height, width, 3)."""
+    return np.concatenate(list(strips(pic)))
 
 
 def read_payload(pic: Picture) -> bytes:
     """The bytes that :func:`store_bytes` stored, from the decoded coefficients."""
     size = int(pic.comment.removeprefix(b"payload="))
-    c = np.stack([x.reshape(-1, 64) for x in pic.coefficients], 1)[: size // MCU]
-    b = np.where(c < 0, c + 255, c)
-    return b.astype(np.uint8).tobytes()
+    y, cb, cr = pic.coefficients
+    rows, columns = cb.shape[:2]
+    c = np.empty((rows * columns, 6, 64), np.int16)
+    c[:, :4] = y.reshape(rows, 2, columns, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 4, 64)
+    c[:, 4], c[:, 5] = cb.reshape(-1, 64), cr.reshape(-1, 64)
+    return np.where(c < 0, c + 255, c).astype(np.uint8).tobytes()[:size]
 
 
-def feature(pic: Picture) -> str:
-    """Mean and deviation of each colour and the share of 4 levels of green, as text; by chunks of blocks.
+def feature(pic: Picture) -> tuple[str, str]:
+    """What the full-resolution tensor looks like, and its sha256, strip by strip.
 
-    Pixels of the padding blocks that fill the last row of the picture count as well.
+    Mean and deviation of each colour and the share of 4 levels of green, as text. Pixels of
+    the MCUs that fill the last row of the picture count as well.
     """
-    if any(s != (1, 1) for s in pic.sampling) or len(pic.coefficients) != 3:
-        chunks = [rgb(pic).reshape(-1, 3)]
-    else:
-        flat = [c.reshape(-1, 64) for c in pic.coefficients]
-        chunks = (to_rgb(*(planes(f[a : a + CHUNK], q) for f, q in zip(flat, pic.quant))).reshape(-1, 3) for a in range(0, len(flat[0]), CHUNK))
-    histogram = np.zeros((3, 256), np.int64)
-    for x in chunks:
-        histogram += np.stack([np.bincount(x[:, i], minlength=256) for i in range(3)])
+    histogram, digest = np.zeros((3, 256), np.int64), hashlib.sha256()
+    for x in strips(pic):
+        x = np.ascontiguousarray(x)
+        digest.update(x)
+        histogram += np.stack([np.bincount(x[..., i].ravel(), minlength=256) for i in range(3)])
     n, level = histogram[0].sum(), np.arange(256)
     mean = histogram @ level / n
     deviation = np.sqrt(np.maximum(histogram @ level**2 / n - mean**2, 0))
     quarters = histogram[1].reshape(4, 64).sum(1) / n
-    return ",".join(f"{v:.3f}" for v in [*mean, *deviation, *quarters])
+    return ",".join(f"{v:.3f}" for v in [*mean, *deviation, *quarters]), digest.hexdigest()
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
     raw = (text or "").encode("utf-8", "surrogatepass")
-    return raw + b" " * (MCU - len(raw) % MCU if len(raw) % MCU or not raw else 0), len(raw)
+    return raw + b" " * (UNIT - len(raw) % UNIT if len(raw) % UNIT or not raw else 0), len(raw)
 
 
 def media_table(docs: DataFrame, text: str = "text", tensors: bool = True) -> DataFrame:
     """All columns of ``docs`` with media binary (the JPEG) and, if asked for, the decoded tensor.
 
     Adds n_bytes, payload_bytes, media, and with ``tensors`` height, width and rgb (binary,
-    row-major uint8). Null and empty texts become one MCU of spaces. One pass, no shuffle.
+    row-major uint8). Null and empty texts become 192 spaces; equal texts equal files. Texts are
+    stored whole, up to 1.6 GB (:data:`ROW`); a longer one is an error. Columns of the added
+    names are replaced; an empty table gives an empty result. One pass, no shuffle.
     """
     docs = long_rows(docs).drop("n_bytes", "payload_bytes", "media", "height", "width", "rgb")
     extra = "n_bytes long, payload_bytes long, media binary" + (", height int, width int, rgb binary" if tensors else "")
@@ -438,7 +486,7 @@ def media_table(docs: DataFrame, text: str = "text", tensors: bool = True) -> Da
     return docs.mapInArrow(each, with_fields(docs, extra))
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb_sha256 string"
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -453,8 +501,9 @@ def digest(docs: DataFrame) -> DataFrame:
                 media = store_bytes(payload)
                 pic = decode(media)
                 back = read_payload(pic)
-                rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(pic)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                seen, tensor = feature(pic)
+                rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), seen, pic.height, pic.width, tensor))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return long_rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(each, DIGEST)

@@ -22,6 +22,26 @@ def test_stored_bytes_come_back(n):
     assert pj.read_payload(pj.decode(pj.store_bytes(payload))) == payload
 
 
+def test_chroma_is_repeated_and_strips_join():
+    """A stored picture has half-resolution chroma; the tensor is each luma sample with its chroma neighbour's colour."""
+    payload = np.random.default_rng(4).integers(0, 256, 192 * 5001, dtype=np.uint8).tobytes()
+    pic = pj.decode(pj.store_bytes(payload))
+    assert pic.sampling == [(2, 2), (1, 1), (1, 1)]
+    y, cb, cr = (np.clip(np.rint(pj.planes(c.reshape(-1, 64), q).reshape(*c.shape[:2], 8, 8).transpose(0, 2, 1, 3).reshape(c.shape[0] * 8, -1)), 0, 255).astype(float) for c, q in zip(pic.coefficients, pic.quant))
+    a = pj.rgb(pic)
+    assert a.shape == (pic.height, pic.width, 3) == (*y.shape, 3) and len(list(pj.strips(pic))) > 1
+    rng = np.random.default_rng(5)
+    for i, j in zip(rng.integers(0, pic.height, 500), rng.integers(0, pic.width, 500)):
+        b, r = cb[i // 2, j // 2] - 128, cr[i // 2, j // 2] - 128
+        want = np.array([y[i, j] + 1.402 * r, y[i, j] - 0.344136 * b - 0.714136 * r, y[i, j] + 1.772 * b])
+        assert np.abs(a[i, j] - np.clip(want, 0, 255)).max() <= 0.51
+    seen, digest = pj.feature(pic)
+    assert digest == hashlib.sha256(a.tobytes()).hexdigest()
+    n = [float(v) for v in seen.split(",")]
+    assert n[:3] == pytest.approx(a.reshape(-1, 3).mean(0), abs=1e-3) and n[3:6] == pytest.approx(a.reshape(-1, 3).std(0), abs=1e-3)
+    assert n[6:] == pytest.approx([(a[..., 1] // 64 == k).mean() for k in range(4)], abs=1e-3)
+
+
 def test_digest(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string")
     rows = pj.digest(df).collect()
