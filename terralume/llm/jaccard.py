@@ -433,3 +433,17 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle meet, so this is for small tables.
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+g AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= {PERCENT} * (a.n + b.n - i)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+c(doc_id, least_id) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.v, c.least_id FROM c JOIN e ON e.u = c.doc_id WHERE c.least_id < e.v)
+SELECT n.doc_id, n.n AS n_shingles, min(c.least_id) AS component_id FROM n JOIN c USING (doc_id) GROUP BY 1, 2
+"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE = {"op1_exact_topk": topk.OP1_SQL, "op4_poisson_mixing": mixing.OP4_SQL, "op7_url_association_rules": url_rules.OP7_SQL}
+ORACLE = {"op1_exact_topk": topk.OP1_SQL, "op4_poisson_mixing": mixing.OP4_SQL, "op7_url_association_rules": url_rules.OP7_SQL, "op9_ngram_jaccard_join": jaccard.OP9_SQL}
