@@ -232,6 +232,29 @@ def experiment_log(spark, sf_dir):
     return readers.read_log(spark, f"{log.path}/log", "model string, loss double, square double, steps long, run long").select("run", "model", r6("loss", digits=4), r6("square", digits=4), "steps")
 
 
+_MOMENT_BANDS = [f"{p}{b}" for p in ("b_", "a_") for b in ("green", "nir")]
+
+
+@query(f"WITH {fx.SQL_FEATURES}, w AS (SELECT exp(-10 * sam) AS w, {', '.join(_MOMENT_BANDS)} FROM f), m AS (SELECT sum(w) AS n, " + ", ".join(f"sum(w * {c}) / sum(w) AS m_{c}" for c in _MOMENT_BANDS) + " FROM w) "
+       + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(any_value(n), 3) + 0.0 AS weight, round(1e4 * (sum(w * {a} * {b}) / any_value(n) - any_value(m_{a}) * any_value(m_{b})), 5) + 0.0 AS covariance FROM w, m" for i, a in enumerate(_MOMENT_BANDS) for b in _MOMENT_BANDS[i:]))
+def weighted_moments(spark, sf_dir):
+    """Weighted covariances of both dates' bands, in 10 000ths, from one aggregation."""
+    total, _, cov = px.weighted_moments(fx.features(spark, sf_dir), _MOMENT_BANDS, F.exp(-10 * F.col("sam")))
+    rows = [(a, b, total, 1e4 * float(cov[i, j])) for i, a in enumerate(_MOMENT_BANDS) for j, b in enumerate(_MOMENT_BANDS) if j >= i]
+    return spark.createDataFrame(rows, "a string, b string, weight double, covariance double").select("a", "b", r6("weight", digits=3), r6("covariance", digits=5))
+
+
+@query(f"""WITH {fx.SQL_FEATURES}, g AS (SELECT CAST(floor(y / 10.0) AS BIGINT) AS zone, sam AS v FROM f), e AS (SELECT zone, min(v) AS lo, (max(v) - min(v)) / 256.0 AS step FROM g GROUP BY 1 HAVING max(v) > min(v)),
+h AS (SELECT zone, least(floor((v - lo) / step), 255) AS k, CAST(count(*) AS DOUBLE) AS n, any_value(lo + (least(floor((v - lo) / step), 255) + 0.5) * step) AS mid FROM g JOIN e USING (zone) GROUP BY 1, 2),
+c AS (SELECT zone, k, mid, sum(n) OVER p AS w, sum(n * mid) OVER p AS s, sum(n) OVER (PARTITION BY zone) AS a, sum(n * mid) OVER (PARTITION BY zone) AS t FROM h WINDOW p AS (PARTITION BY zone ORDER BY k ROWS UNBOUNDED PRECEDING)),
+rr AS (SELECT zone, k, mid, round(w * (a - w) * power(s / w - (t - s) / (a - w), 2), 9) AS v FROM c WHERE a > w)
+SELECT zone, {sql6("mid", "threshold")} FROM rr QUALIFY row_number() OVER (PARTITION BY zone ORDER BY v DESC, k) = 1""")
+def otsu_threshold(spark, sf_dir):
+    """The threshold between the two sides of each zone's histogram of angles."""
+    f = fx.features(spark, sf_dir).select(F.floor(F.col("y") / 10.0).alias("zone"), "sam")
+    return evaluate.otsu(f, "zone", "sam").select("zone", r6("threshold"))
+
+
 # ------------------------------------------------------------------ sinks and sources
 
 

@@ -118,10 +118,20 @@ def box_overlap_pairs(spark, sf_dir):
     return rg.overlapping(_boxes(spark, sf_dir), 0.4, cell=16, keys=("scene",)).select("scene", "a", "b", r6("overlap"))
 
 
-@query()
+_OVER = "least(e.x + e.w, x + w) - greatest(e.x, x) > 0 AND least(e.y + e.h, y + h) - greatest(e.y, y) > 0 AND (least(e.x + e.w, x + w) - greatest(e.x, x)) * (least(e.y + e.h, y + h) - greatest(e.y, y)) / CAST(least(e.w * e.h, w * h) AS DOUBLE) >= 0.4"
+
+
+@query(f"""WITH RECURSIVE {_BOXES.replace(" FROM part)", ", round(p_retailprice, 2) AS score, CASE WHEN p_partkey % 2 = 0 THEN 'sam' ELSE 'cc' END AS src FROM part)")},
+o AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY scene) AS n FROM bx),
+st(scene, k, kept) AS (SELECT DISTINCT scene, CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, x BIGINT, y BIGINT, w BIGINT, h BIGINT, score DOUBLE, src VARCHAR[])[]) FROM o
+ UNION ALL SELECT scene, k, CASE WHEN hit = 0 THEN list_append(kept, {{'id': id, 'x': x, 'y': y, 'w': w, 'h': h, 'score': score, 'src': [src]}})
+  ELSE list_transform(kept, lambda e, i: CASE WHEN i = hit THEN {{'id': e.id, 'x': e.x, 'y': e.y, 'w': e.w, 'h': e.h, 'score': greatest(e.score, score), 'src': list_sort(list_distinct(list_append(e.src, src)))}} ELSE e END) END
+  FROM (SELECT st.scene, o.k, kept, id, x, y, w, h, score, src, coalesce(list_position(list_transform(kept, lambda e: {_OVER}), true), 0) AS hit FROM st JOIN o ON o.scene = st.scene AND o.k = st.k + 1) AS t),
+f AS (SELECT st.scene, unnest(kept) AS e FROM st JOIN (SELECT DISTINCT scene, n FROM o) AS z ON z.scene = st.scene AND z.n = st.k)
+SELECT scene, e.id AS id, e.x AS x, e.y AS y, e.w AS w, e.h AS h, e.score AS score, array_to_string(e.src, '+') AS sources FROM f""")
 def merge_regions(spark, sf_dir):
     """Greedy merging by score: SAM-like and component-like boxes of each scene."""
-    return rg.greedy_merge(_boxes(spark, sf_dir), 30, 0.4)
+    return rg.greedy_merge(_boxes(spark, sf_dir), 30, 0.4).withColumn("sources", F.array_join("sources", "+"))
 
 
 _METRICS = """m AS (SELECT p_partkey AS id, p_size * 7 AS area, round((p_partkey % 41) / 41.0, 2) AS rectangularity, round((p_partkey % 31) / 30.0, 2) AS solidity, round(1 + (p_partkey % 50) / 10.0, 1) AS aspect, p_partkey % 60 AS skeleton_px,
