@@ -68,6 +68,45 @@ def test_quality_without_both_classes(spark, labels, want):
     assert {r["quality_score"] for r in quality.score(odd(spark), model).collect()} == {want}
 
 
+def plain_features(text):
+    """The ranker's features by plain string work."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    words = raw.split()
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    n, size = len(words), len(raw)
+    is_punct = lambda b: 32 < b < 127 and not chr(b).isalnum()
+    upper, lower = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+    punct = [is_punct(b) for b in raw]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    count = Counter(words)
+    return [
+        np.log(1 + n), np.log(1 + size / n), len(count) / n, max(count.values()) / n if n > 3 else 0.0, sum(a == b for a, b in zip(words, words[1:])) / n,
+        max(sum(words[i] == words[i + k] for i in range(n - k)) for k in (2, 3)) / n, upper / max(1, upper + lower), sum(48 <= b <= 57 for b in raw) / size, sum(punct) / size,
+        sum(a and b for a, b in zip(punct, punct[1:])) / n, sum(len(w) == 1 and is_punct(w[0]) for w in words) / n, sum(b in b"\t\n\x0b\x0c\r " for b in raw) / size,
+        np.log(1 + size / len(lines)), 1 - len(set(lines)) / len(lines), sum(b > 127 for b in raw) / size, sum(w.endswith(b".") for w in words) / n,
+    ]
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Plain features, the same model, and a score for every text; the model is the optimum of its loss."""
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, "documents", sf)
+    model = quality.train(docs.select("doc_id", "text"), quality.learning_labels(spark, sf))
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op3_quality_bradley_terry"](spark, sf).collect()}
+    for r in docs.collect():
+        z = np.clip((np.array(plain_features(r["text"])) - model.mean) / model.scale, -8, 8)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(model.cut - z @ model.w)), abs=1e-9)
+
+
+def test_repeated_labelled_ids_are_learnt_from_once(spark):
+    rows = [(i, f"word{i} " * (5 + i), i % 2) for i in range(30)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    one, many = quality.train(df, labels), quality.train(df.unionAll(df).unionAll(df), labels)
+    assert one.w == pytest.approx(many.w) and one.cut == pytest.approx(many.cut)
+
+
 def test_ranker_learns_an_order():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 16))
@@ -88,6 +127,45 @@ def test_toxic_spans(spark):
     assert toxicity.score(odd(spark, []), tagger).count() == 0
 
 
+def test_toxicity_equals_enumeration(spark):
+    """Document scores and offsets of a known chain against all label paths of short texts."""
+    rng = np.random.default_rng(11)
+    chain = crf.Chain(np.zeros((1, 2)), rng.normal(size=(2, 2)), rng.normal(size=2), rng.normal(size=2))
+    weight = {b"w:bad": 3.0, b"w:vile": 2.0, b"4:vile": 0.5, b"w:good": -2.0, b"w:day": -1.0}
+    tagger = toxicity.Tagger(chain, weight)
+    words = ["bad", "VILE!", "vilest", "good", "day", "ünknown", "(bad)"]
+    texts = [" ".join(words[k] for k in rng.integers(0, 7, n)) + tail for n, tail in ((1, ""), (3, " "), (5, "\n"), (8, ""), (9, "\t x"))] + ["", None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(df, tagger, spans="s", least=0.5).collect()}
+    for i, t in enumerate(texts):
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", t or ""))
+        d = [sum(weight.get(f, 0.0) for f in toxicity.parts(m.group().encode().lower())) for m in found]
+        if not found:
+            assert got[i]["toxic_score"] == 0 and got[i]["s"] == []
+            continue
+        q, score = path_scores(chain, np.stack([np.zeros(len(d)), d], 1))
+        w = np.exp(score - score.max())
+        p = (q * w[:, None]).sum(0) / w.sum()
+        want = max(p.max(), 1 - np.prod([1 - x for x in p if x > toxicity.COUNTED]))
+        assert got[i]["toxic_score"] == pytest.approx(want, abs=1e-9)
+        assert [(s["start"], s["end"]) for s in got[i]["s"]] == [m.span() for m, x in zip(found, p) if x >= 0.5]
+
+
+def test_toxic_features_cover_all_of_a_long_text(spark):
+    """A toxic word at the end of a text of over 20 000 characters is learnt from, and windows come from all places."""
+    text = "fine " * 30_000 + "dreadful " * 3
+    windows = toxicity.training_windows(text, True, {b"w:dreadful"})
+    assert windows and any(1 in y for _, y in windows)
+    many = toxicity.training_windows(("ok " * 20 + "dreadful ") * 500, True, {b"w:dreadful"})
+    assert len(many) == toxicity.HIT_WINDOWS
+    assert toxicity.cover([[b"a", b"b"]] * 3 + [[b"b"]] * 4 + [[b"c"]] * 2, {b"c"}) == {b"b", b"c"}
+    rows = [(i, f"text {i} " + "calm words " * 8000 + ("dreadful" if i % 2 else "lovely"), i % 2) for i in range(40)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    tagger = toxicity.train(df, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(df, tagger).collect()}
+    assert all((got[i] > 0.7) == bool(y) for i, _, y in rows)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["toxic_score"] for r in toxicity.score(odd(spark), toxicity.train(odd(spark), none)).collect()} == {0.0}
@@ -326,6 +404,39 @@ def test_pii_words_without_ascii_marks(spark, kind, found):
     assert clean == {1: f"Please write <{kind}>, or come by", 2: f"<{kind}>", 3: rows[2][1]}
 
 
+def test_word_forms_keep_all_features(spark):
+    """What the decoder keeps a word's emissions by has all features of the word, whatever its length."""
+    tagger = pii.trained()
+    texts = [r["text"] for r in read(spark, "documents", "/root/testdata/sf0.001").collect() if r["text"]] + ["x" * 200 + "9" * 50 + "@" + "é" * 90, "Secret=" + "aZ9" * 400, "\u0664\u0661 \u4e2d\u4e2d"]
+    pairs = set()
+    for t in texts:
+        starts, ends = pii.word_places(t)
+        assert [t[a:b] for a, b in zip(starts, ends)] == re.findall(r"[^\x20\x09-\x0D]+", t)
+        pairs.update(zip((t[a:b] for a, b in zip(starts, ends)), pii.forms(t, starts, ends)))
+    words, forms = zip(*pairs)
+    assert (tagger.emissions(list(words)) == tagger.emissions(list(forms))).all()
+
+
+def test_decoding_equals_a_plain_viterbi(spark):
+    """Labels of whole texts by a plain dynamic programme over every word."""
+    tagger = pii.trained()
+    c = tagger.chain
+    for r in read(spark, "documents", "/root/testdata/sf0.001").limit(60).collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        if not words:
+            continue
+        e = tagger.emissions(words)
+        best, back = c.start + e[0], []
+        for k in range(1, len(words)):
+            step = best[:, None] + c.step
+            back.append(step.argmax(0))
+            best = step.max(0) + e[k]
+        path = [int((best + c.stop).argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        assert crf.viterbi(c, e, np.array([len(words)])).tolist() == path[::-1]
+
+
 def test_clean_texts_stay(spark):
     """Words without digits never change."""
     docs = read(spark, "documents").where(~F.col("text").rlike("[0-9@]"))
