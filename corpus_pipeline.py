@@ -20,30 +20,47 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Empty and null texts are scored like any other. The ranker learns from the labelled
     documents among ``docs``; without labels of both classes it keeps all or, if every
-    label is 0, none.
+    label is 0, none. Equal texts score alike, a score equal to the bar stays, repeated rows and
+    null ids are scored like any row; an empty table stays empty.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, out="pipeline_quality").where(F.col("pipeline_quality") >= KEEP_QUALITY).drop("pipeline_quality")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies; five words and 80 percent."""
+    """One document of each group of near copies; five words and 80 percent.
+
+    The one of least id stays (null ids last), ties by a hash of the text. Rows of one id and
+    different texts are different documents; rows equal in id and text are one. Null, empty and
+    blank texts are in no group and all stay. An empty table stays empty.
+    """
     return jaccard.keep_one(docs, words=5, percent=80)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and secrets replaced by their kind; n_chars follows the text."""
+    """All documents, personal data and secrets replaced by their kind; n_chars follows the text.
+
+    Null and empty texts stay as they are; repeated rows come out alike; an empty table stays empty.
+    """
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies in random order, sources weighted by the square root of their counts; a document may get none."""
+    """Copies in random order, sources weighted by the square root of their counts; a document may get none.
+
+    A null source is a source of its own, null ids hash as one id, rows of one id get equal
+    counts; texts are carried whatever they are. An empty table stays empty.
+    """
     return mixing.mix(docs, None, MIX_FACTOR, MIX_SEED).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their place in a training sequence."""
+    """Pieces of at most 2048 tokens with their place in a training sequence.
+
+    A null or empty text is its end token alone; copies and equal texts are packed each; ties
+    between equal lengths go by where the rows lie. An empty table gives an empty result.
+    """
     return packing.pack(packing.pieces(docs, packing.tokenizer_path()))
 
 

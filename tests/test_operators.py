@@ -178,6 +178,22 @@ def test_detection_finds_planted_changes(spark):
     pair.unpersist()
 
 
+def test_detection_query_tells_structures_from_fields(spark):
+    from terralume.plans.objects import PLANTED
+    from terralume.plans.queries import QUERIES
+
+    rows = QUERIES["detect_changes"](spark, "").collect()
+    met = {}
+    for y, x, h, w, _, after in PLANTED:
+        met[y, x] = [r for r in rows if r["x"] < x + w and x < r["x"] + r["w"] and r["y"] < y + h and y < r["y"] + r["h"]]
+    assert any(r["accept"] for r in met[40, 40]) and any(r["accept"] for r in met[60, 200])
+    road = max(met[150, 30], key=lambda r: r["area_px"])
+    assert road["kind"] == "road-like" and road["accept"] and road["w"] > 60
+    assert all(not r["accept"] and r["reason"].startswith("still vegetated afterwards (NDVI") for r in met[240, 60]) and met[240, 60]
+    assert all((r["reason"] == "") == r["accept"] for r in rows)
+    assert sum(r["accept"] for r in rows) <= 6  # traps: speckles, moisture, a cloud
+
+
 def test_clouds_are_not_valid(spark):
     from terralume.plans.detect import clear_pair, detect_changes, synthetic_pair
     from terralume.sources.work import WorkFolder
@@ -306,3 +322,110 @@ def test_answer_chunks(spark, tmp_path):
     got.awaitTermination()
     rows = spark.table("chunks").collect()
     assert "".join(r["content"] for r in rows) == "hi!" and [r["error"] for r in rows if r["error"]] == ["gone"]
+
+
+# ------------------------------------------------------------------ regions of the queries, by plain loops
+
+
+def plain_regions(spark, sf):
+    from terralume.plans.queries import QUERIES
+
+    out = {}
+    for r in QUERIES["connected_components"](spark, sf).collect():
+        out.setdefault(r["region"], set()).add((r["x"], r["y"]))
+    return out
+
+
+def around(p, reach=1):
+    return {(p[0] + i, p[1] + j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)}
+
+
+def plain_shape(pixels):
+    """Area, rectangularity, solidity and aspect of a region after closing and filling, on sets of points."""
+    grown = set().union(*map(around, pixels))
+    shape = {p for p in grown if around(p) <= grown}
+    x0, x1, y0, y1 = min(x for x, _ in shape) - 1, max(x for x, _ in shape) + 1, min(y for _, y in shape) - 1, max(y for _, y in shape) + 1
+    out, todo = {(x0, y0)}, [(x0, y0)]
+    while todo:
+        x, y = todo.pop()
+        for q in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+            if x0 <= q[0] <= x1 and y0 <= q[1] <= y1 and q not in shape and q not in out:
+                out.add(q)
+                todo.append(q)
+    shape = {(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)} - out
+    area = len(shape)
+    if area < 16:
+        return area, 0.0, 0.0, 1.0
+    p = np.array(sorted(shape), float)
+    # the hull is where no line through two points has all others on one side
+    lines = []
+    edge = [q for q in shape if not around(q) <= shape]
+    for a in edge:
+        for b in edge:
+            if a != b:
+                side = (b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0])
+                if (side >= 0).all():
+                    lines.append((a, b))
+    yy, xx = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
+    inside = np.ones(yy.shape, bool)
+    best = None
+    for a, b in lines:
+        inside &= (b[0] - a[0]) * (yy - a[1]) - (b[1] - a[1]) * (xx - a[0]) >= 0
+        u = np.array([b[0] - a[0], b[1] - a[1]]) / np.hypot(b[0] - a[0], b[1] - a[1])
+        w, d = np.ptp(p @ u), np.ptp(p @ np.array([-u[1], u[0]]))
+        if best is None or w * d < best[0] * best[1] - 1e-9:
+            best = (w, d)
+    w, d = best[0] + 1, best[1] + 1
+    return area, min(area / (w * d), 1.0), min(area / inside.sum(), 1.0), max(w, d) / min(w, d)
+
+
+def test_shape_metrics_equal_plain_loops(spark):
+    from terralume.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    regions = plain_regions(spark, sf)
+    got = {r["region"]: r for r in QUERIES["shape_metrics"](spark, sf).collect()}
+    assert got.keys() == regions.keys()
+    for k, pixels in regions.items():
+        area, box, convex, aspect = plain_shape(pixels)
+        assert got[k]["area"] == area
+        assert (got[k]["rectangularity"], got[k]["solidity"]) == (pytest.approx(box, abs=0.0051), pytest.approx(convex, abs=0.0051))
+        assert got[k]["aspect"] == pytest.approx(aspect, abs=0.051) or box * area < 30  # equal boxes may lie either way
+        assert 0 <= got[k]["skeleton_px"] <= area and (area < 16) == (got[k]["skeleton_px"] == 0)
+
+
+def plain_footprint(region, value):
+    cross = lambda ps: ps | {(x + i, y + j) for x, y in ps for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))}
+    near = {p for p in cross(cross(region)) if p in value}
+    v = np.array([value[p] for p in near])
+    if len(v) < 12 or np.ptp(v) < 1e-4:
+        return region
+    n, edges = np.histogram(v, 256)
+    mid = (edges[1:] + edges[:-1]) / 2
+    split = max(range(255), key=lambda k: (n[: k + 1].sum() * n[k + 1 :].sum() * ((n[: k + 1] @ mid[: k + 1]) / max(n[: k + 1].sum(), 1) - (n[k + 1 :] @ mid[k + 1 :]) / max(n[k + 1 :].sum(), 1)) ** 2, -k))
+    left, pieces = {p for p in near if value[p] >= mid[split]}, []
+    while left:
+        piece, todo = set(), [left.pop()]
+        while todo:
+            p = todo.pop()
+            piece.add(p)
+            more = around(p) & left
+            left -= more
+            todo += more
+        pieces.append(piece)
+    most = max(map(len, pieces))
+    kept = set().union(*[p for p in pieces if len(p) >= max(6, 0.08 * most)])
+    return kept if len(kept) >= 4 else region
+
+
+def test_footprints_equal_plain_loops(spark):
+    from terralume.plans import fixtures as fx
+    from terralume.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    value = {(r["x"], r["y"]): float(abs(r["dq"])) for r in fx.quantity_change(spark, sf).collect()}
+    got = {}
+    for r in QUERIES["footprint_refine"](spark, sf).collect():
+        got.setdefault(r["region"], set()).add((r["x"], r["y"]))
+    want = {k: plain_footprint(p, value) for k, p in plain_regions(spark, sf).items()}
+    assert got == {k: p for k, p in want.items() if p}
