@@ -303,12 +303,10 @@ class JaccardJoin:
         roots = components(first, "jaccard-roots")
 
         # second round: what is left, between different roots of one list
-        left = lists.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = left.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("h", "m")
-        left = spread_join(left, work.put("mixed", mixed), "h", "m", n_rows).drop("m")
-        units = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
+        left = lists.select("h", "cls", "pos", "n").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        units = self._apart(work.put("rooted", left), n_rows)
         second = self._links("second", self._pairs(units, False))
-        work.drop("prefixes", "lists", "shared", "mixed")
+        work.drop("prefixes", "lists", "shared", "rooted", "large", "groups")
         roots = components(first.unionAll(second), "jaccard-components")
         self.owner = work.put("owner", classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
         #: one row a component: its first row, and how many classes it has
@@ -347,6 +345,27 @@ class JaccardJoin:
         units = units.select("h", "i", "j", "cls", "pos", "n", "root", "part").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         return units.mapInArrow(lambda it: _candidates(it, percent, star), "a long, b long").distinct()
 
+    def _apart(self, rows: DataFrame, total: int) -> DataFrame:
+        """Units (i, j) of bins of a list's rows whose classes are of different roots.
+
+        A root with over UNIT rows in a list has bins of its own, which never meet one another;
+        the list's other rows share bins, which meet all. So a list of one large group and a
+        few strangers costs its rows once for every bin of strangers.
+        """
+        rows = rows.withColumn("hr", F.struct("h", "root"))
+        large = self.work.put("large", rows.groupBy("hr").agg(F.count("*").alias("k")).where(F.col("k") > UNIT))
+        rows = rows.withColumn("k", F.lit(None).cast("long")) if large.isEmpty() else spread_join(rows, large, "hr", "k", total, "left")
+        rows = rows.withColumn("hg", F.struct("h", F.col("k").isNotNull().alias("own"), F.when(F.col("k").isNotNull(), F.col("root")).otherwise(0).alias("of"))).drop("hr", "k")
+        groups = rows.groupBy("hg").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).withColumn("bins", F.ceil(F.col("c") / UNIT).cast("int"))
+        of_list = W.partitionBy("hg.h")
+        groups = groups.withColumns({"first": (F.sum("bins").over(of_list.orderBy("hg.own", "hg.of").rowsBetween(W.unboundedPreceding, 0)) - F.col("bins")).cast("int"), "all": F.sum("bins").over(of_list).cast("int"), "least": F.min("low").over(of_list), "most": F.max("high").over(of_list)})
+        groups = self.work.put("groups", groups.where("least <> most").select("hg", "c", "bins", "first", "all"))
+        rows = spread_join(rows, groups, "hg", "c", total)
+        rows = rows.withColumn("part", F.col("first") + F.pmod(F.xxhash64("cls"), F.col("bins")).cast("int"))
+        others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda b: ~(F.col("hg.own") & (b >= F.col("first")) & (b < F.col("first") + F.col("bins"))))
+        met = rows.withColumn("other", F.explode(others))
+        return met.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "pos", "n", "root", "part")
+
     def _dealt(self, name: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b, salt) with the busier class as ``a``, and a table of hubs (node, parts): at most about HUB pairs an (a, salt)."""
         ends = F.explode(F.array("a", "b")).alias("node")

@@ -521,6 +521,29 @@ def test_hubs_and_hot_keys_are_split(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == sorted({c for _, c in want.values()})
 
 
+def test_large_groups_meet_strangers_only(spark, monkeypatch):
+    """Lists with several roots of more rows than a unit: bins of one root never meet, links across roots are found."""
+    monkeypatch.setattr(jaccard, "UNIT", 8)
+    rng = random.Random(12)
+    core = ["c%d" % k for k in range(60)]
+    texts, n = {}, 0
+    for g in range(4):  # groups that share half of their words, each around its own text
+        base = core[:30] + ["g%d_%d" % (g, k) for k in range(30)]
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2])):
+                copy[rng.randrange(60)] = "r%d" % rng.randrange(10**6)
+            texts[n] = " ".join(copy)
+            n += 1
+    for _ in range(30):  # bridges and strangers
+        texts[n] = " ".join(core[: rng.randrange(20, 60)] + ["s%d" % rng.randrange(5) for _ in range(rng.randrange(1, 8))])
+        n += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for words, percent in ((4, 85), (1, 60), (2, 40)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df, words, percent).collect()}
+        assert got == brute_components(texts, words, percent)
+
+
 def test_keep_one_loses_no_document(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(1, a, "p"), (1, b, "p"), (1, b, "q"), (2, a + " z", "p"), (None, c, "p"), (None, c, "p"), (None, b, "p"), (3, "", "p"), (3, "", "p"), (3, None, "p"), (4, c + " z", "p"), (4, c + " y", "p")]
