@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
+from ..sources.work import WorkFolder
 from . import geometry
 from .graph import components
 
@@ -97,9 +98,24 @@ def remove_small(regions: DataFrame, least: int, keys=()) -> DataFrame:
 
 
 def ranked(regions: DataFrame, significance: str = "significance", keys=()) -> DataFrame:
-    """Regions renumbered from 1 by area times significance, ties by their old number."""
-    order = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return regions.withColumn("id", F.row_number().over(order.orderBy(F.desc(F.col("area_px") * F.col(significance)), "region")))
+    """Regions renumbered from 1 by area times significance, ties by their old number.
+
+    Without keys there is one order for all: rows are dealt by ranges of it and written, each
+    task's rows are numbered, and the counts of earlier tasks are added.
+    """
+    value = F.col("area_px") * F.col(significance)
+    if keys:
+        return regions.withColumn("id", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(value), "region")))
+    names = regions.columns
+    order = [F.desc("_value"), F.asc("region")]
+    dealt = regions.withColumn("_value", value).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = WorkFolder(regions.sparkSession, "ranked").put("rows", dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))  # one row a task
+    inside = F.col("_at") - F.shiftleft(F.col("_part"), 33) + 1
+    got = dealt.withColumn("_part", part).join(before, "_part")
+    return got.withColumn("id", (F.col("_before") + inside).cast("int")).select(*[c for c in names if c != "id"], "id")
 
 
 def top(regions: DataFrame, score: str, n: int, tie: str = "region") -> DataFrame:

@@ -153,7 +153,7 @@ def point_in_bounds(spark, sf_dir):
     k = F.col("c_custkey")
     points = table(spark, sf_dir, "customer").select(k.alias("point_id"), (k * 71 % 1000 + 0.5).alias("px"), (k * 29 % 1000 + 0.5).alias("py"))
     r = _rasters(spark, sf_dir)
-    return scenes.containing(points, r, small=r.count() <= 100_000)
+    return scenes.containing(points, r)
 
 
 @query(f"WITH {_RASTERS}, c AS (SELECT raster_id, greatest(x0, 200.0) AS cx0, greatest(y0, 150.0) AS cy0, least(x1, 700.0) AS cx1, least(y1, 650.0) AS cy1 FROM ra) SELECT * FROM c WHERE cx0 < cx1 AND cy0 < cy1")

@@ -227,6 +227,26 @@ def test_box_overlap_value(spark):
     assert rg.overlapping(b).first()["overlap"] == 0.5
 
 
+def test_ranks_over_several_tasks(spark):
+    df = spark.range(500).select(F.col("id").alias("region"), (F.col("id") * 37 % 50 + 1).alias("area_px"), (F.col("id") % 7 + 0.5).alias("significance"))
+    got = [(r["id"], r["region"]) for r in rg.ranked(df.repartition(6)).orderBy("id").collect()]
+    want = sorted(df.collect(), key=lambda r: (-r["area_px"] * r["significance"], r["region"]))
+    assert got == [(k, r["region"]) for k, r in enumerate(want, 1)]
+    assert rg.ranked(df.where("region < 0")).count() == 0
+
+
+def test_containing_by_cells_equals_broadcast(spark, monkeypatch):
+    from terralume.operators import scenes
+
+    rng = np.random.default_rng(4)
+    boxes = [(i, float(x), float(y), float(x + rng.integers(1, 30)), float(y + rng.integers(1, 30))) for i, (x, y) in enumerate(rng.integers(-50, 200, (60, 2)))]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(-60, 240, (300, 2)))], "point_id long, px double, py double")
+    bounds = spark.createDataFrame(boxes, "raster_id long, x0 double, y0 double, x1 double, y1 double")
+    one = sorted(tuple(r) for r in scenes.containing(points, bounds).collect())
+    monkeypatch.setattr(scenes, "BROADCAST_RASTERS", 0)
+    assert sorted(tuple(r) for r in scenes.containing(points, bounds).collect()) == one and any(r[2] for r in one)
+
+
 def test_majority_takes_the_lowest_of_equals(spark):
     rows = spark.createDataFrame([(1, 6), (1, 2), (1, 0), (1, 0), (1, 0)], "region int, class_code int")
     assert rg.majority(rows).first()["class_code"] == 2
