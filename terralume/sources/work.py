@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +19,13 @@ class WorkFolder:
 
     On a cluster the setting must be there: other machines would miss a local folder's files.
 
-    A written table cuts lineage: a lost executor costs a reread, not a recomputation.
+    A written table cuts lineage: a lost executor costs a reread, not a recomputation. Results
+    read some of the tables; :func:`clear` deletes all that this process has made, once results
+    are written.
     """
 
+    made: ClassVar[list[WorkFolder]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
@@ -29,6 +34,7 @@ class WorkFolder:
             base = f"file://{tempfile.gettempdir()}/terralume-work"
         self.spark = spark
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.made.append(self)
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write and read again; shuffle files of the writing plan, which nothing reads any more, are deleted."""
@@ -45,7 +51,18 @@ class WorkFolder:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, f"{self.path}/{name}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all work folders of this process; returns how many. No earlier result can be read any more."""
+    folders, WorkFolder.made[:] = WorkFolder.made[:], []
+    for f in folders:
+        _delete(spark, f.path)
+    return len(folders)

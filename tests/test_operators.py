@@ -227,6 +227,18 @@ def test_box_overlap_value(spark):
     assert rg.overlapping(b).first()["overlap"] == 0.5
 
 
+def test_work_folders_can_be_cleared(spark, monkeypatch, tmp_path):
+    import os
+
+    from terralume.sources import work
+
+    monkeypatch.setattr(work.WorkFolder, "made", [])
+    folder = work.WorkFolder(spark, "clear")
+    assert folder.put("t", spark.range(5)).count() == 5
+    path = folder.path.removeprefix("file://")
+    assert os.path.exists(path) and work.clear(spark) == 1 and not os.path.exists(path) and work.clear(spark) == 0
+
+
 def test_ranks_over_several_tasks(spark):
     df = spark.range(500).select(F.col("id").alias("region"), (F.col("id") * 37 % 50 + 1).alias("area_px"), (F.col("id") % 7 + 0.5).alias("significance"))
     got = [(r["id"], r["region"]) for r in rg.ranked(df.repartition(6)).orderBy("id").collect()]
