@@ -232,6 +232,7 @@ def test_language_model_base_and_gain(spark):
         r = got.loc[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in c for w in t), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        assert np.log10(r["perplexity"]) == pytest.approx(-r["score"] / len(t))
     held = got[got["held_out"]]
     assert held["score"].sum() > 0.83 * held["base_score"].sum() and (held["score"] > held["base_score"]).mean() > 0.95
     copies = Counter(r["text"] for r in read(spark, "documents").collect())
