@@ -96,9 +96,9 @@ def give_back() -> None:
 
 
 def long_rows(df: DataFrame) -> DataFrame:
-    """The same rows, in a session whose Arrow batches hold at most 2000 rows or 16 MB: whole texts are long rows."""
+    """The same rows, in a session whose Arrow batches hold at most 2000 rows or 4 MB: whole texts are long rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return df
 
 

@@ -17,12 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Ids, WorkFolder, fresh, long_rows, mix64, spread_join, table, text_batches, word_ids
+from .common import Ids, WorkFolder, fresh, give_back, long_rows, mix64, spread_join, table, text_batches, word_ids
 
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
 #: Most shingles whose frequency orders them (the rest count as rare) and least count in a task to be looked at.
-FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 21, 2, 2_000_000
+FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 21, 2, 1_000_000
 #: Classes of a posting list that are compared in one unit; longer lists become several units.
 UNIT = 256
 #: Bits of the filter of wanted documents.
@@ -183,6 +183,8 @@ def _units(batches, key: list[str]):
             held = t
     if held is not None and len(held):
         yield held, np.array([len(held)])
+    del held
+    give_back()
 
 
 def _candidates(batches, percent: int, star: bool):
@@ -232,6 +234,7 @@ def _filtered(batches, percent: int):
         ok = np.array([_may_link(x, y, n, m, percent) for n, m, x, y in zip(*rows)], bool)
         keep = pa.array(np.flatnonzero(ok))
         yield pa.RecordBatch.from_arrays([batch.column(k).take(keep) for k in (0, 1, 6)], ["a", "b", "salt"])
+    give_back()
 
 
 def _wanted_sets(batches, words: int, bits: np.ndarray):
@@ -265,6 +268,7 @@ def _verify(batches, percent: int):
                 us.append(a)
                 vs.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+    give_back()
 
 
 class JaccardJoin:
