@@ -101,7 +101,7 @@ def viterbi(chain: Chain, emissions: np.ndarray, size: np.ndarray) -> np.ndarray
     a = 0
     while a < len(order):
         b = a + 1
-        while b < len(order) and (b - a + 1) * size[order[b]] <= 1_000_000:
+        while b < len(order) and (b - a + 1) * size[order[b]] <= 400_000:
             b += 1
         own = order[a:b]
         t = int(size[own[-1]])
