@@ -7,7 +7,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,20 +172,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return runs
 
 
-def _numbered(batches, at: int, capacity: int, names: list[str]):
-    """Rows with the task's number and each row's rank among the task's rows of its length; null if it can't be packed."""
-    part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-    for batch in batches:
-        n = np.asarray(batch.column(at).cast(pa.int64()).fill_null(0))
-        n = np.where((n < 1) | (n > capacity), 0, n)
-        order = np.argsort(n, kind="stable")
-        count = np.bincount(n, minlength=capacity + 1)
-        rank = np.empty(len(n), np.int64)
-        rank[order] = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(seen, count)
-        seen += count
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(rank, mask=n == 0)], names)
-
-
 def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", work: WorkFolder | None = None) -> DataFrame:
     """All rows of ``items`` with sequence_id and offset (long), packed into sequences of ``capacity``.
 
@@ -194,21 +179,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", wor
     packed and gets null for both. An empty table gives an empty result. Columns of the two
     names are replaced, all others stay whatever their names.
 
-    An item's place is its rank among the items of its length: its rank in the task that
-    wrote it, and the items of earlier tasks. So one hot length is as spread as the rows are;
+    An item's place is its rank among the items of its length: its rank among those that its
+    task wrote, and the items of earlier tasks. So one hot length is as spread as the rows are;
     only the counts of lengths (at most ``capacity`` rows) reach the driver.
     """
     work = work or WorkFolder(items.sparkSession, "packing")
     items = items.select([c for c in items.columns if c == length or c.lower() not in ("sequence_id", "offset")])
-    part, rank, before, of, by = fresh([*items.columns, "sequence_id", "offset"], "pack_part", "pack_rank", "pack_before", "pack_length", "pack_task")
-    at, most, wide = items.columns.index(length), capacity, [*items.columns, part, rank]
-    rows = work.put("rows", items.mapInArrow(lambda it: _numbered(it, at, most, wide), with_fields(items, f"{part} int, {rank} long")))
-    sizes = rows.where(F.col(rank).isNotNull()).groupBy(F.col(length).cast("long").alias("n"), F.col(part).alias("p")).agg(F.count("*").alias("c"))
-    counts = {r["n"]: r["c"] for r in sizes.groupBy("n").agg(F.sum("c").alias("c")).collect()}
+    row, rank, before, of, by = fresh([*items.columns, "sequence_id", "offset"], "pack_row", "pack_rank", "pack_before", "pack_length", "pack_task")
+    rows = work.put("rows", items.withColumn(row, F.monotonically_increasing_id()))
+    n = F.col(length).cast("long")
+    rows = rows.withColumn(of, F.when(n.between(1, capacity), n)).withColumn(by, F.shiftright(row, 33))
+    sizes = rows.where(F.col(of).isNotNull()).groupBy(of, by).agg(F.count("*").alias("c"))
+    counts = {r[of]: r["c"] for r in sizes.groupBy(of).agg(F.sum("c").alias("c")).collect()}
     runs = np.array(sorted(plan(counts, capacity)) or np.empty((0, 5)), dtype=np.int64)
-    first = sizes.select(F.col("n").alias(of), F.col("p").alias(by), (F.sum("c").over(W.partitionBy("n").orderBy("p")) - F.col("c")).alias(before))
-    ranked = rows.join(first, (F.col(length).cast("long") == F.col(of)) & (F.col(part) == F.col(by)), "left")
-    ranked = ranked.select(*items.columns, (F.col(rank) + F.coalesce(before, F.lit(0))).alias(rank))
+    first = sizes.select(of, by, (F.sum("c").over(W.partitionBy(of).orderBy(by)) - F.col("c")).alias(before))
+    ranked = rows.withColumn(rank, F.row_number().over(W.partitionBy(of, by).orderBy(row)) - 1).join(first, [of, by], "left")
+    ranked = ranked.select(*items.columns, F.when(F.col(of).isNotNull(), F.col(rank) + F.col(before)).alias(rank))
     sent = items.sparkSession.sparkContext.broadcast(runs)
     names = items.columns
 
