@@ -51,3 +51,68 @@ def test_token_counts_query(spark):
     got = {r.doc_id: r.n_tokens for r in token_counts.op11_token_resync(spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert got == dict(zip([r.doc_id for r in rows], library([r.text for r in rows])))
+
+
+def plain_variants(docs):
+    import re
+    from collections import Counter
+    from zlib import crc32
+
+    n = Counter()
+    for i, text in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+            h = crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 31 == 0:
+                k = h % len(w)
+                w = w[:k] + w[k + 1 :]
+            n[w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+    shapes = {}
+    for w in n:  # a replaced or deleted code point leaves a hole in common
+        for k in range(len(w)):
+            shapes.setdefault((w[:k], w[k + 1 :]), set()).add(w)
+    near = {w: set() for w in n}
+    for (a, b), same in shapes.items():
+        for w in same:
+            near[w] |= same - {w}
+            if a + b in n:
+                near[w].add(a + b)
+                near[a + b].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return sorted(out)
+
+
+def test_variants_against_all_holes(spark):
+    from terralume.llm import spelling
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = sorted(map(tuple, spelling.op12_spelling_variants(spark, SF).collect()))
+    assert got == plain_variants(docs)
+
+
+@pytest.mark.parametrize("shard", [20_000, 40])
+def test_variants_hot_edges_long_words_chains(spark, shard, monkeypatch):
+    """Many words of one beginning or end, words of over 16 code points, chains of forms, odd rows; shards of 40 split the hot edges."""
+    from terralume.llm import spelling
+
+    r = random.Random(5)
+    words = ["begin" + "".join(r.choice("abà") for _ in range(r.randint(2, 5))) for _ in range(150)]
+    words += ["".join(r.choice("abÿ") for _ in range(r.randint(3, 5))) + "ending" for _ in range(150)]
+    words += ["x" * 12 + "".join(r.choice("ab") for _ in range(r.randint(5, 9))) for _ in range(80)] + ["aaaaaaa", "aaaaaaaa", "aaaaaaaaa", "aaabaaaa"] * 3
+    chain = ["chained" + "s" * k for k in range(4) for _ in range(2 * 11**k)]
+    docs = [(i, " ".join(r.choices(words, k=60)) + " Ω×÷ — end") for i in range(60)] + [(None, " ".join(chain)), (None, None), (3, ""), (3, "A-Z" * 9000), (4, "word" * 900), (4, "word" * 900)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "`a.id` long, text string, word int")
+    monkeypatch.setattr(spelling.near_words, "__defaults__", (shard,))
+    got = sorted(map(tuple, spelling.group_variants(df, "a.id").collect()))
+    assert got == plain_variants(docs)
+    assert spelling.group_variants(df.limit(0), "a.id").count() == 0
