@@ -116,3 +116,79 @@ def test_variants_hot_edges_long_words_chains(spark, shard, monkeypatch):
     got = sorted(map(tuple, spelling.group_variants(df, "a.id").collect()))
     assert got == plain_variants(docs)
     assert spelling.group_variants(df.limit(0), "a.id").count() == 0
+
+
+def plain_runs(words, least=12):
+    """All maximal runs by trying every period at every place."""
+    n, found = len(words), {}
+    for q in range(1, n // 2 + 1):
+        s = 0
+        while s + q < n:
+            e = s + q
+            while e < n and words[e] == words[e - q]:
+                e += 1
+            if e - s >= max(least, 2 * q):
+                found.setdefault((s, e), q)  # the smallest period comes first
+            s = max(s + 1, e - q + 1)
+    return sorted(((s, e, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_runs_against_all_periods():
+    import numpy as np
+
+    from terralume.llm import periodic
+
+    r = random.Random(11)
+    for k in range(400):
+        a = r.choice([1, 2, 3, 5])
+        w = [r.randrange(a) for _ in range(r.randint(0, 90))]
+        for _ in range(r.randint(0, 4)):  # repeated pieces, some twice over, so that runs are copied
+            piece = [r.randrange(a) for _ in range(r.randint(1, 9))] * r.randint(1, 9)
+            piece = piece[: len(piece) - r.randint(0, 2)] + ([9] if r.random() < 0.5 else [])
+            w += (piece + [7 + r.randrange(3)]) * r.randint(1, 3)
+        least = r.choice([12, 12, 2, 5])
+        assert list(map(tuple, periodic.runs(np.array(w, np.int64), least).tolist())) == plain_runs(w, least), (k, w, least)
+    fib = [0, 1]
+    a, b = [0], [0, 1]
+    while len(b) < 600:
+        a, b = b, b + a
+    assert list(map(tuple, periodic.runs(np.array(b), 2).tolist())) == plain_runs(b, 2)
+    thue = [bin(i).count("1") % 2 for i in range(512)]
+    assert list(map(tuple, periodic.runs(np.array(thue), 3).tolist())) == plain_runs(thue, 3)
+
+
+def plain_periodic_row(doc_id, text, rewrite):
+    import hashlib
+    import re
+    from zlib import crc32
+
+    w = re.findall("[^\x20\x09-\x0d]+", text or "")
+    n, h = len(w), crc32(str(doc_id).encode())
+    if rewrite and doc_id is not None and h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    found = plain_runs(w)
+    gone = {i for s, e, q in found for i in range(s + q, e)}
+    best = min(found, key=lambda r: (r[0] - r[1], r[0], r[2]), default=None)
+    row = (best[0], best[1] - best[0], best[2], 1000 * (best[1] - best[0]) // best[2]) if best else (None,) * 4
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    return (doc_id, len(found), *row, digest("".join(f"{s},{e - s},{q}\n" for s, e, q in found)), digest(" ".join(w[i] for i in range(n) if i not in gone)))
+
+
+def test_runs_query_and_odd_rows(spark):
+    from terralume.llm import periodic
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    short = {i for i, t in docs if len((t or "").split()) < 700}
+    got = [tuple(r) for r in periodic.op13_periodic_runs(spark, SF).collect()]
+    assert len(got) == len(docs)
+    assert sorted(g for g in got if g[0] in short) == sorted(plain_periodic_row(i, t, True) for i, t in docs if i in short)
+    odd = [(None, "a b " * 9), (1, None), (2, ""), (3, " \t\n"), (4, "x " * 40_000), (5, "a b c " * 20), (5, "a b c " * 20), (5, "A a " * 6), (6, "é é " * 12)]
+    df = spark.createDataFrame([(*d, 1) for d in odd], "`a.id` long, text string, key int")
+    got = sorted((tuple(r) for r in periodic.find_runs(df, "a.id").collect()), key=str)
+    want = [plain_periodic_row(i, t, False) if i != 4 else None for i, t in odd]
+    assert [g for g in got if g[0] != 4] == sorted([w for w in want if w], key=str)
+    assert [g[1:6] for g in got if g[0] == 4] == [(1, 0, 40_000, 1, 40_000_000)]
+    assert periodic.find_runs(df.limit(0), "a.id").count() == 0
