@@ -94,19 +94,20 @@ def band_mse(rows: DataFrame, bands: list[str]) -> DataFrame:
     return one.selectExpr(f"stack({len(pairs)}, " + ", ".join(f"'{a}', '{b}', {a}__{b}" for a, b in pairs) + ") AS (band, other, mse)")
 
 
-def otsu(rows: DataFrame, group: str, value: str, bins: int = 256) -> DataFrame:
+def otsu(rows: DataFrame, group: str | list[str], value: str, bins: int = 256) -> DataFrame:
     """(group, threshold): the histogram's split of greatest variance between its sides, by group; none where all values are equal.
 
     Only bins that hold something are rows; an empty bin splits like the one before it.
     """
-    ends = rows.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo < _hi")
+    group = [group] if isinstance(group, str) else list(group)
+    ends = rows.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo < _hi")
     step = (F.col("_hi") - F.col("_lo")) / float(bins)
     n = rows.join(ends, group).withColumn("_k", F.least(F.floor((F.col(value) - F.col("_lo")) / step), F.lit(bins - 1)))
-    n = n.groupBy(group, "_k").agg(F.count("*").cast("double").alias("_n"), F.first(F.col("_lo") + (F.col("_k") + 0.5) * step).alias("_mid"))
-    every, so_far = W.partitionBy(group), W.partitionBy(group).orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
+    n = n.groupBy(*group, "_k").agg(F.count("*").cast("double").alias("_n"), F.first(F.col("_lo") + (F.col("_k") + 0.5) * step).alias("_mid"))
+    every, so_far = W.partitionBy(*group), W.partitionBy(*group).orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
     mass = F.col("_n") * F.col("_mid")
     n = n.withColumns({"_w": F.sum("_n").over(so_far), "_s": F.sum(mass).over(so_far), "_all": F.sum("_n").over(every), "_sum": F.sum(mass).over(every)})
     rest = F.col("_all") - F.col("_w")
     gap = F.col("_s") / F.col("_w") - (F.col("_sum") - F.col("_s")) / rest
     n = n.where(rest > 0).withColumn("_v", F.round(F.col("_w") * rest * gap * gap, 9))
-    return n.groupBy(group).agg(F.max(F.struct("_v", -F.col("_k"), "_mid"))["_mid"].alias("threshold"))
+    return n.groupBy(*group).agg(F.max(F.struct("_v", -F.col("_k"), "_mid"))["_mid"].alias("threshold"))

@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import indices as ix
 from ..sources.work import WorkFolder
-from . import geometry
+from . import evaluate, geometry
 from .graph import components
+from .shapes import hulls, shapes
+
+__all__ = ["footprints", "greedy_merge", "hulls", "hysteresis", "label", "majority", "overlapping", "position", "ranked", "remove_small", "shapes", "top", "without_slivers", "zonal"]
 
 #: Side of the tiles that are labelled on their own.
 TILE = 512
 
 
-def label(pixels: DataFrame, mask: Column, width: int, keys=(), tile: int = TILE) -> DataFrame:
-    """(keys, x, y, region): 8-connected regions of the set pixels, named by their least y * width + x.
+def label(pixels: DataFrame, mask: Column, width: int, keys=(), tile: int = TILE, name: str = "region") -> DataFrame:
+    """(keys, x, y, <name>): 8-connected regions of the set pixels, named by their least y * width + x.
 
     Tiles are labelled on their own; pixels on both sides of a tile border tie their labels,
     and only those ties go through the distributed component search. The result does not
@@ -35,26 +38,22 @@ def label(pixels: DataFrame, mask: Column, width: int, keys=(), tile: int = TILE
         place = y * width + x
         least = np.full(lab.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, lab, place)
-        return pdf.assign(region=least[lab])
+        return pdf.assign(**{name: least[lab]})
 
-    schema = ", ".join([*[f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys], "x long", "y long", "tx long", "ty long", "region long"])
-    tiled = on.groupBy(*keys, "tx", "ty").applyInPandas(one, schema)
-    edge = (F.pmod("x", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("y", F.lit(tile)).isin(0, tile - 1))
-    spans = pixels.agg(F.floor(F.max("x") / tile) - F.floor(F.min("x") / tile), F.floor(F.max("y") / tile) - F.floor(F.min("y") / tile)).first()
-    if not any(spans or ()):
+    schema = ", ".join([*[f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys], f"x long, y long, tx long, ty long, `{name}` long"])
+    tiled = WorkFolder(pixels.sparkSession, "label").put("tiled", on.groupBy(*keys, "tx", "ty").applyInPandas(one, schema))
+    if not tiled.groupBy(*keys).agg(((F.min("tx") < F.max("tx")) | (F.min("ty") < F.max("ty"))).alias("many")).where("many").head(1):
         return tiled.drop("tx", "ty")  # one tile a scene
-    border = tiled.where(edge)
+    border = tiled.where((F.pmod("x", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("y", F.lit(tile)).isin(0, tile - 1)))
     move = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    reach = border.select(*keys, "tx", "ty", "region", "x", "y", move.alias("m")).select(*keys, (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), "tx", "ty", F.col("region").alias("other"))
+    reach = border.select(*keys, "tx", "ty", F.col(name).alias("other"), "x", "y", move.alias("m")).select(*keys, (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), "tx", "ty", "other")
     ties = border.withColumnRenamed("tx", "bx").withColumnRenamed("ty", "by").join(reach, [*keys, "x", "y"]).where("tx <> bx OR ty <> by")
     # labels of different scenes may be equal: they are told apart by a number of the scene and label
-    name = (lambda c: F.xxhash64(*keys, c)) if keys else F.col
-    roots = components(ties.select(name("region").alias("u"), name("other").alias("v")), "regions")
-    tiled = tiled.withColumn("node", name("region"))
-    group = F.coalesce("root", "node")
-    least = tiled.join(roots, "node", "left").withColumn("root", group)
-    names = least.groupBy("root").agg(F.min("region").alias("least"))
-    return least.join(names, "root").select(*keys, "x", "y", F.col("least").alias("region"))
+    node = (lambda c: F.xxhash64(*keys, c)) if keys else F.col
+    roots = components(ties.select(node(name).alias("u"), node("other").alias("v")), "regions")
+    grouped = tiled.withColumn("node", node(name)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = grouped.groupBy("root").agg(F.min(name).alias("least"))
+    return grouped.join(names, "root").select(*keys, "x", "y", F.col("least").alias(name))
 
 
 def hysteresis(pixels: DataFrame, value: str, low: float, high: float, width: int, keys=(), valid: Column | None = None) -> DataFrame:
@@ -122,32 +121,31 @@ def top(regions: DataFrame, score: str, n: int, tie: str = "region") -> DataFram
     return regions.orderBy(F.desc(score), tie).limit(n)
 
 
-def shapes(rows: DataFrame, keys=("region",), least_px: int = 16) -> DataFrame:
-    """Shape metrics of each region, one region a group."""
-    keys = list(keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = geometry.metrics(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64), least_px)
-        return pd.DataFrame([{**pdf.iloc[0][keys].to_dict(), **m}])
-
-    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], "area long, rectangularity double, solidity double, aspect double, skeleton_px long, mean_width_px double"])
-    return rows.select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, schema)
-
+def footprints(regions: DataFrame, pixels: DataFrame, magnitude: str, keys=(), width: int | None = None) -> DataFrame:
+    """(keys, region, x, y) of each region's footprint, from the unsmoothed magnitude around it.
 
-def footprints(regions: DataFrame, pixels: DataFrame, magnitude: str, pad: int = 3, keys=()) -> DataFrame:
-    """(keys, region, x, y) of each region's footprint, from the unsmoothed magnitude around it."""
-    box = regions.groupBy(*keys, "region").agg((F.min("x") - pad).alias("x0"), (F.max("x") + pad).alias("x1"), (F.min("y") - pad).alias("y0"), (F.max("y") + pad).alias("y1"))
-    around = box.withColumn("x", F.explode(F.sequence("x0", "x1"))).withColumn("y", F.explode(F.sequence("y0", "y1"))).select(*keys, "region", "x", "y")
-    around = around.join(pixels.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(magnitude).alias("_m")), [*keys, "x", "y"])
-    around = around.join(regions.select(*keys, "region", "x", "y").withColumn("_in", F.lit(True)), [*keys, "region", "x", "y"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
-    names = [*keys, "region", "x", "y"]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = geometry.refine(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64), pdf["_in"].to_numpy(bool), pdf["_m"].to_numpy(float))
-        return pdf.loc[keep, names]
-
-    schema = ", ".join([*[f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys], "region long, x long, y long"])
-    return around.select(*names, "_in", "_m").groupBy(*keys, "region").applyInPandas(one, schema)
+    Pixels at most two steps from the region, of at least the Otsu threshold of their magnitude, in pieces of at
+    least 6 pixels and 8 percent of the largest. The region itself where there are fewer than 12
+    pixels, no contrast, or fewer than 4 left. Rows are made by offsets from the region's pixels, the threshold from a
+    histogram by region, pieces by :func:`label` with the region as a key, so no region is one group.
+    ``width`` is the raster's, by which pieces are named (a bound taken from the pixels if not given).
+    """
+    of = [*keys, "region"]
+    work = WorkFolder(pixels.sparkSession, "footprints")
+    own = work.put("own", regions.select(*of, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct())
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3) if abs(dx) + abs(dy) <= 2]))
+    near = own.withColumn("s", steps).select(*of, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).distinct()
+    near = work.put("near", near.join(pixels.select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(magnitude).cast("double").alias("_m")), [*keys, "x", "y"]))
+    width = width or (pixels.agg(F.max("x")).first()[0] or 0) + 1
+    fit = near.groupBy(*of).agg(F.count("*").alias("n"), (F.max("_m") - F.min("_m")).alias("span")).where("n >= 12 AND span >= 1e-4").select(*of)
+    strong = near.join(evaluate.otsu(near.join(fit, of), of, "_m"), of).where(F.col("_m") >= F.col("threshold"))
+    pieces = work.put("pieces", label(strong.select(*of, "x", "y"), F.lit(True), width, of, name="piece"))
+    sizes = pieces.groupBy(*of, "piece").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy(*of).agg(F.max("n").alias("most"))
+    kept = sizes.join(largest, of).where((F.col("n") >= 6) & (F.col("n") >= 0.08 * F.col("most")))
+    good = kept.groupBy(*of).agg(F.sum("n").alias("n")).where("n >= 4").select(*of)
+    found = pieces.join(kept.select(*of, "piece"), [*of, "piece"], "left_semi").join(good, of, "left_semi").select(*of, "x", "y")
+    return found.unionByName(own.join(good, of, "left_anti"))
 
 
 def overlapping(boxes: DataFrame, least: float = 0.4, cell: int = 256, keys=()) -> DataFrame:

@@ -205,11 +205,43 @@ def shape_metrics(spark, sf_dir):
     return rg.shapes(_labelled(spark, sf_dir)).withColumn("kind", rules.shape_kind())
 
 
-@query()
+#: Closed by a 3x3 square, then background that reaches no frame around the box; the hull's side on a line is the outermost of all segments between line ends.
+_FILLED = """dil AS (SELECT DISTINCT region, x + i AS x, y + j AS y FROM lab, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+clo AS (SELECT region, x, y FROM (SELECT region, x + i AS x, y + j AS y FROM dil, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) GROUP BY 1, 2, 3 HAVING count(*) = 9),
+bx AS (SELECT region, min(x) - 1 AS x0, max(x) + 1 AS x1, min(y) - 1 AS y0, max(y) + 1 AS y1 FROM clo GROUP BY 1),
+bg AS (SELECT * FROM (SELECT region, x0, y0, unnest(range(x0, x1 + 1)) AS x, yy AS y FROM (SELECT *, unnest(range(y0, y1 + 1)) AS yy FROM bx)) AS b ANTI JOIN clo USING (region, x, y)),
+out_(region, x, y) AS (SELECT region, x, y FROM bg WHERE x = x0 AND y = y0 UNION SELECT bg.region, bg.x, bg.y FROM out_ JOIN bg ON bg.region = out_.region AND abs(bg.x - out_.x) + abs(bg.y - out_.y) = 1),
+full_ AS (SELECT region, x, y FROM clo UNION ALL SELECT region, x, y FROM bg ANTI JOIN out_ USING (region, x, y))"""
+
+
+@query(f"""WITH RECURSIVE {fx.SQL_COMPONENTS}, {_FILLED},
+li AS (SELECT region, y, min(x) AS a, max(x) AS b FROM full_ GROUP BY 1, 2),
+side AS (SELECT q.region, l.y, min(CASE WHEN q.y = p.y THEN p.a ELSE CAST(ceil(CAST(p.a * (q.y - l.y) + q.a * (l.y - p.y) AS DOUBLE) / (q.y - p.y)) AS BIGINT) END) AS lo,
+    max(CASE WHEN q.y = p.y THEN p.b ELSE CAST(floor(CAST(p.b * (q.y - l.y) + q.b * (l.y - p.y) AS DOUBLE) / (q.y - p.y)) AS BIGINT) END) AS hi
+  FROM li l JOIN li p ON p.region = l.region AND p.y <= l.y JOIN li q ON q.region = l.region AND q.y >= l.y AND (q.y > p.y OR p.y = l.y) GROUP BY 1, 2),
+ar AS (SELECT region, CAST(count(*) AS BIGINT) AS area FROM full_ GROUP BY 1), hu AS (SELECT region, CAST(sum(hi - lo + 1) AS BIGINT) AS hull_px FROM side GROUP BY 1)
+SELECT region, area, hull_px FROM ar JOIN hu USING (region)""")
+def region_hulls(spark, sf_dir):
+    """Pixels of each region, closed and filled, and of its convex hull; tiles of 8 pixels, so that larger regions go over tiles."""
+    return rg.hulls(_labelled(spark, sf_dir), tile=8)
+
+
+@query(f"""WITH RECURSIVE {fx.SQL_COMPONENTS}, st AS (SELECT unnest([-2, -1, 0, 1, 2]) AS i), nr AS (SELECT DISTINCT region, x + a.i AS x, y + b.i AS y FROM lab, st a, st b WHERE abs(a.i) + abs(b.i) <= 2),
+ne AS (SELECT region, x, y, CAST(abs(dq) AS DOUBLE) AS v FROM nr JOIN px USING (x, y)),
+e AS (SELECT region, min(v) AS lo, (max(v) - min(v)) / 256.0 AS step FROM ne GROUP BY 1 HAVING count(*) >= 12 AND max(v) - min(v) >= 1e-4),
+h AS (SELECT region, least(floor((v - lo) / step), 255) AS k, CAST(count(*) AS DOUBLE) AS n, any_value(lo + (least(floor((v - lo) / step), 255) + 0.5) * step) AS mid FROM ne JOIN e USING (region) GROUP BY 1, 2),
+c AS (SELECT region, k, mid, sum(n) OVER p AS w, sum(n * mid) OVER p AS s, sum(n) OVER (PARTITION BY region) AS a, sum(n * mid) OVER (PARTITION BY region) AS t FROM h WINDOW p AS (PARTITION BY region ORDER BY k ROWS UNBOUNDED PRECEDING)),
+th AS (SELECT region, mid FROM (SELECT region, k, mid, round(w * (a - w) * power(s / w - (t - s) / (a - w), 2), 9) AS v FROM c WHERE a > w) QUALIFY row_number() OVER (PARTITION BY region ORDER BY v DESC, k) = 1),
+so AS (SELECT region, x, y, y * {fx.WIDTH} + x AS p FROM ne JOIN th USING (region) WHERE v >= mid),
+pc(region, p, l) AS (SELECT region, p, p FROM so UNION SELECT o.region, o.p, pc.l FROM pc JOIN so o ON o.region = pc.region AND abs(o.p % {fx.WIDTH} - pc.p % {fx.WIDTH}) <= 1 AND abs(o.p // {fx.WIDTH} - pc.p // {fx.WIDTH}) <= 1 WHERE pc.l < o.p),
+pl AS (SELECT region, p, min(l) AS piece FROM pc GROUP BY 1, 2), sz AS (SELECT region, piece, count(*) AS n FROM pl GROUP BY 1, 2),
+kp AS (SELECT region, piece, n FROM (SELECT *, max(n) OVER (PARTITION BY region) AS most FROM sz) WHERE n >= 6 AND n >= 0.08 * most),
+gd AS (SELECT region FROM kp GROUP BY 1 HAVING sum(n) >= 4)
+SELECT region, x, y FROM so SEMI JOIN (SELECT region, p FROM pl SEMI JOIN kp USING (region, piece)) USING (region, p) UNION ALL SELECT region, x, y FROM lab ANTI JOIN gd USING (region)""")
 def footprint_refine(spark, sf_dir):
     """Each region's footprint from the unsmoothed quantity change around it."""
     q = fx.quantity_change(spark, sf_dir).withColumn("m", F.abs("dq").cast("double"))
-    return rg.footprints(_labelled(spark, sf_dir), q, "m")
+    return rg.footprints(_labelled(spark, sf_dir), q, "m", width=fx.WIDTH)
 
 
 @query(f"""WITH RECURSIVE {fx.SQL_COMPONENTS}, {_ZONAL} SELECT region AS id, '{{"type":"Feature","geometry":{{"type":"Polygon","coordinates":[[' ||
