@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..sources.work import WorkFolder
 
 
-__all__ = ["WorkFolder", "Ids", "fold", "fresh", "long_rows", "mix64", "spread_join", "table", "text_batches", "with_fields", "word_ids", "words"]
+__all__ = ["WorkFolder", "Ids", "fold", "fresh", "long_rows", "mix64", "quoted", "spread_join", "table", "text_batches", "with_fields", "word_ids", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever dots or marks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores after it as it takes to clash with no column."""
     taken = {c.lower() for c in columns}

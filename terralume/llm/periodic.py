@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ids, long_rows, table, text_batches
+from .common import Ids, long_rows, quoted, table, text_batches
 
 MIN_LENGTH = 12
 #: Characters of texts whose arrays are made together.
@@ -272,8 +272,7 @@ def find_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
             kinds = [pa.int64()] * 5 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["id", *(f.split()[0] for f in _SCHEMA.split(", "))])
 
-    q = lambda name: "`" + name.replace("`", "``") + "`"
-    rows = long_rows(docs).select(F.col(q(doc_id)).alias("id"), F.col(q(doc_id)).cast("string").alias("key"), F.col(q(text)).alias("text"))
+    rows = long_rows(docs).select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(doc_id)).cast("string").alias("key"), F.col(quoted(text)).alias("text"))
     out = rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, {_SCHEMA}")
     return out.withColumnRenamed("id", doc_id)
 

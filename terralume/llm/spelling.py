@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WorkFolder, long_rows, table, text_batches
+from .common import WorkFolder, long_rows, quoted, table, text_batches
 
 MIN_LENGTH, MIN_COUNT, FORM_FACTOR = 7, 2, 10
 #: One deletion in so many (document, run) pairs.
@@ -69,8 +69,7 @@ def count_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
                 yield rows()
         yield rows()
 
-    q = lambda name: "`" + name.replace("`", "``") + "`"
-    rows = long_rows(docs).select(F.col(q(doc_id)).cast("string").alias("id"), F.col(q(text)).alias("text"))
+    rows = long_rows(docs).select(F.col(quoted(doc_id)).cast("string").alias("id"), F.col(quoted(text)).alias("text"))
     counts = rows.mapInArrow(each, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.where(F.length("word") >= min_length)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WorkFolder, long_rows, table, text_batches
+from .common import WorkFolder, long_rows, quoted, table, text_batches
 
 #: Characters of a chunk, of the first overlap, and how many times wider each next one is.
 CHUNK, OVERLAP, WIDER = 32_768, 512, 8
@@ -206,8 +206,7 @@ def count(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     longest = tokenizer(path)[1]
     if longest > overlap:
         raise ValueError("overlap must be longer than every special string")
-    q = lambda name: "`" + name.replace("`", "``") + "`"
-    rows = long_rows(docs).select(F.col(q(doc_id)).alias("id"), F.col(q(text)).alias("text")).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    rows = long_rows(docs).select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("text")).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     kind = rows.schema["id"].dataType.simpleString()
     whole = rows.where(F.col("n_bytes") <= chunk).mapInArrow(_whole(path), f"id {kind}, n_bytes long, n_tokens long")
 

@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WorkFolder, table
+from .common import WorkFolder, quoted, spread_join, table
 
 #: (verdict, host, path): fixed values of the task, as text.
 RULES = (
@@ -78,25 +78,52 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(found)))
 
 
+def _collapsed(labelled: DataFrame, least: float, work: WorkFolder) -> tuple[DataFrame, DataFrame]:
+    """(items, verdict) rows with one token for all that stand in the same rows, and (item, members, n) of those tokens.
+
+    Tokens below the least count go; equal row sets are told by their size and 128 bits of hashes of their rows.
+    """
+    rows = work.put("labelled", labelled.select(F.array_distinct("tokens").alias("tokens"), "verdict").withColumn("row", F.monotonically_increasing_id()))
+    total = rows.count()
+    each = rows.select("row", F.explode("tokens").alias("item"))
+    mark = lambda k: F.bit_xor(F.xxhash64("row", F.lit(k)))
+    often = each.groupBy("item").agg(F.count("*").alias("n"), mark(1).alias("m1"), mark(2).alias("m2")).where(F.col("n") >= least * total)
+    # members of a class stand in one url, so a class is no longer than one
+    classes = work.put("classes", often.groupBy("n", "m1", "m2").agg(F.array_sort(F.collect_list("item")).alias("members")).select(F.element_at("members", 1).alias("item"), "members", "n"))
+    seen = spread_join(each, classes.select("item", "n"), "item", "n", total).groupBy("row").agg(F.collect_list("item").alias("items"))
+    return rows.join(seen, "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items"), "verdict"), classes
+
+
 def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
-    """Rules (rule_id, items, verdict, confidence, support) from (tokens, verdict) rows.
+    """Rules (rule_id, items, verdict, confidence, support, rarest) from (tokens, verdict) rows.
 
     FP-growth finds the frequent token sets with and without a verdict; a rule's confidence
     is their ratio. A rule goes if a part of its items says the same with no less
-    confidence. No labelled row, no rule.
+    confidence. So no rule has two tokens that stand in the same rows: sets are mined with one token of
+    each such class, which a url of many words of its own has one of, and rules are then
+    written out for every token of the class. ``rarest`` is a rule's token of least count. No labelled row, no rule.
     """
-    baskets = labelled.select(F.array_distinct(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict")))).alias("items"))
+    work = WorkFolder(labelled.sparkSession, "url-rules")
+    rows, classes = _collapsed(labelled, how.support, work)
+    baskets = work.put("baskets", rows.select(F.concat("items", F.array(F.concat(F.lit("="), "verdict"))).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=how.support, minConfidence=how.confidence).fit(baskets)
     sets = model.freqItemsets.select(F.array_sort(F.filter("items", lambda w: ~w.startswith("="))).alias("items"), F.element_at(F.concat(F.filter("items", lambda w: w.startswith("=")), F.array(F.lit("="))), 1).alias("says"), "freq")
     whole = sets.where("says = '='").select("items", F.col("freq").alias("n_items"))
     rules = sets.where("says <> '=' AND size(items) > 0").join(whole, "items")
     rules = rules.select("items", F.substring("says", 2, 10).alias("verdict"), (F.col("freq") / F.col("n_items")).alias("confidence"), F.col("freq").alias("support")).where(F.col("confidence") >= how.confidence)
-    work = WorkFolder(labelled.sparkSession, "url-rules")
-    rules = work.put("all", rules.withColumn("rule_id", F.md5(F.concat_ws(" ", F.array_join("items", " "), "verdict"))))
-    drop_one = rules.withColumn("without", F.explode("items")).select("rule_id", "verdict", "confidence", F.array_remove("items", F.col("without")).alias("items"))
+    rules = work.put("all", rules.withColumn("no", F.monotonically_increasing_id()))
+    drop_one = rules.withColumn("without", F.explode("items")).select("no", "verdict", "confidence", F.array_remove("items", F.col("without")).alias("items"))
     shorter = rules.select("items", "verdict", F.col("confidence").alias("c"))
-    needless = drop_one.join(shorter, ["items", "verdict"]).where("c >= confidence").select("rule_id").distinct()
-    return rules.join(needless, "rule_id", "left_anti")
+    needless = drop_one.join(shorter, ["items", "verdict"]).where("c >= confidence").select("no").distinct()
+    kept = rules.join(needless, "no", "left_anti")
+    parts = kept.select("no", F.explode("items").alias("item")).join(classes, "item")
+    parts = parts.groupBy("no").agg(F.collect_list(F.struct("n", "members")).alias("parts"))
+    members = F.transform("parts", lambda p: F.transform(p["members"], lambda w: F.struct(p["n"].alias("n"), w.alias("item"))))
+    none = F.array().cast("array<array<struct<n: bigint, item: string>>>")
+    choices = F.aggregate(members, F.concat(none, F.array(F.array().cast("array<struct<n: bigint, item: string>>"))), lambda sofar, one: F.flatten(F.transform(sofar, lambda s: F.transform(one, lambda w: F.concat(s, F.array(w))))))
+    out = kept.drop("items").join(parts.select("no", F.explode(choices).alias("choice")), "no")
+    out = out.select(F.array_sort("choice.item").alias("items"), F.array_min("choice")["item"].alias("rarest"), "verdict", "confidence", "support")
+    return out.withColumn("rule_id", F.md5(F.concat_ws(" ", F.array_join("items", " "), "verdict")))
 
 
 def judge(pages: DataFrame, how: Mining = Mining(), rules=RULES, url: str = "url") -> DataFrame:
@@ -109,12 +136,13 @@ def judge(pages: DataFrame, how: Mining = Mining(), rules=RULES, url: str = "url
     table gives an empty result. Columns of the added names are replaced, all others stay
     whatever their names.
 
-    Mined rules are found by their items in an inverted index over distinct token sets.
+    Mined rules stand in an inverted index under their rarest item; the others are then looked for in the url's set.
+    A url of any length is read whole; its words of their own count as one in mining.
     Only rows without a fixed rule look their set up: hot ones, of which there are at most
     1 / HOT_SHARE, in a broadcast table, all others by a join on the set's key.
     """
     columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "mined")]
-    rows = pages.select(F.struct(*columns).alias("page"), F.col(url).alias("url"))
+    rows = pages.select(F.struct(*[F.col(quoted(c)).alias(c) for c in columns]).alias("page"), F.col(quoted(url)).alias("url"))
     host, path = parts(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
@@ -122,15 +150,21 @@ def judge(pages: DataFrame, how: Mining = Mining(), rules=RULES, url: str = "url
     found = mine(rows.where("verdict IS NOT NULL").select("tokens", "verdict"), how)
     asks = "verdict IS NULL AND size(tokens) > 0"
     open_rows = rows.where(asks).withColumn("key", F.xxhash64("tokens"))
-    sets = open_rows.groupBy("key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("copies"))
-    index = found.select(F.explode("items").alias("item"), "rule_id", F.size("items").alias("n"), "verdict", "confidence", "support")
+    work = WorkFolder(pages.sparkSession, "url-verdicts")
+    found = work.put("rules", found)
+    sets = work.put("sets", open_rows.groupBy("key").agg(F.first("tokens").alias("tokens"), F.count("*").alias("copies")))
+    index = found.groupBy(F.col("rarest").alias("item")).agg(F.collect_list(F.struct("items", "confidence", "support", "verdict", "rule_id")).alias("rules"))
+    asked = sets.select("key", "copies", "tokens", F.explode("tokens").alias("item"))
     if found.count() <= how.broadcast_rules:
-        index = F.broadcast(index)
-    hits = sets.select("key", "copies", F.explode("tokens").alias("item")).join(index, "item")
-    hits = hits.groupBy("key", "rule_id").agg(F.count("*").alias("met"), *[F.first(c).alias(c) for c in ("n", "verdict", "confidence", "support", "copies")]).where("met = n")
-    best = hits.groupBy("key").agg(F.min(F.struct(-F.col("confidence"), -F.col("support"), -F.col("n"), "verdict", "rule_id")).alias("best"), F.first("copies").alias("copies"))
+        hits = asked.join(F.broadcast(index), "item")
+    else:
+        often = asked.groupBy("item").agg(F.count("*").alias("sets"))
+        hits = spread_join(asked, index.join(often, "item"), "item", "sets", sets.count())
+    hits = hits.select("key", "copies", "tokens", F.explode("rules").alias("r")).where(F.size(F.array_except("r.items", "tokens")) == 0)
+    order = F.struct(-F.col("r.confidence"), -F.col("r.support"), -F.size("r.items"), F.col("r.verdict").alias("verdict"), F.col("r.rule_id").alias("rule_id"))
+    best = hits.groupBy("key").agg(F.min(order).alias("best"), F.first("copies").alias("copies"))
     best = best.select("key", F.col("best.verdict").alias("said"), F.col("best.rule_id").alias("mined"), "copies")
-    best = WorkFolder(pages.sparkSession, "url-verdicts").put("best", best)
+    best = work.put("best", best)
     bar = HOT_SHARE * pages.count()
     hot = F.broadcast(best.where(F.col("copies") > bar).drop("copies"))
     out = lambda df, said, mined: df.select("page", "host", "path", "rule", F.coalesce("verdict", said, F.lit("allow")).alias("verdict"), mined.alias("mined"))

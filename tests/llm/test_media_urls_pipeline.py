@@ -361,3 +361,41 @@ def test_pipeline_on_odd_rows(spark):
 
 def test_pipeline_runs(spark):
     assert QUERIES and __import__("corpus_pipeline").run(spark, SF).count() > 0
+
+
+def plain_rules(rows, support, confidence):
+    """All token sets counted, then pruned by their parts."""
+    import math
+    from itertools import combinations
+
+    n, total = {}, len(rows)
+    for tokens, verdict in rows:
+        for k in range(1, len(tokens) + 1):
+            for c in combinations(sorted(set(tokens)), k):
+                for says in (verdict, ""):
+                    n[c, says] = n.get((c, says), 0) + 1
+    least = math.ceil(support * total)
+    found = {(c, v): (m / n[c, ""], m) for (c, v), m in n.items() if v and m >= least and m / n[c, ""] >= confidence}
+    return {k: x for k, x in found.items() if not any(found.get((tuple(w for w in k[0] if w != gone), k[1]), (-1, 0))[0] >= x[0] for gone in k[0])}
+
+
+def test_mined_rules_equal_all_sets_pruned(spark):
+    import random
+
+    r = random.Random(6)
+    words = [f"p:{k}" for k in range(8)]
+    rows = [(sorted({"s:https", *(w for w in words if r.random() < 0.4), *(["p:x", "p:y"] if k % 3 else [])}), r.choice(["allow", "block", "block"]) if k % 5 else "allow") for k in range(60)]
+    got = ur.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), ur.Mining(0.03, 0.8)).collect()
+    assert {(tuple(x["items"]), x["verdict"]): (x["confidence"], x["support"]) for x in got} == plain_rules(rows, 0.03, 0.8)
+    assert ur.mine(spark.createDataFrame([], "tokens array<string>, verdict string")).count() == 0
+
+
+@pytest.mark.parametrize("rows, share", [(2, 2), (10_000, 3)])
+def test_urls_of_many_words(spark, rows, share):
+    """Forty words of its own are one item of the mining, wherever the url stands."""
+    long_url = "http://shop.example.com/en/" + "/".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
+    urls = [long_url if k % share == 0 else f"http://a{chr(97 + k % 5)}.net/es/{chr(97 + k % 7)}" for k in range(rows)]
+    urls += ["http://other.org/waa/q", "http://other.org/none"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").withColumnRenamed("page_id", "page.id")
+    got = {x["page.id"]: (x["verdict"], x["mined"] is not None) for x in ur.judge(df).collect()}
+    assert got[0] == ("block", False) and got[rows] == ("block", True) and len(got) == rows + 2
