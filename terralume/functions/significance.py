@@ -16,6 +16,13 @@ def survival(t) -> Column:
     return (1.0 + t / 2.0) * F.exp(-t / 2.0)
 
 
+def survival_values(t):
+    """The same of a numpy array."""
+    import numpy as np
+
+    return (1.0 + t / 2.0) * np.exp(-t / 2.0)
+
+
 def survival_value(t: float) -> float:
     return (1.0 + t / 2.0) * math.exp(-t / 2.0)
 

@@ -169,32 +169,50 @@ def overlapping(boxes: DataFrame, least: float = 0.4, cell: int = 256, keys=())
 
 
 def greedy_merge(boxes: DataFrame, most: int, overlap: float = 0.4, keys=("scene",)) -> DataFrame:
-    """Boxes in order of score; one that overlaps a kept box gives it its sources and better score, else it is kept.
+    """Boxes in order of score; one that overlaps a kept box gives the first such its sources, else it is kept.
 
-    Stops as soon as ``most`` are kept, as order decides. One scene is one group: its boxes
-    are regions, not pixels. Columns: keys, id, x, y, w, h, score, sources.
+    Ends as soon as ``most`` are kept: later boxes give nothing. Which boxes are kept is settled in rounds on
+    the table of overlapping pairs: a box is kept once every better one that it overlaps has gone, and goes
+    once one of them is kept, so no scene is one group. Order is by score, then id. Columns:
+    keys, id, x, y, w, h, score, sources. No box, no row.
     """
+    keys = list(keys)
     names = [*keys, "id", "x", "y", "w", "h", "score", "sources"]
-    boxes = boxes.select(*names)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        kept: list[dict] = []
-        for r in pdf.to_dict("records"):
-            for k in kept:
-                iw = min(r["x"] + r["w"], k["x"] + k["w"]) - max(r["x"], k["x"])
-                ih = min(r["y"] + r["h"], k["y"] + k["h"]) - max(r["y"], k["y"])
-                if iw > 0 and ih > 0 and iw * ih / min(r["w"] * r["h"], k["w"] * k["h"]) >= overlap:
-                    k["sources"] = sorted({*k["sources"], *r["sources"]})
-                    k["score"] = max(k["score"], r["score"])
-                    break
-            else:
-                kept.append({**r, "sources": sorted(set(r["sources"]))})
-                if len(kept) >= most:
-                    break
-        return pd.DataFrame(kept, columns=names)
-
-    return boxes.groupBy(*keys).applyInPandas(one, boxes.schema)
+    work = WorkFolder(boxes.sparkSession, "greedy-merge")
+    boxes = work.put("boxes", boxes.select(*names))
+    order = lambda p="": F.struct((-F.col(p + "score")).alias("s"), F.col(p + "id").alias("i"))
+    place = boxes.select(*keys, "id", order().alias("o"))
+    side = lambda p: place.select(*keys, F.col("id").alias(p), F.col("o").alias("o_" + p))
+    pairs = overlapping(boxes, overlap, keys=keys).select(*keys, "a", "b").join(side("a"), [*keys, "a"]).join(side("b"), [*keys, "b"])
+    first = F.col("o_a") < F.col("o_b")
+    pairs = work.put("pairs", pairs.select(*keys, F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")))
+    # only boxes of some pair take part in rounds
+    box = [*keys, "id"]
+    named = lambda df, c: df.select(*keys, F.col(c).alias("id"))
+    as_ = lambda df, c: df.select(*keys, F.col("id").alias(c))
+    open_, edges = work.put("open-0", named(pairs, "better").unionAll(named(pairs, "worse")).distinct()), pairs
+    turn, gone_parts = 0, []
+    while not open_.isEmpty():
+        turn += 1
+        kept = work.put(f"kept-{turn}", open_.join(named(edges, "worse"), box, "left_anti"))
+        gone = work.put(f"gone-{turn}", named(edges.join(as_(kept, "better"), [*keys, "better"], "left_semi"), "worse").distinct())
+        gone_parts.append(gone)
+        open_ = work.put(f"open-{turn}", open_.join(kept, box, "left_anti").join(gone, box, "left_anti"))
+        edges = work.put(f"edges-{turn}", edges.join(as_(open_, "better"), [*keys, "better"], "left_semi").join(as_(open_, "worse"), [*keys, "worse"], "left_semi"))
+    held = boxes
+    for gone in gone_parts:
+        held = held.join(gone, box, "left_anti")
+    at = W.partitionBy(*keys).orderBy(order())
+    held = work.put("held", held.withColumn("_rank", F.row_number().over(at)).where(F.col("_rank") <= most))
+    ends = held.where(F.col("_rank") == most).select(*keys, order().alias("end"))
+    # a box that went belongs to the best kept box that it overlaps
+    lost = pairs.join(held.select(*keys, F.col("id").alias("better"), order().alias("o")), [*keys, "better"])
+    lost = lost.groupBy(*keys, "worse").agg(F.min("o").alias("o")).select(*keys, F.col("worse").alias("id"), F.col("o.i").alias("to"))
+    lost = lost.join(boxes.select(*box, order().alias("o"), "sources"), box).join(ends, keys, "left").where("end IS NULL OR o < end")
+    given = lost.select(*keys, F.col("to").alias("id"), "sources").unionAll(held.select(*box, "sources"))
+    sources = given.select(*box, F.explode("sources").alias("s")).groupBy(*box).agg(F.array_sort(F.collect_set("s")).alias("merged"))
+    empty = F.array().cast(boxes.schema["sources"].dataType)
+    return held.drop("_rank").join(sources, box, "left").withColumn("sources", F.coalesce("merged", empty)).select(*names)
 
 
 def position(regions: DataFrame, width: int, height: int) -> DataFrame:

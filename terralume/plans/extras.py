@@ -255,6 +255,21 @@ def otsu_threshold(spark, sf_dir):
     return evaluate.otsu(f, "zone", "sam").select("zone", r6("threshold"))
 
 
+_ROUND_T = " + ".join(f"power(b_{b} - a_{b}, 2) / 0.0005" for b in ix.BANDS)
+_ROUND = [f"{p}{b}" for p in ("b_", "a_") for b in ix.BANDS]
+
+
+@query(f"WITH {fx.SQL_FEATURES}, t AS (SELECT {_ROUND_T} AS t, {', '.join(_ROUND)} FROM f), w AS (SELECT (1 + t / 2) * exp(-t / 2) AS w, * FROM t), m AS (SELECT sum(w) AS n, " + ", ".join(f"sum(w * {c}) / sum(w) AS m_{c}" for c in _ROUND) + " FROM w) "
+       + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(any_value(n), 3) + 0.0 AS weight, round(1e4 * (sum(w * {a} * {b}) / any_value(n) - any_value(m_{a}) * any_value(m_{b})), 5) + 0.0 AS covariance FROM w, m" for i, a in enumerate(_ROUND) for b in _ROUND[i:]))
+def irmad_round(spark, sf_dir):
+    """Covariances under the weights of one round whose projections are given: each band by itself, at a variance of 0.0005."""
+    n = len(ix.BANDS)
+    fit = px.Variates(np.zeros(2 * n), np.eye(n), np.eye(n), np.full(n, 1 - 0.00025))
+    total, _, cov = px.reweighted_moments(fx.features(spark, sf_dir), _ROUND, fit)
+    rows = [(a, b, total, 1e4 * float(cov[i, j])) for i, a in enumerate(_ROUND) for j, b in enumerate(_ROUND) if j >= i]
+    return spark.createDataFrame(rows, "a string, b string, weight double, covariance double").select("a", "b", r6("weight", digits=3), r6("covariance", digits=5))
+
+
 # ------------------------------------------------------------------ sinks and sources
 
 
