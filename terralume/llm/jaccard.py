@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import Ids, WorkFolder, fresh, give_back, long_rows, mix64, spread_join, table, text_batches, word_ids
+from .common import HOT_SHARE, quoted, Ids, WorkFolder, fresh, give_back, long_rows, mix64, spread_join, table, text_batches, word_ids
 
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -374,10 +374,13 @@ class JaccardJoin:
         """Pairs (a, b, salt) with the busier class as ``a``, and a table of hubs (node, parts): at most about HUB pairs an (a, salt)."""
         ends = F.explode(F.array("a", "b")).alias("node")
         hubs = pairs.select(ends).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB)
-        hubs = self.work.put(f"{name}-hubs", hubs.select("node", F.ceil(F.col("n") / HUB).cast("int").alias("parts")))
-        small = F.broadcast if hubs.count() <= BROADCAST_HUBS else (lambda df: df)
-        side = lambda c: small(hubs.select(F.col("node").alias(c), F.col("parts").alias(f"{c}_parts")))
-        both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").na.fill(1, ["a_parts", "b_parts"])
+        hubs = self.work.put(f"{name}-hubs", hubs.select("node", F.ceil(F.col("n") / HUB).cast("int").alias("parts"), "n"))
+        few = hubs.count() <= BROADCAST_HUBS
+        small, total = F.broadcast if few else (lambda df: df), 0 if few else pairs.count()
+        side = lambda c: hubs.select(F.col("node").alias(c), F.col("parts").alias(f"{c}_parts"), F.col("n").alias("at_hub"))
+        parts = lambda df, c: (df.join(small(side(c)), c, "left") if few else spread_join(df, side(c), c, "at_hub", total, "left")).drop("at_hub")
+        both = parts(parts(pairs, "a"), "b").na.fill(1, ["a_parts", "b_parts"])
+        hubs = hubs.drop("n")
         swap = F.col("b_parts") > F.col("a_parts")
         both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("a_parts", "b_parts").alias("parts"))
         return both.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt")), small(hubs)
@@ -444,14 +447,21 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     many = join.work.put("many", times.where("times > 1").alias("m").join(kept.alias("k"), same({c: F.col(f"m.{c}") for c in ("doc_id", "text_key")}, {c: F.col(f"k.{c}") for c in ("doc_id", "text_key")}), "left_semi").drop("times"))
     wordy = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(one, F.col("doc_id").cast("long"))
+    # a row on so many rows is made one where it is read, before any join by its key
+    bar = HOT_SHARE * members.count()
+    crowd = join.work.put("crowd", times.where(F.col("times") > bar).select("doc_id", "text_key"))
 
     def among(df: DataFrame, these: DataFrame, how: str) -> DataFrame:
         return df.join(these.select(F.col("doc_id").alias(f"{one}_"), F.col("text_key").alias(f"{key}_")), F.col(one).eqNullSafe(F.col(f"{one}_")) & (F.col(key) == F.col(f"{key}_")), how)
 
-    some = among(rows.where(wordy), kept, "left_semi")
+    some = rows.where(wordy)
+    if not crowd.isEmpty():
+        of = F.broadcast(crowd)  # at most 1 / HOT_SHARE rows
+        some = among(some, of, "left_anti").unionAll(among(some, of, "left_semi").dropDuplicates([one, key]))
+    some = among(some, kept, "left_semi")
     if not many.isEmpty():
         some = among(some, many, "left_anti").unionAll(among(some, many, "left_semi").dropDuplicates([one, key]))
-    return some.unionAll(rows.where(~wordy)).select(docs.columns)
+    return some.unionAll(rows.where(~wordy)).select([F.col(quoted(c)) for c in docs.columns])
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, quoted, spread_join, table
 
 #: Sources up to which their small table is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
@@ -35,7 +35,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, factor: floa
     lifts small sources. Sources that ``weights`` leaves out get weight 0. The result has
     ``factor`` times as many rows as the input, in the mean.
     """
-    n = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("~")).alias("mix_source")).agg(F.count("*").alias("mix_n"))
+    n = docs.groupBy(F.coalesce(F.col(quoted(source)).cast("string"), F.lit("~")).alias("mix_source")).agg(F.count("*").alias("mix_n"))
     if weights is None:
         w = F.sqrt(F.col("mix_n").cast("double"))
     else:
@@ -60,23 +60,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, factor: float
     and empty ones too. Empty input gives an empty result.
 
     The only shuffle of the rows is the global one; the per-source
-    table is broadcast after its size is checked.
+    table is broadcast after its size is checked, and beyond it only its hot sources are.
     """
-    docs = docs.select([c for c in docs.columns if c in (id_col, source) or c.lower() not in ("mix_copy", "mix_copies", "mix_key")])
+    docs = docs.select([F.col(quoted(c)) for c in docs.columns if c in (id_col, source) or c.lower() not in ("mix_copy", "mix_copies", "mix_key")])
     of, n_parts, cdf = fresh(docs.columns, "mix_source", "mix_parts", "mix_cdf")
     rates = source_rates(docs, weights, factor, source)
     # few parts of at most RATE_LIMIT, each with its cumulative distribution
     parts = F.greatest(F.ceil(F.col("mix_rate") / RATE_LIMIT), F.lit(1)).cast("int")
     rates = rates.withColumn("mix_parts", parts).withColumn("mix_cdf", poisson_cdf(F.col("mix_rate") / F.col("mix_parts")))
     few = rates.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rates = rates.select(F.col("mix_source").alias(of), F.col("mix_parts").alias(n_parts), F.col("mix_cdf").alias(cdf))
-    rows = docs.withColumn(of, F.coalesce(F.col(source).cast("string"), F.lit("~")))
-    rows = rows.join(F.broadcast(rates) if few else rates, of)
-    draw = lambda k: F.size(F.filter(cdf, lambda c: c <= uniform(seed, F.col(id_col), k)))
+    weight = fresh([*docs.columns, of, n_parts, cdf], "mix_rows")[0]
+    rates = rates.select(F.col("mix_source").alias(of), F.col("mix_parts").alias(n_parts), F.col("mix_cdf").alias(cdf), F.col("mix_n").alias(weight))
+    rows = docs.withColumn(of, F.coalesce(F.col(quoted(source)).cast("string"), F.lit("~")))
+    rows = rows.join(F.broadcast(rates), of) if few else spread_join(rows, rates, of, weight, rates.agg(F.sum(weight)).first()[0])
+    draw = lambda k: F.size(F.filter(cdf, lambda c: c <= uniform(seed, F.col(quoted(id_col)), k)))
     copies = F.aggregate(F.sequence(F.lit(1), F.col(n_parts)), F.lit(0), lambda s, k: s + draw(k))
-    rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").drop(of, n_parts, cdf)
+    rows = rows.withColumn("mix_copies", copies).where("mix_copies > 0").drop(of, n_parts, cdf, weight)
     rows = rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
-    rows = rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))
+    rows = rows.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"))))
     return global_shuffle(rows) if shuffle else rows
 
 

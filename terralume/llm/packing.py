@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Ids, WorkFolder, fresh, long_rows, table, text_batches, with_fields
+from .common import Ids, WorkFolder, fresh, long_rows, quoted, table, text_batches, with_fields
 
 CAPACITY = 2048
 #: Words a worker remembers the ids of.
@@ -184,7 +184,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", wor
     only the counts of lengths (at most ``capacity`` rows) reach the driver.
     """
     work = work or WorkFolder(items.sparkSession, "packing")
-    items = items.select([c for c in items.columns if c == length or c.lower() not in ("sequence_id", "offset")])
+    items = items.select([F.col(quoted(c)) for c in items.columns if c == length or c.lower() not in ("sequence_id", "offset")])
+    given = items.columns
+    items = items.toDF(*[f"item_{k}" for k in range(len(given))])  # Arrow functions know no names with dots
+    length = items.columns[given.index(length)]
     row, rank, before, of, by = fresh([*items.columns, "sequence_id", "offset"], "pack_row", "pack_rank", "pack_before", "pack_length", "pack_task")
     rows = work.put("rows", items.withColumn(row, F.monotonically_increasing_id()))
     n = F.col(length).cast("long")
@@ -215,7 +218,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", wor
             place = (runs[at, 3] + r - runs[at, 1], runs[at, 4]) if len(runs) else (r, r)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(x, mask=none) for x in place)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(each, with_fields(items, "sequence_id long, offset long"))
+    return ranked.mapInArrow(each, with_fields(items, "sequence_id long, offset long")).toDF(*given, "sequence_id", "offset")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:

@@ -269,6 +269,8 @@ def find(docs: DataFrame, tagger: Tagger | None = None, text: str = "text", out:
     empty texts have none. One pass over whole texts, no shuffle.
     """
     docs = long_rows(docs).drop(out, *([base] if base else []))
+    given, (text, spans, exact_spans) = docs.columns, (f"c{docs.columns.index(text)}", "s0", "s1")
+    docs = docs.toDF(*[f"c{k}" for k in range(len(given))])  # Arrow functions know no names with dots
     sent = docs.sparkSession.sparkContext.broadcast(tagger or trained())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     struct = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
@@ -279,14 +281,15 @@ def find(docs: DataFrame, tagger: Tagger | None = None, text: str = "text", out:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             exact = [base_spans(t) if t else [] for t in texts]
             both = [all_spans(x, y) for x, y in zip(exact, decoder.spans(texts))]
-            columns, names = [*batch.columns, pa.array(map(struct, both), kind)], [*batch.schema.names, out]
+            columns, names = [*batch.columns, pa.array(map(struct, both), kind)], [*batch.schema.names, spans]
             if base:
                 columns.append(pa.array(map(struct, exact), kind))
-                names.append(base)
+                names.append(exact_spans)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     ddl = "array<struct<kind:string,start:int,end:int>>"
-    return docs.mapInArrow(each, with_fields(docs, f"{out} {ddl}" + (f", {base} {ddl}" if base else "")))
+    found = docs.mapInArrow(each, with_fields(docs, f"{spans} {ddl}" + (f", {exact_spans} {ddl}" if base else "")))
+    return found.toDF(*given, out, *([base] if base else []))
 
 
 def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") -> DataFrame:
@@ -295,7 +298,9 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") ->
     Overlapping spans (of different kinds) are replaced as one, by the kind that starts first.
     """
     sent = docs.sparkSession.sparkContext.broadcast(tagger or trained())
-    at = long_rows(docs).columns.index(text)
+    given, at = long_rows(docs).columns, docs.columns.index(text)
+    text = f"c{at}"
+    docs = docs.toDF(*[f"c{k}" for k in range(len(given))])  # Arrow functions know no names with dots
 
     def each(batches):
         decoder = Decoder(sent.value)
@@ -321,7 +326,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None, text: str = "text") ->
             columns[at] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(each, docs.schema).toDF(*given)
 
 
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

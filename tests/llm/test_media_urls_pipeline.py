@@ -348,13 +348,15 @@ def test_stages(spark):
 def test_pipeline_on_odd_rows(spark):
     import corpus_pipeline as cp
 
-    rows = [(1, None, "en", "s", None), (2, "", "en", None, 0), (3, "a few words of text", None, "s", 5), (3, "a few words of text", None, "s", 5), (None, "x +1 (499) 555-6503", "en", "s", 1)]
+    rows = [(1, None, "en", "s", None), (2, "", "en", None, 0), (3, "a few words of text", None, "s", 5), (3, "a few words of text", None, "s", 5), (None, "x +1 (499) 555-6503", "en", "s", 1), (4, "many plain words, " * 20_000, "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("length", F.lit("clash")).withColumn("quality_score", F.lit(1))
+    clashing = ("pipeline_quality", "a.b", "c0", "mix_copy", "near_key", "score", "pii_spans", "item_0")
+    docs = docs.withColumns({c: F.lit("mine") for c in clashing})
     for name, stage in cp.STAGES[:-1]:
         got = stage(spark, docs, SF)
         assert got.columns == docs.columns, name
-        got.count()
-    assert cp.packing_stage(spark, docs, SF).count() == 5
+        assert all(r[c] == "mine" for r in got.collect() for c in clashing), name
+    assert cp.packing_stage(spark, docs, SF).count() > 5
     for _, stage in cp.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
 
@@ -399,3 +401,33 @@ def test_urls_of_many_words(spark, rows, share):
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").withColumnRenamed("page_id", "page.id")
     got = {x["page.id"]: (x["verdict"], x["mined"] is not None) for x in ur.judge(df).collect()}
     assert got[0] == ("block", False) and got[rows] == ("block", True) and len(got) == rows + 2
+
+
+def test_keep_one_of_a_row_repeated_on_most_rows(spark):
+    rows = [(7, "one row that is there very often indeed")] * 3000 + [(None, "another of these rows without an id")] * 2000 + [(k, f"text number {k} has words of its own x{k} y{k}") for k in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("x.y", F.lit(1))
+    from terralume.llm import jaccard
+
+    got = jaccard.keep_one(docs, 5, 80)
+    assert got.columns == docs.columns
+    assert sorted(map(str, (r["doc_id"] for r in got.collect()))) == sorted(map(str, [7, None, *range(100, 140)]))
+
+
+def test_mixing_beyond_the_broadcast_of_sources(spark, monkeypatch):
+    from terralume.llm import mixing
+
+    docs = spark.createDataFrame([(k, f"t{k}", "hot" if k % 3 else f"s{k % 40}") for k in range(900)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want and want
+
+
+def test_hubs_beyond_the_broadcast_of_hubs(spark, monkeypatch):
+    from terralume.llm import jaccard
+
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(words[: 50 + k % 11] + [f"own{k}"])) for k in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, jaccard.near_duplicates(docs).collect()))
+    monkeypatch.setattr(jaccard, "BROADCAST_HUBS", 0)
+    monkeypatch.setattr(jaccard, "HUB", 3)
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
