@@ -205,28 +205,55 @@ def bicubic(coarse: DataFrame, fine: DataFrame, factor: int, column: str, width:
     return joined.groupBy("x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(column))
 
 
-def phase_shift(rows: DataFrame, a: str, b: str, keys=("tile",)) -> DataFrame:
-    """(keys, dx, dy): the whole-pixel shift that takes band a to band b, from the peak of their phase correlation; one tile a group."""
+def phase_shift(rows: DataFrame, a: str, b: str, keys=("tile",), block: int = 64) -> DataFrame:
+    """(keys, dx, dy, sub_dx, sub_dy, blocks, share): the shift that takes band a to band b, by vote of blocks.
+
+    Blocks of ``block`` pixels that overlap by half each give the peak of the phase correlation of their
+    tapered bands, a fraction of a pixel fitted beside it, and as weight how far the peak stands out. The whole shift
+    of most weight wins; its blocks' mean fraction is added in sub_dx and sub_dy; ``share`` is its share of the
+    weight. Missing pixels count as the block's mean; blocks of fewer than half their pixels or
+    without contrast have no vote. A shift must be less than half a block.
+    """
     import numpy as np
     import pandas as pd
 
     names = list(keys)
+    step = block // 2
+    taper = np.hanning(block + 2)[1:-1]
+    window = taper[:, None] * taper[None, :]
 
     def one(pdf):
-        x, y = (pdf[c].to_numpy() - pdf[c].min() for c in ("x", "y"))
-        f = []
+        y, x = (pdf[c].to_numpy(np.int64) - int(pdf[d].iloc[0]) * step for c, d in (("y", "by"), ("x", "bx")))
+        spectra = []
         for c in (a, b):
-            m = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
-            m[y, x] = pdf[c]
-            f.append(np.fft.fft2(m - m.mean()))
-        cross = f[1] * np.conj(f[0])
-        peak = np.abs(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
-        at = np.unravel_index(peak.argmax(), peak.shape)
-        dy, dx = (int(k - n if k > n // 2 else k) for k, n in zip(at, peak.shape))
-        return pd.DataFrame([{**pdf.iloc[0][names].to_dict(), "dx": dx, "dy": dy}])
-
-    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names], "dx int, dy int"])
-    return rows.select(*names, "x", "y", a, b).groupBy(*names).applyInPandas(one, schema)
+            v = pdf[c].to_numpy(float)
+            m = np.zeros((block, block))
+            m[y, x] = v - v.mean()
+            spectra.append(np.fft.fft2(m * window))
+        cross = spectra[1] * np.conj(spectra[0])
+        if len(pdf) < block * block / 2 or not np.abs(cross).max() > 1e-9:
+            return pd.DataFrame({c: pd.Series([], dtype=object if c in names else float) for c in [*names, "dx", "dy", "fx", "fy", "weight"]})
+        peak = np.real(np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)))
+        top = np.unravel_index(peak.argmax(), peak.shape)
+        whole, part = [], []
+        for axis in (0, 1):
+            low, mid, high = (peak[tuple((t + d) % block if k == axis else t for k, t in enumerate(top))] for d in (-1, 0, 1))
+            bend = low - 2 * mid + high
+            part.append(0.5 * (low - high) / bend if bend < 0 else 0.0)
+            whole.append(int(top[axis] - block if top[axis] > block // 2 else top[axis]))
+        first = pdf.iloc[0]
+        return pd.DataFrame({**{k: pd.Series([first[k]], dtype=object) for k in names}, "dx": [whole[1]], "dy": [whole[0]], "fx": [part[1]], "fy": [part[0]], "weight": [float(peak.max() / (np.abs(peak).mean() + 1e-12))]})
+
+    schema = ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in names], "dx int, dy int, fx double, fy double, weight double"])
+    # a pixel lies in two blocks of each axis
+    both = lambda c: F.explode(F.array(F.floor(F.col(c) / step).cast("long") - 1, F.floor(F.col(c) / step).cast("long")))
+    dealt = rows.select(*names, "x", "y", a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("bx", both("x")).withColumn("by", both("y"))
+    votes = dealt.groupBy(*names, "bx", "by").applyInPandas(one, schema)
+    w = F.col("weight")
+    sums = votes.groupBy(*names, "dx", "dy").agg(F.sum(w).alias("w"), (F.sum(w * F.col("fx")) / F.sum(w)).alias("fx"), (F.sum(w * F.col("fy")) / F.sum(w)).alias("fy"), F.count("*").alias("n"))
+    best = sums.groupBy(*names).agg(F.max(F.struct("w", (-F.abs("dx") - F.abs("dy")).alias("near"), "dx", "dy", "fx", "fy", "n")).alias("s"), F.sum("w").alias("all"))
+    s = lambda c: F.col(f"s.{c}")
+    return best.select(*names, s("dx").alias("dx"), s("dy").alias("dy"), (s("dx") + s("fx")).alias("sub_dx"), (s("dy") + s("fy")).alias("sub_dy"), s("n").alias("blocks"), (s("w") / F.col("all")).alias("share"))
 
 
 def histogram_match(source: DataFrame, reference: DataFrame, column: str, out: str = "matched") -> DataFrame:

@@ -12,9 +12,9 @@ from ..functions import indices as ix
 from ..sources.work import WorkFolder
 from . import evaluate, geometry
 from .graph import components
-from .shapes import hulls, shapes
+from .shapes import filled, hulls, shapes
 
-__all__ = ["footprints", "greedy_merge", "hulls", "hysteresis", "label", "majority", "overlapping", "position", "ranked", "remove_small", "shapes", "top", "without_slivers", "zonal"]
+__all__ = ["fill_holes", "footprints", "greedy_merge", "hulls", "hysteresis", "label", "majority", "overlapping", "position", "ranked", "remove_small", "shapes", "top", "without_slivers", "zonal"]
 
 #: Side of the tiles that are labelled on their own.
 TILE = 512
@@ -56,6 +56,19 @@ def label(pixels: DataFrame, mask: Column, width: int, keys=(), tile: int = TILE
     return grouped.join(names, "root").select(*keys, "x", "y", F.col("least").alias(name))
 
 
+def fill_holes(pixels: DataFrame, mask: Column, keys=(), tile: int = TILE) -> DataFrame:
+    """(keys, x, y): the set pixels and the holes among them: background that no four-connected path leads out of.
+
+    Holes of any size: parts of the background are found tile by tile and tied across borders, see
+    :func:`shapes.filled`. Pixels that are not rows are background. No set pixel, no row.
+    """
+    on = pixels.where(mask).select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    own = [*keys, "_scene"]  # a key of its own, as there may be no other
+    on = on.withColumn("_scene", F.lit(0)).withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
+    on = WorkFolder(pixels.sparkSession, "fill-holes").put("mask", on.select(*own, "tx", "ty", "x", "y"))
+    return filled(on, own, tile).select(*keys, "x", "y")
+
+
 def hysteresis(pixels: DataFrame, value: str, low: float, high: float, width: int, keys=(), valid: Column | None = None) -> DataFrame:
     """Regions of ``value`` above ``low`` that hold a pixel above ``high``."""
     lab = label(pixels, F.col(value) > low, width, keys).join(pixels.select(*keys, "x", "y", value), [*keys, "x", "y"])

@@ -158,13 +158,18 @@ def synthetic_pair(spark: SparkSession, width: int = 900, height: int = 900, cha
     be made anywhere. Traps: a moisture patch, clouds, a gain and offset, bright speckles, noise.
     """
     y, x = F.floor(F.col("id") / float(width)).cast("int"), (F.col("id") % width).cast("int")
-    p = spark.range(width * height).select(x.alias("x"), y.alias("y"))
+    return planted_pair(spark.range(width * height).select(x.alias("x"), y.alias("y"), F.lit(0.0).alias("salt")), changes, seed, noise, clouds)
+
+
+def planted_pair(places: DataFrame, changes=PLANTED, seed: int = 7, noise: float = 0.008, clouds=CLOUDS, lines: int | None = None) -> DataFrame:
+    """The same on given places (x, y, salt); noise depends on the salt, the plan of changes repeats every ``lines`` lines."""
+    p = places.withColumn("yy", F.col("y") % lines if lines else F.col("y"))
 
     def unit(*keys):
         return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 20)) / float(1 << 20)
 
     patch = unit(F.lit("patch"), F.floor(F.col("x") / 20), F.floor(F.col("y") / 20))
-    inside = lambda c: (F.col("y") >= c[0]) & (F.col("y") < c[0] + c[2]) & (F.col("x") >= c[1]) & (F.col("x") < c[1] + c[3])
+    inside = lambda c: (F.col("yy") >= c[0]) & (F.col("yy") < c[0] + c[2]) & (F.col("x") >= c[1]) & (F.col("x") < c[1] + c[3])
     truth = F.lit(False)
     for c in changes:
         truth = truth | inside(c)
@@ -172,7 +177,7 @@ def synthetic_pair(spark: SparkSession, width: int = 900, height: int = 900, cha
         truth = truth & ~inside(c)
     p = p.withColumn("patch", patch).withColumn("truth", truth)
     moist = inside((200, 650, 60, 60))
-    speckle = unit(F.lit("speckle"), "x", "y") < 5e-5
+    speckle = unit(F.lit("speckle"), "x", "y", "salt") < 5e-5
     out = {}
     for k, band in enumerate(ix.BANDS):
         ground = F.when(F.col("patch") < 0.5, F.lit(SURFACES["soil"][k])).otherwise(F.lit(SURFACES["vegetation"][k])) * (0.9 + 0.2 * F.col("patch"))
@@ -186,7 +191,7 @@ def synthetic_pair(spark: SparkSession, width: int = 900, height: int = 900, cha
         for c in clouds:
             after = F.when(inside(c), F.lit(CLOUD[k])).otherwise(after)
         after = F.when(speckle, after * 1.8).otherwise(after) * 1.06 + 0.005
-        bell = lambda d: (unit(F.lit(d + band), "x", "y") + unit(F.lit(d + band + "2"), "x", "y") + unit(F.lit(d + band + "3"), "x", "y") - 1.5) * 2.0
+        bell = lambda d: (unit(F.lit(d + band), "x", "y", "salt") + unit(F.lit(d + band + "2"), "x", "y", "salt") + unit(F.lit(d + band + "3"), "x", "y", "salt") - 1.5) * 2.0
         out["b_" + band] = ix.clip(before + noise * bell("b"), 0.001, 1.0)
         out["a_" + band] = ix.clip(after + noise * bell("a"), 0.001, 1.0)
-    return p.withColumns(out).withColumn("valid", F.lit(True)).drop("patch")
+    return p.withColumns(out).withColumn("valid", F.lit(True)).drop("patch", "yy", "salt")

@@ -190,12 +190,19 @@ def crop_pad(spark, sf_dir):
     return composite.crop_pad(fx.quantity_change(spark, sf_dir), 10, 5, 20, 15, 2, ["dq"])
 
 
-@query("SELECT 0 AS tile, 3 AS dx, -2 AS dy")
+@query("SELECT 0 AS scene, CAST(count(*) % 7 - 3 AS INTEGER) AS dx, CAST(count(*) % 5 - 2 AS INTEGER) AS dy FROM orders")
 def phase_shift(spark, sf_dir):
-    """The shift between a raster and its copy three pixels to the right and two up."""
-    q = spark.range(64 * 64).select((F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64.0).alias("y"), (F.crc32(F.col("id").cast("string").cast("binary")) % 1000).alias("v"))
-    moved = q.select(((F.col("x") + 3) % 64).alias("x"), ((F.col("y") + 62) % 64).alias("y"), F.col("v").alias("w"))
-    return focal.phase_shift(q.join(moved, ["x", "y"]).withColumn("tile", F.lit(0)), "v", "w", ("tile",))
+    """The shift, found by blocks, between the green band of the before date and its copy moved by as many pixels as the number of orders tells.
+
+    The copy carries the noise of the other date's quantities, and pixels moved over an edge are lost.
+    """
+    b, a = fx.dates(spark, sf_dir)
+    n = table(spark, sf_dir, "orders").count()
+    green = b.select("x", "y", F.col("green").cast("double").alias("v"))
+    moved = green.select((F.col("x") + (n % 7 - 3)).alias("x"), (F.col("y") + (n % 5 - 2)).alias("y"), F.col("v").alias("w"))
+    moved = moved.join(a.select("x", "y", "q"), ["x", "y"]).select("x", "y", (F.col("w") + F.col("q") / 10.0).alias("w"))
+    found = focal.phase_shift(green.join(moved, ["x", "y"]).withColumn("scene", F.lit(0)), "v", "w", ("scene",), block=24)
+    return found.select("scene", "dx", "dy")
 
 
 # ------------------------------------------------------------------ scores and samples
