@@ -13,7 +13,7 @@ from ..functions import significance as sg
 from ..functions import text as tx
 from ..operators import composite, evaluate, focal, inference, scenes, verdicts
 from ..operators import pixels as px
-from ..sources import readers
+from ..sources import readers, tiff
 from ..sources.readers import table
 from ..sources.work import WorkFolder
 from ..streaming import composite as streaming
@@ -280,6 +280,14 @@ def irmad_round(spark, sf_dir):
 # ------------------------------------------------------------------ sinks and sources
 
 
+@query(f"WITH {fx.SQL_PAIR} SELECT x, y, CAST(dq AS INTEGER) AS dq FROM px WHERE x BETWEEN 10 AND 39 AND y BETWEEN 5 AND 24")
+def tiff_window(spark, sf_dir):
+    """A window of the raster of quantity changes, from a folder of TIFF tiles that the query writes."""
+    path = WorkFolder(spark, "tiff").path
+    tiff.write_tiff(fx.quantity_change(spark, sf_dir).withColumn("dq", F.col("dq").cast("int")), path, ["dq"], 16)
+    return tiff.read_tiff(spark, path, (10, 5, 30, 20))
+
+
 @query("SELECT nation.n_nationkey AS tile, max(struct_pack(d := strftime(CAST(o_orderdate AS DATE), '%Y%m%d'), p := 'S2A_' || strftime(CAST(o_orderdate AS DATE), '%Y%m%d') || '_' || o_orderkey)).p AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def latest_scene(spark, sf_dir):
     """The newest file of each tile's folder, ties to the later path."""
