@@ -48,25 +48,17 @@ def without_quality(scenes: DataFrame, quality: DataFrame, key: str = "scene_id"
     return scenes.join(quality.select(key), key, "left_anti")
 
 
-#: Rasters up to which their bounds are broadcast; more meet points in grid cells.
-BROADCAST_RASTERS = 100_000
-
-
 def containing(points: DataFrame, bounds: DataFrame) -> DataFrame:
     """The first raster, by id, whose bounds hold each point; a point outside all gets the first raster of all.
 
-    ``bounds`` (raster_id, x0, y0, x1, y1) is broadcast if it is small. Else rasters are dealt
-    to square cells as wide as the largest one, at most four or nine each, and meet the points
-    of their cells.
+    Rasters of ``bounds`` (raster_id, x0, y0, x1, y1) are dealt to square cells as wide as the
+    largest one, at most four or nine each, and meet the points of their cells.
     """
     inside = (F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))
-    n, wide = bounds.agg(F.count("*"), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()
-    if n <= BROADCAST_RASTERS:
-        met = points.join(F.broadcast(bounds), inside)
-    else:
-        cell = lambda c: F.floor(F.col(c) / float(wide or 1.0))
-        dealt = bounds.withColumn("gx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("gy", F.explode(F.sequence(cell("y0"), cell("y1"))))
-        met = points.withColumn("gx", cell("px")).withColumn("gy", cell("py")).join(dealt, ["gx", "gy"]).where(inside)
+    wide = bounds.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    cell = lambda c: F.floor(F.col(c) / float(wide or 1.0))
+    dealt = bounds.withColumn("gx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("gy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    met = points.withColumn("gx", cell("px")).withColumn("gy", cell("py")).join(dealt, ["gx", "gy"]).where(inside)
     hit = met.groupBy("point_id").agg(F.min("raster_id").alias("raster_id"))
     fallback = bounds.agg(F.min("raster_id")).first()[0]
     return points.join(hit, "point_id", "left").select("point_id", F.coalesce("raster_id", F.lit(fallback)).alias("raster_id"), F.col("raster_id").isNotNull().alias("inside"))

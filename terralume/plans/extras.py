@@ -352,6 +352,28 @@ def stream_answers(spark, sf_dir):
     return spark.read.schema("content string, done boolean, error string, conv_id long, turn long").parquet(f"{work.path}/out").select("conv_id", "turn", "content", "done")
 
 
+@query(f"""WITH {fx.SQL_SCENES}, b AS (SELECT (CAST(epoch(CAST(acq_date AS TIMESTAMP)) AS BIGINT) // 604800) * 7 AS d, tile, min(struct_pack(c := cloud_pct, s := scene_id)) AS best FROM sc GROUP BY 1, 2)
+SELECT strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS start, tile, best.s AS scene_id, best.c AS cloud_pct FROM b""")
+def stream_best_scene(spark, sf_dir):
+    """Each tile's clearest scene of a week, from a stream of scenes and one of cloud records, in three runs.
+
+    The second run brings repeated rows and clear scenes that are too late, the third closes the last weeks.
+    """
+    work = WorkFolder(spark, "arrivals")
+    sc = fx.scenes(spark, sf_dir).select("scene_id", "tile", F.col("acq_date").cast("timestamp").alias("ts"), "cloud_pct")
+    sc = work.put("scenes", sc.withColumn("seen", F.expr("ts + make_interval(0, 0, 0, 0, CAST(scene_id % 24 AS INT))")))
+    far = lambda year: sc.limit(1).select(F.lit(-1).cast("long").alias("scene_id"), F.lit(-1).alias("tile"), F.to_timestamp(F.lit(f"{year}-01-01")).alias("ts"), F.lit(0).cast("long").alias("cloud_pct"), F.to_timestamp(F.lit(f"{year}-01-01")).alias("seen"))
+    clear = sc.withColumn("cloud_pct", F.lit(-1).cast("long"))
+    kinds = {"s": "scene_id long, tile int, ts timestamp", "q": "q_scene long, cloud_pct long, seen timestamp"}
+    for rows in (sc.unionByName(far(2100)), sc.where("scene_id % 3 = 0").unionByName(clear).unionByName(far(2101)), far(2102)):
+        rows.select(F.col("scene_id"), F.col("tile").cast("int").alias("tile"), "ts").write.mode("append").parquet(f"{work.path}/s")
+        rows.select(F.col("scene_id").alias("q_scene"), F.col("cloud_pct").cast("long").alias("cloud_pct"), "seen").write.mode("append").parquet(f"{work.path}/q")
+        scenes, quality = (spark.readStream.schema(kinds[k]).parquet(f"{work.path}/{k}") for k in "sq")
+        streaming.run_once(streaming.best_scene(scenes, quality), f"{work.path}/out", f"{work.path}/mark")
+    found = spark.read.schema("start timestamp, tile int, scene_id long, cloud_pct long").parquet(f"{work.path}/out")
+    return found.where("tile >= 0").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "tile", "scene_id", "cloud_pct")
+
+
 @query("""WITH t AS (SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(value) AS n, avg(value) AS m, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1, 2)
 SELECT strftime(day, '%Y-%m-%d') AS day, event_type, n, CASE WHEN n >= 5 THEN round(m, 6) + 0.0 END AS mean, round(lo, 6) + 0.0 AS low, round(hi, 6) + 0.0 AS high FROM t""")
 def daily_composites(spark, sf_dir):
