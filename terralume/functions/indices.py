@@ -188,7 +188,7 @@ def zscore(rows, column: str):
 
 
 def utm_inverse(easting: Column, northing: Column, zone: int) -> tuple[Column, Column]:
-    """(latitude, longitude) in degrees of a northern UTM point, to about a millimetre near the zone's middle.
+    """(latitude, longitude) in degrees of a northern UTM point, to centimetres even in the zone beside it.
 
     The usual series: footpoint latitude from the meridian arc, then powers of the distance
     from the central meridian.
@@ -204,6 +204,24 @@ def utm_inverse(easting: Column, northing: Column, zone: int) -> tuple[Column, C
     bend = 1 - F.sin(foot) * F.sin(foot) * e2
     n, r = a / F.sqrt(bend), a * (1 - e2) / F.pow(bend, F.lit(1.5))
     d = (easting - 500000.0) / (n * k0)
-    lat = foot - n * F.tan(foot) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * F.pow(d, F.lit(4)) / 24)
-    lon = (d - (1 + 2 * t + c) * F.pow(d, F.lit(3)) / 6) / F.cos(foot)
+    power = lambda k: F.pow(d, F.lit(k))
+    lat = foot - n * F.tan(foot) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * power(4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * power(6) / 720)
+    lon = (d - (1 + 2 * t + c) * power(3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * power(5) / 120) / F.cos(foot)
     return F.degrees(lat), zone * 6 - 183.0 + F.degrees(lon)
+
+
+def utm_forward(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """(easting, northing) of a northern point in degrees, also from the zone beside its own; the usual series."""
+    # fixed values: as for the inverse
+    a, e2, k0 = 6378137.0, 0.00669437999014, 0.9996
+    ep = e2 / (1 - e2)
+    f = F.radians(lat)
+    t, c = F.tan(f) * F.tan(f), F.cos(f) * F.cos(f) * ep
+    n = a / F.sqrt(1 - F.sin(f) * F.sin(f) * e2)
+    d = F.radians(lon - (zone * 6 - 183.0)) * F.cos(f)
+    arc = f * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) - F.sin(f * 2) * (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024)
+    arc = a * (arc + F.sin(f * 4) * (15 * e2**2 / 256 + 45 * e2**3 / 1024) - F.sin(f * 6) * (35 * e2**3 / 3072))
+    power = lambda k: F.pow(d, F.lit(k))
+    x = d + (1 - t + c) * power(3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * power(5) / 120
+    y = d * d / 2 + (5 - t + 9 * c + 4 * c * c) * power(4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * power(6) / 720
+    return 500000.0 + k0 * n * x, k0 * (arc + n * F.tan(f) * y)

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import indices as ix
+from ..sources.work import WorkFolder
+
 
 def _line(keys, along: str, across: str, before: int, after: int):
     return W.partitionBy(*keys, across).orderBy(along).rangeBetween(-before, after)
@@ -205,6 +208,37 @@ def bicubic(coarse: DataFrame, fine: DataFrame, factor: int, column: str, width:
     return joined.groupBy("x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(column))
 
 
+def warp_utm(source: DataFrame, grid: DataFrame, bands: list[str], source_at: tuple[int, tuple], grid_at: tuple[int, tuple], smooth: bool = False) -> DataFrame:
+    """(x, y, bands): ``source`` on another grid of pixels, which may be of another UTM zone.
+
+    ``source_at`` and ``grid_at`` are (zone, affine transform of pixel centres). Each pixel of ``grid`` (x, y) is taken
+    back to a place in the source, by latitude and longitude where zones differ: its value is the nearest
+    source pixel's, or (``smooth``) the bilinear mean of the four around it, those that are there counting
+    in proportion. Pixels whose place meets no source pixel go. The grid meets the
+    source by an equi-join on source pixels, one row or four a pixel.
+    """
+    e, n = ix.affine("x", "y", grid_at[1])
+    at = grid.select("x", "y", e.alias("_e"), n.alias("_n"))
+    if source_at[0] != grid_at[0]:  # by steps: written out in one, the series would repeat in one another
+        lat, lon = ix.utm_inverse(F.col("_e"), F.col("_n"), grid_at[0])
+        at = at.select("x", "y", lat.alias("_lat"), lon.alias("_lon"))
+        e, n = ix.utm_forward(F.col("_lat"), F.col("_lon"), source_at[0])
+        # written, or a join's filters would be pushed down through all of them
+        at = WorkFolder(grid.sparkSession, "warp").put("places", at.select("x", "y", e.alias("_e"), n.alias("_n")))
+    column, line = ix.affine("_e", "_n", ix.inverse_affine(source_at[1]))
+    at = at.select("x", "y", column.alias("_c"), line.alias("_l"))
+    if not smooth:
+        near = lambda c: F.floor(F.col(c) + 0.5).cast("long")
+        values = source.select(F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), *bands)
+        return at.select("x", "y", near("_c").alias("_x"), near("_l").alias("_y")).join(values, ["_x", "_y"]).select("x", "y", *bands)
+    base = at.withColumn("_x", F.floor("_c").cast("long")).withColumn("_y", F.floor("_l").cast("long")).withColumn("_fx", F.col("_c") - F.col("_x")).withColumn("_fy", F.col("_l") - F.col("_y"))
+    corners = [F.struct((F.col("_x") + dx).alias("_x"), (F.col("_y") + dy).alias("_y"), ((F.col("_fx") if dx else 1 - F.col("_fx")) * (F.col("_fy") if dy else 1 - F.col("_fy"))).alias("_w")) for dx in (0, 1) for dy in (0, 1)]
+    four = base.select("x", "y", F.inline(F.array(*corners))).where(F.col("_w") > 1e-4)
+    values = source.select(F.col("x").cast("long").alias("_x"), F.col("y").cast("long").alias("_y"), *[F.col(b).alias("_" + b) for b in bands])
+    met = four.join(values, ["_x", "_y"])
+    return met.groupBy("x", "y").agg(*[(F.sum(F.col("_w") * F.col("_" + b)) / F.sum("_w")).alias(b) for b in bands])
+
+
 def phase_shift(rows: DataFrame, a: str, b: str, keys=("tile",), block: int = 64) -> DataFrame:
     """(keys, dx, dy, sub_dx, sub_dy, blocks, share): the shift that takes band a to band b, by vote of blocks.
 

@@ -160,6 +160,41 @@ def pixel_lonlat(spark, sf_dir):
     return p.select("id", r6(lat, "lat", 7), r6(lon, "lon", 7))
 
 
+#: The raster of zone 33 as seen from zone 34: the same number of pixels of 10 m from the place of its upper left one.
+_NEXT = (10.0, 0.0, -40150.0, 0.0, -10.0, 4016720.0)
+_EP = _E2 / (1 - _E2)
+_ARC = f"6378137.0 * (f * (1 - {_E2} / 4 - 3 * {_E2**2} / 64 - 5 * {_E2**3} / 256) - sin(f * 2) * (3 * {_E2} / 8 + 3 * {_E2**2} / 32 + 45 * {_E2**3} / 1024) + sin(f * 4) * (15 * {_E2**2} / 256 + 45 * {_E2**3} / 1024) - sin(f * 6) * (35 * {_E2**3} / 3072))"
+_WARP = f"""{fx.SQL_PAIR}, gr AS (SELECT x, y, {_NEXT[2]} + 10 * x - 500000.0 AS e, {_NEXT[5]} - 10 * y AS nn FROM px),
+mu AS MATERIALIZED (SELECT x, y, e, {_M.replace("y", "nn", 1)} AS m FROM gr),
+ft AS MATERIALIZED (SELECT x AS gx, y AS gy, e, m + (3 * {_E1} / 2 - 27 * {_E1**3} / 32) * sin(2 * m) + (21 * {_E1**2} / 16 - 55 * {_E1**4} / 32) * sin(4 * m) + 151 * {_E1**3} / 96 * sin(6 * m) + 1097 * {_E1**4} / 512 * sin(8 * m) AS f FROM mu),
+s1 AS MATERIALIZED (SELECT *, power(tan(f), 2) AS t, {_EP} * power(cos(f), 2) AS c, 6378137.0 / sqrt(1 - {_E2} * power(sin(f), 2)) AS n, 6378137.0 * (1 - {_E2}) / power(1 - {_E2} * power(sin(f), 2), 1.5) AS r FROM ft),
+s2 AS (SELECT *, e / (n * 0.9996) AS d FROM s1),
+ll AS MATERIALIZED (SELECT gx, gy, f - n * tan(f) / r * (power(d, 2) / 2 - (5 + 3 * t + 10 * c - 4 * power(c, 2) - 9 * {_EP}) * power(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * power(t, 2) - 252 * {_EP} - 3 * power(c, 2)) * power(d, 6) / 720) AS f,
+  radians(6.0) + (d - (1 + 2 * t + c) * power(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * power(c, 2) + 8 * {_EP} + 24 * power(t, 2)) * power(d, 5) / 120) / cos(f) AS l FROM s2),
+s3 AS MATERIALIZED (SELECT gx, gy, f, power(tan(f), 2) AS t, {_EP} * power(cos(f), 2) AS c, 6378137.0 / sqrt(1 - {_E2} * power(sin(f), 2)) AS n, l * cos(f) AS d, {_ARC} AS a FROM ll),
+s4 AS MATERIALIZED (SELECT gx, gy, 0.9996 * n * (d + (1 - t + c) * power(d, 3) / 6 + (5 - 18 * t + power(t, 2) + 72 * c - 58 * {_EP}) * power(d, 5) / 120) / 10 AS cc,
+  (4000000.0 - 0.9996 * (a + n * tan(f) * (power(d, 2) / 2 + (5 - t + 9 * c + 4 * power(c, 2)) * power(d, 4) / 24 + (61 - 58 * t + power(t, 2) + 600 * c - 330 * {_EP}) * power(d, 6) / 720))) / 10 AS ll FROM s3)"""
+
+
+def _warped(spark, sf_dir, smooth: bool):
+    q = fx.quantity_change(spark, sf_dir)
+    return focal.warp_utm(q, q.select("x", "y"), ["dq"], (33, fx.TRANSFORM), (34, _NEXT), smooth)
+
+
+@query(f"WITH {_WARP} SELECT gx AS x, gy AS y, dq FROM s4 JOIN px ON px.x = CAST(floor(cc + 0.5) AS BIGINT) AND px.y = CAST(floor(ll + 0.5) AS BIGINT)")
+def warp_nearest(spark, sf_dir):
+    """The raster of quantity changes on a grid of the next UTM zone, nearest pixels."""
+    return _warped(spark, sf_dir, False)
+
+
+@query(f"""WITH {_WARP}, k AS (SELECT gx, gy, CAST(floor(cc) AS BIGINT) + i AS x, CAST(floor(ll) AS BIGINT) + j AS y, (CASE WHEN i = 1 THEN cc - floor(cc) ELSE 1 - (cc - floor(cc)) END) * (CASE WHEN j = 1 THEN ll - floor(ll) ELSE 1 - (ll - floor(ll)) END) AS w
+  FROM s4, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT gx AS x, gy AS y, round(sum(w * dq) / sum(w), 3) + 0.0 AS dq FROM k JOIN px USING (x, y) WHERE w > 0.0001 GROUP BY 1, 2""")
+def warp_bilinear(spark, sf_dir):
+    """The same by the four pixels around each place."""
+    return _warped(spark, sf_dir, True).select("x", "y", r6("dq", digits=3))
+
+
 # ------------------------------------------------------------------ resampling and patches
 
 

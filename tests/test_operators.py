@@ -480,3 +480,24 @@ def test_phase_shift_by_blocks(spark, shift):
     assert (got["sub_dx"], got["sub_dy"]) == (pytest.approx(shift[0], abs=0.35), pytest.approx(shift[1], abs=0.35))
     if shift != (1.5, 0.25):
         assert (got["dx"], got["dy"]) == shift
+
+
+def test_utm_there_and_back(spark):
+    rng = np.random.default_rng(2)
+    points = pd.DataFrame({"e": rng.uniform(200_000, 800_000, 200), "n": rng.uniform(1e5, 7.5e6, 200)})
+    e, n = ix.utm_forward(*ix.utm_inverse(F.col("e"), F.col("n"), 33), 33)
+    got = spark.createDataFrame(points).select("e", "n", e.alias("e2"), n.alias("n2")).toPandas()
+    assert np.abs(got["e"] - got["e2"]).max() < 0.05 and np.abs(got["n"] - got["n2"]).max() < 0.05
+
+
+def test_warp_and_back_stays_within_a_pixel(spark):
+    """A plane raster that holds its own columns and lines, to the next zone and back: values are places, so they tell the error in pixels."""
+    here, there = (33, (10.0, 0.0, 500000.0, 0.0, -10.0, 4000000.0)), (34, (10.0, 0.0, -40400.0, 0.0, -10.0, 4016900.0))
+    source = raster(spark, np.zeros((60, 60)), "v").select("x", "y", F.col("x").cast("double").alias("cx"), F.col("y").cast("double").alias("cy"))
+    wide = raster(spark, np.zeros((130, 130)), "v").select("x", "y")
+    for smooth, most in ((False, 1.01), (True, 0.02)):
+        away = focal.warp_utm(source, wide, ["cx", "cy"], here, there, smooth)
+        back = focal.warp_utm(away, source.select("x", "y"), ["cx", "cy"], there, here, smooth)
+        inner = back.where("x BETWEEN 3 AND 56 AND y BETWEEN 3 AND 56").toPandas()
+        assert len(inner) == 54 * 54
+        assert max(np.abs(inner["cx"] - inner["x"]).max(), np.abs(inner["cy"] - inner["y"]).max()) <= most
