@@ -315,6 +315,20 @@ def irmad_round(spark, sf_dir):
 # ------------------------------------------------------------------ sinks and sources
 
 
+def _bucketed_sides(spark, sf_dir, work):
+    for name, side in zip(("before", "after"), fx.dates(spark, sf_dir)):
+        yield readers.write_bucketed(side.select("x", "y", *ix.BANDS), f"scene_{name}_{work.path[-32:]}", f"{work.path}/{name}", 32, 8)
+
+
+@query(f"WITH {fx.SQL_PAIR} SELECT x, y, {', '.join(p + b for p in ('b_', 'a_') for b in ix.BANDS)}, valid FROM px")
+def bucketed_pair(spark, sf_dir):
+    """The pair of two dates stored by tile: joined without an exchange."""
+    work = WorkFolder(spark, "bucketed")
+    before, after = _bucketed_sides(spark, sf_dir, work)
+    with readers.co_located(spark):
+        return work.put("pair", px.pair(before, after, ("ty", "tx", "y", "x")).drop("ty", "tx"))
+
+
 @query(f"WITH {fx.SQL_PAIR} SELECT x, y, CAST(dq AS INTEGER) AS dq FROM px WHERE x BETWEEN 10 AND 39 AND y BETWEEN 5 AND 24")
 def tiff_window(spark, sf_dir):
     """A window of the raster of quantity changes, from a folder of TIFF tiles that the query writes."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import struct
 import zlib
@@ -152,6 +153,30 @@ def write_tiles(pixels: DataFrame, path: str, tile: int = 512) -> None:
     df.repartition("ty", "tx").sortWithinPartitions("ty", "tx", "y", "x").write.mode("overwrite").partitionBy("ty").parquet(path)
 
 
+def write_bucketed(pixels: DataFrame, table: str, path: str, tile: int = 512, buckets: int = 64) -> DataFrame:
+    """A scene as a table of the session's catalog, its files dealt by tile (ty, tx) and sorted in it; returns its rows.
+
+    Tables written with the same ``tile`` and ``buckets`` join by (ty, tx, y, x), and group by tile, where they lie:
+    :func:`co_located` lets Spark take the tile alone for the join's dealing.
+    """
+    df = pixels.withColumn("ty", F.floor(F.col("y") / tile).cast("int")).withColumn("tx", F.floor(F.col("x") / tile).cast("int"))
+    out = df.repartition(buckets, "ty", "tx").write.mode("overwrite").option("path", path)
+    out.bucketBy(buckets, "ty", "tx").sortBy("ty", "tx", "y", "x").saveAsTable(table)
+    return pixels.sparkSession.table(table)
+
+
+@contextlib.contextmanager
+def co_located(spark: SparkSession):
+    """Inside, plans that run join tables dealt by tile where they lie, also on more columns than the tile."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def geojson(regions: DataFrame, t: tuple[float, ...]) -> DataFrame:
     """One GeoJSON feature a row: the region's box as a closed ring in world coordinates."""
     a, b, c, d, e, f = t

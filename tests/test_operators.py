@@ -501,3 +501,25 @@ def test_warp_and_back_stays_within_a_pixel(spark):
         inner = back.where("x BETWEEN 3 AND 56 AND y BETWEEN 3 AND 56").toPandas()
         assert len(inner) == 54 * 54
         assert max(np.abs(inner["cx"] - inner["x"]).max(), np.abs(inner["cy"] - inner["y"]).max()) <= most
+
+
+def test_bucketed_scenes_join_where_they_lie(spark, tmp_path):
+    from terralume.sources import readers
+
+    rows = raster(spark, np.arange(40 * 50).reshape(40, 50) + 1.0, "v")
+    for b in ix.BANDS:
+        rows = rows.withColumn(b, F.col("v"))
+    sides = [readers.write_bucketed(rows.drop("v"), f"bucketed_{k}", f"file://{tmp_path}/{k}", 16, 4) for k in "ab"]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with readers.co_located(spark):
+            both = px.pair(*sides, ("ty", "tx", "y", "x"))
+            tiles = both.groupBy("ty", "tx").agg(F.sum("b_nir").alias("n"))
+            plan = tiles._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" in plan
+            assert both.count() == 2000 and sum(r["n"] for r in tiles.collect()) == 2000 * 2001 / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        for k in "ab":
+            spark.sql(f"DROP TABLE bucketed_{k}")
