@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import WorkFolder
@@ -198,19 +199,17 @@ def shapes(rows: DataFrame, keys=("region",), least_px: int = 16, tile: int = TI
     halo = min(HALO, tile)
     bones = thinned(full, keys, tile, halo).groupBy(*keys).agg(F.count("*").alias("skeleton_px"))
     got = outlines(full, keys).join(bones, keys)
-    c, enough = F.col, F.col("area") >= least_px
-    value = lambda v, neutral: F.when(enough, v).otherwise(F.lit(neutral))
-    ratio = lambda over: F.least(F.lit(1.0), c("area") / over)
-    return out.unionByName(got.select(
-        *keys, "area", value(_half_even(ratio(c("short") * c("long")), 2), 0.0).alias("rectangularity"), value(_half_even(ratio(F.greatest("hull_px", F.lit(1))), 2), 0.0).alias("solidity"),
-        value(_half_even(c("long") / F.greatest("short", F.lit(1e-6)), 1), 1.0).alias("aspect"), value(c("skeleton_px"), 0).cast("long").alias("skeleton_px"),
-        value(_half_even(c("area") / F.greatest("skeleton_px", F.lit(1)), 1), 0.0).alias("mean_width_px"),
-    ))
-
-
-def _half_even(value: Column, digits: int) -> Column:
-    """Rounded as Python rounds: halves, which doubles hold rarely, to the even digit."""
-    return F.bround(value, digits)
+
+    def finish(batches):
+        for batch in batches:
+            rows = batch.select(["area", "short", "long", "hull_px", "skeleton_px"]).to_pylist()
+            found = [geometry.rounded(r["area"], r["short"], r["long"], r["hull_px"], r["skeleton_px"]) if r["area"] >= least_px else geometry.NEUTRAL for r in rows]
+            columns = [pa.array(v, k) for v, k in zip(zip(*found), (pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()))] if rows else []
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.select([*keys, "area"]).columns, *columns], [*keys, "area", *geometry.SHAPE])
+
+    schema = _fields(rows, keys, "area long, rectangularity double, solidity double, aspect double, skeleton_px long, mean_width_px double")
+    return out.unionByName(got.select(*keys, "area", "short", "long", "hull_px", "skeleton_px").mapInArrow(finish, schema))
 
 
 def hulls(rows: DataFrame, keys=("region",), tile: int = TILE) -> DataFrame:
