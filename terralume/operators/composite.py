@@ -53,12 +53,29 @@ def overlap_mean(patches: DataFrame, value: str) -> DataFrame:
 
 
 def in_patches(pixels: DataFrame, width: int, height: int, size: int, stride: int) -> DataFrame:
-    """Each pixel once for every patch that holds it, with the patch's corner and running number."""
-    starts = lambda n: sorted({*range(0, max(n - size, 0) + 1, stride), max(n - size, 0)})
-    xs, ys = starts(width), starts(height)
-    inside = lambda axis, all_: F.filter(F.array(*[F.lit(s) for s in all_]), lambda s: (F.col(axis) >= s) & (F.col(axis) < s + size))
-    df = pixels.withColumn("px", F.explode(inside("x", xs))).withColumn("py", F.explode(inside("y", ys)))
-    return df.withColumn("patch", (F.array_position(F.array(*[F.lit(s) for s in ys]), F.col("py")) - 1) * len(xs) + F.array_position(F.array(*[F.lit(s) for s in xs]), F.col("px")) - 1)
+    """Each pixel once for every patch that holds it, with the patch's corner and running number.
+
+    Which patches of an axis hold a pixel is arithmetic on its place, so a row's cost does not grow with the
+    raster. A pixel without a place is in no patch.
+    """
+
+    def held(axis: str, n: int):
+        """(k, at): numbers and starts of the patches that hold the pixel; the last starts at ``n - size``."""
+        last = max(n - size, 0)
+        first = F.greatest(F.lit(0).cast("long"), F.floor((F.col(axis) - size) / float(stride)) + 1)
+        final = F.floor(F.least(F.col(axis), F.lit(last)) / float(stride))
+        some = F.col(axis).isNotNull() & (first <= final)
+        starts = F.transform(F.when(some, F.sequence(first, final)), lambda k: F.struct(k.alias("k"), (k * stride).cast("int").alias("at")))
+        if last % stride == 0:
+            return starts
+        at_end = (F.col(axis) >= last) & (F.col(axis) < last + size)
+        end = F.array(F.struct(F.lit(last // stride + 1).cast("long").alias("k"), F.lit(last).alias("at")))
+        return F.when(at_end, F.concat(F.coalesce(starts, F.slice(end, 1, 0)), end)).otherwise(starts)
+
+    last = max(width - size, 0)
+    across = last // stride + 1 + (last % stride > 0)
+    df = pixels.withColumn("_px", F.explode(held("x", width))).withColumn("_py", F.explode(held("y", height)))
+    return df.withColumns({"px": F.col("_px.at"), "py": F.col("_py.at"), "patch": F.col("_py.k") * across + F.col("_px.k")}).drop("_px", "_py")
 
 
 def rotate90(pixels: DataFrame, height: int) -> DataFrame:

@@ -22,6 +22,12 @@ def place(key: str = "o_orderkey") -> list:
     return [(F.col(key) % WIDTH).alias("x"), F.floor(F.col(key) / float(WIDTH)).alias("y")]
 
 
+def extent(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Width and height of the pixel raster, from the orders alone; 0 where there is none."""
+    most = table(spark, sf_dir, "orders").select(*place()).agg(F.max("x"), F.max("y")).first()
+    return tuple(0 if v is None else v + 1 for v in most)
+
+
 def dates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(before, after): every pixel's bands, 0 where an order has no line of that date's status.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
@@ -271,7 +272,7 @@ pp AS (SELECT x, y, dq, px_, py_ FROM px JOIN xs ON x >= px_ AND x < px_ + {size
 
 def _in_patches(spark, sf_dir, size=16, stride=10):
     q = fx.quantity_change(spark, sf_dir)
-    return composite.in_patches(q, fx.WIDTH, q.agg(F.max("y") + 1).first()[0], size, stride)
+    return composite.in_patches(q, fx.WIDTH, fx.extent(spark, sf_dir)[1], size, stride)
 
 
 @query(f"WITH {_patches(16, 10)} SELECT px_ AS px, py_ AS py, count(*) AS pixels, CAST(sum(dq) AS BIGINT) AS total FROM pp GROUP BY 1, 2")
@@ -280,22 +281,25 @@ def patch_grid(spark, sf_dir):
     return _in_patches(spark, sf_dir).groupBy("px", "py").agg(F.count("*").alias("pixels"), F.sum("dq").alias("total"))
 
 
+def _patch_means(spark, sf_dir):
+    """Each pixel once for every patch that holds it, with the patch's mean; one exchange by patch, whose pixels are bounded by its size."""
+    return _in_patches(spark, sf_dir).withColumn("value", F.avg("dq").over(W.partitionBy("px", "py")))
+
+
 _PATCH_MEAN = "pm AS (SELECT px_, py_, avg(dq) AS m FROM pp GROUP BY 1, 2)"
 
 
 @query(f"WITH {_patches(16, 10)}, {_PATCH_MEAN} SELECT x, y, {sql6('avg(m)', 'value')}, count(*) AS weight FROM pp JOIN pm USING (px_, py_) GROUP BY 1, 2")
 def sliding_average(spark, sf_dir):
     """Every pixel's mean over the scores of the patches that hold it."""
-    p = _in_patches(spark, sf_dir)
-    m = p.groupBy("px", "py").agg(F.avg("dq").alias("value"))
-    return composite.overlap_mean(p.join(m, ["px", "py"]), "value").select("x", "y", r6("value"), "weight")
+    p = _patch_means(spark, sf_dir)
+    return composite.overlap_mean(p, "value").select("x", "y", r6("value"), "weight")
 
 
 @query(f"WITH {_patches(16, 10)}, {_PATCH_MEAN} SELECT x, y, {sql6('max_by(m, py_ * 1000 + px_)', 'value')} FROM pp JOIN pm USING (px_, py_) GROUP BY 1, 2")
 def patch_last_write(spark, sf_dir):
-    p = _in_patches(spark, sf_dir)
-    m = p.groupBy("px", "py").agg(F.avg("dq").alias("value"))
-    return composite.last_wins(p.join(m, ["px", "py"]), "value", "patch").select("x", "y", r6("value"))
+    p = _patch_means(spark, sf_dir)
+    return composite.last_wins(p, "value", "patch").select("x", "y", r6("value"))
 
 
 @query(f"WITH {_patches(16, 10)}, v AS (SELECT x, y, py_ * 1000 + px_ AS seq, CASE WHEN dq > 0 THEN CAST((px_ + py_) % 200 AS INTEGER) ELSE 255 END AS v FROM pp) SELECT x, y, coalesce(min_by(v, seq) FILTER (WHERE v <> 255), 255) AS class_code FROM v GROUP BY 1, 2")

@@ -523,3 +523,20 @@ def test_bucketed_scenes_join_where_they_lie(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
         for k in "ab":
             spark.sql(f"DROP TABLE bucketed_{k}")
+
+
+@pytest.mark.parametrize(("width", "height", "size", "stride"), [(50, 37, 16, 10), (12, 40, 16, 10), (36, 36, 16, 10), (9, 23, 4, 6)])
+def test_patches_of_a_pixel_are_found_by_arithmetic(spark, width, height, size, stride):
+    starts = lambda n: sorted({*range(0, max(n - size, 0) + 1, stride), max(n - size, 0)})
+    xs, ys = starts(width), starts(height)
+    places = [(x, y) for x in range(-1, width + 1) for y in range(-1, height + 1)] + [(None, 3), (3, None)]
+    got = composite.in_patches(spark.createDataFrame(places, "x long, y long"), width, height, size, stride)
+    inside = lambda v, all_: [s for s in all_ if v is not None and s <= v < s + size]
+    want = [(x, y, a, b, ys.index(b) * len(xs) + xs.index(a)) for x, y in places for a in inside(x, xs) for b in inside(y, ys)]
+    assert sorted(map(tuple, got.select("x", "y", "px", "py", "patch").collect())) == sorted(want)
+
+
+def test_the_plan_of_patches_does_not_grow_with_the_raster(spark):
+    pixels = spark.range(10).select((F.col("id") % 5).alias("x"), F.col("id").alias("y"))
+    size = lambda height: len(composite.in_patches(pixels, 50, height, 16, 10)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(1_000_006) < size(106) + 200
