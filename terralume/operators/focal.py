@@ -171,18 +171,39 @@ def nearest(coarse: DataFrame, fine: DataFrame, factor: int, columns: list[str],
     return fine.withColumn("_cx", place["x"]).withColumn("_cy", place["y"]).join(coarse.select(*keys, F.col("x").alias("_cx"), F.col("y").alias("_cy"), *columns), [*keys, "_cx", "_cy"]).drop("_cx", "_cy")
 
 
+def _weighted(coarse: DataFrame, fine: DataFrame, factor: int, column: str, size: dict[str, int], reach: tuple[int, int], weight) -> DataFrame:
+    """(x, y, column): each fine pixel's weighted sum over the coarse pixels around its place; the border repeats.
+
+    ``reach`` is the first and last neighbour of the coarse pixel at or before the place, ``weight`` gives a neighbour's weight by
+    its distance. The neighbours of every coarse pixel become columns, first along one axis, then along the other, and fine
+    pixels join them once: four rows a coarse pixel and axis travel, not all neighbours of every fine
+    pixel. Sides are dealt by the key: the size that Spark guesses for them before it reads them is too small.
+    """
+    low, high = reach
+    offsets = range(low, high + 1)
+    cut = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), v))
+    held = coarse.select(*[F.col(a).cast("long").alias(f"_b{a}") for a in ("x", "y")], F.col(column).cast("double").alias("_v"))
+    values = ["_v"]
+    for a, n in size.items():
+        b = f"_b{a}"
+        held = held.withColumn("_at", F.explode(F.sequence(F.col(b) - high, F.col(b) - low)))
+        near = {f"{v}_{k}": F.sum(F.when(cut(F.col("_at") + i, n) == F.col(b), F.col(v))) for v in values for k, i in enumerate(offsets)}
+        rest = [c for c in ("_bx", "_by") if c != b]
+        held = held.groupBy(F.col("_at").alias(b), *rest).agg(*[c.alias(v) for v, c in near.items()])
+        values = list(near)
+    df = fine.select("x", "y")
+    df = df.withColumns({f"_f{a}": (F.col(a) + 0.5) / factor - 0.5 for a in size})
+    df = df.withColumns({f"_b{a}": F.greatest(F.lit(-high), F.least(F.lit(n - 1 - low), F.floor(f"_f{a}"))).cast("long") for a, n in size.items()})
+    df = df.withColumns({f"_w{a}_{k}": weight(F.col(f"_f{a}") - F.floor(f"_f{a}") - i) for a in size for k, i in enumerate(offsets)})
+    first, second = size
+    met = df.join(held.hint("merge"), ["_bx", "_by"])
+    total = ix.sum_of(*[F.col(f"_w{first}_{k}") * F.col(f"_w{second}_{m}") * F.coalesce(F.col(f"_v_{k}_{m}"), F.lit(0.0)) for k, _ in enumerate(offsets) for m, _ in enumerate(offsets)])
+    return met.select("x", "y", F.when(F.coalesce(*values).isNotNull(), total).alias(column))
+
+
 def bilinear(coarse: DataFrame, fine: DataFrame, factor: int, column: str, width: int, height: int) -> DataFrame:
     """Four weighted neighbours of a pixel-centred coarse grid; the border repeats."""
-    fx, fy = (F.col("x") + 0.5) / factor - 0.5, (F.col("y") + 0.5) / factor - 0.5
-    df = fine.withColumn("_fx", fx).withColumn("_fy", fy)
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    df = df.withColumn("_k", corner)
-    side = lambda f, i: F.when(i == 1, f - F.floor(f)).otherwise(1 - (f - F.floor(f)))
-    df = df.withColumn("_w", side(F.col("_fx"), F.col("_k.i")) * side(F.col("_fy"), F.col("_k.j")))
-    cut = lambda f, i, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), (F.floor(f) + i).cast("int")))
-    df = df.withColumn("_cx", cut(F.col("_fx"), F.col("_k.i"), width)).withColumn("_cy", cut(F.col("_fy"), F.col("_k.j"), height))
-    joined = df.join(coarse.select(F.col("x").alias("_cx"), F.col("y").alias("_cy"), F.col(column).alias("_v")), ["_cx", "_cy"])
-    return joined.groupBy("x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(column))
+    return _weighted(coarse, fine, factor, column, {"x": width, "y": height}, (0, 1), lambda t: 1 - F.abs(t))
 
 
 def area(pixels: DataFrame, factor: int, columns: list[str], keys=()) -> DataFrame:
@@ -199,13 +220,7 @@ def _cubic(t):
 
 def bicubic(coarse: DataFrame, fine: DataFrame, factor: int, column: str, width: int, height: int) -> DataFrame:
     """Sixteen weighted neighbours of a pixel-centred coarse grid; the border repeats."""
-    df = fine.withColumns({f"_f{a}": (F.col(a) + 0.5) / factor - 0.5 for a in ("x", "y")})
-    df = df.withColumn("_k", F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in range(-1, 3) for j in range(-1, 3)])))
-    part = lambda a: F.col(f"_f{a}") - F.floor(f"_f{a}") - F.col(f"_k.{a}")
-    at = lambda a, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(f"_f{a}") + F.col(f"_k.{a}")))
-    df = df.withColumns({"_w": _cubic(part("x")) * _cubic(part("y")), "_cx": at("x", width), "_cy": at("y", height)})
-    joined = df.join(coarse.select(F.col("x").alias("_cx"), F.col("y").alias("_cy"), F.col(column).alias("_v")), ["_cx", "_cy"])
-    return joined.groupBy("x", "y").agg(F.sum(F.col("_w") * F.col("_v")).alias(column))
+    return _weighted(coarse, fine, factor, column, {"x": width, "y": height}, (-1, 2), _cubic)
 
 
 def warp_utm(source: DataFrame, grid: DataFrame, bands: list[str], source_at: tuple[int, tuple], grid_at: tuple[int, tuple], smooth: bool = False) -> DataFrame:

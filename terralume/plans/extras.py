@@ -215,7 +215,7 @@ def bicubic_20m(spark, sf_dir):
     """A band of half the resolution on the fine grid by sixteen weighted neighbours."""
     _, a = fx.dates(spark, sf_dir)
     coarse = _coarse(a)
-    w, h = (v + 1 for v in coarse.agg(F.max("x"), F.max("y")).first())
+    w, h = (-(-v // 2) for v in fx.extent(spark, sf_dir))
     return focal.bicubic(coarse, a.select("x", "y"), 2, "swir", w, h).select("x", "y", r6("swir", digits=4))
 
 

@@ -267,7 +267,7 @@ def bilinear_20m(spark, sf_dir):
     """The same by bilinear interpolation between pixel centres."""
     _, a = fx.dates(spark, sf_dir)
     coarse = _coarse(a)
-    w, h = (v + 1 for v in coarse.agg(F.max("x"), F.max("y")).first())
+    w, h = (-(-v // 2) for v in fx.extent(spark, sf_dir))
     return focal.bilinear(coarse, a.select("x", "y"), 2, "swir", w, h).select("x", "y", r6("swir"))
 
 

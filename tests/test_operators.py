@@ -540,3 +540,29 @@ def test_the_plan_of_patches_does_not_grow_with_the_raster(spark):
     pixels = spark.range(10).select((F.col("id") % 5).alias("x"), F.col("id").alias("y"))
     size = lambda height: len(composite.in_patches(pixels, 50, height, 16, 10)._jdf.queryExecution().optimizedPlan().toString())
     assert size(1_000_006) < size(106) + 200
+
+
+@pytest.mark.parametrize(("name", "taps"), [("bilinear", (0, 1)), ("bicubic", (-1, 0, 1, 2))])
+def test_resampling_by_plain_loops(spark, name, taps):
+    """Holes, border and fine pixels beyond it as by the sum over all neighbours; no row is made for a neighbour of a fine pixel."""
+    cubic = lambda d: 1.25 * d**3 - 2.25 * d**2 + 1 if d <= 1 else -0.75 * d**3 + 3.75 * d**2 - 6 * d + 3
+    weight = (lambda d: 1 - d) if name == "bilinear" else cubic
+    rng = np.random.default_rng(5)
+    w, h = 5, 4
+    coarse = {(x, y): float(rng.integers(0, 900)) for x in range(w) for y in range(h) if rng.random() < 0.8}
+    fine = [(x, y) for x in range(-3, 2 * w + 6) for y in range(-3, 2 * h + 6)]
+    want = {}
+    for x, y in fine:
+        fx_, fy_ = (x + 0.5) / 2 - 0.5, (y + 0.5) / 2 - 0.5
+        for i in taps:
+            for j in taps:
+                at = min(w - 1, max(0, int(np.floor(fx_)) + i)), min(h - 1, max(0, int(np.floor(fy_)) + j))
+                if at in coarse:
+                    want[x, y] = want.get((x, y), 0.0) + weight(abs(fx_ - np.floor(fx_) - i)) * weight(abs(fy_ - np.floor(fy_) - j)) * coarse[at]
+    table = spark.createDataFrame([(x, y, v) for (x, y), v in coarse.items()], "x long, y long, v double")
+    places = spark.createDataFrame(fine, "x long, y long")
+    found = getattr(focal, name)(table, places, 2, "v", w, h)
+    got = {(r["x"], r["y"]): r["v"] for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
