@@ -52,16 +52,18 @@ def containing(points: DataFrame, bounds: DataFrame) -> DataFrame:
     """The first raster, by id, whose bounds hold each point; a point outside all gets the first raster of all.
 
     Rasters of ``bounds`` (raster_id, x0, y0, x1, y1) are dealt to square cells as wide as the
-    largest one, at most four or nine each, and meet the points of their cells.
+    largest one, at most four or nine each, and meet the points of their cells. Rasters of equal bounds
+    meet as one, that of the least id, and points of one place as one, so repeats cost no pairs.
     """
     inside = (F.col("px") >= F.col("x0")) & (F.col("px") <= F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") <= F.col("y1"))
-    wide = bounds.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
+    wide, fallback = bounds.agg(F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))), F.min("raster_id")).first()
     cell = lambda c: F.floor(F.col(c) / float(wide or 1.0))
-    dealt = bounds.withColumn("gx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("gy", F.explode(F.sequence(cell("y0"), cell("y1"))))
-    met = points.withColumn("gx", cell("px")).withColumn("gy", cell("py")).join(dealt, ["gx", "gy"]).where(inside)
-    hit = met.groupBy("point_id").agg(F.min("raster_id").alias("raster_id"))
-    fallback = bounds.agg(F.min("raster_id")).first()[0]
-    return points.join(hit, "point_id", "left").select("point_id", F.coalesce("raster_id", F.lit(fallback)).alias("raster_id"), F.col("raster_id").isNotNull().alias("inside"))
+    boxes = bounds.groupBy("x0", "y0", "x1", "y1").agg(F.min("raster_id").alias("raster_id"))
+    dealt = boxes.withColumn("gx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("gy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    places = points.select("px", "py").distinct()
+    met = places.withColumn("gx", cell("px")).withColumn("gy", cell("py")).join(dealt, ["gx", "gy"]).where(inside)
+    hit = met.groupBy("px", "py").agg(F.min("raster_id").alias("raster_id"))
+    return points.join(hit, ["px", "py"], "left").select("point_id", F.coalesce("raster_id", F.lit(fallback)).alias("raster_id"), F.col("raster_id").isNotNull().alias("inside"))
 
 
 def clip_bounds(rasters: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

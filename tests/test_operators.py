@@ -566,3 +566,12 @@ def test_resampling_by_plain_loops(spark, name, taps):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_equal_bounds_and_places_meet_once(spark):
+    points = spark.createDataFrame([(k, 5.5, 5.5) for k in range(400)] + [(400, 50.0, 50.0), (401, None, 1.0)], "point_id long, px double, py double")
+    bounds = spark.createDataFrame([(k, 0.0, 0.0, 10.0, 10.0) for k in range(300, 0, -1)] + [(0, 90.0, 90.0, 95.0, 95.0)], "raster_id long, x0 double, y0 double, x1 double, y1 double")
+    got = scenes.containing(points, bounds)
+    assert sorted(map(tuple, got.collect())) == [(k, 1, True) for k in range(400)] + [(400, 0, False), (401, 0, False)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [px" in plan and "Aggregate [x0" in plan  # places and boxes are made one before they meet
