@@ -147,10 +147,18 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
 
 
+#: Tile rows whose files share a folder.
+TILE_ROWS = 64
+
+
 def write_tiles(pixels: DataFrame, path: str, tile: int = 512) -> None:
-    """Pixels partitioned by tile row and sorted, so that window scans prune files and row groups."""
+    """Pixels partitioned by bands of tile rows and sorted by tile, so that window scans prune folders and row groups.
+
+    A folder a band, not a tile row: the number of files, which costs more than the pixels where tiles are small, is less by that factor.
+    """
     df = pixels.withColumn("ty", F.floor(F.col("y") / tile).cast("int")).withColumn("tx", F.floor(F.col("x") / tile).cast("int"))
-    df.repartition("ty", "tx").sortWithinPartitions("ty", "tx", "y", "x").write.mode("overwrite").partitionBy("ty").parquet(path)
+    df = df.withColumn("tile_band", F.floor(F.col("ty") / TILE_ROWS).cast("int"))
+    df.repartition("tile_band", "tx").sortWithinPartitions("tile_band", "ty", "tx", "y", "x").write.mode("overwrite").partitionBy("tile_band").parquet(path)
 
 
 def write_bucketed(pixels: DataFrame, table: str, path: str, tile: int = 512, buckets: int = 64) -> DataFrame:
@@ -199,9 +207,10 @@ def write_stats(stats: DataFrame, path: str) -> None:
 
 
 def tile_window(spark: SparkSession, path: str, x: int, y: int, w: int, h: int, tile: int = 512) -> DataFrame:
-    """A window of what :func:`write_tiles` wrote; files of other tile rows and row groups of other columns stay unread."""
-    rows = spark.read.parquet(path).where(F.col("ty").between(y // tile, (y + h - 1) // tile) & F.col("tx").between(x // tile, (x + w - 1) // tile))
-    return aoi(rows, x, y, w, h)
+    """A window of what :func:`write_tiles` wrote; folders of other bands and row groups of other tiles stay unread."""
+    first, last = y // tile, (y + h - 1) // tile
+    rows = spark.read.parquet(path).where(F.col("tile_band").between(first // TILE_ROWS, last // TILE_ROWS) & F.col("ty").between(first, last))
+    return aoi(rows.where(F.col("tx").between(x // tile, (x + w - 1) // tile)).drop("tile_band"), x, y, w, h)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -575,3 +575,15 @@ def test_equal_bounds_and_places_meet_once(spark):
     assert sorted(map(tuple, got.collect())) == [(k, 1, True) for k in range(400)] + [(400, 0, False), (401, 0, False)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [px" in plan and "Aggregate [x0" in plan  # places and boxes are made one before they meet
+
+
+def test_tiles_share_folders(spark, tmp_path):
+    import os
+
+    lines = 16 * readers.TILE_ROWS
+    rows = spark.range(lines * 4).select((F.col("id") % 4).alias("x"), F.floor(F.col("id") / 4).alias("y"))
+    readers.write_tiles(rows, f"{tmp_path}/t", 4)
+    folders = [f for f in os.listdir(f"{tmp_path}/t") if "=" in f]
+    assert len(folders) == 4
+    got = readers.tile_window(spark, f"{tmp_path}/t", 1, 250, 2, 20, 4)
+    assert sorted((r["x"], r["y"]) for r in got.collect()) == [(x, y) for x in (1, 2) for y in range(250, 270)] and "tile_band" not in got.columns
