@@ -39,7 +39,7 @@ class WorkFolder:
     def put(self, name: str, df: DataFrame) -> DataFrame:
         """Write and read again; shuffle files of the writing plan, which nothing reads any more, are deleted."""
         path, conf = f"{self.path}/{name}", self.spark.conf
-        was = conf.get(CLEAN, None)
+        was = _value(self.spark, CLEAN)
         if was is not None:
             conf.set(CLEAN, "true")
         try:
@@ -55,6 +55,14 @@ class WorkFolder:
             _delete(self.spark, f"{self.path}/{name}")
 
 
+def _value(spark: SparkSession, name: str) -> str | None:
+    """A setting's value, its default where it is not set; None where this version has none (``get`` with a default of None hides Spark's own)."""
+    try:
+        return spark.conf.get(name)
+    except Exception:
+        return None
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -568,6 +568,22 @@ def test_resampling_by_plain_loops(spark, name, taps):
     assert "Broadcast" not in plan
 
 
+def test_shuffle_files_of_a_written_table_go(spark):
+    import time
+
+    from terralume.sources.work import CLEAN, WorkFolder
+
+    found = lambda: sum(1 for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_"))
+    was, before = spark.conf.get(CLEAN), found()
+    made = WorkFolder(spark, "cleaned").put("t", spark.range(1000).repartition(7, "id"))
+    for _ in range(20):
+        if found() <= before:
+            break
+        time.sleep(0.25)
+    assert found() <= before and spark.conf.get(CLEAN) == was
+    assert made.count() == 1000
+
+
 def test_equal_bounds_and_places_meet_once(spark):
     points = spark.createDataFrame([(k, 5.5, 5.5) for k in range(400)] + [(400, 50.0, 50.0), (401, None, 1.0)], "point_id long, px double, py double")
     bounds = spark.createDataFrame([(k, 0.0, 0.0, 10.0, 10.0) for k in range(300, 0, -1)] + [(0, 90.0, 90.0, 95.0, 95.0)], "raster_id long, x0 double, y0 double, x1 double, y1 double")
