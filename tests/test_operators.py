@@ -603,3 +603,12 @@ def test_tiles_share_folders(spark, tmp_path):
     assert len(folders) == 4
     got = readers.tile_window(spark, f"{tmp_path}/t", 1, 250, 2, 20, 4)
     assert sorted((r["x"], r["y"]) for r in got.collect()) == [(x, y) for x in (1, 2) for y in range(250, 270)] and "tile_band" not in got.columns
+
+
+def test_semantic_filter_joins_its_tables_once(spark, monkeypatch):
+    from terralume.plans import objects
+
+    seen, plain = [], px.quantiles
+    monkeypatch.setattr(objects.px, "quantiles", lambda df, *a: seen.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, *a))
+    assert objects.semantic_filter(spark, "/root/testdata/sf0.001").count()
+    assert len(seen) == 1 and "lineitem" not in seen[0] and "Exchange" not in seen[0]
