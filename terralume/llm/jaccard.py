@@ -27,6 +27,8 @@ FREQUENT, LOCAL_LEAST, TASK_SHINGLES = 1 << 21, 2, 1_000_000
 UNIT = 256
 #: Bits of the filter of wanted documents.
 FILTER_BITS = 1 << 23
+#: Bits of the parities that a row of a posting list carries.
+FOLD_BITS = 256
 CACHE_WORDS = 100_000
 #: Pairs of a class that are verified in one group; a class with more has several, each with its set.
 HUB = 256
@@ -113,30 +115,30 @@ def _profiles(batches, words: int):
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """Counts of a set by the leading bits of a scrambled hash, one byte each, a bucket for about four shingles.
+    """Whether a set's counts by the last bits of a scrambled hash are odd, one bit each, four to eight buckets a shingle.
 
-    The number of buckets is a power of two; a finer histogram folds to a coarser one by
-    adding neighbours. Full buckets stay at 255, which can only loosen the bound below.
+    The number of buckets is a power of two of at least FOLD_BITS; half as many are had by xor of both halves.
     """
-    bits = max(4, int(len(s)).bit_length() - 2)
-    h = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
-    return np.minimum(np.bincount(h.astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    n = max(FOLD_BITS, 1 << (int(len(s)).bit_length() + 2))
+    h = ((s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(24)) & np.uint64(n - 1)
+    return np.packbits((np.bincount(h.astype(np.int64), minlength=n) & 1).astype(bool)).tobytes()
+
+
+def _folded(x: bytes, size: int) -> np.ndarray:
+    """The same parities by fewer buckets, ``size`` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, size), 0).view(np.uint64)
 
 
 def _may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
-    """Suffix filter: two sets differ in at least as many shingles as their histograms do."""
-    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
-    while len(a) != len(b):
-        if len(a) > len(b):
-            a, b = b, a
-        b = b.reshape(-1, 2).sum(1)
-    return n + m - int(np.abs(a - b).sum()) >= 2 * least_overlap(n, m, percent) if max(a.max(initial=0), b.max(initial=0)) < 255 else True
+    """Suffix filter: two sets differ in at least one shingle for each bucket in which their parities do."""
+    size = min(len(x), len(y))
+    return n + m - int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()) >= 2 * least_overlap(n, m, percent)
 
 
 def _prefixes(batches, words: int, percent: int, frequent: np.ndarray, level: np.ndarray):
-    """Prefix rows (h, cls, pos, n) of each class, and one row (null, cls, null, n, histogram)."""
+    """Prefix rows (h, cls, pos, n) of each class, and one row (null, cls, null, n, histogram, histogram of FOLD_BITS)."""
     shingler, seen = Shingler(words), set()
-    names = ["h", "cls", "pos", "n", "hist"]
+    names = ["h", "cls", "pos", "n", "hist", "fold"]
     for batch in text_batches(batches, "text", 1_000_000):
         hs, sizes, card = [], [], []
         for s in shingler.sets(batch.column(1).to_pylist()):
@@ -160,8 +162,8 @@ def _prefixes(batches, words: int, percent: int, frequent: np.ndarray, level: np
             k, n, x = zip(*card)
             first = np.cumsum(sizes) - sizes
             pos = (np.arange(len(h)) - np.repeat(first, sizes)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(k, np.int64), sizes)), pa.array(pos), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.nulls(len(h), pa.binary())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k, pa.int64()), pa.nulls(len(k), pa.int32()), pa.array(n, pa.int32()), pa.array(x, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(k, np.int64), sizes)), pa.array(pos), pa.array(np.repeat(np.array(n, np.int32), sizes)), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k, pa.int64()), pa.nulls(len(k), pa.int32()), pa.array(n, pa.int32()), pa.array(x, pa.binary()), pa.array([_folded(v, FOLD_BITS // 8).tobytes() for v in x], pa.binary())], names)
 
 
 def _units(batches, key: list[str]):
@@ -191,6 +193,8 @@ def _candidates(batches, percent: int, star: bool):
     """Pairs (a, b) of a unit that pass the filters: with the pivot only, or all of different roots."""
     for t, cuts in _units(batches, ["h", "i", "j"]):
         col = {k: t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("cls", "pos", "n", "root", "part", "i", "j")}
+        if not star:
+            col["fold"] = np.frombuffer(b"".join(t.column("fold").to_pylist()), np.uint64).reshape(len(t), -1)
         ends = np.unique(np.concatenate([cuts, [len(t)]]))
         starts = np.concatenate([[0], ends[:-1]])
         size = ends - starts
@@ -221,11 +225,17 @@ def _candidates(batches, percent: int, star: bool):
 
 
 def _passing(col: dict, x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Length filter; positional filter, as if the shared shingle were the first (it is so in one list of every linked pair)."""
+    """Length filter; positional filter, as if the shared shingle were the first (it is so in one list of every linked pair); suffix filter, if rows carry parities."""
     n, m = col["n"][x].astype(np.int64), col["n"][y].astype(np.int64)
     ok = (col["root"][x] != col["root"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-    ok &= np.minimum(n - col["pos"][x], m - col["pos"][y]) >= least_overlap(n, m, percent)
-    return x[ok], y[ok]
+    least = least_overlap(n, m, percent)
+    ok &= np.minimum(n - col["pos"][x], m - col["pos"][y]) >= least
+    x, y = x[ok], y[ok]
+    if "fold" in col:
+        differ = np.bitwise_count(col["fold"][x] ^ col["fold"][y]).sum(1, dtype=np.int64)
+        ok = (n + m)[ok] - differ >= 2 * least[ok]
+        x, y = x[ok], y[ok]
+    return x, y
 
 
 def _filtered(batches, percent: int):
@@ -286,7 +296,7 @@ class JaccardJoin:
         profiles = work.put("profiles", keyed.mapInArrow(lambda it: _profiles(it, words), "kind int, a long, b long, c long, d long"))
         self.members = profiles.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("d").alias("text_key"), F.col("b").alias("cls"), F.col("c").alias("n_shingles"))
         sent = self.spark.sparkContext.broadcast(self._frequent(profiles))
-        prefixes = work.put("prefixes", self.docs.mapInArrow(lambda it: _prefixes(it, words, percent, *sent.value), "h long, cls long, pos int, n int, hist binary"))
+        prefixes = work.put("prefixes", self.docs.mapInArrow(lambda it: _prefixes(it, words, percent, *sent.value), "h long, cls long, pos int, n int, hist binary, fold binary"))
         least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
         classes = work.put("classes", self.members.where("cls IS NOT NULL").groupBy("cls").agg(least, F.count("*").alias("copies")))
         self.ids = classes.select("cls", F.col("first.doc_id").alias("first_doc"))
@@ -297,7 +307,7 @@ class JaccardJoin:
         n_rows = shared.agg(F.sum("m")).first()[0] or 0
         lists = spread_join(rows, shared, "h", "m", n_rows).dropDuplicates(["h", "cls"])
         lists = work.put("lists", lists.withColumn("parts", F.ceil(F.col("m") / UNIT).cast("int")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("m"))
-        self.cards = prefixes.where("h IS NULL").select("cls", "n", "hist")
+        self.cards = prefixes.where("h IS NULL").select("cls", "n", "hist", "fold")
 
         # first round: with the pivot of each part of a list, then the pivots of a list's parts
         stars = lists.withColumn("i", F.col("part")).withColumn("j", F.col("part")).withColumn("root", F.col("cls"))
@@ -346,7 +356,7 @@ class JaccardJoin:
 
     def _pairs(self, units: DataFrame, star: bool) -> DataFrame:
         percent = self.percent
-        units = units.select("h", "i", "j", "cls", "pos", "n", "root", "part").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+        units = units.select("h", "i", "j", "cls", "pos", "n", "root", "part", *([] if star else ["fold"])).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
         return units.mapInArrow(lambda it: _candidates(it, percent, star), "a long, b long").distinct()
 
     def _apart(self, rows: DataFrame, total: int) -> DataFrame:
@@ -364,11 +374,11 @@ class JaccardJoin:
         of_list = W.partitionBy("hg.h")
         groups = groups.withColumns({"first": (F.sum("bins").over(of_list.orderBy("hg.own", "hg.of").rowsBetween(W.unboundedPreceding, 0)) - F.col("bins")).cast("int"), "all": F.sum("bins").over(of_list).cast("int"), "least": F.min("low").over(of_list), "most": F.max("high").over(of_list)})
         groups = self.work.put("groups", groups.where("least <> most").select("hg", "c", "bins", "first", "all"))
-        rows = spread_join(rows, groups, "hg", "c", total)
+        rows = spread_join(rows, groups, "hg", "c", total).join(self.cards.select("cls", "fold").dropDuplicates(["cls"]), "cls")
         rows = rows.withColumn("part", F.col("first") + F.pmod(F.xxhash64("cls"), F.col("bins")).cast("int"))
         others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda b: ~(F.col("hg.own") & (b >= F.col("first")) & (b < F.col("first") + F.col("bins"))))
         met = rows.withColumn("other", F.explode(others))
-        return met.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "pos", "n", "root", "part")
+        return met.select("h", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cls", "pos", "n", "root", "part", "fold")
 
     def _dealt(self, name: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs (a, b, salt) with the busier class as ``a``, and a table of hubs (node, parts): at most about HUB pairs an (a, salt)."""
@@ -392,7 +402,7 @@ class JaccardJoin:
         return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
     def _links(self, name: str, pairs: DataFrame) -> DataFrame:
-        """Bound each pair by histograms, then verify it once on whole sets, made anew for the documents that need it."""
+        """Bound each pair by parities, then verify it once on whole sets, made anew for the documents that need it."""
         words, percent, work = self.words, self.percent, self.work
         pairs, hubs = self._dealt(name, work.put(f"{name}-candidates", pairs))
         card = lambda side, n, x: self.cards.select(F.col("cls").alias(side), F.col("n").alias(n), F.col("hist").alias(x)).dropDuplicates([side])
