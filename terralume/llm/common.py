@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..sources.work import WorkFolder
 
 
-__all__ = ["WorkFolder", "Ids", "fold", "fresh", "long_rows", "mix64", "quoted", "spread_join", "table", "text_batches", "with_fields", "word_ids", "words"]
+__all__ = ["WorkFolder", "Ids", "bitmap", "fold", "fresh", "long_rows", "mix64", "quoted", "spread_join", "table", "text_batches", "units", "with_fields", "word_ids", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,41 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bitmap(rows: DataFrame, size: int) -> np.ndarray:
+    """A filter of ``size`` bits as bytes, set at the places ``bit`` (from 1) of the rows."""
+    maps = rows.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).where("k IS NOT NULL").collect()
+    bits = np.zeros(size // 8, np.uint8)
+    for r in maps:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        bits[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(part)] = part
+    return bits
+
+
+def units(batches, key: list[str]):
+    """Arrow batches sorted by ``key``, cut anew so that no unit is split."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cols = [t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in key]
+        differs = np.zeros(len(t) - 1, bool)
+        for c in cols:
+            differs |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(differs) + 1
+        if len(cuts):
+            yield t.slice(0, int(cuts[-1])), cuts
+            held = t.slice(int(cuts[-1]))
+        else:
+            held = t
+    if held is not None and len(held):
+        yield held, np.array([len(held)])
+    del held
+    give_back()
+
+
 def long_rows(df: DataFrame) -> DataFrame:
     """The same rows, in a session whose Arrow batches hold at most 2000 rows or 4 MB: whole texts are long rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import HOT_SHARE, quoted, Ids, WorkFolder, fresh, give_back, long_rows, mix64, spread_join, table, text_batches, word_ids
+from .common import HOT_SHARE, quoted, Ids, WorkFolder, bitmap, fresh, give_back, long_rows, mix64, spread_join, table, text_batches, units, word_ids
 
 #: Words of a shingle and the least similarity in percent.
 WORDS, PERCENT = 4, 85
@@ -166,32 +166,9 @@ def _prefixes(batches, words: int, percent: int, frequent: np.ndarray, level: np
             yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k, pa.int64()), pa.nulls(len(k), pa.int32()), pa.array(n, pa.int32()), pa.array(x, pa.binary()), pa.array([_folded(v, FOLD_BITS // 8).tobytes() for v in x], pa.binary())], names)
 
 
-def _units(batches, key: list[str]):
-    """Arrow batches sorted by ``key``, cut anew so that no unit is split."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        cols = [t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in key]
-        differs = np.zeros(len(t) - 1, bool)
-        for c in cols:
-            differs |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(differs) + 1
-        if len(cuts):
-            yield t.slice(0, int(cuts[-1])), cuts
-            held = t.slice(int(cuts[-1]))
-        else:
-            held = t
-    if held is not None and len(held):
-        yield held, np.array([len(held)])
-    del held
-    give_back()
-
-
 def _candidates(batches, percent: int, star: bool):
     """Pairs (a, b) of a unit that pass the filters: with the pivot only, or all of different roots."""
-    for t, cuts in _units(batches, ["h", "i", "j"]):
+    for t, cuts in units(batches, ["h", "i", "j"]):
         col = {k: t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in ("cls", "pos", "n", "root", "part", "i", "j")}
         if not star:
             col["fold"] = np.frombuffer(b"".join(t.column("fold").to_pylist()), np.uint64).reshape(len(t), -1)
@@ -411,11 +388,7 @@ class JaccardJoin:
         work.drop(f"{name}-candidates")
         wanted = pairs.select("a").distinct().unionAll(pairs.select("b").distinct()).select(F.col("a").alias("cls")).distinct()
         ids = wanted.join(self.ids, "cls").select((F.pmod("first_doc", F.lit(FILTER_BITS)) + 1).alias("bit"))
-        maps = ids.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).where("k IS NOT NULL").collect()
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for r in maps:
-            part = np.frombuffer(bytes(r["bits"]), np.uint8)
-            bits[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(part)] = part
+        bits = bitmap(ids, FILTER_BITS)
         sent = self.spark.sparkContext.broadcast(bits)
         sets = self.docs.mapInArrow(lambda it: _wanted_sets(it, words, sent.value), "cls long, shingles binary").join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
         sets = work.put(f"{name}-sets", sets)
