@@ -35,8 +35,8 @@ BLOCK_CHARS, SHARD_TOKENS = 5_000_000, 1_000_000
 CONTEXTS_A_DISH_SHARD, PARTITIONS = 4, 20_000
 #: Buckets of contexts by hash for every shard, to find those too frequent for one.
 BUCKETS = 64
-#: Words that entries name by number instead of by hash, taken from a few blocks: an encoding only.
-CODES, CODE_BLOCKS = 1_000_000, 8
+#: Most words that entries name by number instead of by hash, the frequent ones: an encoding only.
+CODES = 1_000_000
 #: Words are known by this many bits of a hash: among n different ones n * n / 2**49 wrongly equal pairs are to be expected.
 WORD = np.uint64((1 << 48) - 1)
 #: Groups of shards that answer one after another, so that not all lie in a shuffle at once; log probabilities are kept to this part of 1.
@@ -254,8 +254,8 @@ class Plan:
     hot_pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     code_hashes: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     codes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    chance: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))  # by code, as far as a few blocks tell
-    rare_chance: float = 1.0
+    chance: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))  # by code: first guess of the unigrams, from all training tokens
+    rare_chance: float = 1.0  # of a word without a code: their mean
 
     @property
     def buckets(self) -> np.uint64:
@@ -284,13 +284,18 @@ class Plan:
 
 
 def _tally(batches, buckets: int):
-    """(kind, bucket, tokens): kind 0 by the last word of the context, 1 by both."""
-    plan, held = Plan(buckets // BUCKETS), {0: [], 1: []}
+    """(kind, bucket, tokens, training tokens): kind 0 by the last word of the context, 1 by both, 2 by word (its hash), the only kind with training tokens of its own."""
+    plan, held = Plan(buckets // BUCKETS), {0: [], 1: [], 2: []}
 
     def merged(kind):
-        k, n = (np.concatenate(x) for x in zip(*held[kind]))
+        k, n, t = (np.concatenate(x) for x in zip(*held[kind]))
         keys, at = np.unique(k, return_inverse=True)
-        held[kind] = [(keys, np.bincount(at, n).astype(np.int64))]
+        held[kind] = [(keys, np.bincount(at, n).astype(np.int64), np.bincount(at, t).astype(np.int64))]
+
+    def hold(kind, *rows):
+        held[kind].append(rows)
+        if sum(len(r[0]) for r in held[kind]) > 2_000_000:
+            merged(kind)
 
     for batch in batches:
         for payload in batch.column(0):
@@ -304,14 +309,13 @@ def _tally(batches, buckets: int):
                     n = n[keys]
                 else:
                     keys, n = np.unique(x, return_counts=True)
-                held[kind].append((keys, n))
-                if sum(len(k) for k, _ in held[kind]) > 2_000_000:
-                    merged(kind)
-    for kind in (0, 1):
+                hold(kind, keys, n, np.zeros(len(n), np.int64))
+            hold(2, b.h.view(np.int64), np.bincount(b.d, minlength=len(b.h)), np.bincount(b.d[np.repeat(b.train, b.size)], minlength=len(b.h)))
+    for kind in (0, 1, 2):
         if held[kind]:
             merged(kind)
-            k, n = held[kind][0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(n)], ["kind", "bucket", "n"])
+            k, n, t = held[kind][0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(n), pa.array(t)], ["kind", "bucket", "n", "train"])
 
 
 def _entries(batches, plan: Plan):
@@ -704,25 +708,33 @@ def _dish_totals(dishes: DataFrame, base: float) -> Totals:
     return Totals({r["name"]: (r["c"], r["t"]) for r in got.toLocalIterator()}, base)
 
 
-def _frequent(blocks: DataFrame, shards: int) -> Plan:
-    """The plan: contexts with more tokens than half a shard, and codes of words that are frequent in a few blocks."""
+def _frequent(blocks: DataFrame, shards: int, total: int, train_tokens: int, work: WorkFolder) -> Plan:
+    """The plan: contexts with more tokens than half a shard, codes of frequent words, and a first guess of the unigrams from all training tokens.
+
+    Words of a count (by eighths of its logarithm) all have a code or all have none; those without share one guess.
+    """
     buckets = BUCKETS * shards
-    tokens = blocks.select("payload").mapInArrow(lambda it: _tally(it, buckets), "kind int, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    total = blocks.agg(F.sum("tokens")).first()[0] or 0
-    hot = [(r["kind"], r["bucket"]) for r in tokens.where(F.col("n") > total / shards / 2).toLocalIterator()]
-    hashes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    few = [r["block"] for r in blocks.select("block").orderBy("block").limit(CODE_BLOCKS).collect()]
-    for r in blocks.where(F.col("block").isin(few)).select("payload").toLocalIterator():
-        b = Block(bytes(r["payload"]))
-        hashes.append(b.h)
-        counts.append(np.bincount(b.d, minlength=len(b.h)))
-    h, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    n = np.bincount(at, np.concatenate(counts), len(h))
-    top = np.lexsort((h, -n))[:CODES]
+    tally = blocks.select("payload").mapInArrow(lambda it: _tally(it, buckets), "kind int, bucket long, n long, train long")
+    tally = work.put("tally", tally.groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("train").alias("train")))
+    hot = [(r["kind"], r["bucket"]) for r in tally.where((F.col("kind") < 2) & (F.col("n") > total / shards / 2)).toLocalIterator()]
+    words = tally.where("kind = 2 AND n > 0").withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
+    levels = {r["level"]: (r["m"], r["train"]) for r in words.groupBy("level").agg(F.count("*").alias("m"), F.sum("train").alias("train")).collect()}
+    least, coded = max(levels, default=0) + 1, 0
+    for level in sorted(levels, reverse=True):
+        if coded + levels[level][0] > CODES:
+            break
+        least, coded = level, coded + levels[level][0]
+    rest = [levels[k] for k in levels if k < least]
+    got = words.where(F.col("level") >= least).select("bucket", "n", "train").toArrow()
+    h, n, train = (got.column(k).to_numpy() for k in ("bucket", "n", "train"))
+    h = h.view(np.uint64)
+    top = np.lexsort((h, -n))
     by_hash = np.argsort(h[top])
     of = lambda kind: np.array(sorted(b for k, b in hot if k == kind), np.uint64)
-    chance = np.maximum(n[top] - 0.5, 0.25) / max(1, n.sum())
-    return Plan(shards, max(8, -(-shards // CONTEXTS_A_DISH_SHARD)), of(0), of(1), h[top][by_hash], by_hash.astype(np.int64), chance.astype(np.float32), 0.5 / max(1, total))
+    guess = lambda t: np.maximum(t - 0.5, 0.25) / max(1, train_tokens)
+    rare = float(guess(sum(t for _, t in rest) / max(1, sum(m for m, _ in rest))))
+    work.drop("tally")
+    return Plan(shards, max(8, -(-shards // CONTEXTS_A_DISH_SHARD)), of(0), of(1), h[top][by_hash], by_hash.astype(np.int64), guess(train[top]).astype(np.float32), rare)
 
 
 def score(docs: DataFrame, train, seed: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -740,7 +752,7 @@ def score(docs: DataFrame, train, seed: int = 2, shard_tokens: int = SHARD_TOKEN
     blocks = work.put("blocks", rows.mapInArrow(_blocks, "payload binary, train_tokens long, tokens long").withColumn("block", F.monotonically_increasing_id()))
     n, total, n_blocks = (int(x or 0) for x in blocks.agg(F.sum("train_tokens"), F.sum("tokens"), F.count("*")).first())
     shards = max(8, -(-total // shard_tokens))
-    plan = _frequent(blocks, shards)
+    plan = _frequent(blocks, shards, total, n, work)
     about = sent(plan)
 
     entries = blocks.select("block", "payload").mapInArrow(lambda it: _entries(it, about.value), "shard int, block long, blob binary")
