@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions import indices as ix
 from ..sources.work import WorkFolder
 from . import evaluate, geometry
 from .graph import components
-from .shapes import filled, hulls, shapes
+from .shapes import by_group, filled, hulls, shapes
 
 __all__ = ["fill_holes", "footprints", "greedy_merge", "hulls", "hysteresis", "label", "majority", "overlapping", "position", "ranked", "remove_small", "shapes", "top", "without_slivers", "zonal"]
 
@@ -30,18 +29,17 @@ def label(pixels: DataFrame, mask: Column, width: int, keys=(), tile: int = TILE
     on = pixels.where(mask).select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
     on = on.withColumn("tx", F.floor(F.col("x") / tile)).withColumn("ty", F.floor(F.col("y") / tile))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+    def one(group: dict) -> dict:
+        x, y = group["x"], group["y"]
         m = np.zeros((np.ptp(y) + 1, np.ptp(x) + 1), bool)
         m[y - y.min(), x - x.min()] = True
         lab = geometry.label8(m)[y - y.min(), x - x.min()]
         place = y * width + x
         least = np.full(lab.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, lab, place)
-        return pdf.assign(**{name: least[lab]})
+        return {"x": x, "y": y, name: least[lab]}
 
-    schema = ", ".join([*[f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys], f"x long, y long, tx long, ty long, `{name}` long"])
-    tiled = WorkFolder(pixels.sparkSession, "label").put("tiled", on.groupBy(*keys, "tx", "ty").applyInPandas(one, schema))
+    tiled = WorkFolder(pixels.sparkSession, "label").put("tiled", by_group(on, [*keys, "tx", "ty"], one, f"x long, y long, `{name}` long"))
     if not tiled.groupBy(*keys).agg(((F.min("tx") < F.max("tx")) | (F.min("ty") < F.max("ty"))).alias("many")).where("many").head(1):
         return tiled.drop("tx", "ty")  # one tile a scene
     border = tiled.where((F.pmod("x", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("y", F.lit(tile)).isin(0, tile - 1)))

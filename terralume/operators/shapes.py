@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.work import WorkFolder
 from . import geometry
@@ -24,6 +25,47 @@ def _fields(rows: DataFrame, keys, more: str) -> str:
     return ", ".join([*[f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys], more])
 
 
+def by_group(rows: DataFrame, at, fn, more: str) -> DataFrame:
+    """(at, more): what ``fn`` makes of the numpy columns of each group, a dict of arrays of one length.
+
+    Many groups come and go in one Arrow batch, so a group of a few pixels costs its kernel only.
+    """
+    at, names = list(at), rows.columns
+    schema = _fields(rows, at, more)
+    made = T._parse_datatype_string(more).fieldNames()
+
+    def each(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            cuts = _cuts(t, at)
+            held = t.slice(cuts[-1]) if len(t) else held
+            if cuts[-1]:
+                yield from run(t.slice(0, cuts[-1]), cuts)
+        if held is not None and len(held):
+            yield from run(held, [0, len(held)])
+
+    def run(t, cuts):
+        columns = {c: t.column(c).to_numpy() for c in names}
+        out = [fn({c: v[a:z] for c, v in columns.items()}) for a, z in zip(cuts[:-1], cuts[1:])]
+        n = [len(o[made[0]]) for o in out]
+        if sum(n):
+            first = pa.array(np.repeat(np.array(cuts[:-1]), n))
+            keys = [t.column(k).take(first).combine_chunks() for k in at]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(np.concatenate([o[c] for o in out])) for c in made]], [*at, *made])
+
+    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(each, schema)
+
+
+def _cuts(t: pa.Table, at: list[str]) -> list[int]:
+    """Places at which groups of sorted rows begin; 0 first, and the beginning of the last, which may go on."""
+    new = np.zeros(len(t), bool)
+    for k in at:
+        code = t.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return [0, *np.flatnonzero(new).tolist()]
+
+
 def dealt(rows: DataFrame, tile: int, halo: int) -> DataFrame:
     """Rows with tx and ty of every tile within ``halo`` pixels."""
     reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
@@ -32,9 +74,10 @@ def dealt(rows: DataFrame, tile: int, halo: int) -> DataFrame:
 
 def _raster(pdf: pd.DataFrame, tile: int, halo: int) -> tuple[np.ndarray, int, int]:
     """A tile's pixels with its halo, and the place of the upper left one."""
-    x0, y0 = int(pdf["tx"].iloc[0]) * tile - halo, int(pdf["ty"].iloc[0]) * tile - halo
+    tx, ty, x, y = (np.asarray(pdf[c]) for c in ("tx", "ty", "x", "y"))
+    x0, y0 = int(tx[0]) * tile - halo, int(ty[0]) * tile - halo
     m = np.zeros((tile + 2 * halo,) * 2, bool)
-    m[pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0] = True
+    m[y - y0, x - x0] = True
     return m, x0, y0
 
 
@@ -53,11 +96,12 @@ def by_tile(rows: DataFrame, keys, kernel, tile: int, halo: int) -> DataFrame:
     """(keys, tx, ty, x, y): a mask kernel that looks at most ``halo`` pixels around, tile by tile."""
     keys = list(keys)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, x0, y0 = _raster(pdf, tile, halo)
-        return _rows(pdf, keys, kernel(m)[halo : halo + tile, halo : halo + tile], x0 + halo, y0 + halo)
+    def one(group: dict) -> dict:
+        m, x0, y0 = _raster(group, tile, halo)
+        y, x = np.nonzero(kernel(m)[halo : halo + tile, halo : halo + tile])
+        return {"x": x + (x0 + halo), "y": y + (y0 + halo)}
 
-    return dealt(rows.select(*keys, "x", "y"), tile, halo).groupBy(*keys, "tx", "ty").applyInPandas(one, _fields(rows, keys, "tx long, ty long, x long, y long"))
+    return by_group(dealt(rows.select(*keys, "x", "y"), tile, halo), [*keys, "tx", "ty"], one, "x long, y long")
 
 
 def filled(mask: DataFrame, keys, tile: int = TILE) -> DataFrame:
@@ -72,15 +116,15 @@ def filled(mask: DataFrame, keys, tile: int = TILE) -> DataFrame:
     work = WorkFolder(mask.sparkSession, "holes")
     at = [*keys, "tx", "ty"]
 
-    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, x0, y0 = _raster(pdf, tile, 0)
+    def borders(group: dict) -> dict:
+        m, x0, y0 = _raster(group, tile, 0)
         part = geometry.label4(~m)
         frame = np.zeros_like(m)
         frame[[0, -1]] = frame[:, [0, -1]] = True
-        got = _rows(pdf, keys, frame & ~m, x0, y0)
-        return got.assign(part=part[got["y"] - y0, got["x"] - x0])
+        y, x = np.nonzero(frame & ~m)
+        return {"x": x + x0, "y": y + y0, "part": part[y, x]}
 
-    edge = work.put("edge", mask.groupBy(*at).applyInPandas(borders, _fields(mask, keys, "tx long, ty long, x long, y long, part long")))
+    edge = work.put("edge", by_group(mask.select(*at, "x", "y"), at, borders, "x long, y long, part long"))
     held = mask.select(*at).distinct()
     box = held.groupBy(*keys).agg(*[f(c).alias(f"{n}{c}") for c in ("tx", "ty") for n, f in (("a", F.min), ("b", F.max))])
     grid = box.withColumn("tx", F.explode(F.expr("sequence(atx - 1, btx + 1)"))).withColumn("ty", F.explode(F.expr("sequence(aty - 1, bty + 1)")))
@@ -143,20 +187,20 @@ def outlines(rows: DataFrame, keys) -> DataFrame:
     area = rows.groupBy(*keys).agg(F.count("*").alias("area"))
     ends = rows.groupBy(*keys, "y").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("band", F.floor(F.col("y") / BAND))
 
-    def points(pdf: pd.DataFrame) -> np.ndarray:
-        return geometry.hull(np.concatenate([pdf[[c, "y"]].to_numpy(np.int64) for c in ("a", "b")]))
+    def points(group: dict) -> np.ndarray:
+        return geometry.hull(np.concatenate([np.column_stack([group[c], group["y"]]) for c in ("a", "b")]))
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = points(pdf)
-        return pd.DataFrame({**_same(pdf.iloc[0], keys, len(h)), "a": h[:, 0], "b": h[:, 0], "y": h[:, 1]})
+    def part(group: dict) -> dict:
+        h = points(group)
+        return {"a": h[:, 0], "b": h[:, 0], "y": h[:, 1]}
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = points(pdf)
+    def whole(group: dict) -> dict:
+        h = points(group)
         short, long = sorted(side + 1.0 for side in geometry.least_rectangle(h))
-        return pd.DataFrame({**_same(pdf.iloc[0], keys, 1), "short": [short], "long": [long], "hull_px": [geometry.hull_pixels(h)]})
+        return {"short": np.array([short]), "long": np.array([long]), "hull_px": np.array([geometry.hull_pixels(h)])}
 
-    bands = ends.groupBy(*keys, "band").applyInPandas(part, _fields(rows, keys, "a long, b long, y long"))
-    return bands.groupBy(*keys).applyInPandas(whole, _fields(rows, keys, "short double, long double, hull_px long")).join(area, keys)
+    bands = by_group(ends, [*keys, "band"], part, "a long, b long, y long").drop("band")
+    return by_group(bands, keys, whole, "short double, long double, hull_px long").join(area, keys)
 
 
 def closed_and_filled(rows: DataFrame, keys, tile: int = TILE) -> DataFrame:
@@ -188,11 +232,10 @@ def shapes(rows: DataFrame, keys=("region",), least_px: int = 16, tile: int = TI
     work = WorkFolder(rows.sparkSession, "shapes")
     small, large = split_by_size(rows, keys, tile, work)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = geometry.metrics(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64), least_px)
-        return pd.DataFrame({**_same(pdf.iloc[0], keys, 1), **{k: [v] for k, v in m.items()}})
+    def one(group: dict) -> dict:
+        return {k: np.array([v]) for k, v in geometry.metrics(group["x"].astype(np.int64), group["y"].astype(np.int64), least_px).items()}
 
-    out = small.groupBy(*keys).applyInPandas(one, _fields(rows, keys, "area long, rectangularity double, solidity double, aspect double, skeleton_px long, mean_width_px double"))
+    out = by_group(small, keys, one, "area long, rectangularity double, solidity double, aspect double, skeleton_px long, mean_width_px double")
     if large is None:
         return out
     full = work.put("full", closed_and_filled(large, keys, tile))
@@ -218,10 +261,9 @@ def hulls(rows: DataFrame, keys=("region",), tile: int = TILE) -> DataFrame:
     work = WorkFolder(rows.sparkSession, "hulls")
     small, large = split_by_size(rows, keys, tile, work)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = geometry.fill_holes(geometry.close3(geometry.crop_mask(pdf["x"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64))))
-        y, x = np.nonzero(m)
-        return pd.DataFrame({**_same(pdf.iloc[0], keys, 1), "area": [len(x)], "hull_px": [geometry.hull_pixels(geometry.hull(np.column_stack([x, y])))]})
+    def one(group: dict) -> dict:
+        y, x = np.nonzero(geometry.fill_holes(geometry.close3(geometry.crop_mask(group["x"].astype(np.int64), group["y"].astype(np.int64)))))
+        return {"area": np.array([len(x)]), "hull_px": np.array([geometry.hull_pixels(geometry.hull(np.column_stack([x, y])))])}
 
-    out = small.groupBy(*keys).applyInPandas(one, _fields(rows, keys, "area long, hull_px long"))
+    out = by_group(small, keys, one, "area long, hull_px long")
     return out if large is None else out.unionByName(outlines(closed_and_filled(large, keys, tile), keys).select(*keys, "area", "hull_px"))
