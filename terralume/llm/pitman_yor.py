@@ -22,12 +22,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ids, WorkFolder, fold, give_back, long_rows, mix64, table, text_batches, word_ids
+from .common import WorkFolder, fold, give_back, long_rows, mix64, table, text_batches
 
 #: Characters of a block, tokens of a shard.
 BLOCK_CHARS, SHARD_TOKENS = 5_000_000, 1_000_000
@@ -100,6 +101,17 @@ def summed(a: np.ndarray) -> np.ndarray:
     return np.cumsum(a, dtype=a.dtype if a.dtype == np.uint64 else np.int64)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: NumPy's own way without counts or places is a hash table, several times slower here."""
+    a = np.sort(a)
+    return a[np.append(True, a[1:] != a[:-1])[: len(a)]]
+
+
+def by_number(a: np.ndarray, n: int) -> np.ndarray:
+    """Stable order of numbers below n; those of 16 bits are sorted by radix."""
+    return np.argsort(a.astype(np.uint16) if n <= 1 << 16 else a, kind="stable")
+
+
 def triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
     """Sorted distinct (a, b, c), all below m, and the place of each row among them."""
     a = a.astype(np.int64, copy=False)
@@ -158,34 +170,41 @@ class Level:
     t: np.ndarray = None
     far: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
     near: tuple[np.ndarray, np.ndarray] | None = None
+    first: np.ndarray | None = None  # the first dish of each restaurant, if they lie one after another and none is empty
 
     def __post_init__(self):
         if self.t is None:
             self.t = (self.c > 0).astype(np.int64)
+        rises = np.diff(self.where, prepend=-1)
+        if self.n and rises.min(initial=0) >= 0 and rises.max(initial=0) <= 1 and len(self.where) and self.where[-1] == self.n - 1:
+            self.first = np.flatnonzero(rises)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of whole numbers by restaurant."""
+        return (np.bincount(self.where, x, self.n) if self.first is None else np.add.reduceat(x, self.first)).astype(float)
 
     def part(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.bincount(self.where, x, self.n).astype(float) for x in (self.c, self.t))
+        return self.sums(self.c), self.sums(self.t)
 
     def share(self, at: np.ndarray, c: np.ndarray, t: np.ndarray) -> None:
         """Restaurants ``at`` have these totals over all shards now."""
         self.far, self.near = (at, c, t), tuple(x[at] for x in self.part())
 
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        both = self.part()
+    def total(self, k: int) -> np.ndarray:
+        """Customers (0) or tables (1) of each restaurant, over all shards."""
+        x = self.sums(self.t if k else self.c)
         if self.far is not None:
-            at = self.far[0]
-            for x, whole, was in zip(both, self.far[1:], self.near):
-                x[at] += whole - was
-        return both
+            x[self.far[0]] += self.far[1 + k] - self.near[k]
+        return x
 
     def sweep(self, parent: np.ndarray, rng: np.random.Generator) -> None:
         """Each dish gets up from its tables and sits down again, given all other seats of the sweep before."""
-        _, t = self.totals()
+        t = self.total(1)
         self.t = seat(self.c, (self.strength + self.discount * np.maximum(t[self.where] - self.t, 0)) * parent, self.discount, rng)
 
     def predict(self, parent: np.ndarray) -> np.ndarray:
         """Predictive probability of each dish in its restaurant under the seats of now."""
-        c, t = self.totals()
+        c, t = self.total(0), self.total(1)
         own = np.maximum(self.c - self.discount * self.t, 0)
         return (own + (self.strength + self.discount * t[self.where]) * parent) / (self.strength + c[self.where])
 
@@ -193,16 +212,28 @@ class Level:
 # ------------------------------------------------------------------ blocks
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts (A-Z lower-cased, null: none): their numbers one after another, how many a text has, the hash of each number.
+
+    Arrow's ASCII white space is that of a word's definition; it finds an empty word before and after outer white space.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    size = np.diff(np.append(0, np.cumsum(full))[np.append(0, ends)])
+    coded = (flat if full.all() else flat.filter(pa.array(full))).dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(flat.type) else pa.binary()).to_numpy(zero_copy_only=False)
+    return coded.indices.to_numpy(zero_copy_only=False), size, np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) & WORD
+
+
 def _blocks(batches):
     """(payload, training tokens, tokens) of slices of the texts."""
     for batch in text_batches(batches, "text", BLOCK_CHARS):
-        ids = Ids()
-        flat, offsets = word_ids(batch.column(1).to_pylist(), ids)
+        flat, size, hashes = _words(batch.column(1))
         train = np.asarray(batch.column(2)).astype(bool)
-        used = int(np.diff(offsets)[train].sum() + train.sum())
+        used = int(size[train].sum() + train.sum())
         docs = batch.column(0)
-        words = np.frombuffer(b" ".join(ids), np.uint8)
-        payload = put(np.asarray(docs.fill_null(0), dtype=np.int64).view(np.uint64), np.asarray(docs.is_null()).astype(np.uint8), train.astype(np.uint8), np.diff(offsets), flat, words)
+        payload = put(np.asarray(docs.fill_null(0), dtype=np.int64).view(np.uint64), np.asarray(docs.is_null()).astype(np.uint8), train.astype(np.uint8), size, flat, hashes)
         yield pa.RecordBatch.from_arrays([pa.array([payload]), pa.array([used]), pa.array([int(len(flat) + len(train))])], ["payload", "train_tokens", "tokens"])
 
 
@@ -210,13 +241,11 @@ class Block:
     """A packed block: for each token, ends included, its word and the two before it, as numbers in order of hash."""
 
     def __init__(self, payload: bytes):
-        ids, null, train, size, flat, words = get(payload)
-        vocabulary = words.tobytes().split(b" ") if len(words) else []
+        ids, null, train, size, flat, hashes = get(payload)
         self.docs = pa.array(ids.astype(np.uint64).view(np.int64), mask=null.astype(bool))
         self.size = size.astype(np.int64) + 1
         self.train = train.astype(bool)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary)) & WORD
-        self.h, rank = np.unique(np.append(hashes, [END, START]), return_inverse=True)
+        self.h, rank = np.unique(np.append(hashes.astype(np.uint64), [END, START]), return_inverse=True)
         ends = np.cumsum(self.size) - 1
         n = int(self.size.sum())
         inner = np.ones(n, bool)
@@ -235,8 +264,8 @@ class Block:
         e2, e1, ed, at = triples(self.w2, self.w1, self.d, len(self.h))
         self.w1 = self.w2 = None  # not needed any more
         count = np.bincount(at[np.repeat(self.train, self.size)], minlength=len(e2))
-        shard = plan.shard(self.h[e1], self.h[e2], self.h[ed])[0]
-        order = np.argsort(shard, kind="stable")
+        shard = plan.shard(self.h, e1, e2, ed)[0]
+        order = by_number(shard, plan.shards)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.e2, self.e1, self.ed, self.count, self.at = e2[order], e1[order], ed[order], count[order], place[at]
@@ -267,13 +296,18 @@ class Plan:
     def pair(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         return mix64(h2 * _STIR + h1)
 
-    def shard(self, h1, h2, hd) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shard of entries; whether their word, and their pair, is too frequent for one shard."""
-        pair = self.pair(h1, h2)
-        hot = np.isin(h2 % self.buckets, self.hot_words)
-        very = hot & np.isin(pair % self.buckets, self.hot_pairs)
-        key = np.where(very, mix64(pair * _STIR + hd), np.where(hot, pair, mix64(h2)))
-        return (key % np.uint64(self.shards)).astype(np.int64), hot, very
+    def shard(self, h, e1, e2, ed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shard of entries, given as places in the hashes ``h``; whether their word, and their pair, is too frequent for one shard."""
+        n = np.uint64(self.shards)
+        to = (mix64(h) % n).astype(np.int64)[e2]
+        hot, very = np.isin(h % self.buckets, self.hot_words)[e2], np.zeros(len(e2), bool)
+        some = np.flatnonzero(hot)
+        if len(some):
+            pair = self.pair(h[e1[some]], h[e2[some]])
+            very[some] = v = np.isin(pair % self.buckets, self.hot_pairs)
+            pair[v] = mix64(pair[v] * _STIR + h[ed[some[v]]])
+            to[some] = (pair % n).astype(np.int64)
+        return to, hot, very
 
     def code(self, h: np.ndarray) -> np.ndarray:
         """Codes of words; CODES for those without."""
@@ -334,7 +368,7 @@ def _entries(batches, plan: Plan):
                 flat = np.concatenate([e2[last], e1[pair], ed])
                 codes = code[flat]
                 rare = flat[codes == CODES]
-                names, ref = np.unique(rare, return_inverse=True)
+                names, ref = np.unique(rare, return_inverse=True) if len(rare) else (rare, rare)
                 pairs = np.diff(np.append(np.searchsorted(pair, last), len(pair)))
                 blobs.append(put(steps(b.h[names]), ref, np.array([len(last), len(pair)]), codes, pairs, np.diff(np.append(pair, z - a)), b.count[a:z]))
             yield pa.RecordBatch.from_arrays([pa.array(b.shards, pa.int32()), pa.array(np.full(len(blobs), block), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "block", "blob"])
@@ -373,7 +407,7 @@ def _merge(batches, plan: Plan, seed: int):
         by_code = every[met[: len(every)]]
         for p in parts:
             p[0] = summed(p[0].astype(np.uint64))
-        h = np.unique(np.concatenate([by_code, *[p[0] for p in parts]]))
+        h = distinct(np.concatenate([by_code, *[p[0] for p in parts]]))
         m = len(h)
         coded = np.searchsorted(h, by_code)
         of_code = np.zeros(CODES, np.int64)
@@ -397,24 +431,31 @@ def _merge(batches, plan: Plan, seed: int):
         pair = np.flatnonzero(np.append(True, (w2[1:] != w2[:-1]) | (w1[1:] != w1[:-1])))
         key2, up = np.unique(w2 * m + d, return_inverse=True)
         word2, dish2 = key2 // m, key2 % m
-        _, hot, very = plan.shard(h[w1[pair]], h[w2[pair]], h[w2[pair]])
+        _, hot, very = plan.shard(h, w1[pair], w2[pair], w2[pair])
         hot_word = np.zeros(m, bool)
         hot_word[w2[pair[hot]]] = True
         hot2 = hot_word[word2]
         # dishes of the dish shards: of the unigrams (0), or of a too frequent word (1 + word)
-        wanted, key = np.unique(np.where(hot2, word2 + 1, 0) * m + dish2, return_inverse=True)
+        cold = np.zeros(m, bool)
+        cold[dish2[~hot2]] = True
+        wanted, more = np.unique((word2[hot2] + 1) * m + dish2[hot2], return_inverse=True)
+        wanted, key = np.append(np.flatnonzero(cold), wanted), (np.cumsum(cold) - 1)[dish2]
+        key[hot2] = more + np.count_nonzero(cold)
         c2 = np.bincount(up, c3, len(key2)).astype(np.int64)
         train = np.bincount(key, c2, len(wanted)).astype(np.int64)
         group, names = np.unique(wanted // m, return_inverse=True)
         cut = np.cumsum(sizes)[:-1]
         # training counts go back to blocks by dish, for words without a code
-        dishes, one = np.unique(wanted % m, return_index=True)
+        one = np.full(m, -1)
+        one[(wanted % m)[::-1]] = np.arange(len(wanted))[::-1]  # the first of each dish
+        dishes = np.flatnonzero(one >= 0)
+        one = one[dishes]
         place = np.zeros(m, np.int64)
         place[dishes] = np.arange(len(dishes))
-        coded_dish = np.zeros(m, bool)
-        coded_dish[coded] = True
-        coded_dish = coded_dish[dishes]
-        rare = [x[~coded_dish[x]] for x in (np.unique(place[d[y]]) for y in np.split(at, cut))]
+        rare_dish = np.ones(m, bool)
+        rare_dish[coded] = False
+        rare_dish = rare_dish[d]
+        rare = [distinct(place[d[y[rare_dish[y]]]]) for y in np.split(at, cut)]
         word_runs = np.flatnonzero(np.append(True, word2[1:] != word2[:-1]))
         run = _starts(steps(word_runs), len(key2))
         of_word = run[up[pair]]  # the word that a pair ends with
@@ -443,7 +484,7 @@ class Shard:
         n, pair, of_word, very, very_hash, up, c3, word, hot, key, one, to, blocks, *rest = parts
         n3, n2, self.n_keys = n.tolist()
         self.key, self.one = key.astype(np.int64), one.astype(np.int64)
-        self.order = np.argsort(to, kind="stable")  # keys by dish shard, as they were asked for
+        self.order = by_number(to, int(to.max(initial=0)) + 1)  # keys by dish shard, as they were asked for
         self.there, first = np.unique(to[self.order], return_index=True)
         self.cuts = first[1:]
         self.very_hash = very_hash.astype(np.uint64).view(np.int64)
@@ -493,7 +534,7 @@ def _asked(batches, plan: Plan):
             h, groups, group, train, seats = get(keys.as_py())
             h = h.astype(np.uint64)
             to = plan.dish_shard(h)
-            order = np.argsort(to, kind="stable")
+            order = by_number(to, plan.dish_shards)
             there, first = np.unique(to[order], return_index=True)
             blobs = [put(h[on], groups, group[on], train[on], seats[on]) for on in np.split(order, first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), shard), pa.int32()), pa.array(blobs, pa.binary())], ["to", "shard", "payload"])
@@ -684,7 +725,7 @@ def _scores(batches, plan: Plan, coded: np.ndarray, n: int, v: int):
             found, told = answers[shard]
             score[a:z] = found / -GRAIN
             yours = b.ed[a:z][rare[b.ed[a:z]]]
-            count[np.unique(yours)] = told
+            count[distinct(yours)] = told
         c = count[b.d]
         base = np.log10((c + 1.0) / (n + 1.0 * (v + 1)))
         add = lambda x: np.add.reduceat(x, b.starts)
