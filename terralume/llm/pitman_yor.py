@@ -11,13 +11,16 @@ and of all pairs under them. A word too frequent for one shard is dealt by pair,
 restaurant then lies with the unigrams; a pair too frequent is dealt by the word that follows.
 The unigram restaurant (and those of too frequent words) is dealt by the word eaten: such
 dish shards sum the tables that context shards report, sample their own seats and report
-probabilities back. Shards answer blocks in the order that the blocks asked. Only totals of
+probabilities back. Shards answer blocks in the order that the blocks asked. Beyond
+:data:`ROUTED` shards, blocks and shards talk by way of routers, each between a share of the blocks
+and a unit of neighbouring shards, so that messages grow with the power 1.5 of the input, not with its square. Only totals of
 restaurants that are dealt over shards meet on the driver; their number, like all else, follows
 the input, and none of it is bounded by a setting.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,6 +45,8 @@ CODES = 1_000_000
 WORD = np.uint64((1 << 48) - 1)
 #: Groups of shards that answer one after another, so that not all lie in a shuffle at once; log probabilities are kept to this part of 1.
 GROUPS, GRAIN = 4, 65_536
+#: Most shards that blocks write to themselves; of more, a router takes the messages of some blocks to some shards, and brings the answers back.
+ROUTED = 1500
 #: Discounts and strengths of the unigram, word and pair restaurants.
 DISCOUNT, STRENGTH = (0.6, 0.8, 0.9), (10.0, 4.0, 1.0)
 #: Gibbs sweeps of the contexts before the unigrams are sampled, of the unigrams, of the contexts after it, and of these the averaged ones.
@@ -269,7 +274,7 @@ class Block:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.e2, self.e1, self.ed, self.count, self.at = e2[order], e1[order], ed[order], count[order], place[at]
-        self.shards, first = np.unique(shard[order], return_index=True)
+        self.shards, first = np.unique(shard[order] // plan.width, return_index=True)
         self.edges = np.append(first, len(order))
 
 
@@ -285,6 +290,7 @@ class Plan:
     codes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     chance: np.ndarray = field(default_factory=lambda: np.empty(0, np.float32))  # by code: first guess of the unigrams, from all training tokens
     rare_chance: float = 1.0  # of a word without a code: their mean
+    width: int = 1  # shards of a unit, and shares of the blocks, between which routers are; 1: no routers
 
     @property
     def buckets(self) -> np.uint64:
@@ -309,6 +315,12 @@ class Plan:
             to[some] = (pair % n).astype(np.int64)
         return to, hot, very
 
+    def named(self) -> np.ndarray:
+        """Hashes by code."""
+        every = np.empty(len(self.codes), np.uint64)
+        every[self.codes] = self.code_hashes
+        return every
+
     def code(self, h: np.ndarray) -> np.ndarray:
         """Codes of words; CODES for those without."""
         if not len(self.code_hashes):
@@ -352,26 +364,103 @@ def _tally(batches, buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(n), pa.array(t)], ["kind", "bucket", "n", "train"])
 
 
-def _entries(batches, plan: Plan):
-    """(shard, block, blob): a block's entries for a shard, as runs of last words, first words and dishes."""
+def _messages(h, code, e2, e1, ed, count, edges) -> list[bytes]:
+    """Sorted entries between the edges, as runs of last words, first words and dishes."""
+    blobs = []
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        x2, x1, xd = e2[a:z], e1[a:z], ed[a:z]
+        new2 = np.append(True, x2[1:] != x2[:-1])
+        pair = np.flatnonzero(new2 | np.append(True, x1[1:] != x1[:-1]))
+        last = np.flatnonzero(new2)
+        flat = np.concatenate([x2[last], x1[pair], xd])
+        codes = code[flat]
+        rare = flat[codes == CODES]
+        names, ref = np.unique(rare, return_inverse=True) if len(rare) else (rare, rare)
+        pairs = np.diff(np.append(np.searchsorted(pair, last), len(pair)))
+        blobs.append(put(steps(h[names]), ref, np.array([len(last), len(pair)]), codes, pairs, np.diff(np.append(pair, z - a)), count[a:z]))
+    return blobs
+
+
+def _united(parts: list, every: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of the words in messages, places of those with a code; entries of all messages by place (last word, first, dish), their counts, and how many a message has.
+
+    ``parts`` is emptied: large arrays go as soon as they can.
+    """
+    met = np.zeros(CODES + 1, bool)
+    for p in parts:
+        met[p[3]] = True
+    met[CODES] = False
+    by_code = every[met[: len(every)]]
+    for p in parts:
+        p[0] = summed(p[0].astype(np.uint64))
+    h = distinct(np.concatenate([by_code, *[p[0] for p in parts]]))
+    coded = np.searchsorted(h, by_code)
+    of_code = np.zeros(CODES, np.int64)
+    of_code[np.flatnonzero(met)] = coded
+    columns = [[], [], [], []]
+    for names, ref, n, codes, pairs, dishes, count in parts:
+        ids = np.empty(len(codes), np.int32)
+        rare = codes == CODES
+        ids[~rare] = of_code[codes[~rare]]
+        ids[rare] = np.searchsorted(h, names)[ref]
+        n2, n1 = n.tolist()
+        first = ids[n2 : n2 + n1]
+        for c, x in zip(columns, (np.repeat(np.repeat(ids[:n2], pairs), dishes), np.repeat(first, dishes), ids[n2 + n1 :], count.astype(np.int32))):
+            c.append(x)
+    parts.clear()
+    sizes = np.array([len(x) for x in columns[3]])
+    return h, coded, *(np.concatenate(columns.pop(0)) for _ in range(4)), sizes
+
+
+def _entries(batches, plan: Plan, group: int | None = None):
+    """(shard, block, blob): a block's entries for a shard, or for a unit of shards (of a group of units) if routers are between."""
     for batch in batches:
         for block, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
             b = Block(payload.as_py())
             b.entries(plan)
             code = plan.code(b.h)
-            blobs = []
-            for a, z in zip(b.edges[:-1].tolist(), b.edges[1:].tolist()):
-                e2, e1, ed = b.e2[a:z], b.e1[a:z], b.ed[a:z]
-                new2 = np.append(True, e2[1:] != e2[:-1])
-                pair = np.flatnonzero(new2 | np.append(True, e1[1:] != e1[:-1]))
-                last = np.flatnonzero(new2)
-                flat = np.concatenate([e2[last], e1[pair], ed])
-                codes = code[flat]
-                rare = flat[codes == CODES]
-                names, ref = np.unique(rare, return_inverse=True) if len(rare) else (rare, rare)
-                pairs = np.diff(np.append(np.searchsorted(pair, last), len(pair)))
-                blobs.append(put(steps(b.h[names]), ref, np.array([len(last), len(pair)]), codes, pairs, np.diff(np.append(pair, z - a)), b.count[a:z]))
-            yield pa.RecordBatch.from_arrays([pa.array(b.shards, pa.int32()), pa.array(np.full(len(blobs), block), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "block", "blob"])
+            on = [k for k, s in enumerate(b.shards.tolist()) if group is None or s % GROUPS == group]
+            blobs = [x for k in on for x in _messages(b.h, code, b.e2, b.e1, b.ed, b.count, b.edges[k : k + 2])]
+            yield pa.RecordBatch.from_arrays([pa.array(b.shards[on], pa.int32()), pa.array(np.full(len(blobs), block), pa.int64()), pa.array(blobs, pa.binary())], ["shard", "block", "blob"])
+
+
+def _route(batches, plan: Plan):
+    """(shard, block, blob): all entries of the router's blocks for each shard of its unit, under the router's key; under shard -1 the way back."""
+    every = plan.named()
+    for key, rows in _by_key(batches, 0):
+        parts, blocks = [get(r[2]) for r in rows], [r[1] for r in rows]
+        rows.clear()
+        h, _, e2, e1, ed, count, sizes = _united(parts, every)
+        cut, code = np.cumsum(sizes)[:-1], plan.code(h)
+        rare = code == CODES
+        asked = [distinct(x[rare[x]]) for x in np.split(ed, cut)]
+        w2, w1, d, at = triples(e2, e1, ed, len(h))
+        del e2, e1, ed
+        shard = plan.shard(h, w1, w2, d)[0]
+        order = by_number(shard, plan.shards)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at, w2, w1, d = place[at], w2[order], w1[order], d[order]
+        there, first = np.unique(shard[order], return_index=True)
+        blobs = _messages(h, code, w2, w1, d, np.bincount(at, count, len(d)).astype(np.int64), np.append(first, len(d)))
+        told = [distinct(x[rare[x]]) for x in np.split(d, first[1:])]
+        back = put(np.array([len(h)]), np.array(blocks, np.int64).view(np.uint64), there, *[steps(x) for x in np.split(at, cut)], *[steps(x) for x in asked], *[steps(x) for x in told])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *there.tolist()], pa.int32()), pa.array([key] * (1 + len(blobs)), pa.int64()), pa.array([back, *blobs], pa.binary())], ["shard", "block", "blob"])
+
+
+def _returned(batches, plan: Plan):
+    """(block, unit, payload): what the shards of a unit answer a router, dealt to its blocks as each block asked."""
+    for key, rows in _by_key(batches, 0):
+        by_shard = {r[1]: r[2] for r in rows}
+        rows.clear()
+        n, blocks, there, *rest = get(by_shard[-1])
+        k, answers = len(blocks), [get(by_shard[s]) for s in there.tolist()]
+        score, count = np.concatenate([a[0] for a in answers]), np.zeros(int(n[0]), np.int64)
+        for x, a in zip(rest[2 * k :], answers):
+            count[summed(x)] = a[1]
+        for block, at, asked in zip(blocks.astype(np.uint64).view(np.int64).tolist(), rest[:k], rest[k : 2 * k]):
+            blob = put(score[summed(at)], count[summed(asked)])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key // plan.width], pa.int32()), pa.array([blob], pa.binary())], ["block", "shard", "payload"])
 
 
 def _by_key(batches, column: int):
@@ -395,36 +484,12 @@ def _by_key(batches, column: int):
 
 def _merge(batches, plan: Plan, seed: int):
     """One row a shard: its restaurants after early sweeps, the type of each entry of its blocks, and the dishes it needs of the dish shards."""
-    every = np.empty(len(plan.codes), np.uint64)
-    every[plan.codes] = plan.code_hashes
+    every = plan.named()
     for shard, rows in _by_key(batches, 0):
         parts, blocks = [get(r[2]) for r in rows], [r[1] for r in rows]
         rows.clear()  # large arrays go as soon as they can
-        met = np.zeros(CODES + 1, bool)
-        for p in parts:
-            met[p[3]] = True
-        met[CODES] = False
-        by_code = every[met[: len(every)]]
-        for p in parts:
-            p[0] = summed(p[0].astype(np.uint64))
-        h = distinct(np.concatenate([by_code, *[p[0] for p in parts]]))
+        h, coded, e2, e1, ed, count, sizes = _united(parts, every)
         m = len(h)
-        coded = np.searchsorted(h, by_code)
-        of_code = np.zeros(CODES, np.int64)
-        of_code[np.flatnonzero(met)] = coded
-        columns = [[], [], [], []]
-        for names, ref, n, codes, pairs, dishes, count in parts:
-            ids = np.empty(len(codes), np.int32)
-            rare = codes == CODES
-            ids[~rare] = of_code[codes[~rare]]
-            ids[rare] = np.searchsorted(h, names)[ref]
-            n2, n1 = n.tolist()
-            first = ids[n2 : n2 + n1]
-            for c, x in zip(columns, (np.repeat(np.repeat(ids[:n2], pairs), dishes), np.repeat(first, dishes), ids[n2 + n1 :], count.astype(np.int32))):
-                c.append(x)
-        del parts
-        sizes = np.array([len(x) for x in columns[3]])
-        e2, e1, ed, count = (np.concatenate(columns.pop(0)) for _ in range(4))
         w2, w1, d, at = triples(e2, e1, ed, m)
         del e2, e1, ed
         c3 = np.bincount(at, count, len(w2)).astype(np.int64)
@@ -778,7 +843,7 @@ def _frequent(blocks: DataFrame, shards: int, total: int, train_tokens: int, wor
     return Plan(shards, max(8, -(-shards // CONTEXTS_A_DISH_SHARD)), of(0), of(1), h[top][by_hash], by_hash.astype(np.int64), guess(train[top]).astype(np.float32), rare)
 
 
-def score(docs: DataFrame, train, seed: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score(docs: DataFrame, train, seed: int = 2, shard_tokens: int = SHARD_TOKENS, routed: int = ROUTED) -> DataFrame:
     """Train on the rows for which the boolean column ``train`` holds and score all rows of (doc_id, text).
 
     Null, empty and blank texts are their end token alone; texts of any length are read whole;
@@ -794,12 +859,30 @@ def score(docs: DataFrame, train, seed: int = 2, shard_tokens: int = SHARD_TOKEN
     n, total, n_blocks = (int(x or 0) for x in blocks.agg(F.sum("train_tokens"), F.sum("tokens"), F.count("*")).first())
     shards = max(8, -(-total // shard_tokens))
     plan = _frequent(blocks, shards, total, n, work)
+    plan.width = math.isqrt(shards) if shards > routed else 1
     about = sent(plan)
 
-    entries = blocks.select("block", "payload").mapInArrow(lambda it: _entries(it, about.value), "shard int, block long, blob binary")
-    entries = entries.repartition(min(shards, PARTITIONS), "shard").sortWithinPartitions("shard", "block")
-    far_type = "far array<struct<pair:long,c:double,t:double>>"
-    merged = work.put("shards", entries.mapInArrow(lambda it: _merge(it, about.value, seed), f"shard int, blob binary, keys binary, {far_type}"))
+    far_type, entry_type = "far array<struct<pair:long,c:double,t:double>>", "shard int, block long, blob binary"
+    texts = blocks.select("block", "payload")
+
+    def merge(entries: DataFrame, name: str, tasks: int) -> DataFrame:
+        entries = entries.repartition(min(tasks, PARTITIONS), "shard").sortWithinPartitions("shard", "block")
+        return work.put(name, entries.mapInArrow(lambda it: _merge(it, about.value, seed), f"shard int, blob binary, keys binary, {far_type}"))
+
+    back = None  # ways back of the routers
+    if plan.width == 1:
+        merged = merge(texts.mapInArrow(lambda it: _entries(it, about.value), entry_type), "shards", shards)
+    else:
+        tasks, merged = -(-shards // GROUPS), None
+        for group in range(GROUPS):  # one after another, so that not all messages lie on disk at once
+            sent_on = texts.mapInArrow(lambda it, group=group: _entries(it, about.value, group), entry_type)
+            key = F.col("shard").cast("long") * plan.width + F.pmod(F.xxhash64("block"), F.lit(plan.width))
+            sent_on = sent_on.select(key.alias("key"), "block", "blob").repartition(min(tasks, PARTITIONS), "key").sortWithinPartitions("key", "block")
+            routes = work.put(f"routes-{group}", sent_on.mapInArrow(lambda it: _route(it, about.value), entry_type))
+            part = merge(routes.where("shard >= 0"), f"shards-{group}", tasks)
+            ways = work.put(f"back-{group}", routes.where("shard < 0"))
+            work.drop(f"routes-{group}")
+            merged, back = (part, ways) if merged is None else (merged.unionAll(part), back.unionAll(ways))
 
     told = merged.select("shard", "keys").mapInArrow(lambda it: _asked(it, about.value), "to int, shard int, payload binary")
     told = told.repartition(min(plan.dish_shards, PARTITIONS), "to").sortWithinPartitions("to", "shard")
@@ -816,14 +899,19 @@ def score(docs: DataFrame, train, seed: int = 2, shard_tokens: int = SHARD_TOKEN
     coded[counts.column("code").to_numpy()] = counts.column("n").to_numpy()
 
     far = sent(_far(merged))
-    both = blocks.select("block", F.lit(-1).alias("shard"), "payload")
+    answers, answer_type = None, "block long, shard int, payload binary"
     for group in range(GROUPS):
         replies = dishes.select("to", "payload").mapInArrow(lambda it, group=group: _replies(it, totals.value, group), "shard int, part int, payload binary")
         own = merged.where(F.col("shard") % GROUPS == group).select("shard", F.lit(-1).alias("part"), F.col("blob").alias("payload"))
         rows = own.unionAll(replies).repartition(min(-(-shards // GROUPS), PARTITIONS), "shard").sortWithinPartitions("shard", "part")
-        answers = work.put(f"answers-{group}", rows.mapInArrow(lambda it: _answers(it, far.value, seed), "block long, shard int, payload binary"))
-        both = both.unionByName(answers)
-    work.drop("shards", f"dishes-{DISH_SWEEPS - 1}")
+        part = work.put(f"answers-{group}", rows.mapInArrow(lambda it: _answers(it, far.value, seed), answer_type))
+        answers = part if answers is None else answers.unionAll(part)
+    work.drop(*(["shards"] if back is None else [f"shards-{k}" for k in range(GROUPS)]), f"dishes-{DISH_SWEEPS - 1}")
+    if back is not None:
+        rows = answers.unionByName(back.withColumnRenamed("blob", "payload")).repartition(min(shards, PARTITIONS), "block").sortWithinPartitions("block", "shard")
+        answers = work.put("returned", rows.mapInArrow(lambda it: _returned(it, about.value), answer_type))
+        work.drop(*[f"{name}-{k}" for name in ("answers", "back") for k in range(GROUPS)])
+    both = blocks.select("block", F.lit(-1).alias("shard"), "payload").unionByName(answers)
     both = both.repartition(min(max(1, n_blocks // 2), PARTITIONS), "block").sortWithinPartitions("block", "shard")
     model = sent(coded)
     return both.mapInArrow(lambda it: _scores(it, about.value, model.value, n, v), OUT)
