@@ -358,10 +358,8 @@ def detect_changes(spark, sf_dir):
     spot = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.col("o_orderkey") * 4 + k))
     places = table(spark, sf_dir, "orders").select(spot.alias("at"), F.col("o_totalprice").alias("salt"))
     places = places.select((F.col("at") % PLANTED_WIDTH).cast("int").alias("x"), F.floor(F.col("at") / float(PLANTED_WIDTH)).cast("int").alias("y"), "salt")
-    work = WorkFolder(spark, "pair")
-    pair = work.put("pair", planted_pair(places, PLANTED, clouds=((10, 140, 20, 30),), lines=PLANTED_LINES))
-    found = detect(pair.drop("truth"), PLANTED_WIDTH, pair.agg(F.max("y") + 1).first()[0])
-    work.drop("pair")
+    pair = planted_pair(places, PLANTED, clouds=((10, 140, 20, 30),), lines=PLANTED_LINES)
+    found = detect(pair.drop("truth"), PLANTED_WIDTH, (places.agg(F.max("y")).first()[0] or 0) + 1)
     shown = ("region", "area_px", "x", "y", "w", "h", "class_code", "kind", "significance", "ndvi_after")
     yes = found.regions.select(*shown, F.lit(True).alias("accept"), F.lit("").alias("reason"))
     return yes.unionAll(found.rejected.select(*shown, "accept", "reason"))

@@ -36,14 +36,14 @@ class WorkFolder:
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.made.append(self)
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Write and read again; shuffle files of the writing plan, which nothing reads any more, are deleted."""
+    def put(self, name: str, df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+        """Write (with the writer's ``options``) and read again; shuffle files of the writing plan, which nothing reads any more, are deleted."""
         path, conf = f"{self.path}/{name}", self.spark.conf
         was = _value(self.spark, CLEAN)
         if was is not None:
             conf.set(CLEAN, "true")
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
         finally:
             if was is not None:
                 conf.set(CLEAN, was)
